@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding, warc
+from . import fingerprint, mixing, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1,
+        "op3_fingerprints": fingerprint.op3,
         "op4_mixing": mixing.op4,
         "op9_sharding": sharding.op9,
     }
