@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, sharding, warc
+from . import fingerprint, mixing, packing, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": warc.op1,
         "op3_fingerprints": fingerprint.op3,
         "op4_mixing": mixing.op4,
+        "op5_packing": packing.op5,
         "op9_sharding": sharding.op9,
     }
 
