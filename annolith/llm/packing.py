@@ -137,7 +137,7 @@ class _Supply:
         return self.left[self.at]
 
 
-def make_plan(counts: dict[int, int], capacity: int, large: int | None = None, groups: int = 60) -> Plan:
+def make_plan(counts: dict[int, int], capacity: int, large: int | None = None, groups: int = 20) -> Plan:
     """counts: pieces per length, all from 1 to ``capacity``."""
     large = capacity // 8 if large is None else large
     taken: dict[int, int] = defaultdict(int)

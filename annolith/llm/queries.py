@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, mixing, packing, sharding, warc
+from . import fingerprint, langid, mixing, packing, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": fingerprint.op3,
         "op4_mixing": mixing.op4,
         "op5_packing": packing.op5,
+        "op7_quality": quality.op7,
         "op9_sharding": sharding.op9,
+        "op10_language": langid.op10,
     }
 
 
