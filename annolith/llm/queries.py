@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, jaccard, langid, mixing, packing, quality, sharding, warc
+from . import ann, fingerprint, jaccard, langid, mixing, packing, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": warc.op1,
+        "op2_neighbours": ann.op2,
         "op3_fingerprints": fingerprint.op3,
         "op4_mixing": mixing.op4,
         "op5_packing": packing.op5,
