@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, fingerprint, jaccard, langid, mixing, packing, quality, sharding, warc
+from . import ann, coder, fingerprint, jaccard, langid, mixing, packing, quality, sharding, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": fingerprint.op3,
         "op4_mixing": mixing.op4,
         "op5_packing": packing.op5,
+        "op6_token_ids": coder.op6,
         "op7_quality": quality.op7,
         "op8_jaccard": jaccard.op8,
         "op9_sharding": sharding.op9,
