@@ -70,8 +70,9 @@ def fit_inside(w: Column, h: Column, most: int) -> tuple[Column, Column]:
 
 
 def readable_bytes(n: Column) -> Column:
-    """1536 -> 1.5 KB."""
+    """1536 -> 1.5 KB, tenths with halves up."""
     out = F.concat(n.cast("string"), F.lit(" B"))
     for k, unit in enumerate(("KB", "MB", "GB", "TB"), start=1):
-        out = F.when(n >= 1024**k, F.concat(F.format_string("%.1f", n / float(1024**k)), F.lit(f" {unit}"))).otherwise(out)
+        tenths = F.floor(n * 10 / F.lit(float(1024**k)) + 0.5)
+        out = F.when(n >= 1024**k, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out

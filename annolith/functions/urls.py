@@ -52,10 +52,10 @@ def image_urls(html: Column) -> Column:
     return F.array_distinct(F.filter(urls, lambda u: (u.startswith("http://") | u.startswith("https://")) & ~is_thumbnail(u)))
 
 
-def links(html: Column) -> Column:
-    """Distinct web links of a page, in order."""
+def links(html: Column, relative: bool = False) -> Column:
+    """Distinct links of a page, in order: web addresses, or all."""
     urls = F.transform(found(html, ['href="([^"]+)"']), lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u))
-    return F.array_distinct(F.filter(urls, lambda u: u.startswith("http://") | u.startswith("https://")))
+    return F.array_distinct(urls if relative else F.filter(urls, lambda u: u.startswith("http://") | u.startswith("https://")))
 
 
 def safe_name(text: Column, most: int = 80) -> Column:
