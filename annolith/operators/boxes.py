@@ -77,58 +77,81 @@ def recentre_for_crop(boxes: DataFrame, crops: DataFrame) -> DataFrame:
 LADDER = [((1, 2), (2, 1)), ((3, 4), (4, 3)), ((2, 3), (3, 2))]
 
 
-def _place(rect: tuple[Column, ...], tw: Column, th: Column) -> Column:
-    """A tw x th crop around a rectangle, as centred as the image allows; null if it can't hold it."""
-    W, H = F.col("width"), F.col("height")
+def _candidates() -> Column:
+    """Crops to try: place in the ladder, whether around the padded envelope, ratio (0: the largest square)."""
+    rows = [(0, True, 1, 1), (1, False, 0, 0)]
+    for padded in (True, False):
+        rows += [(len(LADDER) * (not padded) + k + 2, padded, a, b) for k, pair in enumerate(LADDER) for a, b in pair]
+    return F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(s).alias("step"), F.lit(p).alias("padded"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (s, p, a, b) in enumerate(rows)])
 
-    def span(lo: Column, hi: Column, size: Column, limit: Column) -> tuple[Column, Column]:
-        first, last = F.greatest(F.lit(0.0), hi - size), F.least(lo, limit - size)
-        first = F.when((first > last) & (first - last <= 1e-6), last).otherwise(first)
-        return F.greatest(first, F.least(last, (lo + hi) / 2 - size / 2)), first <= last
 
-    left, ok_x = span(rect[0], rect[2], tw, W)
-    top, ok_y = span(rect[1], rect[3], th, H)
-    l, t = g.clamp(F.floor(left), F.lit(0), W - 1), g.clamp(F.floor(top), F.lit(0), H - 1)
-    r, b = g.clamp(F.ceil(left + tw), l + 1, W.cast("long")), g.clamp(F.ceil(top + th), t + 1, H.cast("long"))
-    box = F.struct(l.cast("int").alias("left"), t.cast("int").alias("top"), r.cast("int").alias("right"), b.cast("int").alias("bottom"))
-    return F.when((tw > 0) & (th > 0) & (tw <= W) & (th <= H) & ok_x & ok_y, box)
+def _let(items: Column, **new) -> Column:
+    """Each struct of an array with more fields; a field is a function of the struct as it was."""
+    return F.transform(items, lambda c: _extended(c, new))
 
 
-def _for_ratio(rect: tuple[Column, ...], a: int, b: int) -> Column:
-    rw, rh, ratio = rect[2] - rect[0], rect[3] - rect[1], a / b
-    w = F.greatest(rw, rh * ratio)
-    h = w / ratio
-    low = h < rh
-    return F.when((rw > 0) & (rh > 0), _place(rect, F.when(low, rh * ratio).otherwise(w), F.when(low, rh).otherwise(h)))
+def _extended(c: Column, new: dict) -> Column:
+    out = c
+    for k, f in new.items():
+        out = out.withField(k, f(c))
+    return out
+
+
+def _span(lo: str, hi: str, size: str, limit: str, out: str) -> list[dict]:
+    """Steps that put a span of a size around lo..hi, as central as 0..limit allows; ``out``_ok says whether it fits."""
+    first, last = f"_{out}_first", f"_{out}_last"
+    return [
+        {first: lambda c: F.greatest(F.lit(0.0), c[hi] - c[size]), last: lambda c: F.least(c[lo], F.col(limit) - c[size])},
+        {first: lambda c: F.when((c[first] > c[last]) & (c[first] - c[last] <= 1e-6), c[last]).otherwise(c[first])},
+        {f"{out}_ok": lambda c: c[first] <= c[last], out: lambda c: F.greatest(c[first], F.least(c[last], (c[lo] + c[hi]) / 2 - c[size] / 2))},
+    ]
 
 
 def ratio_crop(envelopes: DataFrame, padding: float = 0.2) -> DataFrame:
     """The first crop that fits: a square around the padded envelope, the image's largest square, a
-    ratio of the ladder around the padded, then around the bare envelope. ``ratio`` is null if none does."""
+    ratio of the ladder around the padded, then around the bare envelope. ``ratio`` is null if none does.
+
+    All candidates of an image are an array, worked on field by field, so the plan stays small.
+    """
     e = envelopes
-    raw = tuple(F.col(c) for c in ("min_x", "min_y", "max_x", "max_y"))
-    rw, rh = raw[2] - raw[0], raw[3] - raw[1]
-    grow = (rw > 0) & (rh > 0)
+    raw = ("min_x", "min_y", "max_x", "max_y")
+    rw, rh = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
     lim = [F.col("width").cast("double"), F.col("height").cast("double")] * 2
-    wide = [g.clamp(c + s * d * padding, 0.0, m) for c, s, d, m in zip(raw, (-1, -1, 1, 1), (rw, rh) * 2, lim, strict=True)]
-    e = e.withColumns({f"_p{k}": F.when(grow, v).otherwise(c) for k, (v, c) in enumerate(zip(wide, raw, strict=True))})
-    padded = tuple(F.col(f"_p{k}") for k in range(4))
-    named = lambda crop, a, b: F.when(crop.isNotNull(), F.struct(crop.alias("crop"), F.lit(f"{a}:{b}").alias("ratio"), F.lit(a).alias("a"), F.lit(b).alias("b")))
+    wide = [g.clamp(F.col(c) + s * d * padding, 0.0, m) for c, s, d, m in zip(raw, (-1, -1, 1, 1), (rw, rh) * 2, lim, strict=True)]
+    e = e.withColumns({f"_p{k}": F.when((rw > 0) & (rh > 0), v).otherwise(F.col(c)) for k, (v, c) in enumerate(zip(wide, raw, strict=True))})
+    corner = {name: (lambda c, k=k: F.when(c["padded"], F.col(f"_p{k}")).otherwise(F.col(raw[k]))) for k, name in enumerate(("x1", "y1", "x2", "y2"))}
     side = F.least("width", "height").cast("double")
-    steps = {"_s0": named(_for_ratio(padded, 1, 1), 1, 1), "_s1": named(F.when((rw <= side) & (rh <= side), _place(raw, side, side)), 1, 1)}
-    size = lambda c: (c["crop"]["right"] - c["crop"]["left"]) * (c["crop"]["bottom"] - c["crop"]["top"])
-    for rect, tag in ((padded, "p"), (raw, "r")):
-        for k, pair in enumerate(LADDER):
-            for i, (a, b) in enumerate(pair):
-                steps[f"_{tag}{k}{i}x"] = named(_for_ratio(rect, a, b), a, b)
-    e = e.withColumns(steps)
-    best = [F.col("_s0"), F.col("_s1")]
-    for tag in "pr":
-        for k in range(len(LADDER)):
-            one, two = F.col(f"_{tag}{k}0x"), F.col(f"_{tag}{k}1x")
-            best.append(F.when(one.isNull(), two).when(two.isNull(), one).when(size(two) < size(one), two).otherwise(one))
-    e = e.withColumn("_best", F.coalesce(*best))
-    return e.select("image_id", "width", "height", *[F.col(f"_best.crop.{c}").alias(c) for c in ("left", "top", "right", "bottom")], F.col("_best.ratio").alias("ratio"), F.col("_best.a").alias("_a"), F.col("_best.b").alias("_b"))
+    square = lambda c: c["a"] == 0
+    steps = [
+        corner,
+        {"rw": lambda c: c["x2"] - c["x1"], "rh": lambda c: c["y2"] - c["y1"]},
+        {"ratio": lambda c: F.when(square(c), 1.0).otherwise(c["a"] / F.greatest(F.lit(1), c["b"]))},
+        {"w0": lambda c: F.greatest(c["rw"], c["rh"] * c["ratio"])},
+        {"low": lambda c: c["w0"] / c["ratio"] < c["rh"]},
+        {
+            "tw": lambda c: F.when(square(c), side).when(c["low"], c["rh"] * c["ratio"]).otherwise(c["w0"]),
+            "th": lambda c: F.when(square(c), side).when(c["low"], c["rh"]).otherwise(c["w0"] / c["ratio"]),
+            "fits": lambda c: F.when(square(c), (c["rw"] <= side) & (c["rh"] <= side)).otherwise((c["rw"] > 0) & (c["rh"] > 0)),
+        },
+        *_span("x1", "x2", "tw", "width", "fx"),
+        *_span("y1", "y2", "th", "height", "fy"),
+        {"left": lambda c: g.clamp(F.floor(c["fx"]).cast("int"), F.lit(0), F.col("width") - 1), "top": lambda c: g.clamp(F.floor(c["fy"]).cast("int"), F.lit(0), F.col("height") - 1)},
+        {"right": lambda c: g.clamp(F.ceil(c["fx"] + c["tw"]).cast("int"), c["left"] + 1, F.col("width")), "bottom": lambda c: g.clamp(F.ceil(c["fy"] + c["th"]).cast("int"), c["top"] + 1, F.col("height"))},
+    ]
+    items = _candidates()
+    for new in steps:
+        items = _let(items, **new)
+    good = F.filter(items, lambda c: c["fits"] & (c["tw"] > 0) & (c["th"] > 0) & (c["tw"] <= F.col("width")) & (c["th"] <= F.col("height")) & c["fx_ok"] & c["fy_ok"])
+    kept = F.transform(
+        good,
+        lambda c: F.struct(
+            c["step"].alias("step"), ((c["right"] - c["left"]) * (c["bottom"] - c["top"])).alias("area"), c["nth"].alias("nth"),
+            *[c[k].alias(k) for k in ("left", "top", "right", "bottom")], F.greatest(F.lit(1), c["a"]).alias("a"), F.greatest(F.lit(1), c["b"]).alias("b"),
+        ),
+    )
+    e = e.withColumn("_best", F.array_min(kept))
+    ratio = F.when(F.col("_best").isNotNull(), F.concat_ws(":", F.col("_best.a").cast("string"), F.col("_best.b").cast("string")))
+    return e.select("image_id", "width", "height", *[F.col(f"_best.{c}").alias(c) for c in ("left", "top", "right", "bottom")], ratio.alias("ratio"), F.col("_best.a").alias("_a"), F.col("_best.b").alias("_b"))
 
 
 def even_ratio_crop(crops: DataFrame) -> DataFrame:
