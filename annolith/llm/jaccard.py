@@ -5,15 +5,20 @@ similar enough share a shingle within a prefix whose length follows from the set
 Documents with the same size and prefix are one group, and only groups meet.
 
 1. Count shingles in a table of fixed size; only how common a bucket is matters, for the order.
-2. Write each document's size, digest and group; a group's prefix once per task.
-3. Deal prefix shingles; in a shingle's list, sorted by size, neighbours whose sizes allow a
-   link are joined. Any two members that may link lie in the same chain, so lists of any
-   length give as many edges as members, and the components of these edges hold all links.
-4. Verify inside each component with whole sets: exact overlaps of one set with all others at a
+2. Write each document's size, digest and group; a group's prefix once per task. The prefix is
+   somewhat longer than one common shingle needs, so that linked documents share several.
+3. Deal prefix shingles and count, per group, those that a group of fitting size has, too. Groups
+   with fewer than any link would give are linked with nothing and go; this leaves out documents
+   that share a passage but are otherwise their own.
+4. Deal the shingles of the groups that are left; in a shingle's list, sorted by size, neighbours
+   whose sizes allow a link are joined. Any two members that may link lie in the same chain, so
+   lists of any length give as many edges as members, and the components of these edges hold all
+   links.
+5. Verify inside each component with whole sets: exact overlaps of one set with all others at a
    time. Links inside what is known to be connected change nothing, so only members outside
    the largest part are compared. A component of more than ``BLOCK`` sets is cut into blocks,
    and every pair of blocks is verified by a task of its own.
-5. Components of the verified links; copies take the class of their set.
+6. Components of the verified links; copies take the class of their set.
 
 Defined results
   null text or no words   an empty set, linked with nothing
@@ -40,10 +45,14 @@ from . import graph, storage, tokens, words
 SHINGLE = 5
 #: Least similarity, in hundredths.
 LEAST = 75
+#: Hundredths of a set by which its prefix is longer.
+SHARED = 8
+#: Bits of a dealt key that hold the set's size; larger sizes count as the largest.
+SIZE_BITS = 18
 #: Buckets of the shingle counts.
 BUCKETS = 1 << 20
 #: Sets that one task compares at once: two blocks of these.
-BLOCK = 2048
+BLOCK = 4096
 #: Bits of the filter of documents whose sets are needed.
 FILTER_BITS = 1 << 21
 
@@ -83,8 +92,19 @@ def _ranked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     return (common << np.uint64(58)) | (h >> np.uint64(6))
 
 
-def prefix_length(n: int, least: int = LEAST) -> int:
-    return n + (-least * n // 100) + 1
+def _shared(n: int) -> int:
+    """Shingles that prefixes of a set of size n share with those of a larger linked one, at least."""
+    return -(-SHARED * n // 100)
+
+
+def prefix_length(n: int) -> int:
+    """Long enough for ``_shared(n)`` common shingles: all but the last of these precede as many others as differ."""
+    return min(n, n + (-LEAST * n // 100) + _shared(n))
+
+
+def least_shared(n: Column) -> Column:
+    """Common prefix shingles of a set of size n with any linked set: the smaller of the two counts."""
+    return F.ceil(F.ceil(n * LEAST / 100) * SHARED / 100)
 
 
 def common_shingles(docs: DataFrame) -> np.ndarray:
@@ -144,31 +164,61 @@ def profile(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n int, digest long, grp long, prefix array<long>")
 
 
+def _lists(profiles: DataFrame) -> DataFrame:
+    """Prefix shingles of groups (key: shingle, then size; grp), sorted, those of a shingle in one task."""
+    top = (1 << SIZE_BITS) - 1
+    rows = profiles.where("prefix is not null").select(F.explode("prefix").alias("token"), F.least("n", F.lit(top)).cast("long").alias("n"), "grp")
+    rows = rows.select(F.shiftleft(F.shiftrightunsigned("token", SIZE_BITS), SIZE_BITS).bitwiseOR(F.col("n")).alias("key"), "grp")
+    dealt = rows.repartition(storage.partitions(profiles.sparkSession), F.shiftrightunsigned("key", SIZE_BITS))
+    return dealt.sortWithinPartitions("key", "grp")
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sizes, groups, and whether each row and the next may link. A batch begins with the last row of the one before."""
+    key, group = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        key, group = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([group, batch.column(1).to_numpy()])
+        if len(key) < 2:
+            continue
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
+        key, group = key[new], group[new]
+        n, token = key & ((1 << SIZE_BITS) - 1), key >> SIZE_BITS
+        yield n, group, (token[1:] == token[:-1]) & (100 * n[:-1] >= LEAST * n[1:])
+        key, group = key[-1:], group[-1:]
+
+
+def shared_counts(profiles: DataFrame) -> DataFrame:
+    """grp, n and how many of its prefix shingles a group of fitting size has, too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, sizes, times, carried = [], [], [], False
+        for n, group, near in _neighbours(batches):
+            mark = np.concatenate([near, [False]])
+            mark[1:] |= near
+            # The first row was in the batch before: it counts once.
+            mark[0] &= not carried
+            carried = bool(mark[-1] or (len(mark) == 1 and carried))
+            k, at, c = np.unique(group[mark], return_index=True, return_counts=True)
+            found.append(k), sizes.append(n[mark][at]), times.append(c)
+        whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, sizes, times)]
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in whole], names=["grp", "n", "times"])
+
+    got = _lists(profiles).mapInArrow(run, "grp long, n long, times long")
+    return got.groupBy("grp").agg(F.max("n").alias("n"), F.sum("times").alias("times"))
+
+
 def candidate_edges(profiles: DataFrame) -> DataFrame:
     """Edges (a, b) between groups: the chains of all shingles' lists, each task's as stars."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = graph.Forest()
-        last = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(k).to_numpy() for k in range(3)]
-            if last is not None:
-                cols = [np.concatenate([[x], c]) for x, c in zip(last, cols, strict=True)]
-            token, n, group = cols
-            last = [c[-1] for c in cols]
-            near = (token[1:] == token[:-1]) & (group[1:] != group[:-1]) & (100 * n[:-1].astype(np.int64) >= LEAST * n[1:].astype(np.int64))
-            pairs = np.unique(np.stack([group[:-1][near], group[1:][near]], 1), axis=0)
-            for a, b in pairs.tolist():
+        for _, group, near in _neighbours(batches):
+            for a, b in np.unique(np.stack([group[:-1][near], group[1:][near]], 1), axis=0).tolist():
                 forest.join(a, b)
         a, b = forest.stars()
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    spark = profiles.sparkSession
-    lists = profiles.where("prefix is not null").select(F.explode("prefix").alias("token"), "n", "grp")
-    lists = lists.repartition(storage.partitions(spark), "token").sortWithinPartitions("token", "n", "grp")
-    return lists.mapInArrow(run, "a long, b long")
+    return _lists(profiles).mapInArrow(run, "a long, b long")
 
 
 def linked(size: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -252,7 +302,8 @@ def classes(docs: DataFrame) -> DataFrame:
     table = common_shingles(docs)
     profiles = storage.materialize(profile(docs, table), "jaccard-profiles")
     own = profiles.select("doc_id", "n", "digest", "grp")
-    groups = graph.components(candidate_edges(profiles), "jaccard-groups")
+    left = storage.materialize(shared_counts(profiles).where(F.col("times") >= least_shared(F.col("n"))).select("grp"), "jaccard-left")
+    groups = graph.components(candidate_edges(profiles.join(left, "grp", "left_semi")), "jaccard-groups")
 
     # One row per distinct set: the sets to verify are those of groups that met others, or hold several sets.
     sets = own.where("n > 0").groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
