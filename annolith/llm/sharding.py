@@ -22,35 +22,43 @@ from pyspark.sql import functions as F
 from . import prefix, storage
 
 
-def propagate(nodes: DataFrame, shards: int, rounds: int = 3, slack: float = 0.05) -> DataFrame:
-    """nodes: any columns with ``hub`` (not null) and ``key`` (long). Adds ``label`` and ``hub_rows``."""
+def propagate(nodes: DataFrame, shards: int, rounds: int = 4, slack: float = 1.0) -> DataFrame:
+    """nodes: any columns with ``hub`` (not null) and ``key`` (long). Adds ``label`` and ``hub_rows``.
+
+    A shard takes up to 1 + ``slack`` times its even share, so that groups have room to gather; the
+    cut at the end makes the shards even. A hub's members go to the shard that holds most of them
+    among those with room, unless they are where the hub has as many already.
+    """
     spark = nodes.sparkSession
     n = storage.partitions(spark)
     hubs = storage.materialize(nodes.groupBy("hub").agg(F.count("*").alias("hub_rows")), "shard-hubs")
     state = nodes.join(hubs, "hub").withColumn("label", F.pmod(F.xxhash64("key", "hub"), F.lit(shards)).cast("int"))
     state = storage.materialize(state, "shard-state")
-    total = state.count()
-    quota = int(-(-total // shards) * (1 + slack)) + 1
+    quota = int(-(-state.count() // shards) * (1 + slack)) + 1
+    every = spark.range(shards).select(F.col("id").cast("int").alias("goal"))
     for _ in range(rounds):
-        linked = state.where("hub_rows > 1")
-        votes = linked.groupBy("hub", "label").agg(F.count("*").alias("votes"))
+        # One row per shard: a fixed bound.
+        load = state.groupBy("label").agg(F.count("*").alias("load")).withColumnRenamed("label", "goal")
+        room = every.join(load, "goal", "left").select("goal", (F.lit(quota) - F.coalesce("load", F.lit(0))).alias("room")).where("room > 0")
+        room = storage.materialize(room, "shard-room")
+        votes = state.where("hub_rows > 1").groupBy("hub", "label").agg(F.count("*").alias("votes"))
+        votes = storage.materialize(votes, "shard-votes")
+        open_ = votes.join(F.broadcast(room.select(F.col("goal").alias("label"))), "label", "left_semi")
         # The hub's number settles ties, so that not all small hubs meet in the first shard.
-        best = votes.groupBy("hub").agg(F.max_by("label", F.struct("votes", F.xxhash64("hub", "label"))).alias("goal"))
-        best = storage.materialize(best, "shard-goals")
-        moving = state.join(best, "hub", "left")
-        moves = F.col("goal").isNotNull() & (F.col("goal") != F.col("label"))
-        load = state.groupBy("label").agg(F.count("*").alias("load"))
-        room = load.select(F.col("label").alias("goal"), F.greatest(F.lit(0), F.lit(quota) - F.col("load")).alias("room"))
-        asks = moving.where(moves).withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(8 * n)))
+        best = open_.groupBy("hub").agg(F.max_by("label", F.struct("votes", F.xxhash64("hub", "label"))).alias("goal"), F.max(F.struct("votes", F.xxhash64("hub", "label"))).alias("strength"))
+        own = votes.select("hub", "label", F.struct("votes", F.xxhash64("hub", "label")).alias("here"))
+        goals = own.join(best, "hub").where(F.col("here") < F.col("strength")).select("hub", "label", "goal")
+        goals = storage.materialize(goals, "shard-goals")
+        moving = state.join(goals, ["hub", "label"], "left")
+        asks = moving.where("goal is not null").withColumn("_chunk", F.pmod(F.xxhash64("key"), F.lit(8 * n)))
         asks = prefix.running(asks, ["goal"], ["_chunk"], ["hub", "key"], {"place": F.lit(1).cast("long")}).drop("_chunk")
-        # At most one row per shard: a fixed bound.
-        asks = asks.join(F.broadcast(room), "goal", "left").withColumn("label", F.when(F.col("place") < F.coalesce("room", F.lit(quota)), F.col("goal")).otherwise(F.col("label")))
-        stay = moving.where(~moves)
+        asks = asks.join(F.broadcast(room), "goal").withColumn("label", F.when(F.col("place") < F.col("room"), F.col("goal")).otherwise(F.col("label")))
+        stay = moving.where("goal is null")
         state = storage.materialize(asks.select(*state.columns).unionByName(stay.select(*state.columns)), "shard-state")
     return state
 
 
-def shard(nodes: DataFrame, shards: int, rounds: int = 3) -> DataFrame:
+def shard(nodes: DataFrame, shards: int, rounds: int = 4) -> DataFrame:
     """Adds ``shard`` and ``slot``; the shards' row counts differ by one at most."""
     n = storage.partitions(nodes.sparkSession)
     state = propagate(nodes, shards, rounds)
@@ -60,10 +68,8 @@ def shard(nodes: DataFrame, shards: int, rounds: int = 3) -> DataFrame:
     state = state.withColumn("_sub", F.when(F.col("hub_rows") > hot, 1 + F.pmod(F.xxhash64("key"), F.lit(4 * n))).otherwise(F.lit(0).cast("long")))
     placed = prefix.running(state.withColumn("_all", F.lit(0)), ["_all"], ["label", "_chunk", "_sub"], ["hub", "key"], {"rank": F.lit(1).cast("long")})
     placed = placed.withColumn("shard", F.expr(f"int((rank * {shards}) div {total})"))
-    first = F.ceil(F.col("shard").cast("long") * total / F.lit(shards)) if total < 1 << 40 else None
-    if first is None:
-        raise ValueError("more rows than a double can number")
-    return placed.withColumn("slot", F.col("rank") - first.cast("long")).drop("_all", "_chunk", "_sub", "rank")
+    first = F.expr(f"(bigint(shard) * {total} + {shards - 1}) div {shards}")  # rounded up
+    return placed.withColumn("slot", F.col("rank") - first).drop("_all", "_chunk", "_sub", "rank")
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
