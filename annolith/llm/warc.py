@@ -91,11 +91,10 @@ def write_archive(
     """Write one record per row. Only payloads that are first of their kind are shuffled to a store."""
     spark, archive = pages.sparkSession, Archive(path)
     rows = _source(pages, id_col, uri_col, payload_col)
-    first = rows.groupBy("address").agg(F.min("id").alias("first_id"))
-    keep = rows.select("address", "id", "payload").alias("r").join(
-        first.alias("f"), (F.col("r.address") == F.col("f.address")) & F.col("r.id").eqNullSafe(F.col("f.first_id"))
-    )
-    keep = keep.select("r.address", "r.id", "r.payload").dropDuplicates(["address", "id"])
+    # The id as a key that is never null: the join then deals rows by what the distinct needs, too.
+    key = F.coalesce(F.col("id").cast("string"), F.lit(""))
+    first = rows.groupBy("address").agg(F.min("id").alias("id")).select("address", key.alias("key"))
+    keep = rows.select("address", key.alias("key"), "id", "payload").join(first, ["address", "key"]).dropDuplicates(["address", "key"])
     keep.select("address", F.col("id").alias("first_id"), "payload", base32_sha1(F.col("payload")).alias("sha1"), F.length("payload").cast("long").alias("payload_bytes")).write.option(
         "compression", "zstd"
     ).parquet(archive.payloads)
