@@ -63,7 +63,7 @@ def word_features(unique: pa.Array) -> np.ndarray:
     padded[np.arange(len(p)), n + 1] = 2  # a mark at either end
     two = padded[:, :-1] * mul + padded[:, 1:]
     three = two[:, :-1] * mul + padded[:, 2:]
-    here = np.arange(LETTERS + 2)[None, :]
+    here = np.where(n[:, None] > 0, np.arange(LETTERS + 2)[None, :], LETTERS + 9)  # a word without letters has no features
     out = [np.where(here[:, : two.shape[1]] <= n[:, None], _mix(two, 1), 0), np.where(here[:, : three.shape[1]] < n[:, None], _mix(three, 2), 0)]
     whole, ends = np.zeros(len(p), np.uint64), np.arange(len(p))
     with np.errstate(over="ignore"):
@@ -89,11 +89,12 @@ class Chain:
 
     def emissions(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """A value per word and language, and which words have letters."""
-        f = word_features(unique)
-        out = np.zeros((len(f), len(self.languages)), np.float32)
-        for k in range(0, len(f), 20_000):
-            out[k : k + 20_000] = self.weights[f[k : k + 20_000]].sum(1)
-        return out, (f != 0).any(1)
+        out, lettered = np.zeros((len(unique), len(self.languages)), np.float32), np.zeros(len(unique), bool)
+        for k in range(0, len(unique), 20_000):
+            f = word_features(unique.slice(k, 20_000))
+            out[k : k + 20_000] = self.weights[f].sum(1)
+            lettered[k : k + 20_000] = (f != 0).any(1)
+        return out, lettered
 
 
 def forward_backward(e: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> np.ndarray:
