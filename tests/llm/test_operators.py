@@ -1,0 +1,433 @@
+"""The ten operators: brute force, round trips and odd input."""
+
+import hashlib
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from annolith.llm import ann, coder, fingerprint, graph, jaccard, langid, mixing, packing, quality, queries, sharding, tokens, warc
+
+D = "/root/testdata/sf0.001"
+WORDS = re.compile("[^\x20\x09-\x0d]+")
+LONG = " ".join(f"w{i % 977}" for i in range(20_000))
+#: Nulls, blanks, repeats, ties, one very long text, and columns that operators use inside.
+ODD = [
+    (1, "a b c d e f g", "x", "en"), (1, "a b c d e f g", "x", "en"), (2, None, "x", None), (3, "", None, "en"), (4, " \t\n", "y", "en"), (5, "A b c d e f g", "y", "de"),
+    (6, "one", "y", "de"), (7, LONG, "z", "fr"), (8, LONG + " end", "z", "fr"), (None, "no id at all here today", "z", "en"), (9, "12 34 !!", "é", "es"), (10, "one", "é", "es"),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    df = spark.createDataFrame(ODD, "doc_id long, text string, source string, lang string")
+    for c in ("n", "hub", "rank", "score", "label", "key", "size", "_chunk"):
+        df = df.withColumn(c, F.lit(7))
+    return df
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], "doc_id long, text string, source string, lang string")
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{D}/documents.parquet")
+
+
+def words(text):
+    return WORDS.findall(text or "")
+
+
+def shingles(text):
+    w = words("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+# --- archive -----------------------------------------------------------------------------------
+PAGES = [(1, "u", "aa"), (2, "u\r\nX: y", "aa"), (3, None, None), (4, "v", "bb"), (None, "v", "bb"), (4, "v", "bb"), (5, "w", "")]
+
+
+def test_archive(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").withColumn("address", F.lit(1))
+    a = warc.write_archive(pages, str(tmp_path / "a"))
+    got = warc.read_archive(spark, a).toPandas()
+    assert len(got) == len(PAGES) and spark.read.parquet(a.payloads).count() == 3
+    kinds = sorted((r.id if r.id == r.id else -1, r.record_type, r.refers_to if r.refers_to == r.refers_to else -1) for r in got.itertuples())
+    assert kinds == [(-1, "revisit", 4), (1, "response", -1), (2, "revisit", 1), (3, "response", -1), (4, "response", -1), (4, "response", -1), (5, "revisit", 3)]
+    assert all(r.stated_digest == r.payload_digest for r in got.itertuples())
+    for r in got.itertuples():
+        head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
+        size = int(re.search(rb"Content-Length: (\d+)", head)[1])
+        assert len(rest) == size + 4 and rest.endswith(b"\r\n\r\n") and head.count(b"X: y") <= 1 and b"\nX:" not in head
+    warc.export_warc(warc.read_archive(spark, a), str(tmp_path / "w"))
+    whole = b"".join(__import__("gzip").decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
+    assert sorted(whole.split(b"WARC/1.1\r\n")[1:]) == sorted(bytes(r.record)[10:] for r in got.itertuples())
+
+
+def test_damaged_archive(spark, tmp_path):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    a = warc.write_archive(pages, str(tmp_path / "a"))
+    stored = spark.read.parquet(a.payloads)
+    bad = spark.createDataFrame(stored.withColumn("payload", F.concat("payload", F.lit(b"!"))).collect(), stored.schema)
+    bad.write.mode("overwrite").parquet(a.payloads)
+    with pytest.raises(Exception, match="doesn't match its digest"):
+        warc.read_archive(spark, a).collect()
+
+
+# --- neighbours --------------------------------------------------------------------------------
+def test_neighbours(spark):
+    e = spark.read.parquet(f"{D}/embeddings.parquet").select("vec_id", "embedding")
+    odd = spark.createDataFrame([(900, None), (950, [0.0] * 64), (1000, [float("nan")] * 64), (1050, [None] * 64), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
+    copies = e.where("vec_id = 7").withColumn("vec_id", F.explode(F.sequence(F.lit(2000).cast("long"), F.lit(2030).cast("long"))))
+    e = e.unionByName(odd).unionByName(copies)
+    got = ann.search(e).toPandas().sort_values(["query_id", "rank"])
+    t = e.where("vec_id is not null and embedding is not null").toPandas()
+    x = np.array([[np.nan if v is None else v for v in r] for r in t.embedding], float)
+    keep = np.isfinite(x).all(1) & (x != 0).any(1)
+    x, ids = x[keep], t.vec_id.to_numpy()[keep]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hits = total = 0
+    assert set(got.query_id) == set(ids[ids % 50 == 0])
+    for q, rows in got.groupby("query_id"):
+        s = x @ x[ids == q][0]
+        s[ids == q] = -9
+        best = ids[np.lexsort((ids, -np.round(s, 12)))][:5]
+        hits, total = hits + len(set(best) & set(rows.vec_id)), total + 5
+        assert list(rows["rank"]) == [1, 2, 3, 4, 5] and (np.diff(rows.score) <= 1e-12).all()
+    assert hits / total >= 0.9
+    assert set(got[got.query_id == 2000].vec_id) == {7, 2001, 2002, 2003, 2004}
+
+
+def test_radius_search_is_complete():
+    rng = np.random.default_rng(0)
+    codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)
+    block = ann.Block(codes)
+    for radius in (0, 3, 5, 9, 14, 32):
+        for q in codes[:10]:
+            assert set(block.within(q, radius)) == set(np.flatnonzero(ann.distances(q, codes) <= radius))
+
+
+def test_few_vectors(spark):
+    e = spark.createDataFrame([(50, [1.0, 0.0]), (51, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [(r["query_id"], r["vec_id"]) for r in ann.search(e).collect()] == [(50, 51)]
+    assert ann.search(e.where("vec_id < 0")).count() == 0
+
+
+# --- fingerprints ------------------------------------------------------------------------------
+def test_fingerprints(spark, odd, none):
+    rows = fingerprint.with_fingerprint(odd.select("doc_id", "text"), "text", "fp")
+    got = {r["text"]: tuple(r["fp"]) for r in rows.collect()}
+    assert got[None] == got[""] == got[" \t\n"] == () and len(got["one"]) == fingerprint.WORDS and len(got[LONG]) == fingerprint.WORDS
+    same = lambda a, b: spark.createDataFrame([(list(got[a]), list(got[b]))], "a array<long>, b array<long>").select(fingerprint.likeness(F.col("a"), F.col("b"))).first()[0]
+    assert same(LONG, LONG) == 1 and same("", None) == 1 and same("", "one") == 0
+    assert abs(same(LONG, LONG + " end") - len(shingles(LONG)) / (len(shingles(LONG)) + 1)) < 0.05
+    assert fingerprint.fingerprints(none).count() == 0
+
+
+def test_likeness_is_near(spark, docs):
+    got = fingerprint.op3(spark, D).toPandas().set_index("doc_id")
+    t = docs.toPandas().sort_values("doc_id").reset_index(drop=True)
+    errors = []
+    for i, (d, text) in enumerate(zip(t.doc_id, t.text, strict=True)):
+        after = t.text[(i + 1) % len(t)]
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        assert got.edited_sha256[d] == hashlib.sha256(edited.encode()).hexdigest()
+        for other, column in ((edited, "near_edited"), (after, "near_next")):
+            a, b = ({tuple(words(x)[k : k + 5]) for k in range(max(1, len(words(x)) - 4))} for x in (text, other))
+            errors.append(got[column][d] - len(a & b) / len(a | b))
+    assert abs(np.mean(errors)) < 0.01 and np.abs(errors).max() < 0.2
+
+
+def test_next_wraps_and_orders(spark, odd):
+    rows = fingerprint.with_next(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"]).toPandas()
+    want = sorted([(-1 if d is None else d, t or "") for d, t, *_ in ODD])
+    follow = {}
+    for (d, t), (_, n) in zip(want, want[1:] + want[:1], strict=True):
+        follow.setdefault((d, t), []).append(n)
+    got = {}
+    for r in rows.itertuples():
+        got.setdefault((-1 if r.doc_id != r.doc_id else int(r.doc_id), r.text), []).append(r.next_text)
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in follow.items()}
+
+
+# --- mixing ------------------------------------------------------------------------------------
+def check_mix(got):
+    got = got.toPandas()
+    assert (got.taken <= 2 * got["size"]).all()
+    by = got.groupby("sid").agg(size=("size", "sum"), taken=("taken", "sum"), target=("target", "first"), source_size=("source_size", "first"))
+    assert (by["size"] == by.source_size).all() and (np.abs(by.taken - by.target) <= 1).all()
+    return got
+
+
+def test_mix(spark, docs):
+    m = mixing.mix(docs)
+    got = check_mix(m.documents)
+    again = mixing.mix(docs.repartition(5)).documents.toPandas()
+    key = ["doc_id", "size", "taken"]
+    assert got[key].sort_values(key).values.tolist() == again[key].sort_values(key).values.tolist()
+    targets = m.targets.toPandas()
+    assert abs(targets.target.sum() - 1.5 * targets.source_size.sum()) < 1e-6 * targets.source_size.sum()
+    assert len(got) == docs.count()
+
+
+def test_targets_by_hand(spark):
+    sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 10)], "source string, source_size long")
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    # 3165 words by 5 : 2 : 1 : 5; a stops at 200 and null at 20, b at 2 / 3 of 2945, c at 1 / 3.
+    assert got["a"] == 200 and got[None] == 20 and abs(got["b"] - 2945 * 2 / 3) < 1e-6 and abs(got["c"] - 2945 / 3) < 1e-6
+
+
+def test_mix_of_odd_rows(spark, odd, none):
+    got = check_mix(mixing.mix(odd, block_words=64).documents)
+    assert len(got) == len(ODD) and sorted(got["size"]) == sorted(len(words(t)) for _, t, *_ in ODD)
+    assert mixing.mix(none).documents.count() == 0
+    out = mixing.repeat_documents(odd)
+    assert out.columns == odd.columns and out.where("text is null").count() == 0
+    assert mixing.repeat_documents(none).count() == 0
+
+
+# --- tokens, packing, files of ids -------------------------------------------------------------
+TRICKY = ["  áb<|endoftext|>c. İst'll don't ΣΑΣ. 12,3 x y z foo-bar's ...'s", "", None, "\x1c a\x85b İ.", "Ⅷ² ﬁ. É. ok̸.", "Word. WORD, word", LONG]
+
+
+def test_encoder():
+    enc = tokens.Encoder(tokens.default_path())
+    for _ in range(2):  # the second time from what is kept
+        ids, bounds = enc.encode(pa.array(TRICKY))
+        for i, t in enumerate(TRICKY):
+            assert list(ids[bounds[i] : bounds[i + 1]]) == enc.tokenizer.encode(t or "", add_special_tokens=False).ids
+    ids, bounds = enc.encode(pa.array(["a", "b c", ""]).slice(1, 2))
+    assert len(bounds) == 3 and bounds[1] == len(ids) > 0
+
+
+def check_packed(got, size):
+    got = got.toPandas()
+    at = {}
+    for r in got.sort_values(["sequence_id", "offset"]).itertuples():
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert not at or max(at.values()) <= size
+    return got, len(at)
+
+
+def test_packing(spark, docs, odd, none):
+    enc = tokens.Encoder(tokens.default_path())
+    for df, size in ((docs, 4096), (odd, 512), (none, 4096)):
+        got, used = check_packed(packing.pack_documents(df, size=size), size)
+        rows = df.select("doc_id", "text").collect()
+        lengths = [len(enc.tokenizer.encode(r["text"] or "", add_special_tokens=False).ids) + 1 for r in rows]
+        assert got.length.sum() == sum(lengths) and used <= 1.02 * sum(lengths) / size + 2
+        assert (got.length[got.piece < got.groupby("doc_id", dropna=False).piece.transform("max")] == size).all()
+
+
+def test_plans_hold_every_piece():
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        k = int(rng.integers(1, 40))
+        counts = {int(a): int(b) for a, b in zip(rng.integers(1, 101, k), rng.integers(1, 30, k), strict=True)}
+        p = packing.make_plan(counts, 100)
+        seq = {}
+        for a in range(len(p.length)):
+            last = a + 1 == len(p.length) or p.length[a + 1] != p.length[a]
+            end = counts[int(p.length[a])] if last else p.first[a + 1]
+            for q in range(int(end - p.first[a])):
+                seq.setdefault(int(p.sequence[a]) + q, []).append((int(p.offset[a]), int(p.length[a])))
+        assert sum(map(len, seq.values())) == sum(counts.values())
+        for places in seq.values():
+            at = 0
+            for offset, n in sorted(places):
+                assert offset == at
+                at += n
+            assert at <= 100
+
+
+def test_codes_round_trip():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 5, 4096, 4097, 9000):
+        for ids in (rng.choice([3, 5, 7, 49407, 65535, 0], n), rng.integers(0, 65536, n), np.zeros(n)):
+            ids = ids.astype(np.uint32)
+            assert (coder.decode(coder.encode(ids)) == ids).all()
+    data = bytearray(coder.pack_segment([1, None], np.array([3, 4]), np.arange(7, dtype=np.uint32)))
+    assert coder.unpack_segment(bytes(data))[0] == [1, None]
+    data[-6] ^= 1
+    with pytest.raises(ValueError):
+        coder.unpack_segment(bytes(data))
+
+
+def test_blocks_stand_alone():
+    ids = np.random.default_rng(1).choice([3, 5, 7, 9], 9000).astype(np.uint32)
+    blocks = coder.encode(ids)
+    assert (coder.decode(blocks[1:2]) == ids[4096:8192]).all() and sum(len(c) for _, _, c in blocks) * 2 < 9000
+
+
+def test_files_of_ids(spark, odd, none, tmp_path):
+    enc = tokens.Encoder(tokens.default_path())
+    coder.write_ids(odd, str(tmp_path / "ids"))
+    got = coder.read_ids(spark, str(tmp_path / "ids")).orderBy("start").collect()
+    want = sorted([(-1 if d is None else d, t or "") for d, t, *_ in ODD])
+    at = 0
+    for r, (d, t) in zip(got, want, strict=True):
+        ids = [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        assert (r["doc_id"], r["start"], r["ids"]) == (None if d < 0 else d, at, ids)
+        at += len(ids)
+    coder.write_ids(none, str(tmp_path / "none"))
+    assert coder.read_ids(spark, str(tmp_path / "none")).count() == 0
+
+
+# --- quality, language -------------------------------------------------------------------------
+def test_quality(spark):
+    big = "/root/testdata/sf0.01"
+    got = quality.op7(spark, big).join(spark.read.parquet(f"{big}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert (got.predicted == got.quality).mean() > 0.95 and got.score.between(0, 1).all()
+
+
+def test_quality_of_odd_rows(spark, odd, none):
+    for labels in ([(1, 1, 0), (6, 0, 0), (7, 1, 0), (None, 1, 0), (5, None, 0)], []):
+        model = quality.train(odd, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+        assert quality.score(odd.select("doc_id", "text"), model, ["doc_id"]).where("score between 0 and 1").count() == len(ODD)
+    assert quality.score(none, model, ["doc_id"]).count() == 0
+
+
+def test_pairs_are_learned():
+    x = np.random.default_rng(0).random((4000, 2)).astype(np.float32)
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.fit(x, y)
+    assert ((model.score(x) > 0.5) == y).mean() > 0.9 and model.pairs
+
+
+def test_language(spark):
+    big = "/root/testdata/sf0.01"
+    got = langid.op10(spark, big).join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.95
+
+
+def test_language_of_odd_rows(spark, odd, none):
+    model = langid.train(odd)
+    got = langid.predict(odd.select("doc_id", "text"), model, ["doc_id"]).toPandas()
+    assert len(got) == len(ODD) and got.score.between(0, 1).all()
+    assert (got[got.doc_id.isin([2, 3, 4, 9])].lang_pred == "und").all() and (got[got.doc_id == 7].lang_pred != "und").all()
+    empty = langid.train(none)
+    assert langid.predict(odd.select("doc_id", "text"), empty, ["doc_id"]).where("lang_pred = 'und' and score = 0").count() == len(ODD)
+    assert langid.predict(none, model, ["doc_id"]).count() == 0
+
+
+def test_words_of_a_text_that_switches(docs):
+    t = docs.where("lang in ('en', 'de')").orderBy("doc_id").limit(60).toPandas()
+    model = langid.fit(pa.array(t.text), list(t.lang))
+    en, de = (" ".join(words(t[t.lang == x].text.iloc[0])[:30]) for x in ("en", "de"))
+    got = [x[1] for x in langid.label_words(f"{en} {de}", model)]
+    assert got[:25].count("en") >= 22 and got[-25:].count("de") >= 22
+
+
+def test_forward_backward_is_exact():
+    rng = np.random.default_rng(0)
+    e, t = rng.normal(size=(7, 3)), rng.normal(size=(3, 3))
+    got = langid.forward_backward(e, np.array([0, 4, 4, 7]), t)
+    for lo, hi in ((0, 4), (4, 7)):
+        sums = np.zeros((hi - lo, 3))
+        for path in __import__("itertools").product(range(3), repeat=hi - lo):
+            w = np.exp(sum(e[lo + i, k] for i, k in enumerate(path)) + sum(t[a, b] for a, b in zip(path[:-1], path[1:], strict=True)))
+            for i, k in enumerate(path):
+                sums[i, k] += w
+        assert np.allclose(got[lo:hi], sums / sums.sum(1, keepdims=True))
+
+
+# --- similar documents -------------------------------------------------------------------------
+def brute(rows):
+    ids = [d for d, _ in rows]
+    sets = [shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    least = {}
+    for i, d in enumerate(ids):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return sorted((d, len(s), least[find(i)]) for i, (d, s) in enumerate(zip(ids, sets, strict=True)))
+
+
+def near_copies():
+    """Clusters of near copies, chains whose ends aren't alike, a passage in many documents, exact copies."""
+    rng = np.random.default_rng(4)
+    new = lambda n: [f"t{k}" for k in rng.integers(0, 10**6, n)]
+    out, passage = [], new(50)
+    for _ in range(6):
+        base = new(int(rng.integers(20, 120)))
+        for _ in range(12):
+            copy = list(base)
+            for _ in range(int(rng.integers(0, 4))):
+                copy[int(rng.integers(0, len(copy)))] = new(1)[0]
+            out.append(copy)
+    chain = new(60)
+    for _ in range(15):
+        out.append(list(chain))
+        chain = chain[4:] + new(4)
+    out += [new(20) + passage + new(int(rng.integers(5, 60))) for _ in range(25)] + [passage + new(int(rng.integers(0, 8))) for _ in range(8)]
+    out += [out[0]] * 9 + [["a", "b"]] * 3 + [["a", "b", "c"]] + [[]] * 2
+    order = rng.permutation(len(out))
+    return [(int(i) + 1, " ".join(out[k])) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("block, short", [(2_000_000, 32), (300, 3)])
+def test_classes(spark, monkeypatch, block, short):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LIST", short)
+    rows = near_copies()
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+
+
+def test_classes_of_odd_rows(spark, odd, none):
+    got = jaccard.classes(odd).toPandas()
+    assert len(got) == len(ODD)
+    by = got.dropna(subset=["doc_id"]).drop_duplicates().set_index("doc_id").component_id.to_dict()
+    assert by[1] == by[5] == 1 and by[7] == by[8] == 7 and by[6] == by[10] == 6 and by[3] == 3 and by[4] == 4
+    assert jaccard.classes(none).count() == 0
+    kept = jaccard.keep_one(odd)
+    assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").select("doc_id").collect()) == [1, 2, 3, 4, 6, 7, 9]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300)] + [(1000, k) for k in range(1001, 1050)]
+    got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
+    assert all(got[k] == 0 for k in range(41)) and got[200] == 100 and got[1049] == 1000
+    assert graph.components(spark.createDataFrame([], "a long, b long"), "t").count() == 0
+
+
+# --- shards ------------------------------------------------------------------------------------
+def test_shards(spark):
+    got = sharding.op9(spark, D).toPandas()
+    n = got.groupby("shard").size()
+    assert len(n) == 40 and n.max() - n.min() <= 1
+    for _, rows in got.groupby("shard"):
+        assert sorted(rows.slot) == list(range(len(rows)))
+    # Equal texts are in one shard unless a boundary runs through them.
+    many = got.groupby("text_crc32").shard.nunique()
+    assert (many > 1).sum() <= 39
+
+
+def test_a_hub_of_a_third_of_all_rows(spark):
+    rows = [(k, b"hot" if k % 3 == 0 else (b"pair%d" % (k // 2) if k % 2 else b"one%d" % k)) for k in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "key long, hub binary"), 10).toPandas()
+    n = got.groupby("shard").size()
+    assert list(n) == [300] * 10 and got[got.hub == b"hot"].shard.nunique() <= 5
+    assert sharding.shard(spark.createDataFrame([], "key long, hub binary"), 10).count() == 0
+
+
+# --- registry ----------------------------------------------------------------------------------
+def test_names():
+    names = list(queries.queries())
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
