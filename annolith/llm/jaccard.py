@@ -10,13 +10,13 @@ Documents with the same size and prefix are one group, and only groups meet.
 3. Deal prefix shingles and count, per group, those that a group of fitting size has, too. Groups
    with fewer than any link would give are linked with nothing and go; this leaves out documents
    that share a passage but are otherwise their own.
-4. Deal the shingles of the groups that are left; in a shingle's list, sorted by size, neighbours
-   whose sizes allow a link are joined. Any two members that may link lie in the same chain, so
-   lists of any length give as many edges as members, and the components of these edges hold all
-   links.
+4. Deal the shingles of the groups that are left. Pairs in short lists are counted, and those that
+   share as many as a link needs are edges. In a long list, sorted by size, neighbours whose sizes
+   allow a link are edges: any two members that may link lie in the same chain, so a list of any
+   length gives as many edges as members. The components of these edges hold all links.
 5. Verify inside each component with whole sets: exact overlaps of one set with all others at a
    time. Links inside what is known to be connected change nothing, so only members outside
-   the largest part are compared. A component of more than ``BLOCK`` sets is cut into blocks,
+   the largest part are compared. A component with more than ``BLOCK`` shingles is cut into blocks,
    and every pair of blocks is verified by a task of its own.
 6. Components of the verified links; copies take the class of their set.
 
@@ -45,14 +45,18 @@ from . import graph, storage, tokens, words
 SHINGLE = 5
 #: Least similarity, in hundredths.
 LEAST = 75
+#: Groups in a shingle's list whose pairs are counted; in a longer list neighbours are joined.
+LIST = 32
 #: Hundredths of a set by which its prefix is longer.
 SHARED = 8
 #: Bits of a dealt key that hold the set's size; larger sizes count as the largest.
 SIZE_BITS = 18
 #: Buckets of the shingle counts.
 BUCKETS = 1 << 20
-#: Sets that one task compares at once: two blocks of these.
-BLOCK = 4096
+#: Shingles of a block; a task compares the sets of two blocks at once.
+BLOCK = 2_000_000
+#: Bytes of text that are made into shingles at once.
+BATCH = 4_000_000
 #: Bits of the filter of documents whose sets are needed.
 FILTER_BITS = 1 << 21
 
@@ -112,7 +116,7 @@ def common_shingles(docs: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(BUCKETS, np.int64)
-        for batch in tokens.small_batches(batches, "text"):
+        for batch in tokens.small_batches(batches, "text", BATCH):
             h, _ = shingles(batch.column("text"))
             table += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
         hot = np.flatnonzero(table > max(8, 8 * table.mean()))
@@ -141,7 +145,7 @@ def profile(docs: DataFrame, table: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in tokens.small_batches(batches, "text"):
+        for batch in tokens.small_batches(batches, "text", BATCH):
             n, digest, group, prefix = [], [], [], []
             for s in _sets(batch, shared.value):
                 n.append(len(s))
@@ -207,18 +211,77 @@ def shared_counts(profiles: DataFrame) -> DataFrame:
     return got.groupBy("grp").agg(F.max("n").alias("n"), F.sum("times").alias("times"))
 
 
+def _whole_lists(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Sizes, groups, numbers of lists, and whether a list is long, list by list.
+
+    A list that is already long is not kept from batch to batch: its last row goes on, marked.
+    """
+    key, group, marked = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+
+    def cut(key: np.ndarray, group: np.ndarray, marked: bool) -> tuple:
+        token = key >> SIZE_BITS
+        run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
+        long = np.bincount(run) > most
+        long[0] |= marked
+        return key & ((1 << SIZE_BITS) - 1), group, run, long
+
+    for batch in batches:
+        key, group = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([group, batch.column(1).to_numpy()])
+        if not len(key):
+            continue
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
+        key, group = key[new], group[new]
+        n, g, run, long = cut(key, group, marked)
+        last = int(np.searchsorted(run, run[-1]))
+        if long[run[-1]]:
+            yield n, g, run, long
+            key, group, marked = key[-1:], group[-1:], True
+        else:
+            if last:
+                yield n[:last], g[:last], run[:last], long
+            key, group, marked = key[last:], group[last:], marked and not last
+    if len(key):
+        yield cut(key, group, marked)
+
+
 def candidate_edges(profiles: DataFrame) -> DataFrame:
-    """Edges (a, b) between groups: the chains of all shingles' lists, each task's as stars."""
+    """Edges (a, b) between groups that may link.
+
+    Pairs of a short list are counted over all lists; a pair counts if it shares as many shingles
+    as a link needs. In a long list neighbours are joined at once, whatever they share elsewhere.
+    """
+
+    most = LIST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = graph.Forest()
-        for _, group, near in _neighbours(batches):
-            for a, b in np.unique(np.stack([group[:-1][near], group[1:][near]], 1), axis=0).tolist():
-                forest.join(a, b)
+        for n, group, run, long in _whole_lists(batches, most):
+            hot = long[run]
+            found = []
+            for d in range(1, most):
+                same = np.flatnonzero(run[d:] == run[:-d])
+                if not len(same):
+                    break
+                near = same[(100 * n[same] >= LEAST * n[same + d]) & (group[same] != group[same + d])]
+                if d == 1:
+                    for a, b in np.unique(np.stack([group[near[hot[near]]], group[near[hot[near]] + 1]], 1), axis=0).tolist():
+                        forest.join(a, b)
+                near = near[~hot[near]]
+                found.append((group[near], group[near + d], n[near]))
+            if found:
+                a, b, least = (np.concatenate(x) for x in zip(*found, strict=True))
+                a, b = np.minimum(a, b), np.maximum(a, b)
+                order = np.lexsort((b, a))
+                a, b, least = a[order], b[order], least[order]
+                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+                times = np.diff(np.concatenate([new, [len(a)]]))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], least[new], times)], names=["a", "b", "least", "times"])
         a, b = forest.stars()
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64)), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "least", "times"])
 
-    return _lists(profiles).mapInArrow(run, "a long, b long")
+    pairs = _lists(profiles).mapInArrow(run, "a long, b long, least long, times long")
+    met = pairs.groupBy("a", "b").agg(F.min("least").alias("least"), F.sum("times").alias("times"))
+    return met.where(F.col("times") >= F.ceil(F.col("least") * SHARED / 100)).select("a", "b")
 
 
 def linked(size: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -278,16 +341,17 @@ def verify(sets: DataFrame) -> DataFrame:
         def close() -> pa.RecordBatch:
             size = np.array([r[1] for r in rows])
             two = cell is not None and cell[1] != cell[2]
-            got = linked(size, [np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[3] for r in rows]) if two else None) if len(rows) > 1 else []
+            got = linked(size, [r[2] for r in rows], np.array([r[3] for r in rows]) if two else None) if len(rows) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([rows[x][0] for x, _ in got], pa.int64()), pa.array([rows[y][0] for _, y in got], pa.int64())], names=["a", "b"])
 
         for batch in batches:
-            for comp, i, j, digest, n, s, side in zip(*[batch.column(c).to_pylist() for c in ("comp", "i", "j", "digest", "n", "s", "side")], strict=True):
+            small = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "digest", "n", "side")]
+            for comp, i, j, digest, n, side, s in zip(*small, batch.column("s"), strict=True):
                 if (comp, i, j) != cell:
                     if rows:
                         yield close()
                     cell, rows = (comp, i, j), []
-                rows.append((digest, n, s, side))
+                rows.append((digest, n, np.frombuffer(s.as_py(), np.uint64), side))
         if rows:
             yield close()
 
@@ -310,7 +374,7 @@ def classes(docs: DataFrame) -> DataFrame:
     sets = storage.materialize(sets, "jaccard-sets")
     placed = sets.join(groups.withColumnRenamed("node", "grp"), "grp", "left").withColumn("comp", F.coalesce("label", "grp"))
     placed = storage.materialize(placed.select("comp", "digest", "n", "doc_id"), "jaccard-placed")
-    count = placed.groupBy("comp").agg(F.count("*").alias("members")).where("members > 1")
+    count = placed.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
     count = storage.materialize(count, "jaccard-counts")
     wanted = storage.materialize(placed.join(count, "comp"), "jaccard-wanted")
 
@@ -323,14 +387,14 @@ def classes(docs: DataFrame) -> DataFrame:
         need = np.unpackbits(packed).astype(bool)
         for whole in batches:
             keep = need[whole.column("k").to_numpy()]
-            for batch in tokens.small_batches(iter([whole.filter(pa.array(keep))]), "text"):
+            for batch in tokens.small_batches(iter([whole.filter(pa.array(keep))]), "text", BATCH):
                 got = list(_sets(batch, common))
                 digest = [_signed(xxhash.xxh3_64_intdigest(s.tobytes(), seed=1)) if len(s) else None for s in got]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["doc_id", "digest", "s"])
 
     texts = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("k"))
     whole = texts.mapInArrow(run, "doc_id long, digest long, s binary")
-    cells = wanted.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    cells = wanted.withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "digest", "n", "doc_id")
     full = cells.join(whole.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"])
