@@ -427,6 +427,14 @@ def test_a_hub_of_a_third_of_all_rows(spark):
     assert sharding.shard(spark.createDataFrame([], "key long, hub binary"), 10).count() == 0
 
 
+def test_a_hub_of_a_third_of_forty_shards(spark):
+    rows = [(i, b"hot" if i % 3 == 0 else b"pair%d" % (i // 6)) for i in range(12_000)]
+    got = sharding.shard(spark.createDataFrame(rows, "key long, hub binary"), 40).toPandas()
+    assert list(got.groupby("shard").size()) == [300] * 40 and got[got.hub == b"hot"].shard.nunique() <= 15
+    few = got[got.hub != b"hot"].groupby("hub").shard.nunique()
+    assert few.max() <= 2 and (few > 1).mean() < 0.1
+
+
 # --- registry ----------------------------------------------------------------------------------
 def test_names():
     names = list(queries.queries())
