@@ -520,6 +520,21 @@ def asof_next_frame(s, d):
     return sq.at_or_after(f.where("event_id % 5 = 0"), want)
 
 
+@query("""SELECT seq_id, target_index, source_index, place FROM (SELECT t.seq_id, t.frame_index target_index, s.frame_index source_index, row_number() OVER (PARTITION BY t.seq_id, t.frame_index ORDER BY s.frame_index DESC) place
+FROM frames t JOIN frames s ON t.seq_id = s.seq_id AND s.frame_index < t.frame_index) WHERE place <= 4""", "frames")
+def history_all_frames(s, d):
+    """Every frame is a target, and a source for those after it."""
+    f, _, _ = _sources(s, d)
+    return sq.history(f, f, 4)
+
+
+@query("""SELECT t.seq_id, t.frame_index "at", min(p.frame_index) frame_index FROM frames t JOIN frames p ON t.seq_id = p.seq_id AND p.event_type = 'purchase' AND p.frame_index >= t.frame_index GROUP BY 1, 2""", "frames")
+def asof_next_purchase(s, d):
+    """For every frame the purchase there or next."""
+    f, _, _ = _sources(s, d)
+    return sq.at_or_after(f.where("event_type = 'purchase'"), f.select("seq_id", F.col("frame_index").alias("at")))
+
+
 @query("""WITH c AS (SELECT seq_id, frame_index - frame_index % 6 grp, feat / 100 x, (feat * 7 % 100) / 100 y, greatest(1e-6, exp(-greatest(1, 6 - frame_index % 6) / 8::DOUBLE)) weight FROM frames),
 m AS (SELECT seq_id, grp, count(*) n, median(x) mx, median(y) my FROM c GROUP BY 1, 2),
 e AS (SELECT c.*, n, sqrt((x - mx) * (x - mx) + (y - my) * (y - my)) dd FROM c JOIN m USING (seq_id, grp)),
@@ -629,6 +644,21 @@ def image_urls(s, d):
     return fx.table(s, d, "pages").where("page_id % 3 <> 0").select("page_id", F.explode(urls.image_urls(html)).alias("url"))
 
 
+_PARAM = lambda k: f"nullif(regexp_extract(q, '(?:^|&){k}=([^&]*)', 1), '')"
+
+
+@query(rf"SELECT page_id, CAST(TRY_CAST(coalesce({_PARAM('p')}, {_PARAM('page')}, {_PARAM('pn')}) AS INT) AS VARCHAR) page FROM (SELECT page_id, regexp_extract(url, '\?([^#]*)', 1) q FROM pages)")
+def page_number(s, d):
+    """The number in the address of every page, as text; null where it has none."""
+    return fx.table(s, d, "pages").select("page_id", urls.page_index(F.col("url")).cast("string").alias("page"))
+
+
+@query()
+def page_image_urls(s, d):
+    """Image addresses in the text of every page; a page without any has one row with null."""
+    return fx.table(s, d, "pages").select("page_id", F.explode_outer(urls.image_urls(F.col("html"))).alias("url"))
+
+
 _TENTHS = lambda unit: f"CAST(floor(b * 10 / {unit}.0::DOUBLE + 0.5) AS BIGINT)"
 _READ = lambda unit, name: f"{_TENTHS(unit)} // 10 || '.' || {_TENTHS(unit)} % 10 || ' {name}'"
 
