@@ -23,7 +23,7 @@ Documents with the same size and prefix are one group, and only groups meet.
 Defined results
   null text or no words   an empty set, linked with nothing
   fewer words than five   the whole sequence is the one shingle
-  null or repeated id     equal texts are in one class; the class id is its smallest id
+  null or repeated id     a row counts by its text; the class id is its smallest id, null if none has one
   empty table             no rows
   more columns            are ignored
 """
@@ -139,8 +139,13 @@ def _sets(batch: pa.RecordBatch, table: np.ndarray) -> Iterator[np.ndarray]:
         yield np.unique(key[a:b])
 
 
+def row_key() -> Column:
+    """A row's number: rows with the same one have the same id, or none, and the same text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+
+
 def profile(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """doc_id, n, digest, grp, prefix; the prefix is null where this task has given the group's before."""
+    """row, doc_id, n, digest, grp, prefix; the prefix is null where this task has given the group's before."""
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,12 +165,12 @@ def profile(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 if len(seen) < 1_000_000:  # a group that isn't remembered is only given again
                     seen.add(g)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["doc_id", "n", "digest", "grp", "prefix"],
+                [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
+                names=["row", "doc_id", "n", "digest", "grp", "prefix"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "doc_id long, n int, digest long, grp long, prefix array<long>")
+    rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(run, "row long, doc_id long, n int, digest long, grp long, prefix array<long>")
 
 
 def _lists(profiles: DataFrame) -> DataFrame:
@@ -358,46 +363,51 @@ def verify(sets: DataFrame) -> DataFrame:
     return sets.mapInArrow(run, "a long, b long")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+def classified(docs: DataFrame) -> DataFrame:
+    """row (its key), doc_id, n, label (of its class) and component (the class's smallest id) of every row; the last two are null without words."""
     spark = docs.sparkSession
     n_parts = storage.partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     table = common_shingles(docs)
     profiles = storage.materialize(profile(docs, table), "jaccard-profiles")
-    own = profiles.select("doc_id", "n", "digest", "grp")
+    own = profiles.select("row", "doc_id", "n", "digest", "grp")
     left = storage.materialize(shared_counts(profiles).where(F.col("times") >= least_shared(F.col("n"))).select("grp"), "jaccard-left")
     groups = graph.components(candidate_edges(profiles.join(left, "grp", "left_semi")), "jaccard-groups")
 
     # One row per distinct set: the sets to verify are those of groups that met others, or hold several sets.
-    sets = own.where("n > 0").groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    sets = own.where("n > 0").groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
     sets = storage.materialize(sets, "jaccard-sets")
     placed = sets.join(groups.withColumnRenamed("node", "grp"), "grp", "left").withColumn("comp", F.coalesce("label", "grp"))
-    placed = storage.materialize(placed.select("comp", "digest", "n", "doc_id"), "jaccard-placed")
+    placed = storage.materialize(placed.select("comp", "digest", "n", "row"), "jaccard-placed")
     count = placed.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
     count = storage.materialize(count, "jaccard-counts")
     wanted = storage.materialize(placed.join(count, "comp"), "jaccard-wanted")
 
     bits = np.zeros(FILTER_BITS, bool)  # FILTER_BITS rows at most
-    bits[wanted.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True
+    bits[wanted.select(F.pmod("row", F.lit(FILTER_BITS)).alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True
     shared = spark.sparkContext.broadcast((np.packbits(bits), table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, common = shared.value
         need = np.unpackbits(packed).astype(bool)
+        seen: set[int] = set()
         for whole in batches:
-            keep = need[whole.column("k").to_numpy()]
+            row = whole.column("row").to_numpy()
+            keep = need[row % FILTER_BITS]
+            for at in np.flatnonzero(keep).tolist():  # copies without an id have the same key
+                keep[at] = (r := int(row[at])) not in seen
+                if len(seen) < 1_000_000:  # a row that isn't remembered is only given again
+                    seen.add(r)
             for batch in tokens.small_batches(iter([whole.filter(pa.array(keep))]), "text", BATCH):
                 got = list(_sets(batch, common))
                 digest = [_signed(xxhash.xxh3_64_intdigest(s.tobytes(), seed=1)) if len(s) else None for s in got]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digest, pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["doc_id", "digest", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["digest", "s"])
 
-    texts = docs.where("doc_id is not null").select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("k"))
-    whole = texts.mapInArrow(run, "doc_id long, digest long, s binary")
+    whole = docs.select(row_key().alias("row"), "text").mapInArrow(run, "digest long, s binary")
     cells = wanted.withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "digest", "n", "doc_id")
-    full = cells.join(whole.dropDuplicates(["doc_id", "digest"]), ["doc_id", "digest"])
+    cells = cells.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "digest", "n")
+    full = cells.join(whole.dropDuplicates(["digest"]), "digest")
     full = full.select("comp", "i", "j", "side", "digest", "n", "s").repartition(n_parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "digest")
     links = storage.materialize(verify(full), "jaccard-links")
     labels = graph.components(links, "jaccard-classes").withColumnRenamed("node", "digest")
@@ -406,8 +416,13 @@ def classes(docs: DataFrame) -> DataFrame:
     known = first.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     known = storage.materialize(known, "jaccard-known")
     smallest = storage.materialize(known.groupBy("label").agg(F.min("first").alias("component")), "jaccard-smallest")
-    of_set = storage.materialize(known.join(smallest, "label").select("digest", "component"), "jaccard-of-set")
-    return own.join(of_set, "digest", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_set = storage.materialize(known.join(smallest, "label").select("digest", "label", "component"), "jaccard-of-set")
+    return own.join(of_set, "digest", "left").select("row", "doc_id", "n", "label", "component")
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return classified(docs).select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -400,6 +400,15 @@ def test_classes_of_odd_rows(spark, odd, none):
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id is not null").select("doc_id").collect()) == [1, 2, 3, 4, 6, 7, 9]
 
 
+def test_classes_through_rows_without_id(spark):
+    t = [f"t{k}" for k in range(80)]
+    text = lambda a: " ".join(t[a : a + 60])
+    # Neighbours are linked, 1 and 2 only through the texts between, which have no id.
+    rows = [(1, text(0)), (None, text(6)), (None, text(6)), (None, text(12)), (2, text(18)), (None, "all by itself"), (3, "a b"), (3, "c d")]
+    got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(str, [(r.doc_id, r.component_id) for r in got])) == sorted(map(str, [(1, 1), (None, 1), (None, 1), (None, 1), (2, 1), (None, None), (3, 3), (3, 3)]))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300)] + [(1000, k) for k in range(1001, 1050)]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
