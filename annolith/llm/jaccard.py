@@ -426,14 +426,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class stays: the one with the smallest id. Documents without words all stay."""
-    got = classes(docs)
-    keep = storage.materialize(got.where("doc_id = component_id and n_shingles > 0").select("doc_id").distinct(), "jaccard-keep")
+    """One row of each class stays: of those with the smallest id, or of all if none has an id, that with the smallest key. Rows without words all stay."""
+    heads = classified(docs).where("n > 0 and doc_id <=> component").groupBy("label").agg(F.min("row").alias("_keep"))
+    keep = storage.materialize(heads.select("_keep"), "jaccard-keep")
     wordless = words_missing(F.col("text"))
-    single = docs.where(~wordless & F.col("doc_id").isNotNull())
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(0)))
-    kept = single.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").cast("long") == F.col("_keep"), "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth")
-    return kept.unionByName(docs.where(wordless | F.col("doc_id").isNull()))
+    rows = docs.where(~wordless).withColumn("_row", row_key())
+    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))  # rows of the same id and text
+    kept = rows.join(keep, F.col("_row") == F.col("_keep"), "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_row")
+    return kept.unionByName(docs.where(wordless))
 
 
 def words_missing(text: Column) -> Column:

@@ -409,6 +409,21 @@ def test_classes_through_rows_without_id(spark):
     assert sorted(map(str, [(r.doc_id, r.component_id) for r in got])) == sorted(map(str, [(1, 1), (None, 1), (None, 1), (None, 1), (2, 1), (None, None), (3, 3), (3, 3)]))
 
 
+def test_one_row_of_each_class(spark):
+    t = [f"t{k}" for k in range(80)]
+    text = lambda a: " ".join(t[a : a + 60])
+    rows = [
+        (None, "x y"), (None, "x y"), (None, "X  y"),  # copies without an id
+        (None, text(0)), (None, text(4)), (5, text(8)), (7, text(8)),  # near copies of a numbered one
+        (9, "one text"), (9, "another text"), (9, "another text"), (10, "another text"),  # an id with several texts
+        (None, None), (None, " "), (11, ""),
+    ]
+    got = jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    found = [(r.doc_id, (r.text or "").lower().split()) for r in got]
+    want = [(None, ["x", "y"]), (5, text(8).split()), (9, ["one", "text"]), (9, ["another", "text"]), (None, []), (None, []), (11, [])]
+    assert sorted(map(str, found)) == sorted(map(str, want))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 100), (300, 300)] + [(1000, k) for k in range(1001, 1050)]
     got = {r["node"]: r["label"] for r in graph.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
