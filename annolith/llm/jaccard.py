@@ -1,23 +1,23 @@
 """Similar documents by n-gram Jaccard: a grouped prefix join.
 
-A document's set holds its distinct five-word shingles, rare ones first. Two sets that are
-similar enough share a shingle within a prefix whose length follows from the set's size.
-Documents with the same size and prefix are one group, and only groups meet.
-
-1. Count shingles in a table of fixed size; only how common a bucket is matters, for the order.
-2. Write each document's size, digest and group; a group's prefix once per task. The prefix is
-   somewhat longer than one common shingle needs, so that linked documents share several.
-3. Deal prefix shingles and count, per group, those that a group of fitting size has, too. Groups
-   with fewer than any link would give are linked with nothing and go; this leaves out documents
-   that share a passage but are otherwise their own.
-4. Deal the shingles of the groups that are left. Pairs in short lists are counted, and those that
-   share as many as a link needs are edges. In a long list, sorted by size, neighbours whose sizes
-   allow a link are edges: any two members that may link lie in the same chain, so a list of any
-   length gives as many edges as members. The components of these edges hold all links.
-5. Verify inside each component with whole sets: exact overlaps of one set with all others at a
-   time. Links inside what is known to be connected change nothing, so only members outside
-   the largest part are compared. A component with more than ``BLOCK`` shingles is cut into blocks,
-   and every pair of blocks is verified by a task of its own.
+A document's set holds its distinct five-word shingles. Two sets that are similar enough differ
+in few shingles: of a set of size n at most a quarter is missing in the other. So
+
+1. Write each document's size, digest and key; equal sets have one digest and go on once.
+2. Deal the shingles whose hash lies below a fixed share, and count those that no other set of
+   fitting size has. A set in which more than a quarter of n are such is linked with nothing and
+   goes: most documents, even those that share passages with many others.
+3. Deal all shingles of the sets that are left, and note how many sets have each. Shingles that
+   no other set has can't meet; sets with more than a quarter of them go. The others are
+   ordered from rare to common, by exact counts.
+4. The prefix of a set is its n // 4 + 1 rarest shingles, less those that no other set has: linked
+   sets share one of its shingles. Sets with the same size and prefix are one group. In
+   each shingle's list of groups, sorted by size, neighbours whose sizes allow a link are candidate
+   edges: any two groups that may link lie in the same chain, so a list of any length gives as
+   many edges as members. The components of these edges hold all links.
+5. Expand groups and verify members with whole sets: first each with one pivot of its component,
+   twice; then all outside the component's largest verified part with everything in the component,
+   in cells of bounded size.
 6. Components of the verified links; copies take the class of their set.
 
 Defined results
@@ -25,7 +25,7 @@ Defined results
   fewer words than five   the whole sequence is the one shingle
   null or repeated id     a row counts by its text; the class id is its smallest id, null if none has one
   empty table             no rows
-  more columns            are ignored
+  more columns            are ignored, whatever their names
 """
 
 from __future__ import annotations
@@ -45,20 +45,18 @@ from . import graph, storage, tokens, words
 SHINGLE = 5
 #: Least similarity, in hundredths.
 LEAST = 75
-#: Groups in a shingle's list whose pairs are counted; in a longer list neighbours are joined.
-LIST = 32
-#: Hundredths of a set by which its prefix is longer.
-SHARED = 8
-#: Bits of a dealt key that hold the set's size; larger sizes count as the largest.
+#: Sixteenths of all hashes that the first look at shingles covers.
+LOOK = 5
+#: Bits of a dealt key that hold the set's size in the first look; larger sizes count as the largest.
 SIZE_BITS = 18
-#: Buckets of the shingle counts.
-BUCKETS = 1 << 20
-#: Shingles of a block; a task compares the sets of two blocks at once.
-BLOCK = 2_000_000
+#: Shingles of a block: what one task compares with another block or a pivot.
+BLOCK = 400_000
+#: Rounds in which members are compared with a pivot of their component.
+ROUNDS = 2
 #: Bytes of text that are made into shingles at once.
 BATCH = 4_000_000
-#: Bits of the filter of documents whose sets are needed.
-FILTER_BITS = 1 << 21
+#: Bits of the filter of documents whose sets are read again, at most (8 MB). It spares work only: a join decides.
+FILTER_BITS = 1 << 26
 
 
 def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,332 +86,274 @@ def shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, out_bounds
 
 
-def _ranked(h: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Shingles as numbers that sort by how common their bucket is, then by hash."""
-    common = np.zeros(len(h), np.uint64)
-    c = table[h & np.uint64(BUCKETS - 1)]
-    common[c > 0] = np.minimum(31, np.floor(np.log2(c[c > 0])) + 1).astype(np.uint64)
-    return (common << np.uint64(58)) | (h >> np.uint64(6))
-
-
-def _shared(n: int) -> int:
-    """Shingles that prefixes of a set of size n share with those of a larger linked one, at least."""
-    return -(-SHARED * n // 100)
-
-
-def prefix_length(n: int) -> int:
-    """Long enough for ``_shared(n)`` common shingles: all but the last of these precede as many others as differ."""
-    return min(n, n + (-LEAST * n // 100) + _shared(n))
-
-
-def least_shared(n: Column) -> Column:
-    """Common prefix shingles of a set of size n with any linked set: the smaller of the two counts."""
-    return F.ceil(F.ceil(n * LEAST / 100) * SHARED / 100)
+def _sets(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Each text's distinct shingles, sorted."""
+    h, bounds = shingles(batch.column("text"))
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        yield np.unique(h[a:b])
 
 
-def common_shingles(docs: DataFrame) -> np.ndarray:
-    """Counts by bucket, over all documents; each task sends the buckets that stand out in it."""
+def _digest(s: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), seed=len(s))).astype(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(BUCKETS, np.int64)
-        for batch in tokens.small_batches(batches, "text", BATCH):
-            h, _ = shingles(batch.column("text"))
-            table += np.bincount((h & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        hot = np.flatnonzero(table > max(8, 8 * table.mean()))
-        yield pa.RecordBatch.from_arrays([pa.array(hot), pa.array(table[hot])], names=["bucket", "n"])
 
-    got = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # BUCKETS rows at most
-    table = np.zeros(BUCKETS, np.int64)
-    table[got["bucket"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    return table
+def _look(s: np.ndarray) -> np.ndarray:
+    """The shingles of the first look, without the bits that make room for the size. Two that differ in these bits only count as one."""
+    return np.unique(s[: np.searchsorted(s, np.uint64(LOOK << 60))] >> np.uint64(SIZE_BITS))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def row_key() -> Column:
+    """A row's number: rows with the same one have the same id, or none, and the same text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
-def _sets(batch: pa.RecordBatch, table: np.ndarray) -> Iterator[np.ndarray]:
-    h, bounds = shingles(batch.column("text"))
-    key = _ranked(h, table)
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        yield np.unique(key[a:b])
+def fits(smaller: Column, larger: Column) -> Column:
+    """Sets of these sizes may link."""
+    return 100 * smaller.cast("long") >= LEAST * larger.cast("long")
 
 
-def row_key() -> Column:
-    """A row's number: rows with the same one have the same id, or none, and the same text."""
-    return F.xxhash64(F.col("doc_id").cast("long"), "text")
+def spare(n: Column) -> Column:
+    """Of a set of size n, so many shingles at most are missing in a linked one."""
+    return n - F.ceil(n * LEAST / 100)
 
 
-def profile(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """row, doc_id, n, digest, grp, prefix; the prefix is null where this task has given the group's before."""
-    shared = docs.sparkSession.sparkContext.broadcast(table)
+def profile(docs: DataFrame) -> DataFrame:
+    """row, doc_id, n, digest, and how many shingles the first look has of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in tokens.small_batches(batches, "text", BATCH):
-            n, digest, group, prefix = [], [], [], []
-            for s in _sets(batch, shared.value):
-                n.append(len(s))
-                if not len(s):
-                    digest.append(None), group.append(None), prefix.append(None)
-                    continue
-                p = s[: prefix_length(len(s))]
-                g = _signed(xxhash.xxh3_64_intdigest(p.tobytes(), seed=len(s)))
-                digest.append(_signed(xxhash.xxh3_64_intdigest(s.tobytes(), seed=1)))
-                group.append(g)
-                prefix.append(None if g in seen else p.view(np.int64))
-                if len(seen) < 1_000_000:  # a group that isn't remembered is only given again
-                    seen.add(g)
+            n, digest, looked = [], [], []
+            for s in _sets(batch):
+                n.append(len(s)), digest.append(_digest(s) if len(s) else None), looked.append(len(_look(s)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(group, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["row", "doc_id", "n", "digest", "grp", "prefix"],
+                [batch.column("row"), batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.int64()), pa.array(looked, pa.int32())], names=["row", "doc_id", "n", "digest", "looked"]
             )
 
     rows = docs.select(row_key().alias("row"), F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(run, "row long, doc_id long, n int, digest long, grp long, prefix array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, n int, digest long, looked int")
 
 
-def _lists(profiles: DataFrame) -> DataFrame:
-    """Prefix shingles of groups (key: shingle, then size; grp), sorted, those of a shingle in one task."""
-    top = (1 << SIZE_BITS) - 1
-    rows = profiles.where("prefix is not null").select(F.explode("prefix").alias("token"), F.least("n", F.lit(top)).cast("long").alias("n"), "grp")
-    rows = rows.select(F.shiftleft(F.shiftrightunsigned("token", SIZE_BITS), SIZE_BITS).bitwiseOR(F.col("n")).alias("key"), "grp")
-    dealt = rows.repartition(storage.partitions(profiles.sparkSession), F.shiftrightunsigned("key", SIZE_BITS))
-    return dealt.sortWithinPartitions("key", "grp")
+def shared_counts(docs: DataFrame) -> DataFrame:
+    """digest, and how many shingles of its first look another set of fitting size has, too."""
+    top, low = (1 << SIZE_BITS) - 1, np.uint64(SIZE_BITS)
 
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in tokens.small_batches(batches, "text", BATCH):
+            key, digest = [], []
+            for s in _sets(batch):
+                if len(s) and (d := _digest(s)) not in seen:
+                    if len(seen) < 1_000_000:  # a set that isn't remembered is only dealt again
+                        seen.add(d)
+                    k = (_look(s) << low) | np.uint64(min(len(s), top))
+                    key.append(k.astype(np.int64)), digest.append(np.full(len(k), d, np.int64))
+            if key:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(key)), pa.array(np.concatenate(digest))], names=["key", "digest"])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, carried = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def counts() -> pa.RecordBatch:
+            d, c = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+            u, at = np.unique(d, return_inverse=True)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(np.bincount(at, c, len(u)).astype(np.int64))], names=["digest", "times"])
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Sizes, groups, and whether each row and the next may link. A batch begins with the last row of the one before."""
-    key, group = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for batch in batches:
-        key, group = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([group, batch.column(1).to_numpy()])
-        if len(key) < 2:
-            continue
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
-        key, group = key[new], group[new]
-        n, token = key & ((1 << SIZE_BITS) - 1), key >> SIZE_BITS
-        yield n, group, (token[1:] == token[:-1]) & (100 * n[:-1] >= LEAST * n[1:])
-        key, group = key[-1:], group[-1:]
+        for batch in batches:
+            # A batch begins with the last row of the one before, which counts once.
+            key, digest = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([digest, batch.column(1).to_numpy()])
+            if len(key) < 2:
+                continue
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (digest[1:] != digest[:-1])])
+            key, digest = key[new], digest[new]
+            n, token = key & top, key >> SIZE_BITS
+            near = (token[1:] == token[:-1]) & (100 * n[:-1] >= LEAST * n[1:])
+            marked = np.concatenate([near, [False]])
+            marked[1:] |= near
+            marked[0] &= not carried
+            carried = bool(marked[-1] or (len(marked) == 1 and carried))
+            found.append(np.unique(digest[marked], return_counts=True))
+            if sum(len(x[0]) for x in found) > 2_000_000:
+                yield counts()
+            key, digest = key[-1:], digest[-1:]
+        yield counts()
+
+    dealt = docs.select("text").mapInArrow(deal, "key long, digest long")
+    dealt = dealt.repartition(storage.partitions(docs.sparkSession), F.shiftright("key", SIZE_BITS)).sortWithinPartitions("key", "digest")
+    return dealt.mapInArrow(mark, "digest long, times long").groupBy("digest").agg(F.sum("times").alias("times"))
+
+
+def row_filter(wanted: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits of the rows' numbers, packed, and how many bits there are: 16 a row, ``FILTER_BITS`` at most."""
+    bits = min(FILTER_BITS, 1 << max(10, (16 * wanted.count()).bit_length()))
+    bit = F.pmod("row", F.lit(bits))
+    # One row for 32 bits: FILTER_BITS / 32 rows at most.
+    got = wanted.groupBy(F.shiftright(bit, 5).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(row, {bits}) & 31 AS int))")).alias("word")).toArrow()
+    table = np.zeros(bits // 32, np.uint32)
+    table[got["at"].to_numpy()] = got["word"].to_numpy().astype(np.uint32)
+    return table, bits
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted: digest, n, row. Its sets in full: digest, n, s."""
+    shared = docs.sparkSession.sparkContext.broadcast(row_filter(wanted))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, bits = shared.value
+        for whole in batches:
+            bit = whole.column("row").to_numpy() & (bits - 1)
+            keep = (table[bit >> 5] >> (bit & 31).astype(np.uint32)) & np.uint32(1)
+            for batch in tokens.small_batches(iter([whole.filter(pa.array(keep.astype(bool)))]), "text", BATCH):
+                s = [x.view(np.int64) for x in _sets(batch)]
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(s, pa.list_(pa.int64()))], names=["row", "s"])
 
-def shared_counts(profiles: DataFrame) -> DataFrame:
-    """grp, n and how many of its prefix shingles a group of fitting size has, too."""
+    read = docs.select(row_key().alias("row"), "text").mapInArrow(run, "row long, s array<long>")
+    return wanted.join(read, "row").dropDuplicates(["row"]).select("digest", "n", "s")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, sizes, times, carried = [], [], [], False
-        for n, group, near in _neighbours(batches):
-            mark = np.concatenate([near, [False]])
-            mark[1:] |= near
-            # The first row was in the batch before: it counts once.
-            mark[0] &= not carried
-            carried = bool(mark[-1] or (len(mark) == 1 and carried))
-            k, at, c = np.unique(group[mark], return_index=True, return_counts=True)
-            found.append(k), sizes.append(n[mark][at]), times.append(c)
-        whole = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found, sizes, times)]
-        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in whole], names=["grp", "n", "times"])
-
-    got = _lists(profiles).mapInArrow(run, "grp long, n long, times long")
-    return got.groupBy("grp").agg(F.max("n").alias("n"), F.sum("times").alias("times"))
-
-
-def _whole_lists(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Sizes, groups, numbers of lists, and whether a list is long, list by list.
-
-    A list that is already long is not kept from batch to batch: its last row goes on, marked.
-    """
-    key, group, marked = np.zeros(0, np.int64), np.zeros(0, np.int64), False
-
-    def cut(key: np.ndarray, group: np.ndarray, marked: bool) -> tuple:
-        token = key >> SIZE_BITS
-        run = np.cumsum(np.concatenate([[True], token[1:] != token[:-1]])) - 1
-        long = np.bincount(run) > most
-        long[0] |= marked
-        return key & ((1 << SIZE_BITS) - 1), group, run, long
-
-    for batch in batches:
-        key, group = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([group, batch.column(1).to_numpy()])
-        if not len(key):
-            continue
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])])
-        key, group = key[new], group[new]
-        n, g, run, long = cut(key, group, marked)
-        last = int(np.searchsorted(run, run[-1]))
-        if long[run[-1]]:
-            yield n, g, run, long
-            key, group, marked = key[-1:], group[-1:], True
-        else:
-            if last:
-                yield n[:last], g[:last], run[:last], long
-            key, group, marked = key[last:], group[last:], marked and not last
-    if len(key):
-        yield cut(key, group, marked)
-
-
-def candidate_edges(profiles: DataFrame) -> DataFrame:
-    """Edges (a, b) between groups that may link.
-
-    Pairs of a short list are counted over all lists; a pair counts if it shares as many shingles
-    as a link needs. In a long list neighbours are joined at once, whatever they share elsewhere.
+
+def rare_first(sets: DataFrame) -> DataFrame:
+    """digest, n, s: the shingles that another set of fitting size has, rare ones first; k: of these, the prefix; grp.
+
+    Sets that miss more than a linked set may are left out.
     """
+    lists = sets.select(F.explode("s").alias("token"), "n", "digest")
+    w = Window.partitionBy("token").orderBy("n", "digest")
+    lists = lists.withColumns({"before": F.lag("n").over(w), "after": F.lead("n").over(w), "df": F.count("*").over(Window.partitionBy("token"))})
+    lists = lists.where(fits(F.col("before"), F.col("n")) | fits(F.col("n"), F.col("after")))
+    kept = lists.groupBy("digest", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("s"))
+    kept = kept.withColumn("k", spare(F.col("n")) + 1 - (F.col("n") - F.size("s"))).where("k > 0").withColumn("k", F.col("k").cast("int"))
+    return kept.withColumn("grp", F.xxhash64("n", F.slice("s", F.lit(1), F.col("k"))))
 
-    most = LIST
+
+def candidate_edges(sets: DataFrame) -> DataFrame:
+    """Edges (a, b) between groups that may link: neighbours in a list, joined as stars by each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = graph.Forest()
-        for n, group, run, long in _whole_lists(batches, most):
-            hot = long[run]
-            found = []
-            for d in range(1, most):
-                same = np.flatnonzero(run[d:] == run[:-d])
-                if not len(same):
-                    break
-                near = same[(100 * n[same] >= LEAST * n[same + d]) & (group[same] != group[same + d])]
-                if d == 1:
-                    for a, b in np.unique(np.stack([group[near[hot[near]]], group[near[hot[near]] + 1]], 1), axis=0).tolist():
-                        forest.join(a, b)
-                near = near[~hot[near]]
-                found.append((group[near], group[near + d], n[near]))
-            if found:
-                a, b, least = (np.concatenate(x) for x in zip(*found, strict=True))
-                a, b = np.minimum(a, b), np.maximum(a, b)
-                order = np.lexsort((b, a))
-                a, b, least = a[order], b[order], least[order]
-                new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-                times = np.diff(np.concatenate([new, [len(a)]]))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a[new], b[new], least[new], times)], names=["a", "b", "least", "times"])
+        for batch in batches:
+            for a, b in np.unique(np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1), axis=0).tolist():
+                forest.join(a, b)
         a, b = forest.stars()
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.zeros(len(a), np.int64)), pa.array(np.zeros(len(a), np.int64))], names=["a", "b", "least", "times"])
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    groups = sets.select("grp", "n", F.slice("s", F.lit(1), F.col("k")).alias("prefix")).groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    w = Window.partitionBy("token").orderBy("n", "grp")
+    lists = groups.select(F.explode("prefix").alias("token"), "n", "grp").withColumns({"a": F.lag("grp").over(w), "before": F.lag("n").over(w)})
+    return lists.where(fits(F.col("before"), F.col("n"))).select("a", F.col("grp").alias("b")).mapInArrow(run, "a long, b long")
+
+
+def in_blocks(members: DataFrame) -> DataFrame:
+    """members: comp, digest, n. Adds the number of blocks that the component is cut into, and the row's own."""
+    total = members.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count("*").alias("members"))
+    return members.join(total, "comp").withColumn("block", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
 
-    pairs = _lists(profiles).mapInArrow(run, "a long, b long, least long, times long")
-    met = pairs.groupBy("a", "b").agg(F.min("least").alias("least"), F.sum("times").alias("times"))
-    return met.where(F.col("times") >= F.ceil(F.col("least") * SHARED / 100)).select("a", "b")
 
+def linked(n: Column, m: Column, both: Column) -> Column:
+    return 100 * both.cast("long") >= LEAST * (n + m - both).cast("long")
 
-def linked(size: np.ndarray, sets: list[np.ndarray], left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (pairs of positions) that connect whatever is connected by links among the sets.
 
-    ``left``: which sets are of the first block; if given, only links between blocks count.
+def with_pivot(members: DataFrame) -> DataFrame:
+    """members: comp, blocks, block, digest, n, s. Adds label: the component's pivot if linked with it, else null.
+
+    A pivot is written once per block, so members of a large component are compared by many tasks.
     """
-    k = len(sets)
+    first = members.groupBy("comp").agg(F.min("digest").alias("digest"))
+    pivot = members.join(first, ["comp", "digest"]).select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("digest").alias("pivot"), F.col("n").alias("m"), F.col("s").alias("other"))
+    both = F.size(F.array_intersect("s", "other"))
+    met = members.join(pivot, ["comp", "block"])
+    return met.withColumn("label", F.when((F.col("pivot") == F.col("digest")) | linked(F.col("n"), F.col("m"), both), F.col("pivot"))).drop("pivot", "m", "other")
+
+
+def compare(sets: list[np.ndarray], size: np.ndarray, label: np.ndarray, ask: np.ndarray) -> list[tuple[int, int]]:
+    """Links (pairs of positions) of the sets to ``ask`` with sets of other labels, as many as it takes to connect what is connected."""
     flat = np.concatenate(sets)
-    owner = np.repeat(np.arange(k), size)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(flat, kind="stable")
     flat, owner = flat[order], owner[order]
-    forest, members, done, found = list(range(k)), {i: [i] for i in range(k)}, np.zeros(k, bool), []
-
-    def find(x: int) -> int:
-        while forest[x] != x:
-            forest[x] = forest[forest[x]]
-            x = forest[x]
-        return x
-
-    todo, largest = list(range(k)), 0
-    while todo:
-        x = todo.pop()
-        if find(x) == largest and len(members[largest]) > 1:
-            continue  # the largest part is compared by the others
-        done[x] = True
+    forest, found = graph.Forest(), []
+    for x in np.flatnonzero(ask).tolist():
         lo, hi = np.searchsorted(flat, sets[x], "left"), np.searchsorted(flat, sets[x], "right")
         n = hi - lo
         hits = owner[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        both = np.bincount(hits, minlength=k)
-        link = 100 * both >= LEAST * (size[x] + size - both)
-        if left is not None:
-            link &= left != left[x]
-        link[x] = False
-        for y in np.flatnonzero(link).tolist():
-            a, b = find(x), find(y)
-            if a != b:
+        both = np.bincount(hits, minlength=len(sets))
+        for y in np.flatnonzero((100 * both >= LEAST * (size[x] + size - both)) & (label != label[x])).tolist():
+            a, b = int(label[x]), int(label[y])
+            if forest.find(a) != forest.find(b):
+                forest.join(a, b)
                 found.append((x, y))
-                if len(members[a]) < len(members[b]):
-                    a, b = b, a
-                forest[b] = a
-                members[a] += members.pop(b)
-                if largest in (a, b):
-                    largest = a
-                elif len(members[a]) > len(members[largest]):
-                    todo += [z for z in members[largest] if not done[z]]  # no longer the largest
-                    largest = a
     return found
 
 
-def verify(sets: DataFrame) -> DataFrame:
-    """sets: cell columns (comp, i, j), side (0 or 1), digest, n, s (binary), sorted by cell. Edges (a, b)."""
+def verify(cells: DataFrame) -> DataFrame:
+    """cells: comp, i, j, ask, digest, label, n, s, sorted by cell. Edges (a, b)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
 
         def close() -> pa.RecordBatch:
-            size = np.array([r[1] for r in rows])
-            two = cell is not None and cell[1] != cell[2]
-            got = linked(size, [r[2] for r in rows], np.array([r[3] for r in rows]) if two else None) if len(rows) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([rows[x][0] for x, _ in got], pa.int64()), pa.array([rows[y][0] for _, y in got], pa.int64())], names=["a", "b"])
+            ask, digest, label, size = (np.array(x) for x in list(zip(*rows, strict=True))[:4])
+            got = compare([r[4] for r in rows], size, label, ask)
+            return pa.RecordBatch.from_arrays([pa.array([int(digest[k]) for k in x], pa.int64()) for x in (zip(*got, strict=True) if got else ((), ()))], names=["a", "b"])
 
         for batch in batches:
-            small = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "digest", "n", "side")]
-            for comp, i, j, digest, n, side, s in zip(*small, batch.column("s"), strict=True):
+            small = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "ask", "digest", "label", "n")]
+            s = batch.column("s")
+            flat, at = s.values.to_numpy(), s.offsets.to_numpy()
+            for r, (comp, i, j, *rest) in enumerate(zip(*small, strict=True)):
                 if (comp, i, j) != cell:
                     if rows:
                         yield close()
                     cell, rows = (comp, i, j), []
-                rows.append((digest, n, np.frombuffer(s.as_py(), np.uint64), side))
+                rows.append((*rest, flat[at[r] : at[r + 1]].copy()))
         if rows:
             yield close()
 
-    return sets.mapInArrow(run, "a long, b long")
+    return cells.mapInArrow(run, "a long, b long")
+
+
+def links(placed: DataFrame) -> DataFrame:
+    """placed: comp, digest, n, s, of all sets that have a candidate. Edges (a, b) that connect what verified links connect."""
+    spark = placed.sparkSession
+    todo = storage.materialize(in_blocks(placed).where("members > 1"), "jaccard-placed")
+    whole, done, columns = todo, None, ["comp", "digest", "n", "s"]
+    for k in range(ROUNDS):
+        met = storage.materialize(with_pivot(todo), f"jaccard-round{k}")
+        label = met.where("label is not null").select("digest", "label")
+        done = label if done is None else done.unionByName(label)
+        todo = in_blocks(met.where("label is null").select(*columns))
+    parts = whole.join(done, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    parts = storage.materialize(parts, "jaccard-parts")
+    size = parts.groupBy("comp", "label").agg(F.count("*").alias("k"))
+    core = size.groupBy("comp").agg(F.max(F.struct("k", "label")).alias("core"), F.count("*").alias("labels")).where("labels > 1").select("comp", F.col("core.label").alias("core"))
+    # What is outside the largest part meets everything: its blocks (i) with all blocks (j).
+    rest = parts.join(core, "comp")
+    outer = in_blocks(rest.where("label <> core").select("comp", "digest", "n", "label", "s"))
+    cells = outer.select("comp", F.col("block").alias("i"), "blocks").distinct()
+    sides = rest.select("comp", F.col("block").alias("j"), "blocks").distinct()
+    asks = outer.withColumnRenamed("block", "i").drop("blocks", "members").join(sides.drop("blocks"), "comp").withColumn("ask", F.lit(True))
+    others = rest.withColumnRenamed("block", "j").join(cells.drop("blocks"), "comp").withColumn("ask", F.lit(False))
+    columns = ["comp", "i", "j", "ask", "digest", "label", "n", "s"]
+    dealt = asks.select(*columns).unionByName(others.select(*columns)).repartition(storage.partitions(spark), "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "digest")
+    stars = parts.where("digest <> label").select(F.col("digest").alias("a"), F.col("label").alias("b"))
+    return storage.materialize(stars.unionByName(verify(dealt)), "jaccard-links")
 
 
 def classified(docs: DataFrame) -> DataFrame:
     """row (its key), doc_id, n, label (of its class) and component (the class's smallest id) of every row; the last two are null without words."""
-    spark = docs.sparkSession
-    n_parts = storage.partitions(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    table = common_shingles(docs)
-    profiles = storage.materialize(profile(docs, table), "jaccard-profiles")
-    own = profiles.select("row", "doc_id", "n", "digest", "grp")
-    left = storage.materialize(shared_counts(profiles).where(F.col("times") >= least_shared(F.col("n"))).select("grp"), "jaccard-left")
-    groups = graph.components(candidate_edges(profiles.join(left, "grp", "left_semi")), "jaccard-groups")
-
-    # One row per distinct set: the sets to verify are those of groups that met others, or hold several sets.
-    sets = own.where("n > 0").groupBy("digest", "grp", "n").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"))
+    own = storage.materialize(profile(docs), "jaccard-profiles")
+    sets = own.where("n > 0").groupBy("digest").agg(F.max("n").alias("n"), F.max("looked").alias("looked"), F.min("doc_id").alias("first"), F.min("row").alias("row"))
     sets = storage.materialize(sets, "jaccard-sets")
-    placed = sets.join(groups.withColumnRenamed("node", "grp"), "grp", "left").withColumn("comp", F.coalesce("label", "grp"))
-    placed = storage.materialize(placed.select("comp", "digest", "n", "row"), "jaccard-placed")
-    count = placed.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("total")).where("members > 1")
-    count = storage.materialize(count, "jaccard-counts")
-    wanted = storage.materialize(placed.join(count, "comp"), "jaccard-wanted")
-
-    bits = np.zeros(FILTER_BITS, bool)  # FILTER_BITS rows at most
-    bits[wanted.select(F.pmod("row", F.lit(FILTER_BITS)).alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True
-    shared = spark.sparkContext.broadcast((np.packbits(bits), table))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed, common = shared.value
-        need = np.unpackbits(packed).astype(bool)
-        seen: set[int] = set()
-        for whole in batches:
-            row = whole.column("row").to_numpy()
-            keep = need[row % FILTER_BITS]
-            for at in np.flatnonzero(keep).tolist():  # copies without an id have the same key
-                keep[at] = (r := int(row[at])) not in seen
-                if len(seen) < 1_000_000:  # a row that isn't remembered is only given again
-                    seen.add(r)
-            for batch in tokens.small_batches(iter([whole.filter(pa.array(keep))]), "text", BATCH):
-                got = list(_sets(batch, common))
-                digest = [_signed(xxhash.xxh3_64_intdigest(s.tobytes(), seed=1)) if len(s) else None for s in got]
-                yield pa.RecordBatch.from_arrays([pa.array(digest, pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["digest", "s"])
-
-    whole = docs.select(row_key().alias("row"), "text").mapInArrow(run, "digest long, s binary")
-    cells = wanted.withColumn("blocks", F.ceil(F.col("total") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
-    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("comp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "digest", "n")
-    full = cells.join(whole.dropDuplicates(["digest"]), "digest")
-    full = full.select("comp", "i", "j", "side", "digest", "n", "s").repartition(n_parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j", "digest")
-    links = storage.materialize(verify(full), "jaccard-links")
-    labels = graph.components(links, "jaccard-classes").withColumnRenamed("node", "digest")
-
-    first = sets.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    known = first.join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
+    met = sets.join(shared_counts(docs), "digest", "left").where(F.col("looked") - F.coalesce("times", F.lit(0)) <= spare(F.col("n")))
+    left = storage.materialize(met.select("digest", "n", "row"), "jaccard-left")
+    full = storage.materialize(whole_sets(docs, left), "jaccard-full")
+    ready = storage.materialize(rare_first(full), "jaccard-ready")
+    groups = graph.components(candidate_edges(ready), "jaccard-groups")
+    placed = ready.join(groups.withColumnRenamed("node", "grp"), "grp", "left").select(F.coalesce("label", "grp").alias("comp"), "digest", "n", "s")
+    labels = graph.components(links(placed), "jaccard-classes").withColumnRenamed("node", "digest")
+
+    known = sets.select("digest", "first").join(labels, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     known = storage.materialize(known, "jaccard-known")
     smallest = storage.materialize(known.groupBy("label").agg(F.min("first").alias("component")), "jaccard-smallest")
     of_set = storage.materialize(known.join(smallest, "label").select("digest", "label", "component"), "jaccard-of-set")
@@ -426,13 +366,17 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each class stays: of those with the smallest id, or of all if none has an id, that with the smallest key. Rows without words all stay."""
-    heads = classified(docs).where("n > 0 and doc_id <=> component").groupBy("label").agg(F.min("row").alias("_keep"))
-    keep = storage.materialize(heads.select("_keep"), "jaccard-keep")
+    """One row of each class stays: of those with the smallest id, or of all if none has an id, that with the smallest key.
+
+    Of rows with the same id and text, that whose columns' hash is smallest stays. Rows without words all stay.
+    """
+    heads = classified(docs).where("n > 0 and doc_id <=> component").groupBy("label").agg(F.min("row").alias("keep"))
+    row, keep, nth = words.unused(docs.columns, "row", "keep", "nth")
+    heads = storage.materialize(heads.select(F.col("keep").alias(keep)), "jaccard-keep")
     wordless = words_missing(F.col("text"))
-    rows = docs.where(~wordless).withColumn("_row", row_key())
-    nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.lit(0)))  # rows of the same id and text
-    kept = rows.join(keep, F.col("_row") == F.col("_keep"), "left_semi").withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_row")
+    rows = docs.where(~wordless).withColumn(row, row_key())
+    first = F.row_number().over(Window.partitionBy(row).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])))
+    kept = rows.join(heads, F.col(row) == F.col(keep), "left_semi").withColumn(nth, first).where(F.col(nth) == 1).drop(nth, row)
     return kept.unionByName(docs.where(wordless))
 
 

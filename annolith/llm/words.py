@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -38,3 +40,14 @@ def owners(bounds: np.ndarray) -> np.ndarray:
 
 def mean_by(owner: np.ndarray, value: np.ndarray, n: int, count: np.ndarray) -> np.ndarray:
     return np.bincount(owner, value, n) / np.maximum(count, 1)
+
+
+def unused(columns: Sequence[str], *wanted: str) -> list[str]:
+    """Names like the wanted ones that no column has, whatever its case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -381,10 +381,10 @@ def near_copies():
     return [(int(i) + 1, " ".join(out[k])) for i, k in enumerate(order)]
 
 
-@pytest.mark.parametrize("block, short", [(2_000_000, 32), (300, 3)])
-def test_classes(spark, monkeypatch, block, short):
+@pytest.mark.parametrize("block, bits", [(400_000, 1 << 26), (300, 1 << 10)])
+def test_classes(spark, monkeypatch, block, bits):
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "LIST", short)
+    monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
     rows = near_copies()
     got = jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
