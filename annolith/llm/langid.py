@@ -4,46 +4,67 @@ A word's features are hashed: its first and last letters, its letter pairs and t
 word itself (the lexicon). Their weights give each word a value per language; learned
 transitions join neighbouring words. Forward-backward gives each word's probabilities, so a
 text that switches languages gets a label per word. A text's language is the one with the
-largest mean probability over its words with letters.
+largest mean probability over its words with letters. All letters count: a word of more than
+``LETTERS`` letters, such as a text without spaces, is a run of pieces, each a link of the chain.
 
 Defined results
   null text, or no letter   ``und`` with score 0
   null lang                 is not learned from
+  texts of more than ``SAMPLE_CHARS`` characters   are not learned from, but labelled
   null or repeated id       each row is labelled by itself; a null id isn't held out
   nothing to learn from     ``und`` with score 0 for all
   empty table               no rows
-  more columns              are ignored
+  more columns              are ignored, whatever their names
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import quality, tokens, words
 
-#: Documents that the model is learned from, at most: those whose hashed ids come first.
+#: Documents that the model is learned from, at most: of each language in turn, those whose hashed ids come first.
 SAMPLE_DOCS = 600
+#: Characters of a text that is learned from, at most.
+SAMPLE_CHARS = 200_000
 #: Hashed weights per language.
 TABLE = 1 << 17
-#: Letters of a word that make its features; of a longer word, the first and last halves of these.
+#: Letters of a link of the chain; a longer word is cut into several.
 LETTERS = 24
 #: Texts whose score is lower are rejected as of no known language.
 LEAST = 0.5
 
 
-def _letters(unique: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-case code points of each word without its marks, padded with 0, and their number."""
+def chain(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Distinct links (letters of words, lower-case, without marks), the number of each link in order, and each text's bounds in it."""
+    unique, codes, bounds = words.split(words.text_column(texts))
     bare = pc.replace_substring_regex(pc.utf8_lower(unique), r"[^\p{L}]+", "")
-    half = LETTERS // 2
-    text = [w if len(w) <= LETTERS else w[:half] + w[-half:] for w in bare.to_pylist()]
-    points = np.array(text, dtype=f"<U{LETTERS}").view(np.uint32).reshape(len(text), LETTERS)
+    length = pc.utf8_length(bare).to_numpy() if len(bare) else np.zeros(0, np.int64)
+    links = bare.to_pylist()
+    long = np.flatnonzero(length > LETTERS)
+    if not len(long):
+        return links, codes, bounds
+    times, first = np.ones(len(links), np.int64), np.arange(len(links))
+    for k in long.tolist():
+        w = links[k]
+        first[k] = len(links)
+        links += [w[i : i + LETTERS] for i in range(0, len(w), LETTERS)]
+        times[k], links[k] = len(links) - first[k], ""
+    n = times[codes]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    return links, np.repeat(first[codes] - ends[:-1], n) + np.arange(ends[-1]), ends[bounds]
+
+
+def _letters(links: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of each link, padded with 0, and their number."""
+    points = np.array(links, dtype=f"<U{LETTERS}").view(np.uint32).reshape(len(links), LETTERS)
     return points, (points != 0).sum(1)
 
 
@@ -52,9 +73,9 @@ def _mix(a: np.ndarray, salt: int) -> np.ndarray:
     return ((a >> np.uint64(40)) ^ (a >> np.uint64(17))) % np.uint64(TABLE - 1) + np.uint64(1)
 
 
-def word_features(unique: pa.Array) -> np.ndarray:
-    """Numbers of each word's features; 0 for none."""
-    points, n = _letters(unique)
+def word_features(links: list[str]) -> np.ndarray:
+    """Numbers of each link's features; 0 for none."""
+    points, n = _letters(links)
     if not len(n):
         return np.zeros((0, 1), np.int32)
     p = points.astype(np.uint64)
@@ -87,18 +108,25 @@ class Chain:
     weights: np.ndarray
     transitions: np.ndarray
 
-    def emissions(self, unique: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """A value per word and language, and which words have letters."""
+    def emissions(self, unique: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A value per link and language, and which links have letters."""
         out, lettered = np.zeros((len(unique), len(self.languages)), np.float32), np.zeros(len(unique), bool)
         for k in range(0, len(unique), 20_000):
-            f = word_features(unique.slice(k, 20_000))
+            f = word_features(unique[k : k + 20_000])
             out[k : k + 20_000] = self.weights[f].sum(1)
             lettered[k : k + 20_000] = (f != 0).any(1)
         return out, lettered
 
 
 def forward_backward(e: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Probabilities per word and language. e: values of the words of all texts, one after the other.
+    """Probabilities per word and language. e: values of the words of all texts, one after the other."""
+    a, _, after = _messages(e, bounds, trans)
+    a *= after
+    return a / a.sum(1, keepdims=True)
+
+
+def _messages(e: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per word: what comes from the words up to it, its own value, and what comes from the words after it, each up to a factor.
 
     All texts advance together, longest first, so a step has only those that are as long.
     """
@@ -116,14 +144,25 @@ def forward_backward(e: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> np
         v = x[at] if last is None else (last[: active[s]] @ t) * x[at]
         last = v / v.sum(1, keepdims=True)
         a[at] = last
-    beta = np.ones((len(length), x.shape[1]))
+    beta, after = np.ones((len(length), x.shape[1])), np.ones_like(x)
     for s in range(steps - 2, -1, -1):
         k = active[s + 1]
         at = start[:k] + s + 1
         b = (x[at] * beta[:k]) @ t.T
         beta[:k] = b / b.sum(1, keepdims=True)
-        a[at - 1] *= beta[:k]
-    return a / a.sum(1, keepdims=True)
+        after[at - 1] = beta[:k]
+    return a, x, after
+
+
+def expected(e: np.ndarray, bounds: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities per word and language, and the expected number of steps from each language to each."""
+    a, x, after = _messages(e, bounds, trans)
+    inner = np.ones(len(e), bool)
+    inner[bounds[:-1][bounds[:-1] < len(e)]] = False
+    at = np.flatnonzero(inner)
+    joint = a[at - 1][:, :, None] * np.exp(trans - trans.max())[None] * (x[at] * after[at])[:, None, :]
+    both = a * after
+    return both / both.sum(1, keepdims=True), (joint / joint.sum((1, 2), keepdims=True)).sum(0)
 
 
 def fit(texts: pa.Array, labels: list[str], epochs: int = 20, window: int = 48, rate: float = 0.5, seed: int = 5) -> Chain:
@@ -133,7 +172,7 @@ def fit(texts: pa.Array, labels: list[str], epochs: int = 20, window: int = 48,
     if not languages:
         return Chain([], np.zeros((TABLE, 0), np.float32), np.zeros((0, 0)))
     L = len(languages)
-    unique, codes, bounds = words.split(words.text_column(texts))
+    unique, codes, bounds = chain(texts)
     f = word_features(unique)
     gold = np.repeat([languages.index(x) for x in labels], np.diff(bounds))
     full = [np.arange(a, b) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True) for a in range(lo, hi, window) for b in [min(hi, a + window)]]
@@ -156,16 +195,13 @@ def fit(texts: pa.Array, labels: list[str], epochs: int = 20, window: int = 48,
     onehot = np.eye(L)[gold]
     for _ in range(epochs):
         e = W[f].sum(1)[codes]
-        p = forward_backward(e, ends, T)
+        p, got = expected(e, ends, T)
         d = onehot - p
         by_word = np.stack([np.bincount(codes, d[:, k], len(f)) for k in range(L)], 1)
         grad = np.stack([np.bincount(f.ravel(), np.repeat(by_word[:, k], f.shape[1]), TABLE) for k in range(L)], 1) / max(1, len(full)) - 1e-6 * W
         grad[0] = 0
         gw += grad**2
         W += (rate * grad / np.sqrt(gw)).astype(np.float32)
-        # Neighbouring words' joint probabilities, from the words' own and the transitions.
-        joint = p[second - 1][:, :, None] * np.exp(T - T.max())[None] * p[second][:, None, :]
-        got = (joint / joint.sum((1, 2), keepdims=True)).sum(0)
         g = (want_t - got) / max(1, len(second))
         gt += g**2
         T += rate * g / np.sqrt(gt)
@@ -173,13 +209,17 @@ def fit(texts: pa.Array, labels: list[str], epochs: int = 20, window: int = 48,
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Chain:
-    """Learn from documents with a language that aren't held out: ``sample_docs`` at most, by hashed id."""
-    known = docs.where(F.col("lang").isNotNull() & (quality.remainder(F.col("doc_id"), 3) != 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    chosen = known.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "lang").limit(sample_docs)
-    # At most sample_docs rows: a fixed bound.
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text").toPandas()
-    rows = rows.sort_values(["doc_id", "lang", "text"])
-    return fit(pa.array(rows["text"], pa.string(), from_pandas=True), list(rows["lang"]))
+    """Learn from documents with a language that aren't held out: ``sample_docs`` at most, as many of each language as there are."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
+    rows = rows.where(F.col("lang").isNotNull() & F.coalesce(quality.remainder(F.col("doc_id"), 3) != 1, F.lit(True)) & (F.length("text") <= SAMPLE_CHARS))
+    keyed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    few = keyed.select("lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= sample_docs)
+    chosen = few.orderBy("nth", "lang").limit(sample_docs).select("lang", "h")
+    # At most sample_docs rows of SAMPLE_CHARS characters each: a fixed bound.
+    got = keyed.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("h", "lang", "text").toPandas()
+    got = got.sort_values(["h", "lang"])
+    return fit(pa.array(got["text"], pa.string(), from_pandas=True), list(got["lang"]))
 
 
 def label(texts: pa.Array, model: Chain) -> tuple[list[str], np.ndarray]:
@@ -188,7 +228,7 @@ def label(texts: pa.Array, model: Chain) -> tuple[list[str], np.ndarray]:
     n = len(texts)
     if not model.languages:
         return ["und"] * n, np.zeros(n)
-    unique, codes, bounds = words.split(texts)
+    unique, codes, bounds = chain(texts)
     e, lettered = model.emissions(unique)
     p = forward_backward(e[codes], bounds, model.transitions) if len(codes) else np.zeros((0, len(model.languages)))
     use = lettered[codes].astype(float)
@@ -201,31 +241,25 @@ def label(texts: pa.Array, model: Chain) -> tuple[list[str], np.ndarray]:
 
 
 def label_words(text: str, model: Chain) -> list[tuple[str, str, float]]:
-    """Each word of a text with its language and probability."""
-    unique, codes, bounds = words.split(pa.array([text], pa.large_string()))
+    """Each word of a text, as its lower-case letters, with its language and probability; a long one in pieces."""
+    unique, codes, bounds = chain(pa.array([text], pa.large_string()))
     if not len(codes) or not model.languages:
         return []
     p = forward_backward(model.emissions(unique)[0][codes], bounds, model.transitions)
-    return [(unique[int(c)].as_py(), model.languages[int(k)], float(q[k])) for c, q, k in zip(codes, p, p.argmax(1), strict=True)]
+    return [(unique[int(c)], model.languages[int(k)], float(q[k])) for c, q, k in zip(codes, p, p.argmax(1), strict=True)]
 
 
-def predict(docs: DataFrame, model: Chain, columns: list[str]) -> DataFrame:
-    """The given columns of ``docs`` (text is read), ``lang_pred`` and ``score``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def predict(docs: DataFrame, model: Chain, columns: list[str], names: Sequence[str] = ("lang_pred", "score")) -> DataFrame:
+    """The given columns of ``docs`` (text is read), then language and score under ``names``."""
+    return tokens.add_columns(docs, columns, names, ["string", "double"], model, _labelled)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.small_batches(batches, "_text"):
-            lang, score = label(batch.column("_text"), shared.value)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(k) for k in range(batch.num_columns - 1)], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"]
-            )
 
-    rows = docs.select(*columns, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+def _labelled(texts: pa.Array, model: Chain) -> list[pa.Array]:
+    lang, score = label(texts, model)
+    return [pa.array(lang, pa.string()), pa.array(score, pa.float64())]
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = F.coalesce(quality.remainder(F.col("doc_id"), 3) == 1, F.lit(False))
-    return predict(docs.select(F.col("doc_id").cast("long"), "text"), train(docs), ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+    return predict(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), train(docs), ["doc_id"]).select("doc_id", held.alias("held_out"), "lang_pred", "score")

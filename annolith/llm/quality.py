@@ -11,7 +11,7 @@ Defined results
   labels null          are not learned from; a document with two labels is learned from twice
   no labels            the score is 0.5
   empty table          no rows
-  more columns         are ignored
+  more columns         are ignored, whatever their names
 """
 
 from __future__ import annotations
@@ -203,7 +203,7 @@ def remainder(doc_id: Column, k: int) -> Column:
 
 
 def _features_of(df: DataFrame) -> DataFrame:
-    """doc_id, quality and the features of text."""
+    """quality and the features of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tokens.small_batches(batches, "text"):
@@ -214,32 +214,29 @@ def _features_of(df: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Additive:
-    """Learn from labelled rows that aren't held out: ``sample_rows`` of them at most, by hashed id."""
-    known = labels.where(F.col("quality").isin(0, 1) & (remainder(F.col("doc_id"), 4) != 2)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    """Learn from labelled rows that aren't held out: ``sample_rows`` labels at most, by hashed id, and twice as many pairs of label and text."""
+    known = labels.where(F.col("quality").isin(0, 1) & F.coalesce(remainder(F.col("doc_id"), 4) != 2, F.lit(False)))
+    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     # At most sample_rows rows of two numbers: a fixed bound.
-    rows = _features_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")).toPandas()
+    met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # An id that very many rows have gives very many pairs; rows of numbers, of which so many are taken.
+    rows = _features_of(met).limit(2 * sample_rows).toPandas()
     rows = rows.sort_values(["quality", *FEATURES])
     return fit(rows[FEATURES].to_numpy(np.float32), rows["quality"].to_numpy(float))
 
 
-def score(docs: DataFrame, model: Additive, columns: list[str]) -> DataFrame:
-    """The given columns of ``docs`` (text is read) and ``score``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def score(docs: DataFrame, model: Additive, columns: list[str], name: str = "score") -> DataFrame:
+    """The given columns of ``docs`` (text is read) and the score under ``name``."""
+    return tokens.add_columns(docs, columns, [name], ["double"], model, _scored)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in tokens.small_batches(batches, "_text"):
-            got = shared.value.score(features(batch.column("_text")))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(batch.num_columns - 1)], pa.array(got)], names=[*batch.schema.names[:-1], "score"])
 
-    rows = docs.select(*columns, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{schema}, score double")
+def _scored(texts: pa.Array, model: Additive) -> list[pa.Array]:
+    return [pa.array(model.score(features(texts)), pa.float64())]
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     held = F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False))
-    return score(docs.select(F.col("doc_id").cast("long"), "text"), model, ["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model, ["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

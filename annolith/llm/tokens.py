@@ -10,11 +10,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Words kept per worker; a full store is emptied.
 KEPT_WORDS = 600_000
@@ -81,6 +83,8 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         # Up to U+00FF a letter has one lower-case form, which the tokenizer would choose, too.
         plain = pc.match_substring_regex(unique, r"^[\x00-\x{FF}]*$")
+        # Added tokens are found in the text as it is written.
+        plain = pc.and_not(plain, pc.match_substring(unique, "<|"))
         low = pc.if_else(plain, pc.utf8_lower(unique), unique)
         split = pc.extract_regex(pc.if_else(plain, low, pa.scalar(None, low.type)), pattern=_TAIL)
         core = pc.coalesce(pc.struct_field(split, 0), low)
@@ -132,6 +136,24 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = BA
             at = to
 
 
+def add_columns(docs: DataFrame, columns: Sequence[str], names: Sequence[str], kinds: Sequence[str], model: object, of: Callable) -> DataFrame:
+    """The given columns of ``docs`` and those that ``of(texts, model)`` gives for the column text.
+
+    Columns go through Python by place, so names that occur twice do no harm.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    given = [f"_{k}" for k in range(len(columns))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches, "_text"):
+            got = of(batch.column("_text"), shared.value)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in given], *got], names=[*given, *[f"_new{k}" for k in range(len(names))]])
+
+    rows = docs.select(*[F.col(f"`{c}`").alias(g) for c, g in zip(columns, given, strict=True)], F.col("text").alias("_text"))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]] + [f"_new{k} {t}" for k, t in enumerate(kinds)])
+    return rows.mapInArrow(run, schema).toDF(*columns, *names)
+
+
 def with_end(ids: np.ndarray, bounds: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """Put the end id after each document."""
     n = len(bounds) - 1
