@@ -8,7 +8,13 @@ Every stage takes what its predecessor kept. All but the last return the columns
 4. mix        documents as often as the mix of sources takes them, zero to two times
 5. pack       the pieces of all documents in sequences of 4096 tokens
 
-Null texts have no words; they fail the quality or language stage like other empty ones.
+Defined results
+  null or empty text   no words: rejected by the language stage, if not before
+  null or repeated id  each row is judged by itself; copies go by text, and rows that agree in id and text are
+                       copies, of which that whose columns' hash is smallest stays
+  ties                 settled by id, then by hash, so reruns agree
+  empty table          no rows
+  more columns         are carried to the last stage but one, whatever their names
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolith.llm import jaccard, langid, mixing, packing, quality, storage
+from annolith.llm import jaccard, langid, mixing, packing, quality, storage, words
 
 SCOPE = "pipeline"
 
@@ -25,14 +31,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """The rows whose score reaches the classifier's threshold."""
     with storage.scope(spark, SCOPE):
         model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-        return quality.score(docs, model, docs.columns).where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+        (score,) = words.unused(docs.columns, "score")
+        return quality.score(docs, model, docs.columns, score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows that are of one of the learned languages, by half of their words' probability at least."""
     with storage.scope(spark, SCOPE):
-        labelled = langid.predict(docs, langid.train(docs), docs.columns)
-        return labelled.where((F.col("lang_pred") != "und") & (F.col("score") >= langid.LEAST)).select(*docs.columns)
+        lang, score = words.unused(docs.columns, "lang_pred", "score")
+        labelled = langid.predict(docs, langid.train(docs), docs.columns, (lang, score))
+        return labelled.where((F.col(lang) != "und") & (F.col(score) >= langid.LEAST)).drop(lang, score)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
