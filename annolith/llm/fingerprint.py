@@ -10,13 +10,17 @@ Defined results
   null text               an empty text
   no words                the empty fingerprint: likeness 1 to another empty one, else 0
   fewer words than five   the whole sequence is the one shingle
-  null or repeated id     rows are ordered by id (null first), then by text
+  null or repeated id     rows are ordered by id (null first), then by hash of the text, then by text
   a single row            its next document is itself
   empty table             no rows
+  more columns            are ignored, whatever their names
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -94,40 +98,59 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(fixed)
 
 
-def with_next(docs: DataFrame, key: str, carried: list[str]) -> DataFrame:
-    """Add ``next_<c>`` for each carried column: its value in the row that follows by key, then text.
+def _ranges(docs: DataFrame, key: str, pieces: int) -> DataFrame:
+    """Add _h, a hash of the text, and _b and _s: the row's range by key, then hash. A key that fills several ranges is split by hash."""
+    total, nulls = docs.agg(F.count("*"), F.count_if(F.col(key).isNull())).first()
+    found = docs.approxQuantile(key, [i / pieces for i in range(1, pieces)], 0.25 / pieces) if pieces > 1 else []
+    times = Counter(found)
+    split = [F.lit(x) for v, c in times.items() if c > 1 for x in (int(v), c)]
+    many = F.coalesce(F.element_at(F.create_map(*split), F.col(key)), F.lit(0)) if split else F.lit(0)
+    many = F.when(F.col(key).isNull(), -(-nulls * pieces // max(1, total))).otherwise(many)
+    rows = docs.withColumn("_h", F.xxhash64("text")).withColumn("_b", F.when(F.col(key).isNull(), -1).otherwise(prefix.bucket(F.col(key), sorted(times))))
+    at = F.least(F.floor((F.col("_h") * 2.0**-64 + 0.5) * many), many - 1).cast("int")
+    # Rows with a split key come first in their range; the others follow.
+    return rows.withColumn("_s", F.when(many > 0, at).otherwise(2 * pieces))
+
 
-    Rows are dealt once, by range of the key. The first row of each range is also put at the end
-    of the range before, so no row needs another range.
+def with_next(docs: DataFrame, key: str, derive: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
+    """Add ``next_<c>`` for each carried column: its value in the row that follows by key, then hash of the text, then text.
+
+    docs: key and text. Rows are dealt once, by range. The first row of each range is also put at the
+    end of the range before, so no row needs another range. ``derive`` adds columns before rows are dealt.
     """
-    spark = docs.sparkSession
-    cuts = prefix.bounds(docs, key, 8 * storage.partitions(spark))
-    rows = docs.withColumn("_bucket", prefix.bucket(F.col(key), cuts))
+    rows = _ranges(docs, key, 8 * storage.partitions(docs.sparkSession))
     # One row per range: their number is bounded by that of the ranges.
-    starts = rows.groupBy("_bucket").agg(F.min(F.struct(key, "text")).alias("first")).select("_bucket", "first").orderBy("_bucket").select("_bucket", F.col("first")[key].alias("k")).collect()
-    before = {r["k"]: starts[i - 1]["_bucket"] for i, r in enumerate(starts)}
-    rows = rows.withColumn("_guest", F.lit(0))
-    if starts:
-        known = [(k, b) for k, b in before.items() if k is not None]
-        edge = spark.createDataFrame(known or [(0, 0)], "_k long, _to int").where(F.lit(bool(known)))
-        guests = docs.join(F.broadcast(edge), F.col(key) == F.col("_k")).withColumn("_bucket", F.col("_to")).withColumn("_guest", F.lit(1)).drop("_k", "_to")
-        if None in before:
-            guests = guests.unionByName(docs.where(F.col(key).isNull()).withColumn("_bucket", F.lit(before[None])).withColumn("_guest", F.lit(1)))
-        rows = rows.unionByName(guests)
-    w = Window.partitionBy("_bucket").orderBy("_guest", F.col(key).asc_nulls_first(), "text")
+    first = rows.groupBy("_b", "_s").agg(F.min(F.struct(key, "_h", "text")).alias("first"))
+    first = storage.materialize(first.select("_b", "_s", "first.*"), "next-starts")
+    ranges = [(r["_b"], r["_s"]) for r in first.select("_b", "_s").orderBy("_b", "_s").collect()]
+    if ranges:
+        before = [(*r, *ranges[i - 1]) for i, r in enumerate(ranges)]
+        edge = docs.sparkSession.createDataFrame(before, "_b int, _s int, _tb int, _ts int")
+        guests = first.join(F.broadcast(edge), ["_b", "_s"]).drop("_b", "_s").withColumnsRenamed({"_tb": "_b", "_ts": "_s"}).withColumn("_guest", F.lit(1))
+        rows = derive(rows.withColumn("_guest", F.lit(0)).unionByName(guests))
+    else:
+        rows = derive(rows.withColumn("_guest", F.lit(0)))
+    w = Window.partitionBy("_b", "_s").orderBy("_guest", F.col(key).asc_nulls_first(), "_h", "text")
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(w) for c in carried})
-    return rows.where("_guest = 0").drop("_guest", "_bucket")
+    return rows.where("_guest = 0").drop("_guest", "_b", "_s", "_h")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Columns doc_id, text, and ``fp``, the packed fingerprint of the whole text."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    return with_fingerprint(rows, "text", "fp")
+    return with_fingerprint(_texts(docs), "text", "fp")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    pairs = with_next(docs, "doc_id", ["text", "fp"])
+    return edited_likeness(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def edited_likeness(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every text and of its edited text, whose end is the beginning of the next document, and their likeness."""
+    pairs = with_next(_texts(docs), "doc_id", lambda rows: with_fingerprint(rows, "text", "fp"), ["text", "fp"])
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring("next_text", F.lit(1), cut))

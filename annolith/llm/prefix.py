@@ -43,14 +43,6 @@ def in_order(df: DataFrame, order: Sequence[Column], tag: str, chunk: str = "_ch
     return storage.materialize(df.repartitionByRange(n, *order).withColumn(chunk, F.spark_partition_id()), tag)
 
 
-def bounds(df: DataFrame, column: str, pieces: int) -> list[float]:
-    """At most ``pieces`` - 1 rising bounds that cut the column into about equal ranges."""
-    if pieces < 2:
-        return []
-    found = df.approxQuantile(column, [i / pieces for i in range(1, pieces)], 0.25 / pieces)
-    return sorted(set(found))
-
-
 def bucket(column: Column, cuts: Sequence[float]) -> Column:
     """Number of cuts that are at most the value, by binary search; 0 for null."""
     if not cuts:
