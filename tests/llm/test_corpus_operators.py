@@ -104,19 +104,44 @@ def test_neighbours(spark):
 
 def test_radius_search_is_complete():
     rng = np.random.default_rng(0)
-    codes = rng.integers(0, 256, (500, 4), dtype=np.uint8)
+    codes = rng.integers(0, 1 << 16, (500, 4), dtype=np.uint16)
+    codes[250:] = codes[:250] ^ (1 << rng.integers(0, 16, (250, 4))).astype(np.uint16)  # near ones
     block = ann.Block(codes)
-    for radius in (0, 3, 5, 9, 14, 32):
+    for radius in (0, 3, 5, 9, 14, 32, 64):
         for q in codes[:10]:
             assert set(block.within(q, radius)) == set(np.flatnonzero(ann.distances(q, codes) <= radius))
+    assert block.probed(codes[0], 4).mean() < 0.05
+
+
+def test_probes_are_few_where_vectors_have_structure():
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(300, 64)), 10, axis=0) + 0.15 * rng.normal(size=(3000, 64))
+    model = ann.learn(x)
+    codes = model.encode(x)
+    block = ann.Block(codes)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = share = 0
+    for q in range(0, 3000, 50):
+        best = [i for i in np.argsort(-(unit @ unit[q])) if i != q][:5]
+        hits += len(set(best) & set(block.within(codes[q], model.radius)))
+        share += block.probed(codes[q], model.radius).mean()
+    assert hits / 300 >= 0.9 and share / 60 < 0.2
 
 
 def test_few_vectors(spark):
-    e = spark.createDataFrame([(50, [1.0, 0.0]), (51, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    e = spark.createDataFrame([(50, [1.0, 0.0]), (51, [0.0, 1.0])], "vec_id long, embedding array<float>").withColumn("qid", F.lit(1)).withColumn("key", F.lit(1))
     assert [(r["query_id"], r["vec_id"]) for r in ann.search(e).collect()] == [(50, 51)]
     assert ann.search(e.where("vec_id < 0")).count() == 0
 
 
+def test_result_does_not_depend_on_blocks(spark, monkeypatch):
+    e = spark.read.parquet(f"{D}/embeddings.parquet")
+    want = sorted(map(tuple, ann.search(e).collect()))
+    monkeypatch.setattr(ann, "BLOCK", 60)
+    monkeypatch.setattr(ann, "CHUNK", 4)
+    assert [r[:3] for r in sorted(map(tuple, ann.search(e).collect()))] == [r[:3] for r in want]
+
+
 # --- fingerprints ------------------------------------------------------------------------------
 def test_fingerprints(spark, odd, none):
     rows = fingerprint.with_fingerprint(odd.select("doc_id", "text"), "text", "fp")
@@ -144,15 +169,28 @@ def test_likeness_is_near(spark, docs):
 
 
 def test_next_wraps_and_orders(spark, odd):
-    rows = fingerprint.with_next(odd.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "doc_id", ["text"]).toPandas()
-    want = sorted([(-1 if d is None else d, t or "") for d, t, *_ in ODD])
-    follow = {}
-    for (d, t), (_, n) in zip(want, want[1:] + want[:1], strict=True):
-        follow.setdefault((d, t), []).append(n)
-    got = {}
-    for r in rows.itertuples():
-        got.setdefault((-1 if r.doc_id != r.doc_id else int(r.doc_id), r.text), []).append(r.next_text)
-    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in follow.items()}
+    hot = [(k, f"{k} text") for k in range(30)] + [(15, f"hot {k}") for k in range(90)] + [(None, f"none {k}") for k in range(60)]
+    for data in ([(d, t or "") for d, t, *_ in ODD], hot, [(3, "alone")]):
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+        rows = fingerprint.with_next(df, "doc_id", lambda x: x, ["text"]).toPandas()
+        key = {r["text"]: r["h"] for r in df.select("text", F.xxhash64("text").alias("h")).collect()}
+        want = sorted((-1 if d is None else d, key[t], t) for d, t in data)
+        follow, got = {}, {}
+        for (d, _, t), (_, _, n) in zip(want, want[1:] + want[:1], strict=True):
+            follow.setdefault((d, t), []).append(n)
+        for r in rows.itertuples():
+            got.setdefault((-1 if r.doc_id != r.doc_id else int(r.doc_id), r.text), []).append(r.next_text)
+        assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in follow.items()}
+    assert len(fingerprint._ranges(df.unionByName(spark.createDataFrame(hot, df.schema)), "doc_id", 24).where("doc_id = 15").select("_b", "_s").distinct().collect()) > 5
+
+
+def test_edited_texts_of_odd_rows(spark, odd, none):
+    got = fingerprint.edited_likeness(odd).toPandas()
+    assert len(got) == len(ODD) and got.near_edited.between(0, 1).all() and got.near_next.between(0, 1).all()
+    assert sorted(got.n_chars) == sorted(len(t or "") for _, t, *_ in ODD) and got.fingerprint.nunique() == 7
+    assert fingerprint.edited_likeness(none).count() == 0
+    one = fingerprint.edited_likeness(odd.where("doc_id = 6")).first()
+    assert one.near_next == 1 and one.n_chars == 3
 
 
 # --- mixing ------------------------------------------------------------------------------------
@@ -175,6 +213,52 @@ def test_mix(spark, docs):
     assert len(got) == docs.count()
 
 
+def brute_mix(spark, docs, block_words, golden):
+    """doc_id, size, taken, first_slot, slots, slot by slot and word by word."""
+    rows = [(r.doc_id, len(words(r.text)), r.source, r.h) for r in docs.select("doc_id", "text", "source", F.xxhash64(F.lit(17), "doc_id", "text").alias("h")).collect()]
+    n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sources = sorted({r[2] for r in rows}, key=lambda x: (x is None, x or ""))
+    streams = {x: [k for k in sorted(range(len(rows)), key=lambda k: (rows[k][3] % n, rows[k][3])) if rows[k][2] == x] for x in sources}
+    size = {x: sum(rows[k][1] for k in streams[x]) for x in sources}
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(sources)}
+    target, left, open_ = {}, 1.5 * sum(size.values()), set(sources)
+    while True:
+        level = left / sum(weight[x] for x in open_) if open_ else 0
+        full = {x for x in open_ if level * weight[x] > 2 * size[x]}
+        if not full:
+            break
+        for x in full:
+            target[x] = 2 * size[x]
+            left -= target[x]
+        open_ -= full
+    target |= {x: level * weight[x] for x in open_}
+    want = {x: min(int(target[x] + 0.5), 2 * size[x]) for x in sources}
+    total, count, slots, before = sum(want.values()), -(-sum(want.values()) // block_words), {x: [] for x in sources}, 0
+    for x in sources:
+        lo, hi = (int(v / total * 2**32) for v in (before, before + want[x]))
+        slots[x] = [t for t in range(count) if lo <= (t + 1) * golden % 2**32 < hi] or [count + sources.index(x)]
+        before += want[x]
+    out = [[r[0], r[1], 0, set()] for r in rows]
+    for x in sources:
+        line = [k for k in streams[x] for _ in range(rows[k][1])]
+        at, k = 0, len(slots[x])
+        for i, slot in enumerate(slots[x]):
+            for _ in range(want[x] // k + (i < want[x] % k)):
+                doc = out[line[at % len(line)]]
+                doc[2], at = doc[2] + 1, at + 1
+                doc[3].add(slot)
+    return sorted((d, z, t, min(q) if q else None, len(q)) for d, z, t, q in out)
+
+
+@pytest.mark.parametrize("golden", [mixing.GOLDEN, 1])
+def test_mix_by_brute_force(spark, docs, monkeypatch, golden):
+    few = docs.where("length(text) < 2500").withColumn("source", F.when(F.col("doc_id") % 9 == 0, None).otherwise(F.col("source")))
+    monkeypatch.setattr(mixing, "GOLDEN", golden)
+    got = mixing.mix(few, block_words=300).documents.select("doc_id", "size", "taken", "first_slot", "slots").collect()
+    want = brute_mix(spark, few, 300, golden)
+    assert sorted(map(tuple, got), key=lambda r: r[0]) == want and sum(r[2] for r in want)
+
+
 def test_targets_by_hand(spark):
     sizes = spark.createDataFrame([("a", 100), ("b", 1000), ("c", 1000), (None, 10)], "source string, source_size long")
     got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
@@ -192,7 +276,7 @@ def test_mix_of_odd_rows(spark, odd, none):
 
 
 # --- tokens, packing, files of ids -------------------------------------------------------------
-TRICKY = ["  áb<|endoftext|>c. İst'll don't ΣΑΣ. 12,3 x y z foo-bar's ...'s", "", None, "\x1c a\x85b İ.", "Ⅷ² ﬁ. É. ok̸.", "Word. WORD, word", LONG]
+TRICKY = ["a <|EndOfText|> <|ENDOFTEXT|>b <|startoftext|>", "  áb<|endoftext|>c. İst'll don't ΣΑΣ. 12,3 x y z foo-bar's ...'s", "", None, "\x1c a\x85b İ.", "Ⅷ² ﬁ. É. ok̸.", "Word. WORD, word", LONG]
 
 
 def test_encoder():
@@ -248,7 +332,7 @@ def test_plans_hold_every_piece():
 
 def test_codes_round_trip():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 5, 4096, 4097, 9000):
+    for n in (0, 1, 5, coder.BLOCK, coder.BLOCK + 1, 9000):
         for ids in (rng.choice([3, 5, 7, 49407, 65535, 0], n), rng.integers(0, 65536, n), np.zeros(n)):
             ids = ids.astype(np.uint32)
             assert (coder.decode(coder.encode(ids)) == ids).all()
@@ -261,8 +345,25 @@ def test_codes_round_trip():
 
 def test_blocks_stand_alone():
     ids = np.random.default_rng(1).choice([3, 5, 7, 9], 9000).astype(np.uint32)
-    blocks = coder.encode(ids)
-    assert (coder.decode(blocks[1:2]) == ids[4096:8192]).all() and sum(len(c) for _, _, c in blocks) * 2 < 9000
+    blocks, b = coder.encode(ids), coder.BLOCK
+    assert (coder.decode(blocks[1:2]) == ids[b : 2 * b]).all() and sum(len(c) for _, _, c in blocks) * 2 < 9000
+    with pytest.raises(ValueError, match="65536"):
+        coder.encode(np.array([65536], np.uint32))
+
+
+def test_carries_go_back():
+    """Ranges whose upper ends touch carry through words that are full."""
+    out = coder._Writer(1, 64)
+    out.code(slice(0, 1), np.array([65535]), np.array([1]))
+    for _ in range(12):
+        out.code(slice(0, 1), np.array([65535]), np.array([1]))
+    out.code(slice(0, 1), np.array([40000]), np.array([25536]))
+    source, got = coder._Reader(out.finish()), []
+    for start, size in [(65535, 1)] * 13 + [(40000, 25536)]:
+        ahead, step = source.step(slice(0, 1))
+        got.append(int(ahead[0] // step[0]))
+        source.take(slice(0, 1), ahead, step, np.array([start]), np.array([size]))
+    assert all(g >= 65535 for g in got[:13]) and 40000 <= got[13]
 
 
 def test_files_of_ids(spark, odd, none, tmp_path):
@@ -275,6 +376,8 @@ def test_files_of_ids(spark, odd, none, tmp_path):
         ids = [*enc.tokenizer.encode(t, add_special_tokens=False).ids, 1]
         assert (r["doc_id"], r["start"], r["ids"]) == (None if d < 0 else d, at, ids)
         at += len(ids)
+    sums = coder._read(spark, str(tmp_path / "ids"), with_ids=False).orderBy("start").collect()
+    assert [(r["start"], r["n_tokens"], r["ids_crc32"]) for r in sums] == [(r["start"], len(r["ids"]), tokens.crc32(np.array(r["ids"], np.uint32))) for r in got]
     coder.write_ids(none, str(tmp_path / "none"))
     assert coder.read_ids(spark, str(tmp_path / "none")).count() == 0
 
@@ -337,6 +440,46 @@ def test_forward_backward_is_exact():
         assert np.allclose(got[lo:hi], sums / sums.sum(1, keepdims=True))
 
 
+def test_transitions_gradient():
+    """Expected counts are the derivatives of the log partition function."""
+    rng = np.random.default_rng(1)
+    e, t, bounds = rng.normal(size=(9, 3)), rng.normal(size=(3, 3)), np.array([0, 5, 6, 6, 9])
+
+    def log_z(e, t):
+        total = 0.0
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            total += np.log(sum(np.exp(sum(e[lo + i, k] for i, k in enumerate(p)) + sum(t[a, b] for a, b in zip(p[:-1], p[1:], strict=True))) for p in __import__("itertools").product(range(3), repeat=hi - lo)))
+        return total
+
+    p, steps = langid.expected(e, bounds, t)
+    for which, got in ((0, p), (1, steps)):
+        for i, j in np.ndindex(got.shape):
+            d = np.zeros(got.shape)
+            d[i, j] = 1e-5
+            up, down = ((e + d, t), (e - d, t)) if which == 0 else ((e, t + d), (e, t - d))
+            assert abs((log_z(*up) - log_z(*down)) / 2e-5 - got[i, j]) < 1e-6
+
+
+def test_every_letter_of_long_words_counts(docs):
+    t = docs.where("lang in ('en', 'de')").orderBy("doc_id").limit(60).toPandas()
+    model = langid.fit(pa.array(t.text), list(t.lang))
+    for lang in ("en", "de"):
+        other = "de" if lang == "en" else "en"
+        glued = {x: "".join(re.sub("[^a-zäöüß]", "", "".join(t[t.lang == x].text).lower()))[:4000] for x in (lang, other)}
+        # The ends of the run are of the other language, which must not decide.
+        assert langid.label(pa.array([glued[other][:40] + glued[lang] + glued[other][:40]]), model)[0] == [lang]
+    links, codes, bounds = langid.chain(pa.array(["ab " + "x" * 50 + "1y ", None, "z" * 24]))
+    assert ["".join(links[c] for c in codes[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == ["ab" + "x" * 50 + "y", "", "z" * 24]
+
+
+def test_learning_from_repeated_rows(spark, none):
+    rows = [(1, "der die das und nicht", "s", "de")] * 500 + [(k, "the and of not with", "s", "en") for k in range(2, 40)] + [(50, "le la les", "s", "fr"), (51, None, "s", "fr")]
+    df = spark.createDataFrame(rows, none.schema)
+    assert langid.train(df, sample_docs=4).languages == ["de", "en", "fr"]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    assert quality.score(df, quality.train(df, labels, sample_rows=40), df.columns, "x").where("x between 0 and 1").count() == len(rows)
+
+
 # --- similar documents -------------------------------------------------------------------------
 def brute(rows):
     ids = [d for d, _ in rows]
