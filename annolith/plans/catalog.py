@@ -666,3 +666,5 @@ _READ = lambda unit, name: f"{_TENTHS(unit)} // 10 || '.' || {_TENTHS(unit)} % 1
 @query(f"SELECT page_id, CASE WHEN b >= 1048576 THEN {_READ(1048576, 'MB')} WHEN b >= 1024 THEN {_READ(1024, 'KB')} ELSE b || ' B' END size FROM (SELECT page_id, strlen(html) b FROM pages)")
 def readable_sizes(s, d):
     return fx.table(s, d, "pages").select("page_id", g.readable_bytes(F.octet_length("html").cast("long")).alias("size"))
+
+from . import pose_catalog  # noqa: E402, F401  its queries are of this catalog
