@@ -72,10 +72,60 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
 
 
-def conflicts(plan: DataFrame, source: str, target: str) -> DataFrame:
-    """Targets that two sources want, or that exist and aren't themselves moved away."""
-    twice = plan.groupBy(target).agg(F.count("*").alias("n")).where("n > 1").select(target)
-    return twice.join(plan.select(F.col(source).alias(target)), target, "left_semi").unionByName(twice.join(plan.select(F.col(source).alias(target)), target, "left_anti"))
+def conflicts(plan: DataFrame, source: str, target: str, existing: DataFrame | None = None) -> DataFrame:
+    """Targets that two sources want (``duplicate``), or that exist and aren't themselves moved away (``exists``).
+
+    ``existing``: the names there are, in a column like ``target``; without it the sources are all there is.
+    """
+    twice = plan.groupBy(target).agg(F.count("*").alias("n")).where("n > 1").select(target, F.lit("duplicate").alias("problem"))
+    if existing is None:
+        return twice
+    there = plan.select(target).distinct().join(existing.select(target), target, "left_semi")
+    stay = there.join(plan.select(F.col(source).alias(target)), target, "left_anti")
+    return twice.unionByName(stay.select(target, F.lit("exists").alias("problem")))
+
+
+def unique_names(rows: DataFrame, name: str, order: list, out: str = "unique_name") -> DataFrame:
+    """A name of its own for every row: the first keeps its name, the next with it gets _01, _02 and so on."""
+    nth = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+    number = F.lpad(nth.cast("string"), F.greatest(F.lit(2), F.length(nth.cast("string"))), "0")
+    return rows.withColumn(out, F.when(nth == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), number)))
+
+
+def numbered_by_prefix(rows: DataFrame, prefix: str, order: list, start: int = 0, out: str = "number") -> DataFrame:
+    """A counter per prefix that runs on over all stages in the given order."""
+    return rows.withColumn(out, F.row_number().over(Window.partitionBy(prefix).orderBy(*order)) - 1 + start)
+
+
+def counts_of_all(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """How many rows have each name, in the names' order; names without rows have 0, null names don't count."""
+    return prefix_counts(rows, column, names).withColumnRenamed("prefix", "name")
+
+
+def key_histogram(rows: DataFrame, keys: str) -> DataFrame:
+    """How many rows use each key of an array or map column."""
+    kind = rows.schema[keys].dataType.typeName()
+    used = F.map_keys(keys) if kind == "map" else F.array_distinct(keys)
+    return rows.select(F.explode(used).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+
+
+def coco_categories(used: DataFrame, points: int, names: list[str] | None = None, skeleton: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Categories of :func:`categories` with what an export adds: supercategory, and with ``points`` the points' names and, for 17, the skeleton.
+
+    Without names 17 points have those of the body; names that don't fit the number are replaced by kp_0, kp_1 and so on.
+    """
+    from ..functions import keypoints as kp
+
+    if not names and points == 17:
+        names = kp.NAMES
+    if names and len(names) != points:
+        names = [f"kp_{k}" for k in range(points)]
+    out = used.withColumn("supercategory", F.when(F.col("name") == "person", "person").otherwise("object"))
+    if names:
+        out = out.withColumn("keypoints", F.array(*[F.lit(n) for n in names]))
+        if len(names) == 17:
+            out = out.withColumn("skeleton", F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in skeleton or kp.EXPORTED_EDGES]))
+    return out
 
 
 def categories(boxes: DataFrame, names: list[str]) -> DataFrame:

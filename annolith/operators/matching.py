@@ -30,6 +30,17 @@ def _lists(base: DataFrame, other: DataFrame, base_cols: list[str], other_cols:
     return a.join(b, "image_id")
 
 
+def with_unmatched(base: DataFrame, matches: DataFrame) -> DataFrame:
+    """Every base row with its partner; those without one, or whose image has none at all, with null."""
+    keys = base.select("image_id", F.col("obj_idx").cast("int").alias("base_idx"))
+    return keys.join(matches, ["image_id", "base_idx"], "left")
+
+
+def match_summary(base: DataFrame, matches: DataFrame) -> DataFrame:
+    """Rows, matched rows and the matches' mean score."""
+    return with_unmatched(base, matches).agg(F.count("*").alias("base_rows"), F.count("other_idx").alias("matched"), F.avg("score").alias("mean_score"))
+
+
 def nearest_once(base: DataFrame, other: DataFrame, most: float | None = None) -> DataFrame:
     """Each base row (image_id, obj_idx, x, y), in order, takes the nearest partner that is left; ties to the lower index."""
     d = "sqrt((b.x - f.x) * (b.x - f.x) + (b.y - f.y) * (b.y - f.y))"

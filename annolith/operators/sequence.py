@@ -13,6 +13,42 @@ def near_duplicates(frames: DataFrame, feature: str, most: float) -> DataFrame:
     return frames.withColumn("previous", before).where(F.abs(F.col(feature) - F.col("previous")) <= most)
 
 
+def block_duplicates(frames: DataFrame, pixels: str, width: int, block: int, most: float) -> DataFrame:
+    """Frames that differ from the one before by ``most`` at most in every square block: the largest of the blocks' mean differences.
+
+    ``pixels``: an array of grey values, row by row. Frames of another size than the one before, and the first, aren't compared.
+    """
+    w = Window.partitionBy("seq_id").orderBy("frame_index")
+    both = frames.withColumn("_before", F.lag(pixels).over(w)).where(F.size("_before") == F.size(pixels))
+    change = both.select("seq_id", "frame_index", F.posexplode(F.zip_with(pixels, "_before", lambda a, b: F.abs(a - b))).alias("_at", "_d"))
+    across = -(-width // block)
+    tile = F.expr(f"(_at div {width * block}) * {across} + (_at % {width}) div {block}")
+    means = change.groupBy("seq_id", "frame_index", tile.alias("_tile")).agg(F.avg("_d").alias("_mean"))
+    return means.groupBy("seq_id", "frame_index").agg(F.max("_mean").alias("difference")).where(F.col("difference") <= most)
+
+
+def in_range(frames: DataFrame, start: int, end: int | None = None) -> DataFrame:
+    """Frames from ``start`` to ``end``, both included; an end beyond the last frame is the last frame."""
+    return frames.where((F.col("frame_index") >= start) & (F.lit(True) if end is None else F.col("frame_index") <= end))
+
+
+def from_the_end(rows: DataFrame, group: list[str], order: list, nth: int) -> DataFrame:
+    """The nth row of each group from its end (0: the last); -1 keeps all."""
+    if nth < 0:
+        return rows
+    w = Window.partitionBy(*group).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == nth + 1).drop("_n")
+
+
+def until_empty(pages: DataFrame, group: str, order: str, found: str, twice: int = 2) -> DataFrame:
+    """Pages of each search up to the ``twice``-th empty one in a row, which is the last that is read."""
+    w = Window.partitionBy(group).orderBy(order)
+    none = (F.coalesce(F.col(found), F.lit(0)) == 0).cast("int")
+    run = F.sum(none).over(w.rowsBetween(-(twice - 1), 0))
+    ended = F.max((run == twice).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    return pages.withColumn("_ended", ended).where(F.coalesce(F.col("_ended"), F.lit(0)) == 0).drop("_ended")
+
+
 def size_changes(frames: DataFrame, feature: str) -> DataFrame:
     """Whether a frame's feature differs from the one before, and the sequence's first one."""
     w = Window.partitionBy("seq_id").orderBy("frame_index")

@@ -407,7 +407,22 @@ def _anchors(df: DataFrame) -> DataFrame:
     return df.select("image_id", "obj_idx", m["x"].alias("x"), m["y"].alias("y"))
 
 
-@query()
+def _greedy_sql(pairs: str, key: str, out: str = "") -> str:
+    """Base objects 0 to 3 of an image, in order, take what is left. pairs: image_id, bi, oi and what ``key`` orders by."""
+    ctes, taken = [f"c AS ({pairs})"], []
+    for i in range(4):
+        left = " ".join(f"AND NOT EXISTS (SELECT 1 FROM m{k} WHERE m{k}.image_id = c.image_id AND m{k}.oi = c.oi)" for k in range(i))
+        ctes.append(f"m{i} AS (SELECT * FROM c WHERE bi = {i} {left} QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY {key}, oi) = 1)")
+        taken.append(f"SELECT image_id, bi base_idx, oi other_idx{out} FROM m{i}")
+    return f"{', '.join(ctes)} {' UNION ALL '.join(taken)}"
+
+
+def _face_sql(table: str, name: str) -> str:
+    return f"""{name} AS (SELECT image_id, obj_idx, min(x) x1, min(y) y1, max(x) x2, max(y) y2 FROM {table} WHERE k < 5 AND {_VALID} GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_face_sql('pose_kpts', 'a')}, {_face_sql('face_kpts', 'b')},
+{_greedy_sql("SELECT a.image_id, a.obj_idx bi, b.obj_idx oi, sqrt(((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) * ((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2) + ((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2) * ((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2)) dd FROM a JOIN b ON a.image_id = b.image_id", "dd", f", {M('dd')} score_u")}""", "pose_kpts", "face_kpts")
 def greedy_nearest_face(s, d):
     return micros(mt.nearest_once(_anchors(fx.poses(s, d)), _anchors(fx.faces(s, d))), ["image_id", "base_idx", "other_idx"], ["score"])
 
@@ -417,12 +432,19 @@ def _face_boxes(df: DataFrame) -> DataFrame:
     return df.select("image_id", "obj_idx", *[b[c].alias(c) for c in ("x1", "y1", "x2", "y2")])
 
 
-@query()
+_IOU_PAIRS = f"""SELECT image_id, bi, oi, iou, dd FROM (SELECT *, {_IOU} iou FROM (SELECT a.image_id, a.obj_idx bi, b.obj_idx oi, {_overlap('a', 'b')} i, {_area('a')} aa, {_area('b')} bb,
+ sqrt(pow((a.x1 + a.x2) / 2 - (b.x1 + b.x2) / 2, 2) + pow((a.y1 + a.y2) / 2 - (b.y1 + b.y2) / 2, 2)) dd FROM a JOIN b ON a.image_id = b.image_id)) WHERE iou >= 0.2 OR dd <= 0.05"""
+
+
+@query(f"""WITH {_face_sql('pose_kpts', 'a0')}, {_face_sql('face_kpts', 'b0')}, a AS (SELECT * FROM a0 WHERE x2 > x1 AND y2 > y1), b AS (SELECT * FROM b0 WHERE x2 > x1 AND y2 > y1),
+{_greedy_sql(_IOU_PAIRS, "iou < 0.2, CASE WHEN iou >= 0.2 THEN -iou ELSE dd END")}""", "pose_kpts", "face_kpts")
 def greedy_iou_face(s, d):
     return mt.overlap_once(_face_boxes(fx.poses(s, d)), _face_boxes(fx.faces(s, d))).select("image_id", "base_idx", "other_idx")
 
 
-@query()
+@query(f"""WITH n AS (SELECT b.image_id, b.obj_idx bi, k.obj_idx oi, count(*) FILTER ({_VALID}) seen, count(*) FILTER ({_VALID} AND x >= x1 AND x <= x2 AND y >= y1 AND y <= y2) hit
+ FROM {_PBOX} b JOIN pose_kpts k ON b.image_id = k.image_id GROUP BY 1, 2, 3),
+{_greedy_sql("SELECT *, hit / seen::DOUBLE ratio FROM n WHERE hit > 0 AND hit / seen::DOUBLE >= 0.3", "-ratio, -hit")}""", "pose_box", "pose_kpts")
 def inside_ratio_match(s, d):
     base = bx.with_corners(fx.poses(s, d)).select("image_id", "obj_idx", "x1", "y1", "x2", "y2")
     return mt.inside_once(base, fx.poses(s, d).select("image_id", "obj_idx", "kpts"), 0.3).select("image_id", "base_idx", "other_idx")
@@ -637,11 +659,11 @@ def query_param_page(s, d):
     return p.select("page_id", urls.page_index(url).alias("page"))
 
 
-@query("""SELECT page_id, 'https://i.example/' || page_id || '.jpg' url FROM pages WHERE page_id % 3 <> 0""")
+@query("""SELECT page_id, 'https://i.example/' || page_id || '.jpg' url FROM pages""")
 def image_urls(s, d):
     n = F.col("page_id").cast("string")
     html = F.concat(F.lit('{"ou" : "https:\\/\\/i.example\\/'), n, F.lit('.jpg"} <a data-iurl="data:x"> <a href="/imgres?imgurl=https%3A%2F%2Fi.example%2F'), n, F.lit('.jpg&x=1">'))
-    return fx.table(s, d, "pages").where("page_id % 3 <> 0").select("page_id", F.explode(urls.image_urls(html)).alias("url"))
+    return fx.table(s, d, "pages").select("page_id", F.explode(urls.image_urls(html)).alias("url"))
 
 
 _PARAM = lambda k: f"nullif(regexp_extract(q, '(?:^|&){k}=([^&]*)', 1), '')"
@@ -667,4 +689,4 @@ _READ = lambda unit, name: f"{_TENTHS(unit)} // 10 || '.' || {_TENTHS(unit)} % 1
 def readable_sizes(s, d):
     return fx.table(s, d, "pages").select("page_id", g.readable_bytes(F.octet_length("html").cast("long")).alias("size"))
 
-from . import pose_catalog  # noqa: E402, F401  its queries are of this catalog
+from . import dataset_catalog, pose_catalog  # noqa: E402, F401  their queries are of this catalog
