@@ -11,7 +11,8 @@ Defined results
                           ``revisit`` it, if the payload has ``min_revisit_bytes`` or more
   ties for smallest id    all rows with that id and payload are ``response``
   empty table             an empty archive
-  more columns            are ignored
+  a very long payload     is one value of a row, so it must fit a task
+  more columns            are ignored, whatever their names
 """
 
 from __future__ import annotations
@@ -61,7 +62,8 @@ def _source(pages: DataFrame, id_col: str, uri_col: str, payload_col: str) -> Da
 
 def _header(date: str) -> Column:
     """The header block, up to and with the empty line, of a record."""
-    name = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("none")), F.lit(">"))
+    # With the digest, rows that repeat an id have records of different names, unless their payloads are equal.
+    name = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("none")), F.lit(":"), F.col("sha1"), F.lit(">"))
     http = F.when(F.col("record_type") == "response", F.length("http")).otherwise(F.lit(0))
     stored = F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.lit(0))
     lines = [
@@ -88,7 +90,7 @@ def write_archive(
     min_revisit_bytes: int = 0,
     date: str = "2024-01-01T00:00:00Z",
 ) -> Archive:
-    """Write one record per row. Only payloads that are first of their kind are shuffled to a store."""
+    """Write one record per row. Payloads are dealt once by digest and id; only the first of each kind is stored."""
     spark, archive = pages.sparkSession, Archive(path)
     rows = _source(pages, id_col, uri_col, payload_col)
     # The id as a key that is never null: the join then deals rows by what the distinct needs, too.
@@ -117,7 +119,7 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     checked = F.when(F.unhex(F.sha2("payload", 256)) == F.col("address"), F.length("payload").cast("long")).otherwise(F.raise_error(F.lit("a payload doesn't match its digest")).cast("long"))
     stored = stored.select("address", "payload", checked.alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
     field = lambda name: F.regexp_extract("header", rf"(?m)^{name}: ([^\r\n]*)", 1)
-    number = lambda text: F.regexp_extract(text, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
+    number = lambda text: F.regexp_extract(text, r"^<urn:page:(-?\d+):\w+>$", 1).try_cast("long")
     records = spark.read.parquet(archive.records).join(stored, "address")
     kept = F.when(field("WARC-Type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return records.select(
@@ -141,9 +143,16 @@ def export_warc(records: DataFrame, path: str) -> None:
     records.select(F.substring(text, F.lit(1), F.length(text) - 4).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
+def content(header: Column, http: Column, record: Column, record_type: Column, payload: Column) -> Column:
+    """What a record is about: of a response, its own bytes between HTTP header and the final line ends; of a revisit, the payload that it refers to."""
+    before = F.octet_length(header) + F.octet_length(http)
+    return F.when(record_type == "response", F.substring(record, before + 1, F.octet_length(record) - before - 4)).otherwise(payload)
+
+
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archive = write_archive(pages, storage.new_path(spark, "warc"), min_revisit_bytes=0)
-    got = read_archive(spark, archive)
-    same = F.when(F.col("stated_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header states another digest")).cast("string"))
+    got = read_archive(spark, archive).withColumn("content", content(*[F.col(c) for c in ("header", "http", "record", "record_type", "payload")]))
+    got = got.select("id", "record_type", "refers_to", "stated_digest", F.octet_length("content").cast("long").alias("payload_bytes"), base32_sha1(F.col("content")).alias("digest"))
+    same = F.when(F.col("stated_digest") == F.col("digest"), F.col("digest")).otherwise(F.raise_error(F.lit("a header states another digest")).cast("string"))
     return got.select(F.col("id").alias("page_id"), "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")

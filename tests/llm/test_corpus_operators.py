@@ -1,5 +1,6 @@
 """The ten operators: brute force, round trips and odd input."""
 
+import base64
 import hashlib
 import re
 
@@ -68,6 +69,17 @@ def test_archive(spark, tmp_path):
     assert sorted(whole.split(b"WARC/1.1\r\n")[1:]) == sorted(bytes(r.record)[10:] for r in got.itertuples())
 
 
+def test_odd_archives(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    a = warc.write_archive(none, str(tmp_path / "none"))
+    assert warc.read_archive(spark, a).count() == 0
+    long = "x" * 3_000_000
+    none.unionByName(spark.createDataFrame([(1, "u", long), (1, "u", "é"), (2, "v", long)], none.schema)).write.parquet(str(tmp_path / "t" / "pages.parquet"))
+    got = sorted(map(tuple, warc.op1(spark, str(tmp_path / "t")).collect()))
+    assert [(r[0], r[1], r[3], r[4]) for r in got] == [(1, 2, "response", None), (1, 3_000_000, "response", None), (2, 3_000_000, "revisit", 1)]
+    assert got[0][2] == base64.b32encode(hashlib.sha1("é".encode()).digest()).decode()
+
+
 def test_damaged_archive(spark, tmp_path):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     a = warc.write_archive(pages, str(tmp_path / "a"))
