@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ranks
+
 
 def orphan_labels(labels: DataFrame, images: DataFrame, on: str = "stem") -> DataFrame:
     """Label files without an image."""
@@ -42,15 +44,13 @@ def split_every(images: DataFrame, dataset: str, order: str, least: int = 64, ev
     """``split``: train, or val for every n-th eligible image. The count runs on across datasets in order;
     datasets with fewer than ``least`` images are train and aren't counted. ``ordinal`` is null for these.
 
-    The running number comes from each dataset's count and the sum over those before, so no task
-    holds more than one dataset.
+    No task holds a dataset: the running number is that of :func:`ranks.numbered`.
     """
-    size = images.groupBy(dataset).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum(F.when(F.col("_n") >= least, F.col("_n"))).over(Window.orderBy(dataset).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    size = size.withColumn("_before", before)
-    nth = F.row_number().over(Window.partitionBy(dataset).orderBy(order)) + F.col("_before")
-    out = images.join(F.broadcast(size), dataset).withColumn("ordinal", F.when(F.col("_n") >= least, nth))
-    return out.withColumn("split", F.when(F.col("ordinal") % every == 0, "val").otherwise("train")).drop("_n", "_before")
+    size = images.groupBy(F.col(dataset).alias("_dataset")).agg(F.count("*").alias("_n"))
+    sized = images.join(size, F.col(dataset).eqNullSafe(F.col("_dataset"))).drop("_dataset")
+    counted = ranks.numbered(sized.where(F.col("_n") >= least), [dataset, order], "ordinal")
+    out = counted.unionByName(sized.where(F.col("_n") < least).withColumn("ordinal", F.lit(None).cast("long")))
+    return out.withColumn("split", F.when(F.col("ordinal") % every == 0, "val").otherwise("train")).drop("_n")
 
 
 def counts(split: DataFrame, labels: DataFrame, dataset: str, on: str) -> DataFrame:
@@ -62,14 +62,14 @@ def counts(split: DataFrame, labels: DataFrame, dataset: str, on: str) -> DataFr
 def rename_plan(images: DataFrame, order: str, start: int = 1, prefix: str = "") -> DataFrame:
     """New names: a running number in order, padded to the width of the last."""
     total = images.agg(F.count("*").alias("_total"))
-    n = F.row_number().over(Window.orderBy(order)) + (start - 1)
     width = F.length((F.col("_total") + (start - 1)).cast("string"))
-    return images.crossJoin(F.broadcast(total)).withColumn("new_name", F.concat(F.lit(prefix), F.lpad(n.cast("string"), width, "0"))).drop("_total")
+    named = ranks.numbered(images, [order], "_number", start).crossJoin(F.broadcast(total))
+    return named.withColumn("new_name", F.concat(F.lit(prefix), F.lpad(F.col("_number").cast("string"), width, "0"))).drop("_total", "_number")
 
 
 def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     """Running numbers from 1."""
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return ranks.numbered(rows, order, name)
 
 
 def conflicts(plan: DataFrame, source: str, target: str, existing: DataFrame | None = None) -> DataFrame:
@@ -87,14 +87,15 @@ def conflicts(plan: DataFrame, source: str, target: str, existing: DataFrame | N
 
 def unique_names(rows: DataFrame, name: str, order: list, out: str = "unique_name") -> DataFrame:
     """A name of its own for every row: the first keeps its name, the next with it gets _01, _02 and so on."""
-    nth = F.row_number().over(Window.partitionBy(name).orderBy(*order)) - 1
+    nth = F.col("_copy")
     number = F.lpad(nth.cast("string"), F.greatest(F.lit(2), F.length(nth.cast("string"))), "0")
-    return rows.withColumn(out, F.when(nth == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), number)))
+    named = ranks.numbered_within(rows, name, order, "_copy", 0)
+    return named.withColumn(out, F.when(nth == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), number))).drop("_copy")
 
 
 def numbered_by_prefix(rows: DataFrame, prefix: str, order: list, start: int = 0, out: str = "number") -> DataFrame:
     """A counter per prefix that runs on over all stages in the given order."""
-    return rows.withColumn(out, F.row_number().over(Window.partitionBy(prefix).orderBy(*order)) - 1 + start)
+    return ranks.numbered_within(rows, prefix, order, out, start)
 
 
 def counts_of_all(rows: DataFrame, column: str, names: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
+from . import ranks
 
 
 def shape_class(w: Column, h: Column) -> Column:
@@ -30,8 +31,7 @@ def seeded(key: Column, seed: int = 0) -> Column:
 
 def groups(images: DataFrame, by: str, size: int, key: str = "image_id", seed: int = 0) -> DataFrame:
     """Shuffled groups of ``size`` within ``by``; the last group is filled up from the start of the order."""
-    w = Window.partitionBy(by)
-    n = images.withColumns({"_no": F.row_number().over(w.orderBy(seeded(F.col(key), seed), key)) - 1, "_all": F.count("*").over(w)})
+    n = ranks.numbered_within(images, by, [seeded(F.col(key), seed), key], "_no", 0, "_all")
     own = n.select(key, by, "_all", F.floor(F.col("_no") / size).alias("group_no"), (F.col("_no") % size).cast("int").alias("slot"), "_no")
     short = F.pmod(-F.col("_all"), F.lit(size))
     again = own.where(F.col("_no") < short).withColumn("_pos", F.col("_all") + F.col("_no"))

@@ -191,9 +191,10 @@ def _labels(s, d):
     return fx.view(s, d, "boxes").select("image_id").distinct()
 
 
-@query("SELECT DISTINCT image_id FROM boxes WHERE image_id NOT IN (SELECT image_id FROM images)", "images", "boxes")
+@query("SELECT DISTINCT image_id FROM boxes WHERE image_id NOT IN (SELECT image_id FROM portraits)", "portraits", "boxes")
 def orphan_labels(s, d):
-    return ds.orphan_labels(_labels(s, d), fx.view(s, d, "images"), "image_id")
+    """Labels of all lines against portraits of all customers, whose numbers they share in part."""
+    return ds.orphan_labels(_labels(s, d), fx.view(s, d, "portraits"), "image_id")
 
 
 @query("SELECT image_id FROM images WHERE image_id NOT IN (SELECT image_id FROM boxes)", "images", "boxes")
@@ -206,15 +207,15 @@ def paired_images(s, d):
     return ds.paired(fx.view(s, d, "images"), _labels(s, d), "image_id").select("image_id")
 
 
-@query("SELECT count(*) missing FROM (SELECT image_id FROM boxes EXCEPT SELECT image_id FROM images)", "images", "boxes")
+@query("SELECT count(*) missing FROM (SELECT image_id FROM boxes EXCEPT SELECT image_id FROM portraits)", "portraits", "boxes")
 def stem_except(s, d):
-    return fx.view(s, d, "boxes").select("image_id").subtract(fx.view(s, d, "images").select("image_id")).agg(F.count("*").alias("missing"))
+    return fx.view(s, d, "boxes").select("image_id").subtract(fx.view(s, d, "portraits").select("image_id")).agg(F.count("*").alias("missing"))
 
 
-@query("""SELECT image_id, 'move' "action" FROM (SELECT DISTINCT image_id FROM boxes) WHERE image_id NOT IN (SELECT image_id FROM images)
-UNION ALL SELECT image_id, 'create' FROM images WHERE image_id NOT IN (SELECT image_id FROM boxes)""", "images", "boxes")
+@query("""SELECT image_id, 'move' "action" FROM (SELECT DISTINCT image_id FROM boxes) WHERE image_id NOT IN (SELECT image_id FROM portraits)
+UNION ALL SELECT image_id, 'create' FROM portraits WHERE image_id NOT IN (SELECT image_id FROM boxes)""", "portraits", "boxes")
 def cleanup_plan(s, d):
-    return ds.cleanup_plan(fx.view(s, d, "images"), _labels(s, d), "image_id")
+    return ds.cleanup_plan(fx.view(s, d, "portraits"), _labels(s, d), "image_id")
 
 
 _SPLIT = """n AS (SELECT *, count(*) OVER (PARTITION BY source) c FROM images),
@@ -525,21 +526,22 @@ def frame_decimate(s, d):
 
 def _sources(s, d):
     f = fx.view(s, d, "frames").select("seq_id", F.col("frame_index").cast("long").alias("frame_index"), "event_type", "event_id", "feat")
-    return f, f.where("event_type = 'purchase' or event_id % 5 = 0"), f.where("frame_index % 10 = 0")
+    return f, f.where("event_type = 'purchase'"), f.where("event_type <> 'purchase'")
 
 
 @query("""SELECT seq_id, target_index, source_index, place FROM (SELECT t.seq_id, t.frame_index target_index, s.frame_index source_index, row_number() OVER (PARTITION BY t.seq_id, t.frame_index ORDER BY s.frame_index DESC) place
-FROM frames t JOIN frames s ON t.seq_id = s.seq_id AND s.frame_index < t.frame_index WHERE t.frame_index % 10 = 0 AND (s.event_type = 'purchase' OR s.event_id % 5 = 0)) WHERE place <= 4""", "frames")
+FROM frames t JOIN frames s ON t.seq_id = s.seq_id AND s.frame_index < t.frame_index WHERE t.event_type <> 'purchase' AND s.event_type = 'purchase') WHERE place <= 4""", "frames")
 def history_topk(s, d):
+    """Purchases are the frames with labels; every other frame is a target."""
     _, src, tgt = _sources(s, d)
     return sq.history(src, tgt, 4)
 
 
-@query("""SELECT seq_id, w."at", min(frame_index) frame_index FROM (SELECT DISTINCT seq_id, k "at" FROM frames, (VALUES (7), (20), (55)) v(k)) w JOIN (SELECT * FROM frames WHERE event_id % 5 = 0) f USING (seq_id) WHERE f.frame_index >= w."at" GROUP BY 1, 2""", "frames")
+@query("""SELECT seq_id, w."at", min(frame_index) frame_index FROM (SELECT DISTINCT seq_id, k "at" FROM frames, (VALUES (7), (20), (55)) v(k)) w JOIN (SELECT * FROM frames WHERE event_type = 'purchase') f USING (seq_id) WHERE f.frame_index >= w."at" GROUP BY 1, 2""", "frames")
 def asof_next_frame(s, d):
-    f, _, _ = _sources(s, d)
+    f, labelled, _ = _sources(s, d)
     want = f.select("seq_id").distinct().withColumn("at", F.explode(F.array(*[F.lit(k).cast("long") for k in (7, 20, 55)])))
-    return sq.at_or_after(f.where("event_id % 5 = 0"), want)
+    return sq.at_or_after(labelled, want)
 
 
 @query("""SELECT seq_id, target_index, source_index, place FROM (SELECT t.seq_id, t.frame_index target_index, s.frame_index source_index, row_number() OVER (PARTITION BY t.seq_id, t.frame_index ORDER BY s.frame_index DESC) place
@@ -652,13 +654,6 @@ def url_provider(s, d):
     return fx.table(s, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.provider(F.col("url")).alias("provider"))
 
 
-@query("""SELECT page_id, CAST(page_id % 13 AS INT) page FROM pages""")
-def query_param_page(s, d):
-    p = fx.table(s, d, "pages")
-    url = F.concat(F.lit("https://a.example/s?q=x&"), F.when(F.col("page_id") % 2 == 0, "p=").otherwise("pn="), (F.col("page_id") % 13).cast("string"))
-    return p.select("page_id", urls.page_index(url).alias("page"))
-
-
 @query("""SELECT page_id, 'https://i.example/' || page_id || '.jpg' url FROM pages""")
 def image_urls(s, d):
     n = F.col("page_id").cast("string")
@@ -669,7 +664,18 @@ def image_urls(s, d):
 _PARAM = lambda k: f"nullif(regexp_extract(q, '(?:^|&){k}=([^&]*)', 1), '')"
 
 
-@query(rf"SELECT page_id, CAST(TRY_CAST(coalesce({_PARAM('p')}, {_PARAM('page')}, {_PARAM('pn')}) AS INT) AS VARCHAR) page FROM (SELECT page_id, regexp_extract(url, '\?([^#]*)', 1) q FROM pages)")
+_PAGE = rf"TRY_CAST(coalesce({_PARAM('p')}, {_PARAM('page')}, {_PARAM('pn')}) AS INT)"
+_QUERY_PART = r"(SELECT page_id, regexp_extract(url, '\?([^#]*)', 1) q FROM pages)"
+
+
+@query(f"SELECT coalesce({_PAGE}, -1) page, count(*) n FROM {_QUERY_PART} GROUP BY 1")
+def query_param_page(s, d):
+    """How many pages have each number in their address; -1: none."""
+    page = F.coalesce(urls.page_index(F.col("url")), F.lit(-1))
+    return fx.table(s, d, "pages").groupBy(page.alias("page")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT page_id, CAST({_PAGE} AS VARCHAR) page FROM {_QUERY_PART}")
 def page_number(s, d):
     """The number in the address of every page, as text; null where it has none."""
     return fx.table(s, d, "pages").select("page_id", urls.page_index(F.col("url")).cast("string").alias("page"))

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 VIEWS: dict[str, tuple[list[str], str]] = {
     "images": (["orders"], """
 SELECT o_orderkey image_id, CAST(320 + (o_custkey % 1600) AS INT) width, CAST(240 + ((o_orderkey * 7) % 1400) AS INT) height,
-       o_orderpriority source FROM orders WHERE o_orderkey % 50 <> 0"""),
+       o_orderpriority source FROM orders"""),
+    "portraits": (["customer"], "SELECT c_custkey image_id FROM customer"),
     "boxes": (["lineitem"], """
 SELECT l_orderkey image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) - 1 obj_idx,
        l_linenumber % 3 class_id, (l_partkey % 1000) / CAST(1000 AS DOUBLE) cx, (l_suppkey % 100) / CAST(100 AS DOUBLE) cy,
@@ -25,7 +26,7 @@ SELECT vec_id, CAST(floor(vec_id / 4.0) AS BIGINT) image_id, vec_id % 4 obj_idx,
 SELECT user_id seq_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) frame_index, event_id, event_type, value feat FROM events"""),
 }
 
-#: One row per keypoint: the second source is shifted, in reverse order, and lacks every seventh.
+#: One row per keypoint: the second source is shifted, in reverse order, and sees fewer points.
 KPTS = " UNION ALL ".join(
     f"""SELECT vec_id, CAST(floor(vec_id / 4.0) AS BIGINT) image_id, vec_id % 4 obj_idx, {k} k,
  least(greatest(0.5 + E({3 * k + 1}), 0.0), 1.0) x, least(greatest(0.5 + E({3 * k + 2}), 0.0), 1.0) y, CASE WHEN E({3 * k + 3}) > -0.05 THEN 2 ELSE 0 END v FROM embeddings"""
@@ -34,7 +35,7 @@ KPTS = " UNION ALL ".join(
 FACE = " UNION ALL ".join(
     f"""SELECT vec_id, CAST(floor(vec_id / 4.0) AS BIGINT) image_id, 3 - (vec_id % 4) obj_idx, {k} k,
  least(greatest(0.5 + E({3 * k + 1}) + (label - 5) * 0.01, 0.0), 1.0) x, least(greatest(0.5 + E({3 * k + 2}) - (label - 5) * 0.01, 0.0), 1.0) y, CASE WHEN E({3 * k + 3}) > 0.0 THEN 2 ELSE 0 END v
- FROM embeddings WHERE vec_id % 7 <> 0"""
+ FROM embeddings"""
     for k in range(5)
 )
 
@@ -65,7 +66,7 @@ def poses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second source: an array of five keypoints."""
-    e = table(spark, sf_dir, "embeddings").where("vec_id % 7 <> 0")
+    e = table(spark, sf_dir, "embeddings")
     shift = "CAST(label - 5 AS DOUBLE) * 0.01D"
     return e.select("vec_id", F.expr("CAST(floor(vec_id / 4.0) AS BIGINT)").alias("image_id"), F.expr("3 - (vec_id % 4)").alias("obj_idx"), _points(5, f" + {shift}", f" - {shift}", "0.0D").alias("kpts"))
 
