@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import struct
+from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import urls
+from . import opened
 
 # File endings that count as images.
 IMAGES = ("jpg", "jpeg", "png", "bmp", "tif", "tiff", "webp")
@@ -18,15 +19,51 @@ IMAGES_WIDE = (*IMAGES, "gif", "heic", "heif")
 VIDEOS = ("mp4", "mov", "mkv", "avi", "webm", "m4v", "mpg", "mpeg", "wmv")
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders and files that a path or pattern names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
+    return [f.getPath().toString() for f in found or ()]
+
+
+def _list(deep: bool):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for folders in batches:
+            for folder in folders["path"]:
+                store, name = opened.at(folder)
+                own = store.get_file_info(name)
+                found = [own] if own.is_file else store.get_file_info(fs.FileSelector(name, recursive=deep))
+                beside = folder[: len(folder) - len(name)] if folder.endswith(name) else ""
+                for k in range(0, len(found), 10000):
+                    part = [f for f in found[k : k + 10000] if not f.base_name.startswith((".", "_"))]
+                    yield pd.DataFrame({"path": [beside + f.path for f in part], "bytes": [f.size or 0 for f in part], "folder": [not f.is_file for f in part]})
+
+    return run
+
+
+def _listing(spark: SparkSession, path: str, deep: bool) -> DataFrame:
+    """path and bytes of all files, those of no bytes, too, which Spark's own readers pass over. Each folder below the named ones is a task's."""
+    form = "path string, bytes long, folder boolean"
+    roots = spark.createDataFrame([(p,) for p in _folders(spark, path)], "path string")
+    top = roots.mapInPandas(_list(False), form)
+    if not deep:
+        return top.where("not folder").select("path", "bytes")
+    below = top.where("folder").select("path").repartition("path").mapInPandas(_list(True), form)
+    return top.unionByName(below).where("not folder").select("path", "bytes")
+
+
 def label_files(spark: SparkSession, path: str) -> DataFrame:
-    """stem and raw text of each .txt file; line order is kept inside raw."""
+    """stem and raw text of each .txt file, the empty ones, too; line order is kept inside raw."""
     files = spark.read.option("pathGlobFilter", "*.txt").text(path, wholetext=True)
-    return files.select(urls.stem(F.col("_metadata.file_path")).alias("stem"), F.col("value").alias("raw"))
+    # The address is written with percent signs.
+    address = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    empty = _listing(spark, path, False).where((F.col("bytes") == 0) & F.col("path").endswith(".txt"))
+    return files.select(urls.stem(address).alias("stem"), F.col("value").alias("raw")).unionByName(empty.select(urls.stem(F.col("path")).alias("stem"), F.lit("").alias("raw")))
 
 
 def listed(spark: SparkSession, path: str, endings: tuple[str, ...] = IMAGES) -> DataFrame:
     """stem, ending, path and bytes of files with one of the endings; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+    files = _listing(spark, path, True)
     ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     return files.select(urls.stem(F.col("path")).alias("stem"), ending.alias("ending"), "path", "bytes").where(F.col("ending").isin(*endings))
 
@@ -36,43 +73,19 @@ def dataset_tree(spark: SparkSession, path: str, endings: tuple[str, ...] = IMAG
     return listed(spark, path, endings).withColumn("dataset", F.regexp_extract("path", r"/([^/]+)/images/", 1)).where("dataset <> ''")
 
 
-def header_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height from the head of a PNG, BMP, GIF or JPEG file."""
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return struct.unpack(">II", data[16:24])
-    if data[:2] == b"BM" and len(data) >= 26:
-        w, h = struct.unpack("<ii", data[18:26])
-        return w, abs(h)
-    if data[:4] == b"GIF8" and len(data) >= 10:
-        return struct.unpack("<HH", data[6:10])
-    if data[:2] == b"\xff\xd8":
-        at = 2
-        while at + 9 <= len(data):
-            if data[at] != 0xFF:
-                return None
-            kind = data[at + 1]
-            if kind == 0xFF or kind == 1 or 0xD0 <= kind <= 0xD9:
-                at += 1 if kind == 0xFF else 2
-                continue
-            if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-                h, w = struct.unpack(">HH", data[at + 5 : at + 9])
-                return w, h
-            at += 2 + struct.unpack(">H", data[at + 2 : at + 4])[0]
-    return None
-
-
-@F.pandas_udf(T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())]))
-def image_size(content: pd.Series) -> pd.DataFrame:
-    """Size from a file's head; null if it can't be read."""
-    got = [header_size(bytes(c)) if c is not None else None for c in content]
-    return pd.DataFrame({"width": pd.array([g[0] if g else None for g in got], "Int32"), "height": pd.array([g[1] if g else None for g in got], "Int32")})
+def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for files in batches:
+        got = []
+        for path in files["path"]:
+            store, name = opened.at(path)
+            with store.open_input_file(name) as f:
+                got.append(opened.image_size(f) or (None, None))
+        yield files.assign(width=pd.array([w for w, _ in got], "Int32"), height=pd.array([h for _, h in got], "Int32"))
 
 
 def images(spark: SparkSession, path: str, endings: tuple[str, ...] = IMAGES) -> DataFrame:
-    """stem, path, width and height; unreadable files have null sizes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    files = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*endings))
-    return files.select(urls.stem(F.col("path")).alias("stem"), "path", image_size("content").alias("s")).select("stem", "path", "s.*")
+    """stem, path, width and height; files without a readable head have null sizes. Only heads are read."""
+    return listed(spark, path, endings).select("stem", "path").mapInPandas(_sizes, "stem string, path string, width int, height int")
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:

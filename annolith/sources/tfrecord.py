@@ -1,18 +1,23 @@
 """A Spark data source for TFRecord files of tf.train.Example messages.
 
 ``spark.dataSource.register(TFRecordSource)``, then ``spark.read.format("tfrecord").load(path)``:
-one row per record with its file, number and byte features (name to the first value).
+one row per record with its file, number and byte features (name to the first value). Option ``verify``: ``true``
+checks each payload's sum.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import fnmatch
+import posixpath
 import struct
 from collections.abc import Iterator
+from typing import BinaryIO
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import opened
+
 _POLY = 0x82F63B78
 _TABLE = []
 for _i in range(256):
@@ -30,14 +35,23 @@ def masked_crc(data: bytes) -> int:
     return (((c >> 15) | (c << 17)) + 0xA282EAD8) & 0xFFFFFFFF
 
 
-def records(data: Iterator[bytes] | object) -> Iterator[bytes]:
-    """Payloads of an open record file. A damaged length ends with an error."""
+def records(data: BinaryIO, verify: bool = False) -> Iterator[bytes]:
+    """Payloads of an open record file. A damaged length and a file that is cut short end with an error.
+
+    With ``verify`` the payloads' sums are checked as well, byte by byte.
+    """
     while head := data.read(12):
+        if len(head) < 12:
+            raise ValueError("the file is cut short")
         (n,), (crc,) = struct.unpack("<Q", head[:8]), struct.unpack("<I", head[8:])
         if masked_crc(head[:8]) != crc:
             raise ValueError("a record's length is damaged")
-        yield data.read(n)
-        data.read(4)
+        payload, tail = data.read(n), data.read(4)
+        if len(payload) < n or len(tail) < 4:
+            raise ValueError("the file is cut short")
+        if verify and masked_crc(payload) != struct.unpack("<I", tail)[0]:
+            raise ValueError("a record is damaged")
+        yield payload
 
 
 def _varint(b: bytes, at: int) -> tuple[int, int]:
@@ -86,16 +100,27 @@ class _Part(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, options: dict):
+        self.path, self.verify = options["path"], options.get("verify", "false") == "true"
 
     def partitions(self) -> list[_Part]:
-        names = sorted(glob.glob(os.path.join(self.path, "*"))) if os.path.isdir(self.path) else sorted(glob.glob(self.path))
-        return [_Part(n) for n in names if os.path.isfile(n)]
-
-    def read(self, partition: _Part):
-        with open(partition.path, "rb") as f:
-            for i, payload in enumerate(records(f)):
+        """One for each file of a folder, of a pattern in a folder, or a single file."""
+        store, path = opened.at(self.path)
+        kind = store.get_file_info(path).type
+        if kind == fs.FileType.File:
+            return [_Part(self.path)]
+        folder, pattern = (path, "*") if kind == fs.FileType.Directory else posixpath.split(path)
+        found = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+        names = sorted(f.base_name for f in found if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, pattern))
+        base = self.path if kind == fs.FileType.Directory else posixpath.dirname(self.path)
+        return [_Part(f"{base.rstrip('/')}/{n}") for n in names]
+
+    def read(self, partition: _Part | None):
+        if partition is None:  # no files
+            return
+        store, path = opened.at(partition.path)
+        with store.open_input_stream(path) as f:
+            for i, payload in enumerate(records(f, self.verify)):
                 yield partition.path, i, byte_features(payload)
 
 
@@ -108,4 +133,4 @@ class TFRecordSource(DataSource):
         return "file string, record long, features map<string, binary>"
 
     def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options["path"])
+        return _Reader(dict(self.options))
