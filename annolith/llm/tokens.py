@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words kept per worker; a full store is emptied.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 #: Bytes of text that are worked on at once; a longer text is a batch of its own.
-BATCH_BYTES = 8_000_000
+BATCH_BYTES = 4_000_000
 
 _TAIL = r"^(?P<core>\p{L}+)(?P<tail>[!-/:-@\[-`{-~]+)$"
 
@@ -122,7 +122,10 @@ def encoder(path: str) -> Encoder:
 
 
 def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that each has at most ``most`` bytes of text, or one row."""
+    """Cut batches so that each has at most ``most`` bytes of text, or one row.
+
+    After the last one Arrow gives back what it keeps for later, since a worker lives on idle beside other steps.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -134,6 +137,7 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, most: int = BA
             to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    pa.default_memory_pool().release_unused()
 
 
 def add_columns(docs: DataFrame, columns: Sequence[str], names: Sequence[str], kinds: Sequence[str], model: object, of: Callable) -> DataFrame:
