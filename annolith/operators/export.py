@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keypoints as kp
@@ -40,16 +40,30 @@ def manifest(plan: DataFrame, source: str, target: str, action: str, dry_run: bo
 
 
 def flip_merge(normal: DataFrame, flipped: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Detections with their mirrored run's matches: boxes by confidence, the larger confidence; the rest as is.
+    """Detections with their mirrored run's matches: boxes and points by confidence, the larger confidence; the rest as is.
 
-    normal and flipped: image_id, obj_idx, class_id, cx, cy, w, h, score; pairs: image_id, a_idx, b_idx.
+    normal and flipped: image_id, obj_idx, class_id, cx, cy, w, h, score and, if they have them, kpts (array of struct<x, y, v>, v a confidence).
+    pairs: image_id, a_idx, b_idx. A null score or v counts as 1. If both confidences are 0, a box or point is at zero. Points that one
+    side has more are its own; null points give way to the other's.
     """
-    n, f = normal.alias("n"), flipped.alias("f")
-    p = pairs.alias("p")
+    n, f, p = normal.alias("n"), flipped.alias("f"), pairs.alias("p")
     j = n.join(p, (F.col("n.image_id") == F.col("p.image_id")) & (F.col("n.obj_idx") == F.col("p.a_idx")), "left")
     j = j.join(f, (F.col("f.image_id") == F.col("p.image_id")) & (F.col("f.obj_idx") == F.col("p.b_idx")), "left")
+    lone = F.col("f.image_id").isNull()
     wn, wf = F.coalesce("n.score", F.lit(1.0)), F.coalesce("f.score", F.lit(1.0))
-    mix = lambda c: F.when(F.col("f.image_id").isNull() | (wn + wf <= 0), F.col(f"n.{c}")).otherwise((F.col(f"n.{c}") * wn + F.col(f"f.{c}") * wf) / (wn + wf)).alias(c)
-    merged = j.select("n.image_id", "n.class_id", *[mix(c) for c in bx.BOX], F.greatest("n.score", "f.score").alias("score"))
-    lone = flipped.join(pairs.select("image_id", F.col("b_idx").alias("obj_idx")), ["image_id", "obj_idx"], "left_anti")
-    return merged.unionByName(lone.select("image_id", "class_id", *bx.BOX, "score"))
+    weighted = lambda a, b, wa, wb: (a * wa + b * wb) / F.when(wa + wb > 0, wa + wb).otherwise(1.0)
+    mix = lambda c: F.when(lone, F.col(f"n.{c}")).otherwise(weighted(F.col(f"n.{c}"), F.col(f"f.{c}"), wn, wf)).alias(c)
+    score = F.when(lone & F.col("n.score").isNull(), F.lit(1.0)).when(lone, F.col("n.score")).otherwise(F.greatest(wn, wf))
+
+    def point(a: Column, b: Column) -> Column:
+        ca, cb = F.coalesce(a["v"], F.lit(1.0)), F.coalesce(b["v"], F.lit(1.0))
+        both = kp.point(weighted(a["x"], b["x"], ca, cb), weighted(a["y"], b["y"], ca, cb), F.greatest(ca, cb))
+        alone = lambda q, c: kp.point(q["x"], q["y"], c)
+        return F.when(a.isNull(), alone(b, cb)).when(b.isNull(), alone(a, ca)).otherwise(both)
+
+    posed = "kpts" in normal.columns and "kpts" in flipped.columns
+    own = lambda c: F.transform(c, lambda q: kp.point(q["x"], q["y"], F.coalesce(q["v"], F.lit(1.0))))
+    kpts = [F.when(lone | F.col("f.kpts").isNull(), own("n.kpts")).when(F.col("n.kpts").isNull(), own("f.kpts")).otherwise(F.zip_with("n.kpts", "f.kpts", point)).alias("kpts")] if posed else []
+    merged = j.select("n.image_id", "n.class_id", *[mix(c) for c in bx.BOX], score.alias("score"), *kpts)
+    rest = flipped.join(pairs.select("image_id", F.col("b_idx").alias("obj_idx")), ["image_id", "obj_idx"], "left_anti")
+    return merged.unionByName(rest.select("image_id", "class_id", *bx.BOX, F.coalesce("score", F.lit(1.0)).alias("score"), *([own("kpts").alias("kpts")] if posed else [])))

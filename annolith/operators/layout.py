@@ -65,44 +65,42 @@ def grid(slots: DataFrame, columns: int) -> DataFrame:
     return s.withColumns({"x": x.cast("int"), "y": up.cast("int")}).select("mosaic_id", "slot", "x", "y", "tile_w", "tile_h")
 
 
-def _step(state: Column, rotation: int, flip: bool, by_height: bool) -> Column:
-    """Place one tile in what is left of the canvas (a guillotine cut)."""
-    w, h = ("h", "w") if rotation in (90, 270) else ("w", "h")
-    rw, rh = state[w].cast("double"), state[h].cast("double")
+def _placed(state: Column, step: Column) -> Column:
+    """The state after one more tile in what is left of the canvas (a guillotine cut); unchanged if nothing is left."""
+    sideways = step["rotation"].isin(90, 270)
+    rw, rh = (F.when(sideways, state[a]).otherwise(state[b]).cast("double") for a, b in (("h", "w"), ("w", "h")))
     room_w, room_h = state["rem_w"], state["rem_h"]
-    wide = F.rint(rw * room_h / rh).cast("int")
-    tall = F.rint(rh * room_w / rw).cast("int")
-    cut_height = (wide <= room_w) if by_height else (tall > room_h)
-    tw = F.greatest(F.lit(1), F.least(room_w, F.when(cut_height, wide).otherwise(room_w)))
-    th = F.greatest(F.lit(1), F.least(room_h, F.when(cut_height, room_h).otherwise(tall)))
-    tile = F.struct(state["rem_x"].alias("x"), state["rem_y"].alias("y"), tw.alias("tile_w"), th.alias("tile_h"), F.lit(rotation).alias("rotation"), F.lit(flip).alias("flip"))
-    moved = F.struct(
+    # Width and height that the tile has if it fills the other side.
+    wide, tall = F.rint(rw * room_h / rh).cast("int"), F.rint(rh * room_w / rw).cast("int")
+    cut = F.when(step["by_height"], wide <= room_w).otherwise(tall > room_h)
+    tw = F.greatest(F.lit(1), F.least(room_w, F.when(cut, wide).otherwise(room_w)))
+    th = F.greatest(F.lit(1), F.least(room_h, F.when(cut, room_h).otherwise(tall)))
+    tile = F.struct(state["rem_x"].alias("x"), state["rem_y"].alias("y"), tw.alias("tile_w"), th.alias("tile_h"), step["rotation"].alias("rotation"), step["flip"].alias("flip"))
+    after = F.struct(
         state["w"].alias("w"), state["h"].alias("h"),
-        (state["rem_x"] + F.when(cut_height, tw).otherwise(0)).alias("rem_x"), (state["rem_y"] + F.when(cut_height, 0).otherwise(th)).alias("rem_y"),
-        (room_w - F.when(cut_height, tw).otherwise(0)).alias("rem_w"), (room_h - F.when(cut_height, 0).otherwise(th)).alias("rem_h"),
+        (state["rem_x"] + F.when(cut, tw).otherwise(0)).alias("rem_x"), (state["rem_y"] + F.when(cut, 0).otherwise(th)).alias("rem_y"),
+        (room_w - F.when(cut, tw).otherwise(0)).alias("rem_w"), (room_h - F.when(cut, 0).otherwise(th)).alias("rem_h"),
+        F.concat(state["tiles"], F.array(tile)).alias("tiles"),
     )
-    return F.struct(tile.alias("tile"), moved.alias("next"))
+    return F.when((room_w > 0) & (room_h > 0), after).otherwise(state)
 
 
 def self_mosaic(images: DataFrame, factor: float = 0.7) -> DataFrame:
-    """Up to five turned and mirrored tiles beside (portrait) or below an image: one row per tile, with the canvas size."""
+    """Up to five turned and mirrored tiles beside (portrait) or below an image: one row per tile, with the canvas size. A fold over the five steps."""
     tall = F.col("height") >= F.col("width")
     extra = F.greatest(F.lit(1), (F.greatest("width", "height") * F.lit(factor)).cast("int"))
     start = F.struct(
-        F.col("width").alias("w"), F.col("height").alias("h"),
-        F.when(tall, F.col("width")).otherwise(0).alias("rem_x"), F.when(tall, 0).otherwise(F.col("height")).alias("rem_y"),
-        F.when(tall, extra).otherwise(F.col("width")).alias("rem_w"), F.when(tall, F.col("height")).otherwise(extra).alias("rem_h"),
+        F.col("width").cast("int").alias("w"), F.col("height").cast("int").alias("h"),
+        F.when(tall, F.col("width")).otherwise(0).cast("int").alias("rem_x"), F.when(tall, 0).otherwise(F.col("height")).cast("int").alias("rem_y"),
+        F.when(tall, extra).otherwise(F.col("width")).cast("int").alias("rem_w"), F.when(tall, F.col("height")).otherwise(extra).cast("int").alias("rem_h"),
+        F.expr("CAST(array() AS array<struct<x:int,y:int,tile_w:int,tile_h:int,rotation:int,flip:boolean>>)").alias("tiles"),
     )
-    df = images.withColumns({"_tall": tall, "_s": start, "canvas_w": F.col("width") + F.when(tall, extra).otherwise(0), "canvas_h": F.col("height") + F.when(tall, 0).otherwise(extra)})
     # Turn, mirror, and the side that is filled first in a portrait; the other in a landscape.
     steps = [(90, False, "width"), (0, True, "height"), (270, False, "width"), (0, False, "height"), (0, True, "height")]
-    for k, (rotation, flip, prefer) in enumerate(steps):
-        s = F.col("_s")
-        room = (s["rem_w"] > 0) & (s["rem_h"] > 0)
-        placed = F.when(F.col("_tall"), _step(s, rotation, flip, prefer == "height")).otherwise(_step(s, rotation, flip, prefer != "height"))
-        df = df.withColumn("_p", F.when(room, placed)).withColumns({f"_t{k}": F.col("_p.tile"), "_s": F.coalesce(F.col("_p.next"), s)}).drop("_p")
-    tiles = F.filter(F.array(*[F.col(f"_t{k}") for k in range(5)]), lambda t: t.isNotNull())
-    return df.select("image_id", "canvas_w", "canvas_h", F.posexplode(tiles).alias("step", "t")).select("image_id", "canvas_w", "canvas_h", "step", "t.*")
+    table = F.array(*[F.struct(F.lit(r).alias("rotation"), F.lit(f).alias("flip"), (tall == F.lit(side == "height")).alias("by_height")) for r, f, side in steps])
+    sized = images.where("width > 0 AND height > 0").withColumns({"canvas_w": F.col("width") + F.when(tall, extra).otherwise(0), "canvas_h": F.col("height") + F.when(tall, 0).otherwise(extra)})
+    tiles = F.aggregate(table, start, _placed, lambda state: state["tiles"])
+    return sized.select("image_id", "canvas_w", "canvas_h", F.posexplode(tiles).alias("step", "t")).select("image_id", "canvas_w", "canvas_h", "step", "t.*")
 
 
 def tile_fit(w: Column, h: Column, tw: Column, th: Column) -> Column:

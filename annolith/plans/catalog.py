@@ -613,11 +613,6 @@ def mosaic_layout(s, d):
     return lay.grid(i, 2)
 
 
-@query()
-def self_mosaic_placements(s, d):
-    return lay.self_mosaic(fx.view(s, d, "images"))
-
-
 @query("""WITH k AS (SELECT image_id, width, height, least(256 / CAST(width AS DOUBLE), 192 / CAST(height AS DOUBLE)) s FROM images),
 n AS (SELECT image_id, greatest(1, CAST(round_even(width * s, 0) AS INT)) new_w, greatest(1, CAST(round_even(height * s, 0) AS INT)) new_h FROM k)
 SELECT image_id, new_w, new_h, CAST(trunc((256 - new_w) / 2) AS INT) pad_x, CAST(trunc((192 - new_h) / 2) AS INT) pad_y FROM n""", "images")
@@ -695,4 +690,4 @@ _READ = lambda unit, name: f"{_TENTHS(unit)} // 10 || '.' || {_TENTHS(unit)} % 1
 def readable_sizes(s, d):
     return fx.table(s, d, "pages").select("page_id", g.readable_bytes(F.octet_length("html").cast("long")).alias("size"))
 
-from . import dataset_catalog, motion_catalog, pose_catalog  # noqa: E402, F401  their queries are of this catalog
+from . import dataset_catalog, mosaic_catalog, motion_catalog, pose_catalog  # noqa: E402, F401  their queries are of this catalog
