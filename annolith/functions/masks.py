@@ -37,7 +37,7 @@ def extent(width: Column, height: Column, runs: Column, down: bool = False) -> C
     def finish(a: Column) -> Column:
         across, along = (a["first"], a["last"]), (a["lo"], a["hi"])
         (left, right), (top, bottom) = (across, along) if down else (along, across)
-        return F.when(line.isNotNull() & a["lo"].isNotNull(), F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+        return F.when((width > 0) & (height > 0) & a["lo"].isNotNull(), F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
 
     return F.aggregate(runs, acc(F.lit(0).cast("long"), F.lit(False), none, none, none, none), step, finish)
 
