@@ -208,6 +208,8 @@ def manifest(rows: DataFrame) -> tuple[Tree, DataFrame]:
     """
     # A name that is never null and keeps the order.
     named = rows.withColumn("grp", F.coalesce(F.concat(F.lit("+"), F.col("grp")), F.lit("")))
+    # Dealing into ranges reads its input twice: digests are written first, so texts are read and hashed once.
+    named = storage.materialize(named, "merkle-digests")
     tree = Tree(positions(named, "grp", ["id", "digest"], "merkle-leaves"), "merkle")
     tops = positions(tree.tops.select(F.lit("").alias("all"), F.col("grp").alias("name"), "digest"), "all", ["name"], "merkle-tops")
     over = Tree(tops.withColumnRenamed("all", "grp"), "merkle-top")
