@@ -86,11 +86,26 @@ def conflicts(plan: DataFrame, source: str, target: str, existing: DataFrame | N
 
 
 def unique_names(rows: DataFrame, name: str, order: list, out: str = "unique_name") -> DataFrame:
-    """A name of its own for every row: the first keeps its name, the next with it gets _01, _02 and so on."""
-    nth = F.col("_copy")
-    number = F.lpad(nth.cast("string"), F.greatest(F.lit(2), F.length(nth.cast("string"))), "0")
+    """A name of its own for every row: the first keeps its name, the next with it gets _01, _02 and so on.
+
+    A made name that some row has itself, or that two rows would get, goes on to numbers after the largest in use with its stem, so no two rows
+    have one name, whatever names there are. Null names stay null.
+    """
+    numbered_name = lambda stem, n: F.concat(stem, F.lit("_"), F.lpad(n.cast("string"), F.greatest(F.lit(2), F.length(n.cast("string"))), "0"))
     named = ranks.numbered_within(rows, name, order, "_copy", 0)
-    return named.withColumn(out, F.when(nth == 0, F.col(name)).otherwise(F.concat(F.col(name), F.lit("_"), number))).drop("_copy")
+    made = named.withColumn(out, F.when((F.col("_copy") == 0) | F.col(name).isNull(), F.col(name)).otherwise(numbered_name(F.col(name), F.col("_copy"))))
+    # Names that rows have by themselves, and those that a row's stem and number make: a second row with one of them has to move on.
+    taken = rows.select(F.col(name).alias("_taken")).distinct()
+    clash = (F.col("_copy") > 0) & F.col("_taken").isNotNull()
+    checked = made.join(taken, F.col(out) == F.col("_taken"), "left").withColumn("_clash", clash)
+    # The largest number in use after a stem: of its own copies, and of names like it.
+    like = taken.select(F.regexp_extract("_taken", r"^(.*)_(\d{2,})$", 1).alias("_stem"), F.regexp_extract("_taken", r"^(.*)_(\d{2,})$", 2).try_cast("long").alias("_n")).where("_n is not null")
+    like = like.unionByName(named.where("_copy > 0").select(F.col(name).alias("_stem"), F.col("_copy").cast("long").alias("_n"))).groupBy("_stem").agg(F.max("_n").alias("_most"))
+    moving = checked.where("_clash").drop("_taken")
+    moved = ranks.numbered_within(moving, name, order, "_again", 1).join(like, F.col(name) == F.col("_stem"))
+    moved = moved.withColumn(out, numbered_name(F.col(name), F.col("_most") + F.col("_again")))
+    columns = [*rows.columns, out]
+    return checked.where("NOT _clash").select(*columns).unionByName(moved.select(*columns))
 
 
 def numbered_by_prefix(rows: DataFrame, prefix: str, order: list, start: int = 0, out: str = "number") -> DataFrame:
@@ -148,3 +163,14 @@ def next_index(names: DataFrame, column: str, prefix: str) -> DataFrame:
     """One more than the largest number that follows the prefix; 0 without any."""
     n = F.regexp_extract(F.col(column), rf"^{prefix}(\d+)", 1).try_cast("long")
     return names.agg(F.coalesce(F.max(n) + 1, F.lit(0)).alias("next_index"))
+
+
+def until_enough(rows: DataFrame, order: list, success: str, wanted: int) -> DataFrame:
+    """Rows in ``order`` up to that with which ``wanted`` successes (a 0/1 or boolean column, null: none) are reached; all, if there are fewer.
+
+    The running sum is made range by range, so no task holds the table. ``successes`` counts those before a row.
+    """
+    if wanted < 0:
+        raise ValueError("the wanted number must be at least 0")
+    counted = ranks.with_sum_before(rows.withColumn("_one", F.col(success).cast("long")), order, "_one", "successes")
+    return counted.where(F.col("successes") < wanted).drop("_one")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import keypoints as kp
 from . import boxes as bx
+from . import ranks
 
 
 def documents(images: DataFrame, annotations: DataFrame, categories: DataFrame, split: str = "split") -> DataFrame:
@@ -27,6 +30,43 @@ def documents(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     return joined.select(split, F.to_json(doc, {"pretty": "true"}).alias("document"))
 
 
+#: What an export says of itself unless it is told otherwise.
+INFO = {"description": "", "version": "1.0", "year": 0, "contributor": "", "date_created": ""}
+
+
+def document_lines(images: DataFrame, annotations: DataFrame, categories: DataFrame, info: dict | None = None, licenses: list[dict] = (), split: str = "split") -> DataFrame:
+    """The export of :func:`documents`, with info and licenses, as numbered lines (split, section, pos, line), whatever its size.
+
+    A line is a bracket, or one image, annotation or category; its comma stands before it. Lines are numbered by ranges, so no task holds a split, and
+    the lines of a split in order are one JSON text. images, annotations: as for :func:`documents`; a split without images has no document, and
+    its annotations are left out.
+    """
+    spark = images.sparkSession
+    splits = images.select(F.col(split).alias("split")).distinct()
+    flat = F.flatten(F.transform("kpts", lambda p: F.array(p["x"], p["y"], kp.exported_visibility(p["v"]).cast("double"))))
+    seen = F.size(F.filter("kpts", lambda p: kp.exported_visibility(p["v"]) > 0))
+    image = F.struct("id", "file_name", "width", "height")
+    note = F.struct("id", "image_id", "category_id", F.array("left", "top", "box_w", "box_h").alias("bbox"), "area", F.lit(0).alias("iscrowd"), flat.alias("keypoints"), seen.alias("num_keypoints"))
+    kept = annotations.join(splits.select(F.col("split").alias("_split")), F.col(split).eqNullSafe(F.col("_split")), "left_semi")
+    rows = images.select(F.col(split).alias("split"), F.lit(1).alias("section"), F.col("id").cast("long").alias("_id"), F.to_json(image).alias("json"))
+    rows = rows.unionByName(kept.select(F.col(split).alias("split"), F.lit(2).alias("section"), F.col("id").cast("long").alias("_id"), F.to_json(note).alias("json")))
+    one = categories.select(F.lit(3).alias("section"), F.col("category_id").cast("long").alias("_id"), F.to_json(F.struct("*")).alias("json"))
+    rows = rows.unionByName(splits.join(one).select("split", "section", "_id", "json"))  # categories are the classes in use
+    named = rows.withColumn("_key", F.to_json(F.struct("split", "section"), {"ignoreNullFields": "false"}))
+    lines = ranks.numbered_within(named, "_key", ["_id", "json"], "pos", 1).select("split", "section", "pos", F.concat(F.when(F.col("pos") > 1, ",").otherwise(""), F.col("json")).alias("line"))
+    head = f'{{"info": {json.dumps({**INFO, **(info or {})})}, "licenses": {json.dumps(list(licenses))}, "images": ['
+    frame = spark.createDataFrame([(1, head), (2, '], "annotations": ['), (3, '], "categories": ['), (4, "]}")], "section int, line string")
+    frame = splits.join(F.broadcast(frame)).select("split", "section", F.lit(0).cast("long").alias("pos"), "line")  # four rows
+    return lines.unionByName(frame)
+
+
+def write_documents(lines: DataFrame, path: str, parts: int | None = None) -> None:
+    """Write each split's lines in order, as text files in a folder of its own (``split=...``); one after the other by name they are its document."""
+    n = parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = lines.repartitionByRange(n, "split", "section", "pos").sortWithinPartitions("split", "section", "pos")
+    ordered.select("split", "line").write.partitionBy("split").mode("overwrite").text(path)
+
+
 def summary(counts: DataFrame, dataset: str) -> DataFrame:
     """Lines of a table of images and objects by dataset, totals last."""
     cells = [F.col(dataset), F.col("images").cast("string"), F.col("objects").cast("string")]

@@ -60,3 +60,16 @@ def numbered_within(rows: DataFrame, group: str, order: Sequence[str | Column],
     if size:
         out = out.withColumn(size, F.col("_size"))
     return out.drop("_place", "_group", "_first", "_size")
+
+
+def with_sum_before(rows: DataFrame, order: Sequence[str | Column], value: str, name: str) -> DataFrame:
+    """Add the sum of ``value`` (null: 0) over all rows that come before in ``order``; see :func:`numbered`. No task holds the table."""
+    placed = numbered(rows, order, "_place", 0)
+    # Ranges anew, from the numbers: rows of a range are few, and their order is settled.
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = checkpointed(placed.repartitionByRange(n, "_place").withColumn("_range", F.spark_partition_id()))
+    sums = dealt.groupBy("_range").agg(F.coalesce(F.sum(value), F.lit(0)).alias("_sum"))
+    base = sums.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row per range.
+    return dealt.withColumn("_inside", inside).join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.col("_inside")).drop("_range", "_place", "_base", "_inside")

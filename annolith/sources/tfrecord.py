@@ -1,7 +1,8 @@
 """A Spark data source for TFRecord files of tf.train.Example messages.
 
 ``spark.dataSource.register(TFRecordSource)``, then ``spark.read.format("tfrecord").load(path)``:
-one row per record with its file, number and byte features (name to the first value). Option ``verify``: ``true``
+one row per record with its file, number, byte features (``features``: name to the first value), and all values of each feature by
+kind (``bytes``, ``floats``, ``ints``). Option ``verify``: ``true``
 checks each payload's sum.
 """
 
@@ -80,17 +81,41 @@ def _fields(b: bytes) -> Iterator[tuple[int, bytes]]:
             at += 8 if kind == 1 else 4
 
 
-def byte_features(example: bytes) -> dict[str, bytes]:
-    """The first value of each byte feature of an Example."""
-    out: dict[str, bytes] = {}
-    for k, features in _fields(example):
-        for j, entry in _fields(features) if k == 1 else ():
+def _numbers(kind: int, b: bytes) -> Iterator[float | int]:
+    """Values of a list of floats (2) or of whole numbers (3), packed or not."""
+    at = 0
+    while at < len(b):
+        tag, at = _varint(b, at)
+        if tag & 7 == 2:
+            n, at = _varint(b, at)
+            part, at = b[at : at + n], at + n
+        elif kind == 2:
+            part, at = b[at : at + 4], at + 4
+        else:
+            begin = at
+            _, at = _varint(b, at)
+            part = b[begin:at]
+        if kind == 2:
+            yield from struct.unpack(f"<{len(part) // 4}f", part)
+            continue
+        place = 0
+        while place < len(part):
+            n, place = _varint(part, place)
+            yield n - (1 << 64) if n >> 63 else n
+
+
+def features(example: bytes) -> tuple[dict[str, list[bytes]], dict[str, list[float]], dict[str, list[int]]]:
+    """All values of an Example's byte, float and integer features, by name. A name without values of a kind isn't among that kind."""
+    out: tuple[dict, dict, dict] = ({}, {}, {})
+    for k, entries in _fields(example):
+        for j, entry in _fields(entries) if k == 1 else ():
             parts = dict(_fields(entry)) if j == 1 else {}
-            if 1 in parts and 2 in parts:
-                for kind, values in _fields(parts[2]):
-                    first = next((v for f, v in _fields(values) if f == 1), None) if kind == 1 else None
-                    if first is not None:
-                        out[parts[1].decode()] = first
+            if 1 not in parts or 2 not in parts:
+                continue
+            for kind, values in _fields(parts[2]):
+                got = [v for f, v in _fields(values) if f == 1] if kind == 1 else list(_numbers(kind, values)) if kind in (2, 3) else []
+                if got:
+                    out[kind - 1][parts[1].decode()] = got
     return out
 
 
@@ -121,7 +146,8 @@ class _Reader(DataSourceReader):
         store, path = opened.at(partition.path)
         with store.open_input_stream(path) as f:
             for i, payload in enumerate(records(f, self.verify)):
-                yield partition.path, i, byte_features(payload)
+                texts, floats, ints = features(payload)
+                yield partition.path, i, {k: v[0] for k, v in texts.items()}, texts, floats, ints
 
 
 class TFRecordSource(DataSource):
@@ -130,7 +156,7 @@ class TFRecordSource(DataSource):
         return "tfrecord"
 
     def schema(self) -> str:
-        return "file string, record long, features map<string, binary>"
+        return "file string, record long, features map<string, binary>, bytes map<string, array<binary>>, floats map<string, array<float>>, ints map<string, array<long>>"
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(dict(self.options))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -40,3 +40,35 @@ def changed_frames(stream: DataFrame, most: float) -> DataFrame:
 
     rows = stream.select(F.col("seq_id").cast("long"), F.col("frame_index").cast("long"), F.col("feat").cast("double"))
     return rows.groupBy("seq_id").applyInPandasWithState(run, "seq_id long, frame_index long, feat double, duplicate boolean", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
+def seen_addresses(spark: SparkSession, folder: str) -> DataFrame:
+    """The addresses that :func:`note_new` has written to ``folder``, once each; none if there is no such folder yet."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], "url string")
+    return spark.read.schema("url string, batch long").parquet(folder).select("url").distinct()
+
+
+def note_new(batch: DataFrame, folder: str, number: int, column: str = "url") -> DataFrame:
+    """Append the addresses of a batch that no other batch has noted to ``folder`` (one subfolder a batch) and return them.
+
+    A batch that is written again, with the same number, replaces what it wrote, so its addresses are noted once. For a stream:
+    ``writeStream.foreachBatch(lambda batch, number: note_new(batch, folder, number))``. Null addresses aren't noted.
+    """
+    spark = batch.sparkSession
+    before = seen_addresses(spark, folder)
+    if before.columns and (known := _batches(spark, folder)):
+        others = [f"{folder.rstrip('/')}/batch={n}" for n in known if n != number]
+        before = spark.read.schema("url string").parquet(*others).distinct() if others else spark.createDataFrame([], "url string")
+    new = batch.where(F.col(column).isNotNull()).select(F.col(column).alias("url")).distinct().join(before, "url", "left_anti")
+    path = f"{folder.rstrip('/')}/batch={number}"
+    new.write.mode("overwrite").parquet(path)
+    return spark.read.schema("url string").parquet(path)
+
+
+def _batches(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the batches that have been written."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/batch=*/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return [int(f.getPath().getParent().getName().removeprefix("batch=")) for f in found or ()]
