@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # Names, mirror partners and edges of the 17-point body, and the joints that the
 # 16-point body shares with it (16-point index, 17-point index).
-NAMES = "nose left_eye right_eye left_ear right_ear left_shoulder right_shoulder left_elbow right_elbow left_wrist right_wrist left_hip right_hip left_knee right_knee left_ankle right_ankle".split()
+NAMES = [
+    "nose", "left_eye", "right_eye", "left_ear", "right_ear", "left_shoulder", "right_shoulder", "left_elbow", "right_elbow", "left_wrist", "right_wrist",
+    "left_hip", "right_hip", "left_knee", "right_knee", "left_ankle", "right_ankle",
+]
 MIRROR = [0, 2, 1, 4, 3, 6, 5, 8, 7, 10, 9, 12, 11, 14, 13, 16, 15]
 EDGES = [(0, 1), (0, 2), (1, 3), (2, 4), (5, 6), (5, 7), (7, 9), (6, 8), (8, 10), (5, 11), (6, 12), (11, 12), (11, 13), (13, 15), (12, 14), (14, 16)]
 # The same body's edges as an export states them, counted from 1.
@@ -84,7 +87,7 @@ def blend_face(kpts: Column, other: Column, weight: float) -> Column:
         both = point(a["x"] * (1 - weight) + b["x"] * weight, a["y"] * (1 - weight) + b["y"] * weight, b["v"])
         return F.when(~valid(b), ZERO()).when(~valid(a), point(b["x"], b["y"], b["v"])).otherwise(both)
 
-    return F.concat(F.zip_with(face(kpts), face(other), merge), F.slice(kpts, 6, 1000))
+    return F.concat(F.zip_with(face(kpts), face(other), merge), F.slice(kpts, 6, F.greatest(F.size(kpts), F.lit(0))))
 
 
 def average_face(kpts: Column, other: Column) -> Column:
@@ -94,12 +97,12 @@ def average_face(kpts: Column, other: Column) -> Column:
         both = point((a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2, (a["v"] + b["v"]) / 2)
         return F.when(~(b["v"] > 0), ZERO()).when(~(a["v"] > 0), point(b["x"], b["y"], b["v"])).otherwise(both)
 
-    return F.concat(F.zip_with(face(kpts), face(other), merge), F.slice(kpts, 6, 1000))
+    return F.concat(F.zip_with(face(kpts), face(other), merge), F.slice(kpts, 6, F.greatest(F.size(kpts), F.lit(0))))
 
 
 def copy_face(kpts: Column, other: Column) -> Column:
     """The other source's five face points as they are."""
-    return F.concat(face(pad(other, 5)), F.slice(kpts, 6, 1000))
+    return F.concat(face(pad(other, 5)), F.slice(kpts, 6, F.greatest(F.size(kpts), F.lit(0))))
 
 
 def copy_eyes_and_ears(kpts: Column, other: Column) -> Column:

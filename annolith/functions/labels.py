@@ -33,30 +33,34 @@ def parse_line(line: Column, dialect: str = "strict", count: int = 17) -> Column
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect {dialect!r}; known: {', '.join(DIALECTS)}")
     text = F.trim(F.regexp_replace(line, r"\s+", " "))
-    tokens = F.split(text, " ")
-    n = F.size(tokens)
-    values = F.transform(F.slice(tokens, 2, 100000), number)
-    triplets = (n - 5) % 3 == 0
-    shape = {
-        "strict": (n >= 5) & triplets,
-        "fixed": (n == 5) | (n == 56),
-        "lenient": F.lit(True),
-        "padded": (n >= 5) & triplets,
-        "pose": (n >= 8) & triplets,
-    }[dialect]
-    numeric = ~F.exists(values, lambda v: v.isNull()) & number(F.get(tokens, 0)).isNotNull()
-    k = F.greatest(F.lit(0), F.floor((F.size(values) - 4) / 3).cast("int"))
-    points = F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), k - 1)), lambda i: kp.point(F.get(values, 4 + 3 * i), F.get(values, 5 + 3 * i), F.get(values, 6 + 3 * i))))
-    points = F.coalesce(points, F.array().cast("array<struct<x:double,y:double,v:double>>"))
-    if dialect == "padded":
-        points = kp.pad(points, count)
-    ok = shape & numeric
-    box = lambda i: F.when(n >= 5, F.get(values, i))
-    error = F.when(~shape, F.concat(F.lit("tokens: "), n.cast("string"))).when(~numeric, F.lit("not a number"))
-    got = F.struct(
-        F.get(tokens, 0).alias("class_token"), number(F.get(tokens, 0)).cast("int").alias("class_id"), *[F.when(ok, box(i)).alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))],
-        F.when(ok, points).alias("kpts"), error.alias("error"),
-    )
+
+    def row(tokens: Column, values: Column) -> Column:
+        n = F.size(tokens)
+        triplets = (n - 5) % 3 == 0
+        shape = {
+            "strict": (n >= 5) & triplets,
+            "fixed": (n == 5) | (n == 56),
+            "lenient": F.lit(True),
+            "padded": (n >= 5) & triplets,
+            "pose": (n >= 8) & triplets,
+        }[dialect]
+        numeric = ~F.exists(values, lambda v: v.isNull()) & number(F.get(tokens, 0)).isNotNull()
+        k = F.greatest(F.lit(0), F.floor((F.size(values) - 4) / 3).cast("int"))
+        points = F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), k - 1)), lambda i: kp.point(F.get(values, 4 + 3 * i), F.get(values, 5 + 3 * i), F.get(values, 6 + 3 * i))))
+        points = F.coalesce(points, F.array().cast("array<struct<x:double,y:double,v:double>>"))
+        if dialect == "padded":
+            points = kp.pad(points, count)
+        ok = shape & numeric
+        box = lambda i: F.when(n >= 5, F.get(values, i))
+        error = F.when(~shape, F.concat(F.lit("tokens: "), n.cast("string"))).when(~numeric, F.lit("not a number"))
+        return F.struct(
+            F.get(tokens, 0).alias("class_token"), number(F.get(tokens, 0)).cast("int").alias("class_id"), *[F.when(ok, box(i)).alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))],
+            F.when(ok, points).alias("kpts"), error.alias("error"),
+        )
+
+    # A lambda's variable is worked out once: a line's tokens and values aren't made anew for each point.
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    got = once(F.split(text, " "), lambda t: once(F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), number), lambda v: row(t, v)))
     return F.when(text != "", got)
 
 

@@ -239,3 +239,12 @@ def test_ratio_crop_against_a_loop(spark):
     assert got[0] == ("1:1", 86, 36, 114, 64)
     assert got[3] == ("1:1", 50, 0, 150, 100)
     assert got[1][0] == "2:1" and got[2][0] == "2:1" and got[4] == ("2:1", 0, 0, 200, 100)
+
+
+def test_a_line_of_very_many_points(spark):
+    """No value of a line is cut off, and each is read once."""
+    n = 50_000
+    line = "0 0.5 0.5 0.1 0.1 " + " ".join(f"0.{k % 10} 0.5 {k % 3}" for k in range(n))
+    df = spark.createDataFrame([(line,)], "line string").select(labels.parse_line(F.col("line")).alias("p"))
+    r = df.select(F.size("p.kpts").alias("n"), F.element_at("p.kpts", -1).alias("last"), "p.error").first()
+    assert (r.n, r.error, tuple(r.last)) == (n, None, ((n - 1) % 10 / 10, 0.5, float((n - 1) % 3)))
