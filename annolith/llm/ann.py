@@ -218,10 +218,11 @@ def _nearest(entries: DataFrame, queries: DataFrame, shared: Broadcast, radius:
         if len(q) and len(v):
             first = np.array([i[0] for i in ids])
             block, codes = Block(model.encode(v)), model.encode(q)
-            norm = np.linalg.norm(v, axis=1)
+            # Row by row, so a score doesn't depend on the row's place.
+            norm = np.sqrt((v * v).sum(1))
             for a, code, vec in zip(qid, codes, q, strict=True):
                 at = block.within(code, radius)
-                score = (v[at] @ vec) / (norm[at] * np.linalg.norm(vec))
+                score = (v[at] * vec).sum(1) / (norm[at] * np.sqrt((vec * vec).sum()))
                 best = np.lexsort((first[at], -score))[: k + 1]
                 out += [(int(a), float(score[b]), ids[at[b]]) for b in best]
         return pa.table({"qid": pa.array([o[0] for o in out], pa.int64()), "score": pa.array([o[1] for o in out], pa.float64()), "ids": pa.array([o[2] for o in out], pa.list_(pa.int64()))})

@@ -10,7 +10,8 @@ largest mean probability over its words with letters. All letters count: a word
 Defined results
   null text, or no letter   ``und`` with score 0
   null lang                 is not learned from
-  texts of more than ``SAMPLE_CHARS`` characters   are not learned from, but labelled
+  rows without an id, or with another of that id and language   are labelled; one row of an id and language is learned from, none without an id
+  texts of more than ``SAMPLE_CHARS`` characters   are learned from by so many of them, from a place that a hash decides, and labelled whole
   null or repeated id       each row is labelled by itself; a null id isn't held out
   nothing to learn from     ``und`` with score 0 for all
   empty table               no rows
@@ -209,16 +210,22 @@ def fit(texts: pa.Array, labels: list[str], epochs: int = 20, window: int = 48,
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Chain:
-    """Learn from documents with a language that aren't held out: ``sample_docs`` at most, as many of each language as there are."""
+    """Learn from documents with a language that aren't held out: ``sample_docs`` at most, as many of each language as there are.
+
+    They are chosen by their hashed ids, so only the chosen ones' texts are read.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
-    rows = rows.where(F.col("lang").isNotNull() & F.coalesce(quality.remainder(F.col("doc_id"), 3) != 1, F.lit(True)) & (F.length("text") <= SAMPLE_CHARS))
-    keyed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    few = keyed.select("lang", "h").distinct().withColumn("nth", nth).where(F.col("nth") <= sample_docs)
-    chosen = few.orderBy("nth", "lang").limit(sample_docs).select("lang", "h")
+    rows = rows.where(F.col("lang").isNotNull() & F.coalesce(quality.remainder(F.col("doc_id"), 3) != 1, F.lit(False)))
+    keyed = rows.withColumn("h", F.xxhash64("doc_id"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    few = keyed.where(F.col("text").isNotNull()).select("lang", "h", "doc_id").distinct().withColumn("nth", nth).where(F.col("nth") <= sample_docs)
+    chosen = few.orderBy("nth", "lang").limit(sample_docs).select("lang", "h", "doc_id")
     # At most sample_docs rows of SAMPLE_CHARS characters each: a fixed bound.
-    got = keyed.join(F.broadcast(chosen), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("h", "lang", "text").toPandas()
-    got = got.sort_values(["h", "lang"])
+    met = keyed.join(F.broadcast(chosen), ["lang", "h", "doc_id"]).where(F.col("text").isNotNull())
+    start = F.when(F.length("text") > SAMPLE_CHARS, F.pmod("h", F.length("text") - SAMPLE_CHARS + 1).cast("int")).otherwise(0)
+    part = F.substr("text", start + 1, F.lit(SAMPLE_CHARS))
+    got = met.select("h", "doc_id", "lang", part.alias("text")).groupBy("h", "doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
+    got = got.sort_values(["h", "doc_id", "lang"])
     return fit(pa.array(got["text"], pa.string(), from_pandas=True), list(got["lang"]))
 
 

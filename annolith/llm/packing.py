@@ -61,8 +61,12 @@ def cut(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1) -> DataFr
     return rows.mapInArrow(run, PIECES)
 
 
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[tuple[int, ...], float]]:
-    """Gilmore and Gomory's column generation: configurations (count per size) and how often each is used."""
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 4000) -> list[tuple[tuple[int, ...], float]]:
+    """Gilmore and Gomory's column generation: configurations (count per size) and how often each is used.
+
+    It ends when no configuration is worth more than a sequence; after ``rounds`` exchanges, a guard against cycles, with what it has, which
+    holds all pieces as well and may only need more sequences.
+    """
     k = len(sizes)
     columns = [tuple(int(capacity // s) if i == j else 0 for j in range(k)) for i, s in enumerate(sizes)]
     basis = np.diag([float(c[i]) for i, c in enumerate(columns)])

@@ -220,8 +220,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample_rows)
     # At most sample_rows rows of two numbers: a fixed bound.
     met = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    # An id that very many rows have gives very many pairs; rows of numbers, of which so many are taken.
-    rows = _features_of(met).limit(2 * sample_rows).toPandas()
+    # An id that very many rows have gives very many pairs; rows of numbers, of which so many are taken, by hash, so reruns take the same.
+    rows = _features_of(met).orderBy(F.xxhash64("quality", *FEATURES), "quality", *FEATURES).limit(2 * sample_rows).toPandas()
     rows = rows.sort_values(["quality", *FEATURES])
     return fit(rows[FEATURES].to_numpy(np.float32), rows["quality"].to_numpy(float))
 

@@ -91,6 +91,16 @@ def test_damaged_archive(spark, tmp_path):
 
 
 # --- neighbours --------------------------------------------------------------------------------
+def test_scaled_copies_are_equally_near(spark):
+    """Copies of a vector in other lengths have one score, wherever they stand in a block, so the smaller ids come first."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((40, 24))
+    rows = [(100 + 40 * k + i, (v * 2.0**k).tolist()) for k in range(8) for i, v in enumerate(base)]
+    df = spark.createDataFrame([*rows, (50, base[3].tolist())], "vec_id long, embedding array<double>")
+    got = ann.search(df).where("query_id = 50").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [103, 143, 183, 223, 263] and len({r.score for r in got}) == 1
+
+
 def test_neighbours(spark):
     e = spark.read.parquet(f"{D}/embeddings.parquet").select("vec_id", "embedding")
     odd = spark.createDataFrame([(900, None), (950, [0.0] * 64), (1000, [float("nan")] * 64), (1050, [None] * 64), (None, [1.0] * 64)], "vec_id long, embedding array<float>")
