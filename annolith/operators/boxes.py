@@ -77,81 +77,67 @@ def recentre_for_crop(boxes: DataFrame, crops: DataFrame) -> DataFrame:
 LADDER = [((1, 2), (2, 1)), ((3, 4), (4, 3)), ((2, 3), (3, 2))]
 
 
-def _candidates() -> Column:
-    """Crops to try: place in the ladder, whether around the padded envelope, ratio (0: the largest square)."""
+def _candidates() -> list[tuple[int, int, bool, int, int]]:
+    """Crops to try: number, place in the ladder, whether around the padded envelope, ratio (0: the largest square)."""
     rows = [(0, True, 1, 1), (1, False, 0, 0)]
     for padded in (True, False):
         rows += [(len(LADDER) * (not padded) + k + 2, padded, a, b) for k, pair in enumerate(LADDER) for a, b in pair]
-    return F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(s).alias("step"), F.lit(p).alias("padded"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (s, p, a, b) in enumerate(rows)])
+    return [(i, *r) for i, r in enumerate(rows)]
 
 
-def _let(items: Column, **new) -> Column:
-    """Each struct of an array with more fields; a field is a function of the struct as it was."""
-    return F.transform(items, lambda c: _extended(c, new))
+def _span(df: DataFrame, lo: str, hi: str, size: str, limit: str, out: str) -> DataFrame:
+    """Add where a span of a size begins around lo..hi, as central as 0..limit allows; ``out``_ok says whether it fits."""
+    df = df.withColumns({"_first": F.greatest(F.lit(0.0), F.col(hi) - F.col(size)), "_last": F.least(F.col(lo), F.col(limit) - F.col(size))})
+    near = (F.col("_first") > F.col("_last")) & (F.col("_first") - F.col("_last") <= 1e-6)
+    df = df.withColumn("_first", F.when(near, F.col("_last")).otherwise(F.col("_first")))
+    middle = (F.col(lo) + F.col(hi)) / 2 - F.col(size) / 2
+    return df.withColumns({f"{out}_ok": F.col("_first") <= F.col("_last"), out: F.greatest("_first", F.least(F.col("_last"), middle))}).drop("_first", "_last")
 
 
-def _extended(c: Column, new: dict) -> Column:
-    out = c
-    for k, f in new.items():
-        out = out.withField(k, f(c))
-    return out
-
-
-def _span(lo: str, hi: str, size: str, limit: str, out: str) -> list[dict]:
-    """Steps that put a span of a size around lo..hi, as central as 0..limit allows; ``out``_ok says whether it fits."""
-    first, last = f"_{out}_first", f"_{out}_last"
-    return [
-        {first: lambda c: F.greatest(F.lit(0.0), c[hi] - c[size]), last: lambda c: F.least(c[lo], F.col(limit) - c[size])},
-        {first: lambda c: F.when((c[first] > c[last]) & (c[first] - c[last] <= 1e-6), c[last]).otherwise(c[first])},
-        {f"{out}_ok": lambda c: c[first] <= c[last], out: lambda c: F.greatest(c[first], F.least(c[last], (c[lo] + c[hi]) / 2 - c[size] / 2))},
-    ]
+def _with_crop(e: DataFrame, padding: float) -> DataFrame:
+    """Add the crop (left, top, right, bottom) of the candidate ``_c`` (step, padded, a, b), and whether it ``fits``."""
+    raw = ("min_x", "min_y", "max_x", "max_y")
+    square, padded = F.col("_c.a") == 0, F.col("_c.padded")
+    bw, bh = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
+    lim = [F.col("width").cast("double"), F.col("height").cast("double")] * 2
+    wide = [g.clamp(F.col(c) + s * d * padding, 0.0, m) for c, s, d, m in zip(raw, (-1, -1, 1, 1), (bw, bh) * 2, lim, strict=True)]
+    e = e.withColumns({n: F.when(padded & (bw > 0) & (bh > 0), v).otherwise(F.col(c)) for n, v, c in zip(("_x1", "_y1", "_x2", "_y2"), wide, raw, strict=True)})
+    e = e.withColumns({"_rw": F.col("_x2") - F.col("_x1"), "_rh": F.col("_y2") - F.col("_y1"), "_side": F.least("width", "height").cast("double"), "_ratio": F.when(square, 1.0).otherwise(F.col("_c.a") / F.greatest(F.lit(1), F.col("_c.b")))})
+    e = e.withColumn("_w0", F.greatest(F.col("_rw"), F.col("_rh") * F.col("_ratio")))
+    low = F.col("_w0") / F.col("_ratio") < F.col("_rh")
+    e = e.withColumns({
+        "_tw": F.when(square, F.col("_side")).when(low, F.col("_rh") * F.col("_ratio")).otherwise(F.col("_w0")),
+        "_th": F.when(square, F.col("_side")).when(low, F.col("_rh")).otherwise(F.col("_w0") / F.col("_ratio")),
+        "fits": F.when(square, (F.col("_rw") <= F.col("_side")) & (F.col("_rh") <= F.col("_side"))).otherwise((F.col("_rw") > 0) & (F.col("_rh") > 0)),
+    })
+    e = _span(_span(e, "_x1", "_x2", "_tw", "width", "_fx"), "_y1", "_y2", "_th", "height", "_fy")
+    e = e.withColumns({"left": g.clamp(F.floor("_fx").cast("int"), F.lit(0), F.col("width") - 1), "top": g.clamp(F.floor("_fy").cast("int"), F.lit(0), F.col("height") - 1)})
+    e = e.withColumns({"right": g.clamp(F.ceil(F.col("_fx") + F.col("_tw")).cast("int"), F.col("left") + 1, F.col("width")), "bottom": g.clamp(F.ceil(F.col("_fy") + F.col("_th")).cast("int"), F.col("top") + 1, F.col("height"))})
+    return e.withColumn("fits", F.col("fits") & (F.col("_tw") > 0) & (F.col("_th") > 0) & (F.col("_tw") <= F.col("width")) & (F.col("_th") <= F.col("height")) & F.col("_fx_ok") & F.col("_fy_ok"))
+
+
+#: A candidate's place in the order is one number: step, then area (44 bits), then its number (4 bits).
+_AREA, _NTH = 1 << 44, 1 << 4
 
 
 def ratio_crop(envelopes: DataFrame, padding: float = 0.2) -> DataFrame:
     """The first crop that fits: a square around the padded envelope, the image's largest square, a
     ratio of the ladder around the padded, then around the bare envelope. ``ratio`` is null if none does.
 
-    All candidates of an image are an array, worked on field by field, so the plan stays small.
+    An image becomes a row per candidate, of which one number goes into a minimum, so all of it is generated code; the crop of the
+    candidate that wins is worked out again. Images have fewer than 2 ** 44 pixels.
     """
-    e = envelopes
-    raw = ("min_x", "min_y", "max_x", "max_y")
-    rw, rh = F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y")
-    lim = [F.col("width").cast("double"), F.col("height").cast("double")] * 2
-    wide = [g.clamp(F.col(c) + s * d * padding, 0.0, m) for c, s, d, m in zip(raw, (-1, -1, 1, 1), (rw, rh) * 2, lim, strict=True)]
-    e = e.withColumns({f"_p{k}": F.when((rw > 0) & (rh > 0), v).otherwise(F.col(c)) for k, (v, c) in enumerate(zip(wide, raw, strict=True))})
-    corner = {name: (lambda c, k=k: F.when(c["padded"], F.col(f"_p{k}")).otherwise(F.col(raw[k]))) for k, name in enumerate(("x1", "y1", "x2", "y2"))}
-    side = F.least("width", "height").cast("double")
-    square = lambda c: c["a"] == 0
-    steps = [
-        corner,
-        {"rw": lambda c: c["x2"] - c["x1"], "rh": lambda c: c["y2"] - c["y1"]},
-        {"ratio": lambda c: F.when(square(c), 1.0).otherwise(c["a"] / F.greatest(F.lit(1), c["b"]))},
-        {"w0": lambda c: F.greatest(c["rw"], c["rh"] * c["ratio"])},
-        {"low": lambda c: c["w0"] / c["ratio"] < c["rh"]},
-        {
-            "tw": lambda c: F.when(square(c), side).when(c["low"], c["rh"] * c["ratio"]).otherwise(c["w0"]),
-            "th": lambda c: F.when(square(c), side).when(c["low"], c["rh"]).otherwise(c["w0"] / c["ratio"]),
-            "fits": lambda c: F.when(square(c), (c["rw"] <= side) & (c["rh"] <= side)).otherwise((c["rw"] > 0) & (c["rh"] > 0)),
-        },
-        *_span("x1", "x2", "tw", "width", "fx"),
-        *_span("y1", "y2", "th", "height", "fy"),
-        {"left": lambda c: g.clamp(F.floor(c["fx"]).cast("int"), F.lit(0), F.col("width") - 1), "top": lambda c: g.clamp(F.floor(c["fy"]).cast("int"), F.lit(0), F.col("height") - 1)},
-        {"right": lambda c: g.clamp(F.ceil(c["fx"] + c["tw"]).cast("int"), c["left"] + 1, F.col("width")), "bottom": lambda c: g.clamp(F.ceil(c["fy"] + c["th"]).cast("int"), c["top"] + 1, F.col("height"))},
-    ]
-    items = _candidates()
-    for new in steps:
-        items = _let(items, **new)
-    good = F.filter(items, lambda c: c["fits"] & (c["tw"] > 0) & (c["th"] > 0) & (c["tw"] <= F.col("width")) & (c["th"] <= F.col("height")) & c["fx_ok"] & c["fy_ok"])
-    kept = F.transform(
-        good,
-        lambda c: F.struct(
-            c["step"].alias("step"), ((c["right"] - c["left"]) * (c["bottom"] - c["top"])).alias("area"), c["nth"].alias("nth"),
-            *[c[k].alias(k) for k in ("left", "top", "right", "bottom")], F.greatest(F.lit(1), c["a"]).alias("a"), F.greatest(F.lit(1), c["b"]).alias("b"),
-        ),
-    )
-    e = e.withColumn("_best", F.array_min(kept))
-    ratio = F.when(F.col("_best").isNotNull(), F.concat_ws(":", F.col("_best.a").cast("string"), F.col("_best.b").cast("string")))
-    return e.select("image_id", "width", "height", *[F.col(f"_best.{c}").alias(c) for c in ("left", "top", "right", "bottom")], ratio.alias("ratio"), F.col("_best.a").alias("_a"), F.col("_best.b").alias("_b"))
+    keys = ("image_id", "width", "height", "min_x", "min_y", "max_x", "max_y")
+    table = F.array(*[F.struct(F.lit(i).alias("nth"), F.lit(s).alias("step"), F.lit(p).alias("padded"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, s, p, a, b in _candidates()])
+    tried = _with_crop(envelopes.select(*keys, F.explode(table).alias("_c")), padding)
+    area = (F.col("right") - F.col("left")).cast("long") * (F.col("bottom") - F.col("top"))
+    place = (F.col("_c.step").cast("long") * _AREA + area) * _NTH + F.col("_c.nth")
+    best = tried.groupBy(*keys).agg(F.min(F.when(F.col("fits"), place)).alias("_best"))
+    won = _with_crop(best.withColumn("_c", F.get(table, (F.col("_best") % _NTH).cast("int"))), padding)
+    a, b = F.greatest(F.lit(1), F.col("_c.a")), F.greatest(F.lit(1), F.col("_c.b"))
+    have = F.col("_best").isNotNull()
+    ratio = F.when(have, F.concat_ws(":", a.cast("string"), b.cast("string")))
+    return won.select("image_id", "width", "height", *[F.when(have, F.col(c)).alias(c) for c in ("left", "top", "right", "bottom")], ratio.alias("ratio"), F.when(have, a).alias("_a"), F.when(have, b).alias("_b"))
 
 
 def even_ratio_crop(crops: DataFrame) -> DataFrame:

@@ -69,14 +69,15 @@ def inside_once(base: DataFrame, other: DataFrame, least: float = 0.5) -> DataFr
     return _fold(_lists(base, other, ["x1", "y1", "x2", "y2"], ["kpts"]), f"{ratio} > 0 AND {ratio} >= {float(least)}D", f"named_struct('r', -{ratio}, 'n', -{hit})", "-m.key.r")
 
 
-def best_face(base: DataFrame, other: DataFrame, least_iou: float = 0.45, most: float = 0.05) -> DataFrame:
+def best_face(base: DataFrame, other: DataFrame, least_iou: float = 0.45, most: float = 0.05, apart: bool = False) -> DataFrame:
     """For each base row the partner with the largest IoU above ``least_iou``, else the nearest face centre
-    closer than ``most``. A partner may serve several rows. Rows have corner boxes and face means fx, fy."""
+    closer than ``most``. A partner may serve several rows. Rows have corner boxes and face means fx, fy.
+    With ``apart`` a row isn't its own partner: for tables joined with themselves."""
     from ..functions import geometry as g
 
     a, b = base.alias("a"), other.alias("b")
     box = lambda p: tuple(F.col(f"{p}.{c}") for c in ("x1", "y1", "x2", "y2"))
-    both = a.join(b, F.col("a.image_id") == F.col("b.image_id"))
+    both = a.join(b, (F.col("a.image_id") == F.col("b.image_id")) & (F.col("a.obj_idx") != F.col("b.obj_idx") if apart else F.lit(True)))
     both = both.select("a.image_id", F.col("a.obj_idx").alias("base_idx"), F.col("b.obj_idx").alias("other_idx"), g.iou(box("a"), box("b")).alias("iou"), g.distance(F.col("a.fx"), F.col("a.fy"), F.col("b.fx"), F.col("b.fy")).alias("dist"))
     near = F.col("dist") < most
     best = both.groupBy("image_id", "base_idx").agg(

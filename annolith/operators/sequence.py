@@ -16,15 +16,24 @@ def near_duplicates(frames: DataFrame, feature: str, most: float) -> DataFrame:
 def block_duplicates(frames: DataFrame, pixels: str, width: int, block: int, most: float) -> DataFrame:
     """Frames that differ from the one before by ``most`` at most in every square block: the largest of the blocks' mean differences.
 
-    ``pixels``: an array of grey values, row by row. Frames of another size than the one before, and the first, aren't compared.
+    ``pixels``: an array of grey values, row by row. Frames of another size than the one before, and the first, aren't compared. Blocks are sums over
+    slices of the array, so a frame stays one row.
     """
     w = Window.partitionBy("seq_id").orderBy("frame_index")
-    both = frames.withColumn("_before", F.lag(pixels).over(w)).where(F.size("_before") == F.size(pixels))
-    change = both.select("seq_id", "frame_index", F.posexplode(F.zip_with(pixels, "_before", lambda a, b: F.abs(a - b))).alias("_at", "_d"))
-    across = -(-width // block)
-    tile = F.expr(f"(_at div {width * block}) * {across} + (_at % {width}) div {block}")
-    means = change.groupBy("seq_id", "frame_index", tile.alias("_tile")).agg(F.avg("_d").alias("_mean"))
-    return means.groupBy("seq_id", "frame_index").agg(F.max("_mean").alias("difference")).where(F.col("difference") <= most)
+    both = frames.withColumn("_before", F.lag(pixels).over(w)).where((F.size("_before") == F.size(pixels)) & (F.size(pixels) > 0))
+    both = both.select("seq_id", "frame_index", F.zip_with(pixels, "_before", lambda a, b: F.abs(a - b)).alias("_d"))
+    rows = F.ceil(F.size("_d") / width).cast("int")
+    starts = lambda n: F.sequence(F.lit(0), n - 1, F.lit(block))
+
+    def mean(top: Column, left: Column) -> Column:
+        """Of the block that begins there; blocks at the right and lower edges are smaller."""
+        lines = F.sequence(top, F.least(top + block, rows) - 1)
+        inside = F.flatten(F.transform(lines, lambda y: F.slice("_d", y * width + left + 1, F.least(F.lit(block), F.lit(width) - left))))
+        sums = F.aggregate(inside, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, v: F.struct((a["s"] + v).alias("s"), (a["n"] + 1).alias("n")))
+        return sums["s"] / sums["n"]
+
+    means = F.flatten(F.transform(starts(rows), lambda top: F.transform(starts(F.lit(width)), lambda left: mean(top, left))))
+    return both.select("seq_id", "frame_index", F.array_max(means).alias("difference")).where(F.col("difference") <= most)
 
 
 def in_range(frames: DataFrame, start: int, end: int | None = None) -> DataFrame:

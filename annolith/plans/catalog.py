@@ -130,9 +130,32 @@ def crop_recentre(s, d):
     return micros(bx.recentre_for_crop(fx.view(s, d, "boxes"), bx.margin_crop(_env(s, d))), ["image_id", "obj_idx", "class_id"], BOX)
 
 
-@query()
+_LADDER = [(0, 0, "true", 1, 1), (1, 1, "false", 0, 0)] + [(2 + 6 * (not wide) + 2 * k + n, 2 + 3 * (not wide) + k, "true" if wide else "false", a, b) for wide in (True, False) for k, pair in enumerate(bx.LADDER) for n, (a, b) in enumerate(pair)]
+
+
+@query(f"""WITH {_ENV},
+p AS (SELECT *, max_x - min_x bw, max_y - min_y bh FROM e), q AS (SELECT *, bw > 0 AND bh > 0 whole FROM p),
+c AS (SELECT q.*, nth, step, a, b, CASE WHEN wide AND whole THEN greatest(0, least(width, min_x - bw * 0.2::DOUBLE)) ELSE min_x END x1, CASE WHEN wide AND whole THEN greatest(0, least(height, min_y - bh * 0.2::DOUBLE)) ELSE min_y END y1,
+ CASE WHEN wide AND whole THEN greatest(0, least(width, max_x + bw * 0.2::DOUBLE)) ELSE max_x END x2, CASE WHEN wide AND whole THEN greatest(0, least(height, max_y + bh * 0.2::DOUBLE)) ELSE max_y END y2
+ FROM q CROSS JOIN (VALUES {", ".join(map(str, _LADDER)).replace("'", "")}) l(nth, step, wide, a, b)),
+t0 AS (SELECT *, x2 - x1 rw, y2 - y1 rh, a::DOUBLE / greatest(1, b) ratio, least(width, height)::DOUBLE side FROM c),
+t1 AS (SELECT *, CASE WHEN a = 0 THEN side ELSE greatest(rw, rh * ratio) END w0 FROM t0),
+t2 AS (SELECT *, CASE WHEN a = 0 THEN side WHEN w0 / ratio < rh THEN rh * ratio ELSE w0 END tw, CASE WHEN a = 0 THEN side WHEN w0 / ratio < rh THEN rh ELSE w0 / ratio END th, CASE WHEN a = 0 THEN rw <= side AND rh <= side ELSE rw > 0 AND rh > 0 END fits FROM t1),
+s0 AS (SELECT *, greatest(0, x2 - tw) l0, least(x1, width - tw) l9, greatest(0, y2 - th) t0, least(y1, height - th) t9 FROM t2 WHERE fits AND tw > 0 AND th > 0 AND tw <= width AND th <= height),
+s1 AS (SELECT * REPLACE (CASE WHEN l0 > l9 AND l0 - l9 <= 1e-6 THEN l9 ELSE l0 END AS l0, CASE WHEN t0 > t9 AND t0 - t9 <= 1e-6 THEN t9 ELSE t0 END AS t0) FROM s0),
+s2 AS (SELECT *, greatest(l0, least(l9, (x1 + x2) / 2 - tw / 2)) lx, greatest(t0, least(t9, (y1 + y2) / 2 - th / 2)) ty FROM s1 WHERE l0 <= l9 AND t0 <= t9),
+s3 AS (SELECT *, greatest(0, least(width - 1, CAST(floor(lx) AS INT))) li, greatest(0, least(height - 1, CAST(floor(ty) AS INT))) ti FROM s2),
+s4 AS (SELECT *, greatest(li + 1, least(width, CAST(ceil(lx + tw) AS INT))) ri, greatest(ti + 1, least(height, CAST(ceil(ty + th) AS INT))) bi FROM s3),
+o AS (SELECT *, greatest(1, a) ra, greatest(1, b) rb FROM s4 QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY step, CAST(ri - li AS BIGINT) * (bi - ti), nth) = 1),
+u0 AS (SELECT e.image_id, e.width, e.height, li, ti, ri, bi, ra, rb, CAST(floor(least((ri - li) / ra::DOUBLE, (bi - ti) / rb::DOUBLE)) AS INT) un FROM e LEFT JOIN o ON o.image_id = e.image_id),
+u1 AS (SELECT *, un - un % 2 unit, (un - un % 2) * ra nw, (un - un % 2) * rb nh FROM u0),
+u2 AS (SELECT *, ra IS NOT NULL AND ri - li > 1 AND bi - ti > 1 AND unit >= 1 use_, greatest(0, least(width - nw, CAST(round_even((li + ri) / 2 - nw / 2, 0) AS INT))) nl, greatest(0, least(height - nh, CAST(round_even((ti + bi) / 2 - nh / 2, 0) AS INT))) nt FROM u1)
+SELECT image_id, width, height, coalesce(CASE WHEN use_ THEN nl ELSE li END, -1) AS "left", coalesce(CASE WHEN use_ THEN nt ELSE ti END, -1) top, coalesce(CASE WHEN use_ THEN nl + nw ELSE ri END, -1) AS "right",
+ coalesce(CASE WHEN use_ THEN nt + nh ELSE bi END, -1) bottom, coalesce(ra || ':' || rb, '') ratio FROM u2""", "images", "boxes")
 def envelope_pad_ratio_crop(s, d):
-    return bx.even_ratio_crop(bx.ratio_crop(_env(s, d)))
+    """-1 and no text where no crop fits."""
+    c = bx.even_ratio_crop(bx.ratio_crop(_env(s, d)))
+    return c.select("image_id", "width", "height", *[F.coalesce(k, F.lit(-1)).alias(k) for k in ("left", "top", "right", "bottom")], F.coalesce("ratio", F.lit("")).alias("ratio"))
 
 
 def _turn_sql(angle: int) -> str:
@@ -477,14 +500,7 @@ def face_match_iou_or_center(s, d):
 
 def _best_other(a: DataFrame) -> DataFrame:
     """Partners among the other objects of the same image."""
-    marked = a.withColumn("own", F.col("obj_idx"))
-    out = []
-    for k in range(4):  # objects of an image are numbered 0 to 3 in this table
-        out.append(mt.best_face(marked.where(F.col("own") == k), marked.where(F.col("own") != k), 0.3, 0.3))
-    r = out[0]
-    for x in out[1:]:
-        r = r.unionByName(x)
-    return r.select("image_id", "base_idx", "other_idx")
+    return mt.best_face(a, a, 0.3, 0.3, apart=True).select("image_id", "base_idx", "other_idx")
 
 
 def _costs(s, d):
@@ -503,7 +519,15 @@ def pair_cost(s, d):
     return _costs(s, d).select("image_id", "a_idx", "b_idx", F.floor(F.col("cost") * 1000 + 0.5).alias("cost_m"))
 
 
-@query()
+@query(f"""WITH p AS (SELECT a.image_id, a.obj_idx a_idx, b.obj_idx b_idx, sqrt((a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy)) / sqrt(2::DOUBLE) dd, {_overlap('a', 'b')} i, {_area('a')} aa, {_area('b')} bb
+ FROM {_PBOX} a JOIN {_PBOX} b ON a.image_id = b.image_id AND a.vec_id % 2 = 0 AND b.vec_id % 2 = 1),
+c AS (SELECT image_id, a_idx, b_idx, 0.75::DOUBLE * dd + 0.25::DOUBLE * (1 - {_IOU}) cost FROM p), n AS (SELECT image_id, count(DISTINCT a_idx) rows_ FROM c GROUP BY 1),
+m AS (SELECT image_id, a_idx a1, b_idx b1, cost c1, NULL a2, NULL b2, NULL c2, cost + 0.65::DOUBLE * (rows_ - 1) total FROM c JOIN n USING (image_id)
+ UNION ALL SELECT x.image_id, x.a_idx, x.b_idx, x.cost, y.a_idx, y.b_idx, y.cost, x.cost + y.cost FROM c x JOIN c y ON x.image_id = y.image_id AND x.a_idx < y.a_idx AND x.b_idx <> y.b_idx
+ UNION ALL SELECT image_id, NULL, NULL, NULL, NULL, NULL, NULL, 0.65::DOUBLE * rows_ FROM n),
+w AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY total) = 1),
+u AS (SELECT image_id, a1 a_idx, b1 b_idx, c1 cost FROM w UNION ALL SELECT image_id, a2, b2, c2 FROM w)
+SELECT image_id, CAST(a_idx AS BIGINT) a_idx, CAST(b_idx AS BIGINT) b_idx, {M('cost')} cost_u FROM u WHERE cost <= 0.55""", "pose_box")
 def optimal_assignment(s, d):
     return micros(mt.assign(_costs(s, d)), ["image_id", "a_idx", "b_idx"], ["cost"])
 
