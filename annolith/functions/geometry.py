@@ -76,3 +76,23 @@ def readable_bytes(n: Column) -> Column:
         tenths = F.floor(n * 10 / F.lit(float(1024**k)) + 0.5)
         out = F.when(n >= 1024**k, F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(f" {unit}"))).otherwise(out)
     return out
+
+
+def resize_plan(width: Column, height: Column, ending: Column, most: int, as_jpeg: bool = False) -> Column:
+    """struct<resize, width, height, ending, unchanged>: a picture's size with its longer side at most ``most`` (halves to even, at least 1), the ending it gets, and whether nothing is to do.
+
+    HEIC and HEIF become jpg, with ``as_jpeg`` all do. Null sizes give null.
+    """
+    longer = F.greatest(width, height)
+    needs = longer > most
+    scale = F.when(needs, longer / F.lit(float(most))).otherwise(1.0)
+    side = lambda v: F.greatest(F.lit(1), F.rint(v / scale).cast("int"))
+    old = F.lower(ending)
+    new = F.when(old.isin("heic", "heif") | F.lit(as_jpeg), "jpg").otherwise(old)
+    got = F.struct(needs.alias("resize"), side(width).alias("width"), side(height).alias("height"), new.alias("ending"), (~needs & (new == old)).alias("unchanged"))
+    return F.when(width.isNotNull() & height.isNotNull(), got)
+
+
+def cut_height(height: Column, cut: int) -> Column:
+    """What is left of a frame's height without ``cut`` rows above and below; null if that is nothing."""
+    return F.when(height > 2 * cut, height - 2 * cut)

@@ -146,6 +146,20 @@ def eye_tilt(kpts: Column, w: Column, h: Column) -> Column:
     return F.when((dx == 0) & (dy == 0), F.lit(90.0)).otherwise(F.degrees(F.atan2(dy, dx)))
 
 
+def seen_point(kpts: Column, k: int, inside: bool = False) -> Column:
+    """The k-th point if it is valid (and, with ``inside``, within the frame), else null."""
+    p = F.get(kpts, k)
+    ok = valid(p)
+    if inside:
+        ok = ok & (p["x"] >= 0) & (p["x"] <= 1) & (p["y"] >= 0) & (p["y"] <= 1)
+    return F.when(ok, p)
+
+
+def of_class(class_id: Column, changed: Column, kpts: Column, wanted: int = 0) -> Column:
+    """Changed points for one class; other classes' (and null's) pass as they are."""
+    return F.when(F.coalesce(class_id == wanted, F.lit(False)), changed).otherwise(kpts)
+
+
 def edges(kpts: Column) -> Column:
     """Edges whose ends are both seen: array of struct<edge, x1, y1, x2, y2>."""
     table = F.array(*[F.struct(F.lit(i).alias("edge"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, (a, b) in enumerate(EDGES)])

@@ -79,6 +79,26 @@ def parse_files(files: DataFrame, dialect: str = "strict", on_error: str = "fail
     return rows.join(broken, "stem", "left_anti")
 
 
+def raw_lines(files: DataFrame) -> DataFrame:
+    """Lines of label files that aren't blank, as they are: stem, line_no, line."""
+    lines = files.select("stem", F.posexplode(F.split("raw", "\r?\n")).alias("line_no", "line"))
+    return lines.where(F.trim(F.regexp_replace("line", r"\s+", " ")) != "")
+
+
+def pose_entries(files: DataFrame, class_id: int = 0) -> DataFrame:
+    """Lines of one class with a whole box, read leniently: the sources that labels are carried forward from. A line that isn't numbers fails the job."""
+    rows = parse_files(files, "lenient", "fail").where(F.col("error").isNull())
+    return rows.where((F.col("class_id") == class_id) & F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()).drop("error")
+
+
+def pose_files(files: DataFrame, points: int | None = None) -> DataFrame:
+    """Per label file: lines that can be read as poses, lines that can't, and poses with another number of points than ``points``."""
+    p = F.transform(F.split("raw", "\r?\n"), lambda line: parse_line(line, "pose"))
+    read = F.filter("_p", lambda r: r.isNotNull() & r["error"].isNull())
+    odd = F.size(F.filter(read, lambda r: F.size(r["kpts"]) != points)) if points is not None else F.lit(0)
+    return files.select("stem", p.alias("_p")).select("stem", F.size(read).alias("poses"), F.size(F.filter("_p", lambda r: r["error"].isNotNull())).alias("skipped"), odd.alias("mismatched"))
+
+
 def file_states(images: DataFrame, files: DataFrame) -> DataFrame:
     """stem and state: missing, empty or labelled."""
     n = F.size(F.filter(F.split("raw", "\n"), lambda x: F.trim(x) != ""))

@@ -144,6 +144,53 @@ def next_page(html: Column, base: Column, current: Column) -> Column:
     return F.array_min(known)["url"]
 
 
+def of_search_host(url: Column) -> Column:
+    """The search host's own domains."""
+    netloc = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+    own = netloc.endswith("google.com")
+    for name in ("googleusercontent.com", "gstatic.com", "googleadservices.com"):
+        own = own | netloc.endswith(name)
+    return own | (netloc == "") | url.contains("webcache.googleusercontent.com")
+
+
+def _web(urls: Column) -> Column:
+    return F.array_distinct(F.filter(urls, lambda u: u.startswith("http://") | u.startswith("https://")))
+
+
+def result_links(html: Column) -> Column:
+    """Distinct pages that a result page links to through redirects, without the search host's own, in order."""
+    # Fixed value: how result pages link.
+    return F.filter(_web(F.transform(found(html, ['href="/url\\?q=([^&"]+)']), clean)), lambda u: ~of_search_host(u))
+
+
+def escaped_result_links(html: Column) -> Column:
+    """The same for pages that keep them in escaped attributes."""
+    # Fixed value: where such pages keep them.
+    return _web(F.transform(found(unescaped(html), ['"img_href"\\s*:\\s*"([^"]+)"']), clean))
+
+
+def picture_answer(status: Column, kind: Column) -> Column:
+    """Whether an answer brings a picture: status 200 and a kind of content that says so."""
+    return F.coalesce((status == 200) & F.lower(kind).contains("image"), F.lit(False))
+
+
+def name_part(text: Column, default: str = "video", most: int = 80) -> Column:
+    """Letters, digits, dot, dash and underscore; characters beyond ASCII go, others become one underscore a run; no marks at the ends; ``default`` if nothing is left."""
+    plain = F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\x00-\x7F]", "")
+    kept = F.regexp_replace(F.regexp_replace(plain, r"[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", "")
+    return F.left(F.when(kept == "", F.lit(default)).otherwise(kept), F.lit(most))
+
+
+def video_name(number: Column, extractor: Column, page: Column, url: Column, users: list[Column]) -> Column:
+    """What a video's file is called: its id; with some hosts the first of ``users`` that isn't blank stands before it. ``page`` null: ``url``."""
+    own = name_part(number)
+    kind, at = F.lower(F.coalesce(extractor, F.lit(""))), F.lower(F.coalesce(page, url, F.lit("")))
+    tube = kind.contains("youtube") | at.contains("youtu")
+    named = ~tube & (kind.contains("tiktok") | at.contains("tiktok.com"))
+    user = F.coalesce(*[F.nullif(F.trim(u), F.lit("")) for u in users], F.lit("u"))
+    return F.when(named, F.concat(name_part(user, "u", 40), F.lit("_"), own)).otherwise(own)
+
+
 def links(html: Column, relative: bool = False) -> Column:
     """Distinct links of a page, in order: web addresses, or all."""
     urls = F.transform(found(html, ['href="([^"]+)"']), lambda u: F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).otherwise(u))

@@ -174,3 +174,33 @@ def until_enough(rows: DataFrame, order: list, success: str, wanted: int) -> Dat
         raise ValueError("the wanted number must be at least 0")
     counted = ranks.with_sum_before(rows.withColumn("_one", F.col(success).cast("long")), order, "_one", "successes")
     return counted.where(F.col("successes") < wanted).drop("_one")
+
+
+def ordered(rows: DataFrame, by: str = "name", name: str = "name") -> DataFrame:
+    """Rows in one of the orders that tools walk in: ``name`` (by its bytes), ``lower`` (lower case, then its bytes), ``index`` (last number of the name's stem, then lower case; without one, left out)."""
+    from ..functions import urls
+
+    low = [F.lower(name), F.col(name)]
+    if by == "index":
+        return rows.withColumn("index", urls.last_number(urls.stem(F.col(name)))).where("index IS NOT NULL").orderBy("index", *low)
+    if by not in ("name", "lower"):
+        raise ValueError("by must be name, lower or index")
+    return rows.orderBy(*(low if by == "lower" else [F.col(name)]))
+
+
+# How many images a mosaic of each kind takes, and the kinds whose images are also kept as they are.
+GROUP_SIZES = {"square_small": 9, "square_medium": 4, "square_large": 4, "portrait_2": 2, "landscape_2": 2, "portrait_6": 6, "landscape_6": 6, "rest": 4}
+KEPT_KINDS = ("square_large", "portrait_6", "landscape_6", "rest")
+
+
+def planned_outputs(images: DataFrame, kind: str = "kind") -> DataFrame:
+    """Per kind, in order: images, mosaics (each group twice: straight and turned), images kept as they are, and outputs in all; zeros kept."""
+    fixed = images.sparkSession.createDataFrame([(i, k, g, k in KEPT_KINDS) for i, (k, g) in enumerate(GROUP_SIZES.items())], "place int, kind string, _size int, _kept boolean")
+    n = fixed.join(images.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("images")), "kind", "left").withColumn("images", F.coalesce("images", F.lit(0)))
+    n = n.withColumns({"mosaics": F.ceil(F.col("images") / F.col("_size")) * 2, "kept": F.when(F.col("_kept"), F.col("images")).otherwise(0)})
+    return n.select("place", "kind", "images", "mosaics", "kept", (F.col("mosaics") + F.col("kept")).alias("outputs"))
+
+
+def people(detections: DataFrame, on: str = "image_id") -> DataFrame:
+    """Detections of class 0 per image; a detection without a class counts as one. Images without any detection have no row."""
+    return detections.groupBy(on).agg(F.count_if(F.coalesce(F.col("class_id"), F.lit(0)) == 0).alias("people"))

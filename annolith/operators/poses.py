@@ -136,6 +136,14 @@ def turns(poses: DataFrame, images: DataFrame, angles: list[int]) -> DataFrame:
     return out[0]
 
 
+def parse_angles(text: str) -> list[int]:
+    """Right angles of a list like ``90, 270``, each once, in order; blanks between commas don't count. Others, and none, raise ValueError."""
+    parts = [p.strip() for p in text.split(",") if p.strip()]
+    if not parts or not all(p.isdecimal() and int(p) in (90, 180, 270) for p in parts):
+        raise ValueError(f"not right angles: {text!r}")
+    return list(dict.fromkeys(int(p) for p in parts))
+
+
 def extend_with_flip(poses: DataFrame, images: DataFrame) -> DataFrame:
     """Each pose twice on a canvas of double width (portrait) or height: as it is, and mirrored in the other half.
     Only points that are all zeros stay so."""

@@ -673,13 +673,6 @@ def url_provider(s, d):
     return fx.table(s, d, "pages").select("page_id", urls.host(F.col("url")).alias("host"), urls.provider(F.col("url")).alias("provider"))
 
 
-@query("""SELECT page_id, 'https://i.example/' || page_id || '.jpg' url FROM pages""")
-def image_urls(s, d):
-    n = F.col("page_id").cast("string")
-    html = F.concat(F.lit('{"ou" : "https:\\/\\/i.example\\/'), n, F.lit('.jpg"} <a data-iurl="data:x"> <a href="/imgres?imgurl=https%3A%2F%2Fi.example%2F'), n, F.lit('.jpg&x=1">'))
-    return fx.table(s, d, "pages").select("page_id", F.explode(urls.image_urls(html)).alias("url"))
-
-
 _PARAM = lambda k: f"nullif(regexp_extract(q, '(?:^|&){k}=([^&]*)', 1), '')"
 
 
@@ -700,7 +693,7 @@ def page_number(s, d):
     return fx.table(s, d, "pages").select("page_id", urls.page_index(F.col("url")).cast("string").alias("page"))
 
 
-@query()
+@query("""SELECT page_id, unnest(CASE WHEN len(u) = 0 THEN [NULL] ELSE u END) url FROM (SELECT page_id, list_concat(regexp_extract_all(html, '"ou"\\s*:\\s*"(https?:[^"]*)"', 1), regexp_extract_all(html, 'data-iurl="(https?:[^"]*)"', 1)) u FROM pages)""")
 def page_image_urls(s, d):
     """Image addresses in the text of every page; a page without any has one row with null."""
     return fx.table(s, d, "pages").select("page_id", F.explode_outer(urls.image_urls(F.col("html"))).alias("url"))
@@ -714,4 +707,4 @@ _READ = lambda unit, name: f"{_TENTHS(unit)} // 10 || '.' || {_TENTHS(unit)} % 1
 def readable_sizes(s, d):
     return fx.table(s, d, "pages").select("page_id", g.readable_bytes(F.octet_length("html").cast("long")).alias("size"))
 
-from . import dataset_catalog, files_catalog, mosaic_catalog, motion_catalog, pose_catalog  # noqa: E402, F401  their queries are of this catalog
+from . import dataset_catalog, files_catalog, mosaic_catalog, motion_catalog, pose_catalog, scan_catalog  # noqa: E402, F401  their queries are of this catalog

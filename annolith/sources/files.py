@@ -73,6 +73,34 @@ def dataset_tree(spark: SparkSession, path: str, endings: tuple[str, ...] = IMAG
     return listed(spark, path, endings).withColumn("dataset", F.regexp_extract("path", r"/([^/]+)/images/", 1)).where("dataset <> ''")
 
 
+def datasets(spark: SparkSession, path: str, leave: str | None = None, endings: tuple[str, ...] = IMAGES_WIDE) -> tuple[DataFrame, DataFrame]:
+    """Images and label files (dataset, stem, path) of the folders in ``path`` that have both images/ and labels/, but for the one named ``leave``."""
+    files = _listing(spark, path, True)
+    at = files.select("path", "bytes", F.regexp_extract("path", r"([^/]+)/(images|labels)/[^/]+$", 1).alias("dataset"), F.regexp_extract("path", r"([^/]+)/(images|labels)/[^/]+$", 2).alias("side"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ending"))
+    at = at.where((F.col("dataset") != "") & (F.col("dataset") != F.lit(leave or "")))
+    whole = at.groupBy("dataset").agg(F.count_distinct("side").alias("_n")).where("_n = 2").select("dataset")
+    named = at.join(whole, "dataset", "left_semi").select("dataset", urls.stem(F.col("path")).alias("stem"), "path", "side", "ending")
+    return named.where((F.col("side") == "images") & F.col("ending").isin(*endings)).drop("side", "ending"), named.where("side = 'labels' AND ending = 'txt'").drop("side", "ending")
+
+
+def split_tree(spark: SparkSession, path: str, endings: tuple[str, ...] = IMAGES) -> tuple[DataFrame, DataFrame]:
+    """Images and label files (split, stem, path) below images/<split>/ and labels/<split>/; a split that one side lacks is on the other alone."""
+    files = _listing(spark, path, True)
+    parts = files.select("path", F.regexp_extract("path", r"/(images|labels)/([^/]+)/[^/]+$", 1).alias("side"), F.regexp_extract("path", r"/(images|labels)/([^/]+)/[^/]+$", 2).alias("split"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ending"))
+    side = lambda name, ends: parts.where((F.col("side") == name) & F.col("ending").isin(*ends)).select("split", urls.stem(F.col("path")).alias("stem"), "path")
+    return side("images", endings), side("labels", ("txt",))
+
+
+def frames(spark: SparkSession, path: str, endings: tuple[str, ...] = IMAGES) -> DataFrame:
+    """stem, path and frame_index (the last number of the name) of images whose names have a number."""
+    return listed(spark, path, endings).select("stem", "path", urls.last_number(F.col("stem")).alias("frame_index")).where("frame_index IS NOT NULL")
+
+
+def videos(spark: SparkSession, path: str) -> DataFrame:
+    """stem, ending, path and bytes of videos."""
+    return listed(spark, path, VIDEOS)
+
+
 def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for files in batches:
         got = []
@@ -88,6 +116,12 @@ def images(spark: SparkSession, path: str, endings: tuple[str, ...] = IMAGES) ->
     return listed(spark, path, endings).select("stem", "path").mapInPandas(_sizes, "stem string, path string, width int, height int")
 
 
+def any_images(spark: SparkSession, path: str) -> DataFrame:
+    """All files, whatever their endings: stem, path, width, height and ``image``, false for those whose head is no picture's."""
+    every = _listing(spark, path, True).select(urls.stem(F.col("path")).alias("stem"), "path")
+    return every.mapInPandas(_sizes, "stem string, path string, width int, height int").withColumn("image", F.col("width").isNotNull())
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a URL list; blank lines and those that begin with # aren't URLs."""
     return spark.read.text(path).select(F.trim("value").alias("url")).where((F.col("url") != "") & ~F.col("url").startswith("#"))
