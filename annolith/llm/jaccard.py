@@ -51,6 +51,8 @@ LOOK = 5
 SIZE_BITS = 18
 #: Shingles of a block: what one task compares with another block or a pivot.
 BLOCK = 400_000
+#: Rows of a shingle's list that one task sorts; longer lists are dealt to many tasks.
+LIST = 200_000
 #: Rounds in which members are compared with a pivot of their component.
 ROUNDS = 2
 #: Bytes of text that are made into shingles at once.
@@ -212,14 +214,40 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(read, "row").dropDuplicates(["row"]).select("digest", "n", "s")
 
 
+def in_lists(rows: DataFrame, key: str, tag: str) -> DataFrame:
+    """rows: token, n, ``key``. Adds, of the token's list sorted by n and key: a and before (key and n of the row before), after (n of the next), and df, the list's length.
+
+    Lists of more than ``LIST`` rows are dealt in ranges of token, n and key; only the rows at the ends of ranges look beyond them.
+    """
+    lists = Window.partitionBy("token")
+    w = lists.orderBy("n", key)
+    beside = {"a": F.lag(key).over(w), "before": F.lag("n").over(w), "after": F.lead("n").over(w)}
+    # At most one in LIST rows.
+    hot = storage.materialize(rows.groupBy("token").agg(F.count("*").alias("df")).where(F.col("df") > LIST), f"{tag}-long")
+    if not hot.limit(1).count():
+        return rows.withColumns(beside | {"df": F.count("*").over(lists)})
+    short = rows.join(hot, "token", "left_anti").withColumns(beside | {"df": F.count("*").over(lists)})
+    dealt = rows.join(hot, "token").repartitionByRange(storage.partitions(rows.sparkSession), "token", "n", key)
+    dealt = storage.materialize(dealt.withColumn("_range", F.spark_partition_id()), f"{tag}-ranges")
+    part = Window.partitionBy("_range", "token")
+    w = part.orderBy("n", key)
+    near = dealt.withColumns({"a": F.lag(key).over(w), "before": F.lag("n").over(w), "after": F.lead("n").over(w)})
+    # One row per range.
+    ends = dealt.groupBy("_range").agg(F.min(F.struct("token", "n", key)).alias("first"), F.max(F.struct("token", "n", key)).alias("last"))
+    ranges = Window.orderBy("_range")
+    ends = ends.select("_range", F.lag("last").over(ranges).alias("_b"), F.lead("first").over(ranges).alias("_f"))
+    near = near.join(F.broadcast(ends), "_range")
+    behind, ahead = F.col("before").isNull() & (F.col("token") == F.col("_b.token")), F.col("after").isNull() & (F.col("token") == F.col("_f.token"))
+    near = near.withColumns({"a": F.when(behind, F.col(f"_b.{key}")).otherwise(F.col("a")), "before": F.when(behind, F.col("_b.n")).otherwise(F.col("before")), "after": F.when(ahead, F.col("_f.n")).otherwise(F.col("after"))})
+    return short.unionByName(near.select(*short.columns))
+
+
 def rare_first(sets: DataFrame) -> DataFrame:
     """digest, n, s: the shingles that another set of fitting size has, rare ones first; k: of these, the prefix; grp.
 
     Sets that miss more than a linked set may are left out.
     """
-    lists = sets.select(F.explode("s").alias("token"), "n", "digest")
-    w = Window.partitionBy("token").orderBy("n", "digest")
-    lists = lists.withColumns({"before": F.lag("n").over(w), "after": F.lead("n").over(w), "df": F.count("*").over(Window.partitionBy("token"))})
+    lists = in_lists(sets.select(F.explode("s").alias("token"), "n", "digest"), "digest", "jaccard-lists")
     lists = lists.where(fits(F.col("before"), F.col("n")) | fits(F.col("n"), F.col("after")))
     kept = lists.groupBy("digest", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("s"))
     kept = kept.withColumn("k", spare(F.col("n")) + 1 - (F.col("n") - F.size("s"))).where("k > 0").withColumn("k", F.col("k").cast("int"))
@@ -238,8 +266,7 @@ def candidate_edges(sets: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     groups = sets.select("grp", "n", F.slice("s", F.lit(1), F.col("k")).alias("prefix")).groupBy("grp").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    w = Window.partitionBy("token").orderBy("n", "grp")
-    lists = groups.select(F.explode("prefix").alias("token"), "n", "grp").withColumns({"a": F.lag("grp").over(w), "before": F.lag("n").over(w)})
+    lists = in_lists(groups.select(F.explode("prefix").alias("token"), "n", "grp"), "grp", "jaccard-prefixes")
     return lists.where(fits(F.col("before"), F.col("n"))).select("a", F.col("grp").alias("b")).mapInArrow(run, "a long, b long")
 
 

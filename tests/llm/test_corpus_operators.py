@@ -463,6 +463,30 @@ def test_files_of_ids(spark, odd, none, tmp_path):
     assert coder.read_ids(spark, str(tmp_path / "none")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [1, 40])
+def test_long_lists_are_dealt(spark, monkeypatch, rows):
+    """Lists of any length, in many ranges or in one task, give the same neighbours and lengths."""
+    rng = np.random.default_rng(9)
+    given = sorted({(int(t), int(n), int(d)) for t, n, d in zip(rng.choice([1, 1, 1, 2, 3, 4], 600), rng.integers(1, 30, 600), rng.integers(0, 10**6, 600), strict=True)})
+    want = []
+    for k, (t, n, d) in enumerate(given):
+        b, f = given[k - 1] if k and given[k - 1][0] == t else None, given[k + 1] if k + 1 < len(given) and given[k + 1][0] == t else None
+        want.append((t, n, d, b and b[2], b and b[1], f and f[1], sum(x[0] == t for x in given)))
+    monkeypatch.setattr(jaccard, "LIST", rows)
+    df = spark.createDataFrame(given, "token long, n int, digest long").repartition(5)
+    got = jaccard.in_lists(df, "digest", "lists").select("token", "n", "digest", "a", "before", "after", "df").collect()
+    assert sorted(map(tuple, got)) == want
+    none = jaccard.in_lists(df.limit(0), "digest", "lists")
+    assert none.count() == 0
+
+
+def test_long_lists_change_nothing(spark, docs, monkeypatch):
+    """The same classes if every list of two is dealt in ranges."""
+    plain = sorted(map(tuple, jaccard.classes(docs).collect()))
+    monkeypatch.setattr(jaccard, "LIST", 1)
+    assert sorted(map(tuple, jaccard.classes(docs).collect())) == plain and len({r[2] for r in plain}) < len(plain)
+
+
 # --- quality, language -------------------------------------------------------------------------
 def test_quality(spark):
     big = "/root/testdata/sf0.01"
