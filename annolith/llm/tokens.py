@@ -46,20 +46,34 @@ class Encoder:
 
     def _clear(self) -> None:
         self.at: dict[str, int] = {}
-        self.starts: list[int] = [0]
+        #: Where the kept words' ids begin, in parts; the last of a part is where the next begins.
+        self.starts: list[np.ndarray] = [np.zeros(1, np.int64)]
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
 
+    def _append(self, ids: np.ndarray, lengths: np.ndarray, words: list[str]) -> None:
+        need = self.used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
+        self.flat[self.used : need] = ids
+        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.starts.append(self.used + np.cumsum(lengths))
+        self.used = need
+
     def _learn(self, words: list[str]) -> None:
-        for got, word in zip(self.tokenizer.encode_batch_fast(words, add_special_tokens=False), words, strict=True):
-            ids = got.ids
-            need = self.used + len(ids)
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
-            self.flat[self.used : need] = ids
-            self.used = need
-            self.at[word] = len(self.starts) - 1
-            self.starts.append(need)
+        """Words of letters alone are encoded together, a text of some hundreds at a time: the tokenizer numbers its words."""
+        plain = [w for w in words if w.isalpha()]
+        texts = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+        odd = [w for w in words if not w.isalpha()]
+        for part, got in zip(texts, self.tokenizer.encode_batch([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
+            lengths = np.bincount(np.array(got.word_ids, np.int64))
+            if len(lengths) == len(part) and lengths.all():
+                self._append(np.array(got.ids, np.uint32), lengths, part)
+            else:
+                odd += part
+        ids = [got.ids for got in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
+        if odd:
+            self._append(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids]), odd)
 
     def _numbers(self, words: list[str]) -> np.ndarray:
         at = self.at
@@ -70,7 +84,7 @@ class Encoder:
             missing = list(dict.fromkeys(words))
         for k in range(0, len(missing), 20_000):
             self._learn(missing[k : k + 20_000])
-        return np.fromiter((at[w] for w in words), np.int64, len(words))
+        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's ids (one more than texts)."""
@@ -89,11 +103,12 @@ class Encoder:
         split = pc.extract_regex(pc.if_else(plain, low, pa.scalar(None, low.type)), pattern=_TAIL)
         core = pc.coalesce(pc.struct_field(split, 0), low)
         tail = pc.coalesce(pc.struct_field(split, 1), pa.scalar("", pa.large_string()))
-        # One list, so that the store is emptied before both or neither.
-        pieces = core.to_pylist() + tail.to_pylist()
-        numbers = self._numbers(pieces)
-        starts = np.asarray(self.starts, np.int64)
-        a, b = numbers[: len(unique)], numbers[len(unique) :]
+        # One list, so that the store is emptied before both or neither. Tails are few.
+        tails = tail.dictionary_encode()
+        numbers = self._numbers(core.to_pylist() + tails.dictionary.to_pylist())
+        self.starts = [np.concatenate(self.starts)]
+        starts = self.starts[0]
+        a, b = numbers[: len(unique)], numbers[len(unique) :][tails.indices.to_numpy()]
         na, nb = starts[a + 1] - starts[a], starts[b + 1] - starts[b]
         # Each distinct word's ids, then each word's.
         u_ids = _gather(self.flat, np.stack([starts[a], starts[b]], 1).ravel(), np.stack([na, nb], 1).ravel())
