@@ -17,11 +17,17 @@ Defined results
 
 from __future__ import annotations
 
+import gzip
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from ..sources import opened
 from . import storage
 
 CRLF = "\r\n"
@@ -137,10 +143,67 @@ def read_archive(spark: SparkSession, archive: Archive) -> DataFrame:
     )
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    part: str
+    records: int
+
+
+class _FileWriter(DataSourceWriter):
+    """A file a task, under a name of its own until all tasks have ended."""
+
+    def __init__(self, path: str, overwrite: bool):
+        self.folder, self.overwrite, self.job = path.rstrip("/"), overwrite, uuid.uuid4().hex[:12]
+        store, folder = opened.at(self.folder)
+        # Made here alone: what a task still writes after the job was given up has no place to go.
+        store.create_dir(f"{folder}/.{self.job}", recursive=True)
+
+    def write(self, rows: Iterator[Row]) -> _Written:
+        store, folder = opened.at(self.folder)
+        part, n = f"{folder}/.{self.job}/{uuid.uuid4().hex}", 0
+        with store.open_output_stream(part, compression=None) as out:
+            for row in rows:
+                out.write(gzip.compress(bytes(row.record), 6, mtime=0))
+                n += 1
+        return _Written(part, n)
+
+    def commit(self, messages: list) -> None:
+        store, folder = opened.at(self.folder)
+        if self.overwrite:
+            for f in store.get_file_info(fs.FileSelector(folder)):
+                if f.type == fs.FileType.File and f.base_name.endswith(".warc.gz"):
+                    store.delete_file(f.path)
+        for k, m in enumerate(m for m in messages if m is not None and m.records):
+            store.move(m.part, f"{folder}/part-{k:05d}-{self.job}.warc.gz")
+        self.abort(messages)
+
+    def abort(self, messages: list) -> None:
+        store, folder = opened.at(self.folder)
+        if store.get_file_info(f"{folder}/.{self.job}").type == fs.FileType.Directory:
+            store.delete_dir(f"{folder}/.{self.job}")
+
+
+class WarcFiles(DataSource):
+    """A sink for records (column ``record``, bytes): ``.warc.gz`` files in which each record is a gzip member of its own, so it can be read alone.
+
+    A job that fails leaves nothing; mode ``overwrite`` replaces the folder's files when the new ones are whole.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "warcfiles"
+
+    def schema(self) -> str:
+        return "record binary"
+
+    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
+        return _FileWriter(self.options["path"], overwrite)
+
+
 def export_warc(records: DataFrame, path: str) -> None:
-    """Write records as ``.warc.gz`` files. Each ends with two line ends, which the text sink adds."""
-    text = F.col("record").cast("string")
-    records.select(F.substring(text, F.lit(1), F.length(text) - 4).alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    """Write records, byte for byte, as ``.warc.gz`` files."""
+    records.sparkSession.dataSource.register(WarcFiles)
+    records.select("record").write.format("warcfiles").mode("append").save(path)
 
 
 def content(header: Column, http: Column, record: Column, record_type: Column, payload: Column) -> Column:

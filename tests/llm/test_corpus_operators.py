@@ -70,6 +70,28 @@ def test_archive(spark, tmp_path):
     assert sorted(whole.split(b"WARC/1.1\r\n")[1:]) == sorted(bytes(r.record)[10:] for r in got.itertuples())
 
 
+def members(data):
+    """The gzip members of a file, each by itself."""
+    while data:
+        d = zlib.decompressobj(31)
+        yield d.decompress(data) + d.flush()
+        data = d.unused_data
+
+
+def test_records_in_files_stand_alone(spark, tmp_path):
+    """Bytes that aren't UTF-8 stay; each record is a member of its own; a job that fails leaves nothing."""
+    rows = [(b"WARC/1.1\r\n\xff\xfe\0\r\n\r\n",), (b"WARC/1.1\r\n" + b"\x80" * 100_000,), (b"",)]
+    df = spark.createDataFrame(rows, "record binary").repartition(2)
+    warc.export_warc(df, str(tmp_path / "w"))
+    found = [m for p in (tmp_path / "w").glob("*.warc.gz") for m in members(p.read_bytes())]
+    assert sorted(found) == sorted(r[0] for r in rows) and not [p for p in (tmp_path / "w").iterdir() if p.is_dir()]
+    with pytest.raises(Exception):  # noqa: B017
+        warc.export_warc(df.withColumn("record", F.when(F.length("record") > 99, F.raise_error(F.lit("no")).cast("binary")).otherwise(F.col("record"))), str(tmp_path / "w"))
+    assert len([m for p in (tmp_path / "w").glob("*.warc.gz") for m in members(p.read_bytes())]) == 3
+    warc.export_warc(df.limit(0), str(tmp_path / "none"))
+    assert not list((tmp_path / "none").glob("*.gz"))
+
+
 def test_odd_archives(spark, tmp_path):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     a = warc.write_archive(none, str(tmp_path / "none"))
