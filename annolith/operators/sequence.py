@@ -87,6 +87,15 @@ def history(sources: DataFrame, targets: DataFrame, depth: int) -> DataFrame:
     return tgt.join(src, ["seq_id", "_no"]).select("seq_id", "target_index", "source_index", (F.col("_before") - F.col("_no") + 1).cast("int").alias("place"))
 
 
+def expected_history(targets: DataFrame, depth: int, own_only: bool = True) -> DataFrame:
+    """Targets with ``work``: how many source frames each is expected to have, for a progress display. With ``own_only`` its place among the targets,
+    ``depth`` at most, else ``depth``."""
+    if not own_only:
+        return targets.withColumn("work", F.lit(depth))
+    nth = F.row_number().over(Window.partitionBy("seq_id").orderBy("frame_index"))
+    return targets.withColumn("work", F.least(nth, F.lit(depth)))
+
+
 def at_or_after(frames: DataFrame, wanted: DataFrame) -> DataFrame:
     """For each wanted (seq_id, at): the frame with that index, else the next larger."""
     both = frames.select("seq_id", F.col("frame_index").alias("k"), F.col("frame_index").alias("f"), F.lit(None).cast("long").alias("at")).unionByName(

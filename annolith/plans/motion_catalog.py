@@ -34,6 +34,11 @@ def history_first_valid(s, d):
     return rows.select("seq_id", "target_index", "obj_pos", "k", u("z.p.x").alias("x_u"), u("z.p.y").alias("y_u"), u("z.p.v").alias("v_u"), u("z.seen").alias("seen_u"))
 
 
+@query("SELECT event_id, CAST(least(frame_index, 5) AS INT) AS work FROM frames", "frames")
+def history_work(s, d):
+    return sq.expected_history(fx.view(s, d, "frames"), 5).select("event_id", "work")
+
+
 _E = lambda i: f"CAST(embedding[{i}] AS DOUBLE)"
 
 

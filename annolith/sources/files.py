@@ -127,12 +127,18 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("url")).where((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
+#: Lines of a data set's description, at most.
+CONFIG_LINES = 10_000
+
+
 def dataset_config(spark: SparkSession, path: str) -> dict:
-    """Keypoint shape, class names and keypoint names of a dataset description (a small YAML file)."""
+    """Keypoint shape, class names and keypoint names of a dataset description: one small YAML file. More than ``CONFIG_LINES`` lines raise ValueError."""
     import yaml
 
-    text = "\n".join(r["value"] for r in spark.read.text(path).collect())
-    got = yaml.safe_load(text) or {}
+    lines = spark.read.text(path, wholetext=False).limit(CONFIG_LINES + 1).collect()
+    if len(lines) > CONFIG_LINES:
+        raise ValueError(f"{path} isn't one small file")
+    got = yaml.safe_load("\n".join(r["value"] for r in lines)) or {}
     names = got.get("names") or []
     names = [names[k] for k in sorted(names)] if isinstance(names, dict) else list(names)
     points = got.get("kpt_names") or {}

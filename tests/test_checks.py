@@ -112,3 +112,13 @@ def test_points_by_number(spark):
     assert at(0) == [(0.5, 0.5, 2.0), None] and at(1) == [(1.5, 0.5, 1.0), None] and at(1, inside=True) == [None, None] and at(2) == at(3) == at(9) == [None, None]
     got = column(spark, F.size(kp.of_class(F.col("c"), F.slice("k", 1, 1), F.col("k"))), [(k[0], 0), (k[0], 1), (k[0], None)], f"{form}, c int")
     assert got == [1, 4, 4]
+
+
+def test_description_of_a_data_set(spark, tmp_path):
+    (tmp_path / "d.yaml").write_text("names:\n  1: b\n  0: a\nkpt_shape: [2, 3]\nflip_idx: [1, 0]\nkpt_names:\n  0: [x, y]\n")
+    assert files.dataset_config(spark, str(tmp_path / "d.yaml")) == {"kpt_shape": [2, 3], "names": ["a", "b"], "kpt_names": ["x", "y"], "flip_idx": [1, 0]}
+    (tmp_path / "e.yaml").write_text("names: [a]\n")
+    assert files.dataset_config(spark, str(tmp_path / "e.yaml"))["names"] == ["a"]
+    (tmp_path / "f.yaml").write_text("# x\n" * (files.CONFIG_LINES + 1))
+    with pytest.raises(ValueError):
+        files.dataset_config(spark, str(tmp_path / "f.yaml"))
