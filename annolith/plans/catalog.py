@@ -707,4 +707,4 @@ _READ = lambda unit, name: f"{_TENTHS(unit)} // 10 || '.' || {_TENTHS(unit)} % 1
 def readable_sizes(s, d):
     return fx.table(s, d, "pages").select("page_id", g.readable_bytes(F.octet_length("html").cast("long")).alias("size"))
 
-from . import dataset_catalog, files_catalog, mosaic_catalog, motion_catalog, pose_catalog, scan_catalog  # noqa: E402, F401  their queries are of this catalog
+from . import dataset_catalog, files_catalog, mosaic_catalog, motion_catalog, pose_catalog, scan_catalog, text_catalog  # noqa: E402, F401  their queries are of this catalog

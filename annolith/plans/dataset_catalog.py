@@ -6,10 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import keypoints as kp
 from ..operators import dataset as ds
-from ..operators import matching as mt
 from ..operators import sequence as sq
 from . import fixtures as fx
-from .catalog import M, _anchors, micros, query
+from .catalog import M, micros, query
 
 
 @query("""SELECT p_partkey, CASE WHEN n = 0 THEN p_type ELSE p_type || '_' || lpad(CAST(n AS VARCHAR), greatest(2, length(CAST(n AS VARCHAR)))::INT, '0') END unique_name
@@ -85,10 +84,3 @@ SELECT seq_id, frame_index, event_id FROM m WHERE ended = 0""", "frames")
 def pages_until_empty(s, d):
     pages = fx.view(s, d, "frames").withColumn("hits", F.when(F.col("feat") < 30, 0).otherwise(1))
     return sq.until_empty(pages, "seq_id", "frame_index", "hits").select("seq_id", "frame_index", "event_id")
-
-
-@query()
-def faces_with_unmatched(s, d):
-    """Every pose that has a face point, with the face that it takes, or none."""
-    base = _anchors(fx.poses(s, d)).where("x is not null")
-    return mt.with_unmatched(base, mt.nearest_once(base, _anchors(fx.faces(s, d)))).select("image_id", "base_idx", F.coalesce("other_idx", F.lit(-1)).alias("other_idx"))
