@@ -25,4 +25,4 @@ def test_registry_without_corpus_operators(tmp_path):
         if not with_pipeline:
             (at / "corpus_pipeline.py").unlink(missing_ok=True)
         left, none = ask(at)
-        assert left and none == 0 and (not there or (left == total - corpus and corpus == 11))
+        assert left and none == 0 and (not there or (left == total - corpus and corpus == 14))
