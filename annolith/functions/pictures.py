@@ -1,4 +1,4 @@
-"""Pictures as PNG and BMP files, from rows of grey or colour bytes; no picture library is needed."""
+"""Pictures as rows of grey or colour bytes: cropped, turned, mirrored, resized, pasted; written as PNG and BMP files, and read from PNG. No picture library is needed."""
 
 from __future__ import annotations
 
@@ -48,5 +48,115 @@ def _of_rows(make: Callable[[bytes, int, int], bytes]):
 
 
 #: Columns: file bytes of (pixels, width, height); null if one of them is. Pixels of another count end the job.
-png = F.pandas_udf(_of_rows(as_png), T.BinaryType(), F.PandasUDFType.SCALAR_ITER)
-bmp = F.pandas_udf(_of_rows(as_bmp), T.BinaryType(), F.PandasUDFType.SCALAR_ITER)
+png = F.pandas_udf(_of_rows(as_png), T.BinaryType())
+bmp = F.pandas_udf(_of_rows(as_bmp), T.BinaryType())
+
+
+# --- pixels --------------------------------------------------------------------------------------
+def from_png(data: bytes) -> tuple[bytes, int, int]:
+    """Pixels (grey, or colour without its alpha), width and height of a PNG file of 8 bits a channel, not interlaced and without a palette; others raise ValueError."""
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise ValueError("not a PNG file")
+    at, body, head = 8, b"", b""
+    while at + 8 <= len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        part = data[at + 8 : at + 8 + n]
+        head, body = (part, body) if kind == b"IHDR" else (head, body + part) if kind == b"IDAT" else (head, body)
+        at += 12 + n
+    width, height, depth, colour, _, _, laced = struct.unpack(">IIBBBBB", head)
+    channels = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
+    if depth != 8 or laced or channels is None:
+        raise ValueError("a PNG file of a kind that isn't read")
+    lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + width * channels)
+    out, before = np.zeros((height, width, channels), np.uint8), np.zeros((width, channels), np.int64)
+    for y, line in enumerate(lines):
+        given = line[1:].reshape(width, channels).astype(np.int64)
+        if line[0] == 0:
+            row = given
+        elif line[0] == 1:
+            row = np.cumsum(given, 0) & 255
+        elif line[0] == 2:
+            row = (given + before) & 255
+        else:  # each pixel depends on the one before
+            row, left, corner = np.empty_like(given), np.zeros(channels, np.int64), np.zeros(channels, np.int64)
+            for x in range(width):
+                up = before[x]
+                if line[0] == 3:
+                    guess = (left + up) >> 1
+                else:
+                    p = left + up - corner
+                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                left, corner = (given[x] + guess) & 255, up
+                row[x] = left
+        out[y], before = row, row
+    return out[..., : 1 if channels < 3 else 3].tobytes(), width, height
+
+
+def cropped(pixels: bytes, width: int, height: int, left: int, top: int, right: int, bottom: int) -> bytes:
+    """The part between two columns and two rows; what lies outside the picture is black."""
+    a = _array(pixels, width, height)
+    out = np.zeros((max(0, bottom - top), max(0, right - left), a.shape[2]), np.uint8)
+    y0, y1, x0, x1 = max(0, top), min(height, bottom), max(0, left), min(width, right)
+    if y1 > y0 and x1 > x0:
+        out[y0 - top : y1 - top, x0 - left : x1 - left] = a[y0:y1, x0:x1]
+    return out.tobytes()
+
+
+def turned(pixels: bytes, width: int, height: int, angle: int, mirror: bool = False) -> bytes:
+    """Mirrored (left and right change), if asked, then turned clockwise by 0, 90, 180 or 270 degrees."""
+    a = _array(pixels, width, height)
+    a = a[:, ::-1] if mirror else a
+    if angle % 90:
+        raise ValueError(f"not a right angle: {angle}")
+    return np.ascontiguousarray(np.rot90(a, -(angle // 90) % 4)).tobytes()
+
+
+def resized(pixels: bytes, width: int, height: int, new_width: int, new_height: int) -> bytes:
+    """In another size: each new pixel is the mean of the area that it covers, or lies between pixels (linear) where the picture grows."""
+    a = _array(pixels, width, height).astype(np.float64)
+    for axis, (old, new) in enumerate(((height, new_height), (width, new_width))):
+        if old == new:
+            continue
+        if new < old:
+            edges = np.arange(new + 1) * old / new
+            sums = np.concatenate([np.zeros_like(a.take([0], axis)), np.cumsum(a, axis)], axis)
+            low = np.minimum(edges.astype(int), old - 1)
+            part = edges - low
+            shape = [-1 if k == axis else 1 for k in range(3)]
+            at = sums.take(low, axis) + part.reshape(shape) * a.take(low, axis)
+            a = np.diff(at, axis=axis) * (new / old)
+        else:
+            at = np.clip((np.arange(new) + 0.5) * old / new - 0.5, 0, old - 1)
+            low = np.minimum(at.astype(int), max(0, old - 2))
+            part = (at - low).reshape([-1 if k == axis else 1 for k in range(3)])
+            a = a.take(low, axis) * (1 - part) + a.take(np.minimum(low + 1, old - 1), axis) * part
+    return np.clip(np.rint(a), 0, 255).astype(np.uint8).tobytes()
+
+
+def pasted(canvas: bytes, width: int, height: int, tile: bytes, tile_width: int, tile_height: int, x: int, y: int) -> bytes:
+    """A canvas with a tile over it; what lies outside is cut off. Grey on colour becomes colour."""
+    a, t = _array(canvas, width, height).copy(), _array(tile, tile_width, tile_height)
+    if t.shape[2] > a.shape[2]:
+        raise ValueError("a colour tile on a grey canvas")
+    y0, y1, x0, x1 = max(0, y), min(height, y + tile_height), max(0, x), min(width, x + tile_width)
+    if y1 > y0 and x1 > x0:
+        a[y0:y1, x0:x1] = t[y0 - y : y1 - y, x0 - x : x1 - x]
+    return a.tobytes()
+
+
+def _rowwise(work: Callable[..., bytes]):
+    """A column of a function of pixels and numbers: null if one of them is."""
+
+    @F.pandas_udf(T.BinaryType())
+    def column(*given: pd.Series) -> pd.Series:
+        rows = zip(*given, strict=True)
+        return pd.Series([None if any(v is None or (not isinstance(v, (bytes, bytearray)) and pd.isna(v)) for v in r) else work(*[bytes(v) if isinstance(v, (bytes, bytearray)) else v.item() if hasattr(v, "item") else v for v in r]) for r in rows], dtype=object)
+
+    return column
+
+
+crop = _rowwise(lambda pixels, *n: cropped(pixels, *map(int, n)))
+turn = _rowwise(lambda pixels, w, h, angle, mirror: turned(pixels, int(w), int(h), int(angle), bool(mirror)))
+resize = _rowwise(lambda pixels, *n: resized(pixels, *map(int, n)))
+paste = _rowwise(lambda canvas, w, h, tile, *n: pasted(canvas, int(w), int(h), tile, *map(int, n)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import records
+from ..functions import pictures, records
 from ..operators import dataset as ds
 from ..operators import export
 from . import fixtures as fx
@@ -59,3 +59,17 @@ def export_lines(s, d):
     b = fx.view(s, d, "boxes").select(split, (F.col("image_id") * 100 + F.col("obj_idx")).alias("id"), "image_id", (F.col("class_id") + 1).alias("category_id"), *[thousandths(c).alias(n) for c, n in (("cx", "left"), ("cy", "top"), ("w", "box_w"), ("h", "box_h"))])
     b = b.withColumns({"area": F.col("box_w") * F.col("box_h"), "kpts": F.expr("CAST(array() AS array<struct<x: double, y: double, v: double>>)")})
     return export.document_lines(images, b, ds.categories(fx.view(s, d, "boxes"), ["person"]), {"description": "test"}, [{"id": 1, "name": "free"}])
+
+
+@query("""WITH p AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(floor((CAST(e AS DOUBLE) + 1) * 100) AS BIGINT)) g FROM embeddings),
+t AS (SELECT vec_id, g, unnest(range(24)) i FROM p),
+c AS (SELECT vec_id, g, i, 6 - 1 - i % 6 y, 4 - 1 - i // 6 x FROM t)
+SELECT vec_id, CAST(sum((i + 1) * g[(y + 1) * 8 + x + 2 + 1]) AS BIGINT) checksum FROM c GROUP BY 1""")
+def cropped_pictures(s, d):
+    """Vectors as pictures of 8 x 8 grey values: a part of 4 x 6, mirrored, turned by 90 degrees; each pixel weighs by its place."""
+    e = fx.table(s, d, "embeddings")
+    grey = F.unhex(F.array_join(F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x.cast("double") + 1) * 100).cast("long")), 2, "0")), ""))
+    n = lambda *v: [F.lit(k) for k in v]
+    part = pictures.turn(pictures.crop(grey, *n(8, 8, 2, 1, 6, 7)), *n(4, 6, 90, True))
+    weighed = F.expr("aggregate(sequence(1, 24), 0L, (a, i) -> a + i * CAST(conv(hex(substring(part, i, 1)), 16, 10) AS BIGINT))")
+    return e.select("vec_id", part.alias("part")).select("vec_id", weighed.alias("checksum"))

@@ -331,3 +331,66 @@ def test_pictures(spark):
         assert (back == want).all()
     with pytest.raises(Exception, match="aren't"):
         df.select(pictures.png("p", F.lit(2), F.lit(9))).collect()
+
+
+def test_pixels_by_hand():
+    """Against plain loops: parts, turns, sizes, tiles."""
+    rng = np.random.default_rng(3)
+    for channels in (1, 3):
+        a = rng.integers(0, 256, (5, 7, channels), np.uint8)
+        shaped = lambda b, h, w: np.frombuffer(b, np.uint8).reshape(h, w, -1)
+        part = shaped(pictures.cropped(a.tobytes(), 7, 5, -1, 2, 4, 9), 7, 5)
+        for y in range(7):
+            for x in range(5):
+                inside = 0 <= x - 1 < 7 and 0 <= y + 2 < 5
+                assert (part[y, x] == (a[y + 2, x - 1] if inside else 0)).all()
+        for angle, at in {0: lambda x, y: (x, y), 90: lambda x, y: (y, 4 - x), 180: lambda x, y: (6 - x, 4 - y), 270: lambda x, y: (6 - y, x)}.items():
+            h, w = (7, 5) if angle % 180 else (5, 7)
+            for mirror in (False, True):
+                t = shaped(pictures.turned(a.tobytes(), 7, 5, angle, mirror), h, w)
+                for y in range(h):
+                    for x in range(w):
+                        sx, sy = at(x, y)
+                        assert (t[y, x] == a[sy, 6 - sx if mirror else sx]).all()
+        small = shaped(pictures.resized(a[:4, :6].tobytes(), 6, 4, 3, 2), 2, 3)
+        assert np.abs(small - a[:4, :6].reshape(2, 2, 3, 2, channels).mean((1, 3))).max() <= 0.5
+        assert pictures.resized(a.tobytes(), 7, 5, 7, 5) == a.tobytes() and set(pictures.resized(bytes([9]) * 35, 7, 5, 3, 11)) == {9}
+        tile = rng.integers(0, 256, (3, 3, channels), np.uint8)
+        p = shaped(pictures.pasted(a.tobytes(), 7, 5, tile.tobytes(), 3, 3, 5, -1), 5, 7)
+        want = a.copy()
+        want[0:2, 5:7] = tile[1:3, 0:2]
+        assert (p == want).all()
+    with pytest.raises(ValueError):
+        pictures.turned(b"a", 1, 1, 45)
+
+
+def test_png_files_of_every_filter():
+    """Rows written with each of the five filters, with and without alpha, are read as they were."""
+    rng = np.random.default_rng(4)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    for colour, channels in ((0, 1), (2, 3), (4, 2), (6, 4)):
+        a = rng.integers(0, 256, (10, 6, channels)).astype(int)
+        lines = b""
+        for y in range(10):
+            kind, line = y % 5, []
+            for x in range(6):
+                for c in range(channels):
+                    left, up, corner = a[y, x - 1, c] if x else 0, a[y - 1, x, c] if y else 0, a[y - 1, x - 1, c] if x and y else 0
+                    p = left + up - corner
+                    paeth = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
+                    line.append((a[y, x, c] - [0, left, up, (left + up) // 2, paeth][kind]) % 256)
+            lines += bytes([kind, *line])
+        data = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 6, 10, 8, colour, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines)) + chunk(b"IEND", b"")
+        assert pictures.from_png(data) == (a[..., : 1 if channels < 3 else 3].astype(np.uint8).tobytes(), 6, 10)
+    for wrong in (b"x", b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 16, 0, 0, 0, 0))):
+        with pytest.raises(ValueError):
+            pictures.from_png(wrong)
+
+
+def test_pixel_columns(spark):
+    df = spark.createDataFrame([(1, bytes(range(6)), 3), (2, None, 3), (3, bytes(6), None)], "i int, p binary, w int")
+    n = lambda *v: [F.lit(k) for k in v]
+    got = df.select(
+        "i", pictures.crop("p", "w", *n(2, 1, 0, 3, 2)).alias("c"), pictures.turn("p", "w", *n(2, 180, False)).alias("t"), pictures.resize("p", "w", *n(2, 3, 2)).alias("r"), pictures.paste("p", "w", F.lit(2), "p", "w", *n(2, 1, 1)).alias("s")
+    ).orderBy("i").collect()
+    assert [bytes(x) for x in got[0][1:]] == [bytes([1, 2, 4, 5]), bytes([5, 4, 3, 2, 1, 0]), bytes(range(6)), bytes([0, 1, 2, 3, 0, 1])] and all(x is None for r in got[1:] for x in r[1:])
