@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names, mirror partners and edges of the 17-point body, and the joints that the
+# Names, mirror partners (MIRROR) and edges (EDGES) of the 17-point body, and the joints (JOINTS) that the
 # 16-point body shares with it (16-point index, 17-point index).
 NAMES = [
     "nose", "left_eye", "right_eye", "left_ear", "right_ear", "left_shoulder", "right_shoulder", "left_elbow", "right_elbow", "left_wrist", "right_wrist",
@@ -13,7 +13,7 @@ NAMES = [
 ]
 MIRROR = [0, 2, 1, 4, 3, 6, 5, 8, 7, 10, 9, 12, 11, 14, 13, 16, 15]
 EDGES = [(0, 1), (0, 2), (1, 3), (2, 4), (5, 6), (5, 7), (7, 9), (6, 8), (8, 10), (5, 11), (6, 12), (11, 12), (11, 13), (13, 15), (12, 14), (14, 16)]
-# The same body's edges as an export states them, counted from 1.
+# The same body's edges as an export states them, counted from 1.
 EXPORTED_EDGES = [(16, 14), (14, 12), (17, 15), (15, 13), (12, 13), (6, 12), (7, 13), (6, 7), (6, 8), (7, 9), (8, 10), (9, 11), (2, 3), (1, 2), (1, 3)]
 JOINTS = [(0, 16), (1, 14), (2, 12), (3, 11), (4, 13), (5, 15), (10, 10), (11, 8), (12, 6), (13, 5), (14, 7), (15, 9)]
 

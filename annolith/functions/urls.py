@@ -65,6 +65,7 @@ def with_parameter(url: Column, key: str, value: str) -> Column:
 def asks_for_proof(text: Column) -> Column:
     """An answer that wants to know whether a person asks."""
     low = F.lower(text)
+    # How such answers are marked.
     return low.contains('"type":"captcha"') | low.contains('"type": "captcha"')
 
 
@@ -119,6 +120,7 @@ def page_pictures(html: Column, base: Column) -> Column:
     at = lambda u: joined(base, clean(u))
     quoted = lambda tag, name: F.nullif(F.regexp_extract(tag, f"(?i){name}=[\"\\\\'](.*?)[\"\\\\']", 1), F.lit(""))
     web = lambda u: u.isNotNull() & (u.startswith("http://") | u.startswith("https://")) & ~is_thumbnail(u)
+    # Tags, names and attributes under which pages have their pictures.
     tags = lambda name: F.regexp_extract_all(html, F.lit(f"(?i)(<{name}[^>]+>)"), F.lit(1))
     shared = F.filter(tags("meta"), lambda t: F.lower(t).contains("og:image") | F.lower(t).contains("twitter:image"))
     meta = _pictures(F.transform(F.filter(shared, lambda t: quoted(t, "content").isNotNull()), lambda t: at(quoted(t, "content"))))

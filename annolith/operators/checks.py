@@ -77,6 +77,7 @@ def merge_summary(counts: DataFrame) -> DataFrame:
     """The text of a merge as lines (pos, line). counts: source, train_images, val_images, train_instances, val_instances, one row a source."""
     from . import ranks
 
+    # The words of the summary's lines.
     names = ("train_images", "val_images", "train_instances", "val_instances")
     text = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
     both = lambda kind: (F.coalesce(F.col(f"train_{kind}"), F.lit(0)) + F.coalesce(F.col(f"val_{kind}"), F.lit(0))).cast("string")

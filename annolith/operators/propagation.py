@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Why a point has no place in a frame, in the trackers' numbers; 0: it has one.
+# Why a point has no place in a frame, in the trackers' numbers; 0: it has one.
 REASONS = ("ok", "forward_fail", "backward_fail", "backcheck_fail", "out_of_frame")
 COUNTERS = (
     "objects", "points", "predicted", "kept_previous", "source_invalid", "retried", "predicted_on_retry", *REASONS[1:], "fused", "rejected", "sources_used",
