@@ -160,3 +160,45 @@ crop = _rowwise(lambda pixels, *n: cropped(pixels, *map(int, n)))
 turn = _rowwise(lambda pixels, w, h, angle, mirror: turned(pixels, int(w), int(h), int(angle), bool(mirror)))
 resize = _rowwise(lambda pixels, *n: resized(pixels, *map(int, n)))
 paste = _rowwise(lambda canvas, w, h, tile, *n: pasted(canvas, int(w), int(h), tile, *map(int, n)))
+
+
+# --- overlays --------------------------------------------------------------------------------------
+# Colours of boxes, edges and points.
+BOX_COLOUR, EDGE_COLOUR, POINT_COLOUR = (255, 200, 0), (0, 200, 255), (255, 60, 60)
+
+
+def _line(a: np.ndarray, x1: float, y1: float, x2: float, y2: float, colour: tuple[int, int, int], thick: int) -> None:
+    """Every pixel column or row between two places, whichever are more."""
+    n = int(max(abs(x2 - x1), abs(y2 - y1))) + 1
+    xs, ys = np.rint(np.linspace(x1, x2, n + 1)).astype(int), np.rint(np.linspace(y1, y2, n + 1)).astype(int)
+    reach = range(-(thick // 2), thick - thick // 2)
+    for dx in reach:
+        for dy in reach:
+            x, y = xs + dx, ys + dy
+            inside = (x >= 0) & (x < a.shape[1]) & (y >= 0) & (y < a.shape[0])
+            a[y[inside], x[inside]] = colour
+
+
+def overlaid(pixels: bytes, width: int, height: int, boxes: list, edges: list, points: list, thick: int = 2, radius: int = 3) -> bytes:
+    """Colour pixels of a picture with boxes (cx, cy, w, h), edges (x1, y1, x2, y2) and points (x, y) over it, in shares of its size; what lies outside is cut off."""
+    a = np.broadcast_to(_array(pixels, width, height), (height, width, 3)).copy()
+    for b in boxes:
+        left, top, right, bottom = ((b["cx"] - b["w"] / 2) * width, (b["cy"] - b["h"] / 2) * height, (b["cx"] + b["w"] / 2) * width, (b["cy"] + b["h"] / 2) * height)
+        for line in ((left, top, right, top), (right, top, right, bottom), (right, bottom, left, bottom), (left, bottom, left, top)):
+            _line(a, *line, BOX_COLOUR, thick)
+    for e in edges:
+        _line(a, e["x1"] * width, e["y1"] * height, e["x2"] * width, e["y2"] * height, EDGE_COLOUR, thick)
+    y, x = np.mgrid[0:height, 0:width]
+    for p in points:
+        cx, cy = p["x"] * width, p["y"] * height
+        x0, x1, y0, y1 = (int(max(0, v)) for v in (cx - radius, cx + radius + 1, cy - radius, cy + radius + 1))
+        near = (x[y0:y1, x0:x1] - cx) ** 2 + (y[y0:y1, x0:x1] - cy) ** 2 <= radius**2
+        a[y0:y1, x0:x1][near] = POINT_COLOUR
+    return a.tobytes()
+
+
+@F.pandas_udf(T.BinaryType())
+def overlay(pixels: pd.Series, width: pd.Series, height: pd.Series, boxes: pd.Series, edges: pd.Series, points: pd.Series) -> pd.Series:
+    """:func:`overlaid` as a column; null if the picture is null, nothing is drawn for null lists. For edges see ``keypoints.edges``."""
+    plain = lambda items: [] if items is None else [i if isinstance(i, dict) else i.asDict() for i in items]
+    return pd.Series([None if p is None else overlaid(bytes(p), int(w), int(h), plain(b), plain(e), plain(k)) for p, w, h, b, e, k in zip(pixels, width, height, boxes, edges, points, strict=True)], dtype=object)

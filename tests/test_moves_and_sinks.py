@@ -394,3 +394,18 @@ def test_pixel_columns(spark):
         "i", pictures.crop("p", "w", *n(2, 1, 0, 3, 2)).alias("c"), pictures.turn("p", "w", *n(2, 180, False)).alias("t"), pictures.resize("p", "w", *n(2, 3, 2)).alias("r"), pictures.paste("p", "w", F.lit(2), "p", "w", *n(2, 1, 1)).alias("s")
     ).orderBy("i").collect()
     assert [bytes(x) for x in got[0][1:]] == [bytes([1, 2, 4, 5]), bytes([5, 4, 3, 2, 1, 0]), bytes(range(6)), bytes([0, 1, 2, 3, 0, 1])] and all(x is None for r in got[1:] for x in r[1:])
+
+
+def test_overlays(spark):
+    """Poses over pictures: the pixels of a box's sides, an edge and a point change, others don't."""
+    from annolith.functions import keypoints as kp
+
+    k = [(0.5, 0.5, 2.0), (0.9, 0.1, 2.0)] + [(0.0, 0.0, 0.0)] * 15
+    df = spark.createDataFrame([(1, bytes(40 * 30), k), (2, None, k)], "i int, p binary, kpts array<struct<x: double, y: double, v: double>>")
+    box = F.array(F.struct(F.lit(0.5).alias("cx"), F.lit(0.5).alias("cy"), F.lit(0.5).alias("w"), F.lit(0.4).alias("h")))
+    points = F.transform(F.filter("kpts", kp.valid), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    got = {r.i: r.o for r in df.select("i", pictures.overlay("p", F.lit(40), F.lit(30), box, kp.edges(F.col("kpts")), points).alias("o")).collect()}
+    a = np.frombuffer(got[1], np.uint8).reshape(30, 40, 3)
+    at = lambda x, y: tuple(int(v) for v in a[y, x])
+    assert got[2] is None and at(20, 15) == pictures.POINT_COLOUR and at(10, 15) == at(20, 9) == pictures.BOX_COLOUR and at(28, 9) == pictures.EDGE_COLOUR and at(0, 0) == at(5, 25) == (0, 0, 0)
+    assert pictures.overlaid(bytes(12), 2, 2, [], [], []) == bytes(12) and len(pictures.overlaid(bytes(4), 2, 2, [{"cx": 9, "cy": 9, "w": 1, "h": 1}], [], [{"x": -5, "y": 2}])) == 12
