@@ -732,4 +732,4 @@ def test_a_hub_of_a_third_of_forty_shards(spark):
 # --- registry ----------------------------------------------------------------------------------
 def test_names():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)] and set(queries.oracle_sql()) <= set(names)
+    assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 14)] and set(queries.oracle_sql()) <= set(names)
