@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import quality, tokens, words
+from . import quality, storage, tokens, words
 
 #: Documents that the model is learned from, at most: of each language in turn, those whose hashed ids come first.
 SAMPLE_DOCS = 600
@@ -226,7 +226,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Chain:
     part = F.substr("text", start + 1, F.lit(SAMPLE_CHARS))
     got = met.select("h", "doc_id", "lang", part.alias("text")).groupBy("h", "doc_id", "lang").agg(F.min("text").alias("text")).toPandas()
     got = got.sort_values(["h", "doc_id", "lang"])
-    return fit(pa.array(got["text"], pa.string(), from_pandas=True), list(got["lang"]))
+    model = fit(pa.array(got["text"], pa.string(), from_pandas=True), list(got["lang"]))
+    del got
+    storage.give_back()
+    return model
 
 
 def label(texts: pa.Array, model: Chain) -> tuple[list[str], np.ndarray]:

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens, words
+from . import storage, tokens, words
 
 #: Labelled rows that the model is learned from, at most: those whose hashed ids come first.
 SAMPLE_ROWS = 20_000
@@ -223,7 +223,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     # An id that very many rows have gives very many pairs; rows of numbers, of which so many are taken, by hash, so reruns take the same.
     rows = _features_of(met).orderBy(F.xxhash64("quality", *FEATURES), "quality", *FEATURES).limit(2 * sample_rows).toPandas()
     rows = rows.sort_values(["quality", *FEATURES])
-    return fit(rows[FEATURES].to_numpy(np.float32), rows["quality"].to_numpy(float))
+    model = fit(rows[FEATURES].to_numpy(np.float32), rows["quality"].to_numpy(float))
+    del rows
+    storage.give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Additive, columns: list[str], name: str = "score") -> DataFrame:

@@ -7,8 +7,11 @@ executor is lost, later steps read the table again instead of repeating earlier
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Used only when the session has no checkpoint folder and Spark runs on one machine.
@@ -68,3 +71,11 @@ def release(spark: SparkSession, name: str = "default") -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def give_back() -> None:
+    """Let go of memory that Python, Arrow and the C library keep for later: after a model was learned, a driver lives on with it for nothing."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
