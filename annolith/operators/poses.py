@@ -267,35 +267,55 @@ def face_sizes(poses: DataFrame, images: DataFrame) -> DataFrame:
     return j.select(*KEYS, "width", "height", mean("x", "width").alias("face_x"), mean("y", "height").alias("face_y"), F.when(F.size("kpts") >= 5, across).alias("diameter"))
 
 
+def _step(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
+    """``then`` of a struct of the values. A lambda's variable is worked out once, and its expression stands in the plan once, however often it is used."""
+    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), F.lit(0))
+
+
 def portrait_crop(faces: DataFrame, aspect: float, widths: float | None = None) -> DataFrame:
     """A crop of ``aspect`` (width to height) around each face's middle, moved inside the image; ``widths`` face diameters wide, or as large as fits.
 
-    Rows without a middle, or whose crop would be under a pixel, are left out; a crop that is too large is made smaller.
+    Rows without a middle, or whose crop would be under a pixel, are left out; a crop that is too large is made smaller. What is
+    worked out goes from step to step as a struct: as columns under filters, each step would be written out in the next as often as it is used.
     """
-    W, H = F.col("width"), F.col("height")
-    f = faces.where("face_x is not null and width > 1 and height > 1").withColumns({"_cx": g.clamp(F.col("face_x"), 0.0, W - 1), "_cy": g.clamp(F.col("face_y"), 0.0, H - 1)})
-    room_x, room_y = F.least(F.col("_cx"), W - F.col("_cx")), F.least(F.col("_cy"), H - F.col("_cy"))
-    f = f.where((room_x > 0) & (room_y > 0))
-    most = F.least(room_x, room_y * aspect)
-    half = most if widths is None else F.coalesce(F.col("diameter") * widths / 2, most)
-    f = f.withColumn("_half", half).where("_half >= 1")
-    if widths is not None:
-        fit = F.least(W / (F.col("_half") * 2), H / (F.col("_half") / aspect * 2))
-        f = f.withColumn("_half", F.when(F.col("diameter").isNotNull() & (fit < 1), F.col("_half") * fit).otherwise(F.col("_half")))
-
-    def span(centre: str, half: Column, size: Column) -> tuple[Column, Column]:
-        lo, hi = F.col(centre) - half, F.col(centre) + half
-        hi = F.when(lo < 0, hi - lo).otherwise(hi)
-        lo = F.greatest(lo, F.lit(0.0))
-        return F.greatest(F.lit(0.0), F.when(hi > size, lo - (hi - size)).otherwise(lo)), F.least(size, hi)
-
-    left, right = span("_cx", F.col("_half"), W)
-    top, bottom = span("_cy", F.col("_half") / aspect, H)
-    f = f.withColumns({"_l": left, "_r": right, "_t": top, "_b": bottom}).where((F.col("_r") - F.col("_l") >= 1) & (F.col("_b") - F.col("_t") >= 1))
-    whole = lambda c: F.rint(F.col(c)).cast("int")
-    out = f.withColumns({"left": whole("_l"), "top": whole("_t")})
-    ends = {"right": F.greatest(F.col("left") + 1, F.least(whole("_r"), W.cast("int"))), "bottom": F.greatest(F.col("top") + 1, F.least(whole("_b"), H.cast("int")))}
-    return out.withColumns(ends).select(*KEYS, "left", "top", "right", "bottom")
+    sizes = ("W", "H")
+    given = {"W": F.col("width"), "H": F.col("height"), "x": F.col("face_x"), "y": F.col("face_y"), "diameter": F.col("diameter")}
+
+    def span(centre: Column, half: Column, size: Column) -> Column:
+        def inside(r: Column) -> Column:
+            lo, hi, size = F.greatest(r["lo"], F.lit(0.0)), F.when(r["lo"] < 0, r["hi"] - r["lo"]).otherwise(r["hi"]), r["size"]
+            return F.struct(F.greatest(F.lit(0.0), F.when(hi > size, lo - (hi - size)).otherwise(lo)).alias("lo"), F.least(size, hi).alias("hi"))
+
+        return _step({"lo": centre - half, "hi": centre + half, "size": size}, inside)
+
+    def middle(f: Column) -> Column:
+        at = {"cx": g.clamp(f["x"], 0.0, f["W"] - 1), "cy": g.clamp(f["y"], 0.0, f["H"] - 1), "diameter": f["diameter"]}
+        return F.when(f["x"].isNotNull() & (f["W"] > 1) & (f["H"] > 1), _step({**{c: f[c] for c in sizes}, **at}, room))
+
+    def room(f: Column) -> Column:
+        x, y = F.least(f["cx"], f["W"] - f["cx"]), F.least(f["cy"], f["H"] - f["cy"])
+        most = F.least(x, y * aspect)
+        half = most if widths is None else F.coalesce(f["diameter"] * widths / 2, most)
+        return F.when((x > 0) & (y > 0), _step({**{c: f[c] for c in (*sizes, "cx", "cy", "diameter")}, "half": half}, fitting))
+
+    def fitting(f: Column) -> Column:
+        half = f["half"]
+        if widths is not None:
+            fit = F.least(f["W"] / (half * 2), f["H"] / (half / aspect * 2))
+            half = F.when(f["diameter"].isNotNull() & (fit < 1), half * fit).otherwise(half)
+        return F.when(f["half"] >= 1, _step({**{c: f[c] for c in (*sizes, "cx", "cy")}, "half": half}, spans))
+
+    def spans(f: Column) -> Column:
+        return _step({**{c: f[c] for c in sizes}, "x": span(f["cx"], f["half"], f["W"]), "y": span(f["cy"], f["half"] / aspect, f["H"])}, whole)
+
+    def whole(f: Column) -> Column:
+        rounded = lambda c: F.rint(c).cast("int")
+        x, y = f["x"], f["y"]
+        left, top = rounded(x["lo"]), rounded(y["lo"])
+        right, bottom = F.greatest(left + 1, F.least(rounded(x["hi"]), f["W"].cast("int"))), F.greatest(top + 1, F.least(rounded(y["hi"]), f["H"].cast("int")))
+        return F.when((x["hi"] - x["lo"] >= 1) & (y["hi"] - y["lo"] >= 1), F.struct(left.alias("left"), top.alias("top"), right.alias("right"), bottom.alias("bottom")))
+
+    return faces.select(*KEYS, _step(given, middle).alias("_crop")).where("_crop is not null").select(*KEYS, "_crop.*")
 
 
 def pair_costs(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -181,3 +181,14 @@ def test_blocks_and_pages(spark):
     pages = spark.createDataFrame([(1, k, n) for k, n in enumerate([3, 0, 2, 0, None, 5])], "q int, page int, hits int")
     assert [r.page for r in sq.until_empty(pages, "q", "page", "hits").orderBy("page").collect()] == [0, 1, 2, 3, 4]
     assert sq.from_the_end(pages, ["q"], [F.desc("page")], 1).first().page == 4 and sq.from_the_end(pages, ["q"], [F.desc("page")], -1).count() == 6
+
+
+def test_the_plan_of_a_portrait_crop_is_small(spark):
+    """Steps that were columns under filters were written out in each other: the plan alone took more than a gigabyte."""
+    from annolith.plans import pose_catalog
+
+    crops = pose_catalog.ps.portrait_crop(pose_catalog.ps.face_sizes(*pose_catalog._poses(spark, "/root/testdata/sf0.001")), 0.75, 3.0)
+    assert len(crops._jdf.queryExecution().optimizedPlan().toString()) < 200_000
+    faces = spark.createDataFrame([(1, 0, 0, 200.0, 100.0, 20.0, 50.0, 10.0), (2, 0, 0, 200.0, 100.0, None, 50.0, 10.0)], "image_id long, obj_idx int, class_id int, width double, height double, face_x double, face_y double, diameter double")
+    assert [tuple(r) for r in poses.portrait_crop(faces, 0.5, 2.0).collect()] == [(1, 0, 0, 10, 30, 30, 70)]
+    assert [tuple(r) for r in poses.portrait_crop(faces, 0.5).collect()] == [(1, 0, 0, 0, 10, 40, 90)]
