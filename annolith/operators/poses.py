@@ -110,30 +110,32 @@ def _cut_to_canvas(j: DataFrame, xs: list[Column], ys: list[Column], w: Column,
     return j.where((F.col("_r") > F.col("_l")) & (F.col("_b") > F.col("_t")))
 
 
-def turn(poses: DataFrame, images: DataFrame, angle: int) -> DataFrame:
-    """Poses after a clockwise right-angle turn, cut to the new canvas; points off the canvas are zeros."""
-    j = _sized(poses, images)
+def _turned_copy(angle: int) -> Column:
+    """struct<cx, cy, w, h, kpts, angle> of a sized pose after a clockwise right-angle turn, cut to the new canvas; null if no box is left."""
     W, H = F.col("width"), F.col("height")
     x1, y1, x2, y2 = corners()
     (ax, ay), (bx, by), (nw, nh) = g.turn_point(angle, x1 * W, y1 * H, W, H), g.turn_point(angle, x2 * W, y2 * H, W, H), g.turn_size(angle, W, H)
-    j = _cut_to_canvas(j, [ax, bx], [ay, by], nw, nh)
+    left, top, right, bottom = F.greatest(F.lit(0.0), F.least(ax, bx)), F.greatest(F.lit(0.0), F.least(ay, by)), F.least(nw, F.greatest(ax, bx)), F.least(nh, F.greatest(ay, by))
 
     def to(x: Column, y: Column) -> tuple[Column, Column]:
         px, py = g.turn_point(angle, x * W, y * H, W, H)
         return px / nw, py / nh
 
-    return j.select(*KEYS, *_box_of(*[F.col(c) for c in ("_l", "_t", "_r", "_b")], nw, nh), moved(F.col("kpts"), to, _inside).alias("kpts"))
+    copy = F.struct(*_box_of(left, top, right, bottom, nw, nh), moved(F.col("kpts"), to, _inside).alias("kpts"), F.lit(angle).alias("angle"))
+    return F.when((right > left) & (bottom > top), copy)
+
+
+def turn(poses: DataFrame, images: DataFrame, angle: int) -> DataFrame:
+    """Poses after a clockwise right-angle turn, cut to the new canvas; points off the canvas are zeros."""
+    return turns(poses, images, [angle]).drop("angle")
 
 
 def turns(poses: DataFrame, images: DataFrame, angles: list[int]) -> DataFrame:
-    """One copy per distinct right angle, with ``angle``; others raise ValueError."""
+    """One copy per distinct right angle, with ``angle``; others raise ValueError. Poses meet their images once, whatever the number of angles."""
     wanted = list(dict.fromkeys(angles))
     if not wanted or set(wanted) - {90, 180, 270}:
         raise ValueError("angles must be some of 90, 180 and 270")
-    out = [turn(poses, images, a).withColumn("angle", F.lit(a)) for a in wanted]
-    for other in out[1:]:
-        out[0] = out[0].unionByName(other)
-    return out[0]
+    return _sized(poses, images).select(*KEYS, F.inline(F.array(*map(_turned_copy, wanted)))).where("angle is not null")
 
 
 def parse_angles(text: str) -> list[int]:

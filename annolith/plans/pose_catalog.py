@@ -22,10 +22,11 @@ def c01(e: str) -> str:
 
 
 def _rows(df: DataFrame, *extra: str) -> DataFrame:
-    """Every keypoint of a pose in a row (k from 0), and the box as k = -1."""
-    box = df.select("image_id", "obj_idx", *extra, F.lit(-1).alias("k"), *[u(c).alias(f"a{i}") for i, c in enumerate(BOX)])
-    pts = df.select("image_id", "obj_idx", *extra, F.posexplode("kpts").alias("k", "p")).select("image_id", "obj_idx", *extra, "k", u(F.col("p.x")).alias("a0"), u(F.col("p.y")).alias("a1"), u(F.col("p.v")).alias("a2"), F.lit(-1).cast("long").alias("a3"))
-    return box.unionByName(pts)
+    """Every keypoint of a pose in a row (k from 0), and the box as k = -1, made where the pose lies."""
+    four = lambda *v: F.struct(*[c.alias(f"a{i}") for i, c in enumerate(v)])
+    points = F.transform("kpts", lambda p: four(u(p["x"]), u(p["y"]), u(p["v"]), F.lit(-1).cast("long")))
+    all_ = F.concat(F.array(four(*[u(c) for c in BOX])), F.coalesce(points, F.array()))
+    return df.select("image_id", "obj_idx", *extra, F.posexplode(all_).alias("k", "p")).select("image_id", "obj_idx", *extra, (F.col("k") - 1).alias("k"), "p.*")
 
 
 def _sql(box: str, points: str, *extra: str) -> str:

@@ -192,3 +192,16 @@ def test_the_plan_of_a_portrait_crop_is_small(spark):
     faces = spark.createDataFrame([(1, 0, 0, 200.0, 100.0, 20.0, 50.0, 10.0), (2, 0, 0, 200.0, 100.0, None, 50.0, 10.0)], "image_id long, obj_idx int, class_id int, width double, height double, face_x double, face_y double, diameter double")
     assert [tuple(r) for r in poses.portrait_crop(faces, 0.5, 2.0).collect()] == [(1, 0, 0, 10, 30, 30, 70)]
     assert [tuple(r) for r in poses.portrait_crop(faces, 0.5).collect()] == [(1, 0, 0, 0, 10, 40, 90)]
+
+
+def test_turned_poses_meet_their_images_once(spark):
+    """Each angle had a join of its own, and boxes and points each made them again: tasks sorted several times what there is."""
+    from annolith.plans import pose_catalog
+
+    images = spark.createDataFrame([(1, 200, 100)], "image_id long, width int, height int")
+    pose = spark.createDataFrame([(1, 0, 0, 0.5, 0.5, 0.2, 0.4, [(0.25, 0.5, 2.0)]), (1, 1, 0, 2.0, 2.0, 0.2, 0.4, []), (1, 2, 0, 0.5, 0.5, 0.2, 0.4, None)], POSE)
+    rows = pose_catalog._rows(poses.turns(pose, images, [90, 270]), "angle")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    got = sorted((r.angle, r.obj_idx, r.k, r.a0, r.a1, r.a3) for r in rows.collect())
+    box, of = (-1, 500000, 500000, 200000), lambda a, x, y: (a, 0, 0, x, y, -1)
+    assert got == [(90, 0, *box), of(90, 500000, 250000), (90, 2, *box), (270, 0, *box), of(270, 500000, 750000), (270, 2, *box)]
