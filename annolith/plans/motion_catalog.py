@@ -76,6 +76,8 @@ def labels_carried_forward(s, d):
 _WAVES = [(40, 0), (0, 36), (52, 48), (-30, 44), (26, -58), (70, 24)]
 _AT = [(0.5, 0.5), (0.4, 0.6), (0.6, 0.45), (0.45, 0.4)]
 _WIDTH, _HEIGHT = 80, 64
+#: Pairs of pictures made at once: a worker holds these as numbers, not all that Spark hands it at once.
+_AT_ONCE = 64
 
 
 def moved_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +86,7 @@ def moved_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         y, x = np.mgrid[0:_HEIGHT, 0:_WIDTH].astype(float)
-        for batch in batches:
+        for batch in tr.some_rows(batches, _AT_ONCE):
             v = batch.column("e").flatten().to_numpy().reshape(len(batch), -1)
             shift = np.rint(v[:, :2] * 20) / 2
             grey = []

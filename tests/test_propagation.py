@@ -237,3 +237,15 @@ def test_labels_follow_pixels(spark):
     for (_, i, _), ((_, *box_and_points),) in got.items():
         p = np.array(box_and_points[4:]).reshape(5, 3)
         assert np.abs((p[:4, :2] - AT[:4]) * SIZE - [2.0 * i, -1.0 * i]).max() < 0.3 and (p[4] == 0).all()
+
+
+def test_pictures_are_worked_on_some_rows_at_a_time():
+    """What Spark hands a worker at once may be 10,000 pairs, which were all made numbers together."""
+    import pyarrow as pa
+
+    from annolith.operators import tracking
+
+    batch = pa.RecordBatch.from_pydict({"n": list(range(10_000)), "v": [[k] for k in range(10_000)]})
+    parts = list(tracking.some_rows([batch, batch.slice(5, 0), batch.slice(3, 5)], 64))
+    assert max(p.num_rows for p in parts) == 64 and [n for p in parts for n in p.column("n").to_pylist()] == [*range(10_000), *range(3, 8)]
+    assert parts[1].column("v").flatten().to_pylist() == list(range(64, 128))
