@@ -25,51 +25,65 @@ ON_ERROR = ("fail", "drop_image", "as_unlabelled", "drop_line")
 
 def number(token: Column) -> Column:
     """A token as a double; null if it isn't one. A trailing type letter isn't part of a number."""
-    return F.when(~token.rlike("[dDfF]$") | token.rlike("(?i)inf$"), token.try_cast("double"))
+    return F.when(~F.substring(token, -1, 1).isin("d", "D", "f", "F") | (F.lower(F.substring(token, -3, 3)) == "inf"), token.try_cast("double"))
 
 
-def parse_line(line: Column, dialect: str = "strict", count: int = 17) -> Column:
-    """struct<class_token, class_id, cx, cy, w, h, kpts, error>; null for a blank line."""
+def _tokens(line: Column) -> Column:
+    """What white space parts; of a blank line one empty token."""
+    return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
+
+
+def _row(tokens: Column, values: Column, dialect: str, count: int) -> Column:
+    """What a line says; values: its tokens as numbers, the class first."""
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect {dialect!r}; known: {', '.join(DIALECTS)}")
-    text = F.trim(F.regexp_replace(line, r"\s+", " "))
-
-    def row(tokens: Column, values: Column) -> Column:
-        n = F.size(tokens)
-        triplets = (n - 5) % 3 == 0
-        shape = {
-            "strict": (n >= 5) & triplets,
-            "fixed": (n == 5) | (n == 56),
-            "lenient": F.lit(True),
-            "padded": (n >= 5) & triplets,
-            "pose": (n >= 8) & triplets,
-        }[dialect]
-        numeric = ~F.exists(values, lambda v: v.isNull()) & number(F.get(tokens, 0)).isNotNull()
-        k = F.greatest(F.lit(0), F.floor((F.size(values) - 4) / 3).cast("int"))
-        points = F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), k - 1)), lambda i: kp.point(F.get(values, 4 + 3 * i), F.get(values, 5 + 3 * i), F.get(values, 6 + 3 * i))))
-        points = F.coalesce(points, F.array().cast("array<struct<x:double,y:double,v:double>>"))
-        if dialect == "padded":
-            points = kp.pad(points, count)
-        ok = shape & numeric
-        box = lambda i: F.when(n >= 5, F.get(values, i))
-        error = F.when(~shape, F.concat(F.lit("tokens: "), n.cast("string"))).when(~numeric, F.lit("not a number"))
-        return F.struct(
-            F.get(tokens, 0).alias("class_token"), number(F.get(tokens, 0)).cast("int").alias("class_id"), *[F.when(ok, box(i)).alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))],
-            F.when(ok, points).alias("kpts"), error.alias("error"),
-        )
+    n = F.size(tokens)
+    triplets = (n - 5) % 3 == 0
+    shape = {
+        "strict": (n >= 5) & triplets,
+        "fixed": (n == 5) | (n == 56),
+        "lenient": F.lit(True),
+        "padded": (n >= 5) & triplets,
+        "pose": (n >= 8) & triplets,
+    }[dialect]
+    numeric = ~F.exists(values, lambda v: v.isNull())
+    k = F.greatest(F.lit(0), F.floor((n - 5) / 3).cast("int"))
+    points = F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), k - 1)), lambda i: kp.point(F.get(values, 5 + 3 * i), F.get(values, 6 + 3 * i), F.get(values, 7 + 3 * i))))
+    points = F.coalesce(points, F.array().cast("array<struct<x:double,y:double,v:double>>"))
+    if dialect == "padded":
+        points = kp.pad(points, count)
+    ok = shape & numeric
+    box = lambda i: F.when(n >= 5, F.get(values, i + 1))
+    error = F.when(~shape, F.concat(F.lit("tokens: "), n.cast("string"))).when(~numeric, F.lit("not a number"))
+    return F.struct(
+        F.get(tokens, 0).alias("class_token"), F.get(values, 0).cast("int").alias("class_id"), *[F.when(ok, box(i)).alias(c) for i, c in enumerate(("cx", "cy", "w", "h"))],
+        F.when(ok, points).alias("kpts"), error.alias("error"),
+    )
+
 
+def parse_line(line: Column, dialect: str = "strict", count: int = 17) -> Column:
+    """struct<class_token, class_id, cx, cy, w, h, kpts, error>; null for a blank line."""
     # A lambda's variable is worked out once: a line's tokens and values aren't made anew for each point.
     once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    got = once(F.split(text, " "), lambda t: once(F.transform(F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), number), lambda v: row(t, v)))
-    return F.when(text != "", got)
+    return once(_tokens(line), lambda t: F.when(F.get(t, 0) != "", once(F.transform(t, number), lambda v: _row(t, v, dialect, count))))
+
+
+def parsed_lines(files: DataFrame, dialect: str = "strict", count: int = 17) -> DataFrame:
+    """stem, line_no, line and ``p``, what :func:`parse_line` makes of it, of every line that isn't blank.
+
+    Tokens and numbers leave generators: a column would be worked out again in every filter that is pushed below it.
+    """
+    lines = files.select("stem", F.posexplode(F.split("raw", "\r?\n")).alias("line_no", "line"))
+    lines = lines.select("stem", "line_no", "line", F.explode(F.array(_tokens(F.col("line")))).alias("_t")).where(F.get("_t", 0) != "")
+    lines = lines.select("stem", "line_no", "line", "_t", F.explode(F.array(F.transform("_t", number))).alias("_v"))
+    return lines.select("stem", "line_no", "line", _row(F.col("_t"), F.col("_v"), dialect, count).alias("p"))
 
 
 def parse_files(files: DataFrame, dialect: str = "strict", on_error: str = "fail", count: int = 17) -> DataFrame:
     """One row per line of label files (stem, raw). Files stay apart from their lines: a file may be empty."""
     if on_error not in ON_ERROR:
         raise ValueError(f"unknown on_error {on_error!r}; known: {', '.join(ON_ERROR)}")
-    lines = files.select("stem", F.posexplode(F.split("raw", "\r?\n")).alias("pos", "line"))
-    rows = lines.withColumn("p", parse_line(F.col("line"), dialect, count)).where("p is not null").select("stem", F.col("pos").alias("line_no"), "p.*", F.col("line").alias("raw"))
+    rows = parsed_lines(files, dialect, count).select("stem", "line_no", "p.*", F.col("line").alias("raw"))
     if on_error == "fail":
         bad = F.raise_error(F.concat(F.lit("label line of "), F.col("stem"), F.lit(": "), F.col("error"))).cast("string")
         return rows.withColumn("error", F.when(F.col("error").isNotNull(), bad))

@@ -122,3 +122,15 @@ def test_description_of_a_data_set(spark, tmp_path):
     (tmp_path / "f.yaml").write_text("# x\n" * (files.CONFIG_LINES + 1))
     with pytest.raises(ValueError):
         files.dataset_config(spark, str(tmp_path / "f.yaml"))
+
+
+def test_lines_are_read_once(spark):
+    """Filters on what a line says were pushed below it, so each line was read two or three times."""
+    files = spark.createDataFrame([("a", "0 0.5 0.5 0.1 0.1\\n \\n0 inf 0.5 1d 0.1\\r\\nx 0.5\\n1e0 nan -Inf 1f 3\\n\\t1  Infinity 2. .5 -0 "), ("b", ""), ("c", None)], "stem string, raw string".replace("\\\\n", "\\n"))
+    files = files.selectExpr("stem", r"replace(replace(replace(raw, '\\n', chr(10)), '\\r', chr(13)), '\\t', chr(9)) raw")
+    rows = lb.parse_files(files, "strict", "drop_line")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    got = sorted((r.stem, r.line_no, r.class_id, r.cx, r.cy, r.h) for r in rows.collect())
+    assert got == [("a", 0, 0, 0.5, 0.5, 0.1), ("a", 5, 1, float("inf"), 2.0, -0.0)]
+    counts = {r.stem: (r.poses, r.skipped) for r in lb.pose_files(files).collect()}
+    assert counts["a"] == (0, 5) and counts["b"] == (0, 0)
