@@ -27,8 +27,7 @@ def check_dataset(images: DataFrame, files: DataFrame, classes: int, points: int
         other(named, have).select(F.lit("no_image").alias("problem"), "stem", F.lit("").alias("detail")),
         have.groupBy("stem").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("same_stem").alias("problem"), "stem", F.col("n").cast("string").alias("detail")),
     ]
-    lines = files.select("stem", F.posexplode(F.split("raw", "\r?\n")).alias("line_no", "line"))
-    p = lines.select("stem", "line_no", lb.parse_line(F.col("line"), dialect).alias("p")).where("p IS NOT NULL")
+    p = lb.parsed_lines(files, dialect)
     share = lambda v: (v >= 0) & (v <= 1)
     fine = F.col("p.error").isNull()
     size = F.size("p.kpts")
