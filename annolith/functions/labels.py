@@ -149,14 +149,27 @@ def general(v: pd.Series) -> pd.Series:
     return v.map(lambda x: "0.0" if x == 0 else f"{x:g}", na_action="ignore")
 
 
+@F.pandas_udf(T.StringType())
+def _line_text(token: pd.Series, values: pd.Series) -> pd.Series:
+    """The line of a class and its numbers: the box, then points of which each third number is a visibility. Nulls are left out."""
+    seen = lambda x: str(round(x)) if abs(x - round(x)) < 1e-6 else _short(x)
+
+    def one(t: str | None, v) -> str | None:
+        if v is None:
+            return None
+        texts = [seen(x) if i > 3 and (i - 4) % 3 == 2 else _short(x) for i, x in enumerate(v) if x is not None and x == x]
+        return " ".join(texts if t is None else [t, *texts])
+
+    return pd.Series([one(t, v) for t, v in zip(token, values, strict=True)], dtype=object)
+
+
 def to_lines(rows: DataFrame, trailing_newline: bool = False) -> DataFrame:
-    """Label files (stem, raw) from rows with class_token, cx, cy, w, h and kpts, in line order."""
+    """Label files (stem, raw) from rows with class_token, cx, cy, w, h and kpts, in line order.
+
+    A line is made where its row lies; only whole lines are brought together. Rows without points (null) are left out.
+    """
     flat = F.concat(F.array("cx", "cy", "w", "h"), F.flatten(F.transform("kpts", lambda p: F.array(p["x"], p["y"], p["v"]))))
-    long = rows.select("stem", "line_no", "class_token", F.posexplode(flat).alias("i", "value"))
-    is_v = (F.col("i") > 3) & ((F.col("i") - 4) % 3 == 2)
-    texts = long.withColumn("text", F.when(is_v, visibility("value")).otherwise(trimmed6("value")))
-    line = texts.groupBy("stem", "line_no", "class_token").agg(F.array_sort(F.collect_list(F.struct("i", "text"))).alias("t"))
-    line = line.select("stem", "line_no", F.concat_ws(" ", F.array("class_token"), F.transform("t", lambda x: x["text"])).alias("line"))
+    line = rows.select("stem", "line_no", _line_text("class_token", flat).alias("line")).where("line is not null")
     files = line.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     raw = F.concat_ws("\n", F.transform("l", lambda x: x["line"]))
     return files.select("stem", F.concat(raw, F.lit("\n")).alias("raw") if trailing_newline else raw.alias("raw"))

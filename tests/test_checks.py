@@ -126,7 +126,7 @@ def test_description_of_a_data_set(spark, tmp_path):
 
 def test_lines_are_read_once(spark):
     """Filters on what a line says were pushed below it, so each line was read two or three times."""
-    files = spark.createDataFrame([("a", "0 0.5 0.5 0.1 0.1\\n \\n0 inf 0.5 1d 0.1\\r\\nx 0.5\\n1e0 nan -Inf 1f 3\\n\\t1  Infinity 2. .5 -0 "), ("b", ""), ("c", None)], "stem string, raw string".replace("\\\\n", "\\n"))
+    files = spark.createDataFrame([("a", "0 0.5 0.5 0.1 0.1\\n \\n0 inf 0.5 1d 0.1\\r\\nx 0.5\\n1e0 nan -Inf 1f 3\\n\\t1  Infinity 2. .5 -0 "), ("b", ""), ("c", None)], "stem string, raw string")
     files = files.selectExpr("stem", r"replace(replace(replace(raw, '\\n', chr(10)), '\\r', chr(13)), '\\t', chr(9)) raw")
     rows = lb.parse_files(files, "strict", "drop_line")
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
@@ -134,3 +134,11 @@ def test_lines_are_read_once(spark):
     assert got == [("a", 0, 0, 0.5, 0.5, 0.1), ("a", 5, 1, float("inf"), 2.0, -0.0)]
     counts = {r.stem: (r.poses, r.skipped) for r in lb.pose_files(files).collect()}
     assert counts["a"] == (0, 5) and counts["b"] == (0, 0)
+
+
+def test_lines_are_made_where_their_rows_lie(spark):
+    """Each number of a line was a row of its own that went through a shuffle."""
+    rows = spark.createDataFrame([("a", 1, "x", 0.5, None, 0.25, 1.0, [(0.1, 1e-7, 2.0), (0.5, float("nan"), 0.3)]), ("a", 0, None, 1.0, 0.0, -0.0, 0.1234567, []), ("a", 2, "y", 1.0, 1.0, 1.0, 1.0, None), ("b", 0, "z", 1.0, 1.0, 1.0, 1.0, None)], "stem string, line_no int, class_token string, cx double, cy double, w double, h double, kpts array<struct<x:double,y:double,v:double>>")
+    lines = lb.to_lines(rows)
+    assert "Generate" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in lines.collect()] == [("a", "1 0 0 0.123457\nx 0.5 0.25 1 0.1 0 2 0.5 0.3")]
