@@ -35,6 +35,11 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str, start: i
     equal rows may take each other's place. Nulls come first. An empty table stays empty. Map columns have no hash
     and don't count in ties. Columns named ``_range``, ``_nth`` and ``_before`` are replaced.
     """
+    return _placed(rows, order, name, start).drop("_range")
+
+
+def _placed(rows: DataFrame, order: Sequence[str | Column], name: str, start: int) -> DataFrame:
+    """Like :func:`numbered`, with ``_range``, the number of the range that a row lies in."""
     hashed = [f"`{f.name}`" for f in rows.schema if f.dataType.typeName() not in ("map", "variant")]
     keys = [*order, F.xxhash64(*hashed)]
     dealt = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
@@ -45,21 +50,23 @@ def numbered(rows: DataFrame, order: Sequence[str | Column], name: str, start: i
     before = sizes.select("_range", F.coalesce(F.sum("_before").over(earlier), F.lit(0)).alias("_before"))
     # One row per range.
     out = dealt.join(F.broadcast(before), "_range")
-    return out.withColumn(name, F.col("_before") + F.col("_nth") + start).drop("_range", "_nth", "_before")
+    return out.withColumn(name, F.col("_before") + F.col("_nth") + start).drop("_nth", "_before")
 
 
 def numbered_within(rows: DataFrame, group: str, order: Sequence[str | Column], name: str, start: int = 1, size: str | None = None) -> DataFrame:
     """Like :func:`numbered`, beginning anew in each group; ``size`` names a column for the group's row count.
 
-    A group may hold most rows: it lies in many ranges, and only its first number and count are brought to it.
-    A null group is a group of its own.
+    A group may hold most rows: it lies in many ranges, and its first number and count are brought to each part of it by range and group, so
+    no task gets the whole group. A null group is a group of its own.
     """
-    every = numbered(rows, [group, *order], "_place", 0)
-    first = every.groupBy(F.col(group).alias("_group")).agg(F.min("_place").alias("_first"), F.count("*").alias("_size"))
-    out = every.join(first, F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_place") - F.col("_first") + start)
+    every = _placed(rows, [group, *order], "_place", 0)
+    parts = every.groupBy(F.col("_range").alias("_part"), F.col(group).alias("_group")).agg(F.min("_place").alias("_low"), F.count("*").alias("_rows"))
+    whole = parts.groupBy(F.col("_group").alias("_of")).agg(F.min("_low").alias("_first"), F.sum("_rows").alias("_size"))
+    known = parts.select("_part", "_group").join(whole, F.col("_group").eqNullSafe(F.col("_of"))).drop("_of")
+    out = every.join(known, (F.col("_range") == F.col("_part")) & F.col(group).eqNullSafe(F.col("_group"))).withColumn(name, F.col("_place") - F.col("_first") + start)
     if size:
         out = out.withColumn(size, F.col("_size"))
-    return out.drop("_place", "_group", "_first", "_size")
+    return out.drop("_place", "_range", "_part", "_group", "_first", "_size")
 
 
 def with_sum_before(rows: DataFrame, order: Sequence[str | Column], value: str, name: str) -> DataFrame:

@@ -47,3 +47,14 @@ def test_empty_tables_and_maps(spark):
     assert ranks.numbered_within(empty, "g", ["k"], "no").count() == 0
     one = spark.createDataFrame([("x", 1, {"a": 1})], "g string, k int, m map<string,int>")
     assert ranks.numbered(one, ["k"], "no", 5).first().no == 5
+
+
+def test_a_large_group_is_not_brought_to_one_task(spark):
+    """Numbers within a group were joined by the group alone, so one task read all of it."""
+    from annolith.operators import ranks
+
+    rows = spark.range(1000).selectExpr("IF(id % 10 = 0, NULL, 'most') g", "id")
+    out = ranks.numbered_within(rows, "g", ["id"], "n", 1, "size")
+    assert "_range" in out._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)[1].split("\n", 1)[0]
+    got = {(r.g, r.id): (r.n, r["size"]) for r in out.collect()}
+    assert got[(None, 990)] == (100, 100) and got[("most", 1)] == (1, 900) and got[("most", 999)] == (900, 900)
