@@ -16,7 +16,7 @@ the class of the id before; the first of a block by order 0.
 All blocks of a segment advance together, one id at a time, as columns of arrays. Coding uses only whole
 numbers, so reader and writer agree on every machine.
 
-Segment layout (little-endian): ``AMR3``, documents, blocks, bytes of the head (u32 each); per document its id
+Segment layout (little-endian): ``AMR4``, documents, blocks, bytes of the head (u32 each); per document its id
 (i64), whether it has one (u8), its ids (u32); per block its ids, words of code, CRC-32 (u32
 each); the head; the blocks' code words (u16). The head: distinct ids, classes, length (u32 each), then deflated the ids (gaps, u32),
 their classes (u8), and per class, then for order 0, each id's frequency on a scale of quarter octaves (u8; 0: none).
@@ -48,16 +48,19 @@ from . import prefix, storage, tokens
 
 BLOCK = 4096
 SEGMENT_BYTES = 32_000_000
-MAGIC = b"AMR3"
+MAGIC = b"AMR4"
 SLOTS = 2048  # predictions per order
 CLASSES = 32
-#: Pairs of ids that classes are learned from, at most, evenly over the segment; rounds of learning.
-PAIRS, ROUNDS = 400_000, 8
+ROUNDS = 8  # of learning classes
+#: Pairs of ids are counted in a table of at most this size; if there could be more, they are sorted.
+PAIR_TABLE = 1 << 23
 BITS = 20  # of a coding step
 TOTAL = 1 << BITS
 LEAST_RANGE = np.uint64(1 << 32)
 MASK = np.uint64((1 << 48) - 1)
-STEP, U16, U32, U48 = np.uint64(BITS), np.uint64(16), np.uint64(32), np.uint64(48)
+LEAST = np.uint64(1 << 16)  # below it, two words go
+STEP, U16, U32 = np.uint64(BITS), np.uint64(16), np.uint64(32)
+HASH1, HASH2 = np.uint16(40503), np.uint16(60493)
 
 #: Logistic function of x / 256 in 4096ths, for x from -2047 to 2047.
 SQUASH = np.array([min(4095, max(1, round(4096 / (1 + math.exp(-x / 256))))) for x in range(-2047, 2048)], np.int32)
@@ -69,21 +72,31 @@ SCALE = np.array([0, *[round(2 ** (c / 4)) for c in range(81)]], np.int64)
 
 # --- what a segment's blocks begin with ----------------------------------------------------------
 def classes(x: np.ndarray, v: int) -> np.ndarray:
-    """A class for each of ``v`` ids: ids after which the same ids come are together. From an even sample of the pairs in ``x``."""
+    """A class for each of ``v`` ids: ids after which the same ids come are together. From all pairs in ``x``."""
     n = len(x) - 1
     k = int(min(CLASSES, max(1, n // 3000)))
     if k == 1:
         return np.zeros(v, np.uint8)
-    at = np.arange(n) if n <= PAIRS else np.arange(PAIRS) * n // PAIRS
-    pairs, count = np.unique(x[at].astype(np.int64) * v + x[at + 1], return_counts=True)
+    pairs = x[:-1].astype(np.int64) * v
+    pairs += x[1:]
+    if v * v <= PAIR_TABLE:  # faster than sorting
+        count = np.bincount(pairs, minlength=v * v)
+        pairs = np.flatnonzero(count)
+        count = count.take(pairs)
+    else:
+        pairs, count = np.unique(pairs, return_counts=True)
     first, second = pairs // v, pairs % v
-    share = np.bincount(second, count, v) / len(at)
+    begin = np.flatnonzero(np.diff(first, prepend=-1))
+    count = count.astype(np.float64)
+    share = np.bincount(x[1:], minlength=v) / n
     of = np.random.default_rng(0).integers(0, k, v)
+    score = np.zeros((k, v))
     for _ in range(ROUNDS):
-        table = np.bincount(of[first] * v + second, count, k * v).reshape(k, v)
+        table = np.bincount(of.take(first) * v + second, count, k * v).reshape(k, v)
         log = np.log2((table + share + 1e-9) / (table.sum(1, keepdims=True) + 1.0))
-        score = np.stack([np.bincount(first, count * log[c][second], v) for c in range(k)], 1)
-        new = score.argmax(1)
+        for c in range(k):
+            score[c, first[begin]] = np.add.reduceat(log[c].take(second) * count, begin)
+        new = score.argmax(0)
         if (new == of).all():
             break
         of = new
@@ -146,15 +159,31 @@ class Head:
     def __post_init__(self):
         self.size = np.stack([_whole(c) for c in self.codes]) if len(self.codes) else np.zeros((1, 0), np.int64)
         start = np.cumsum(self.size, 1) - self.size
-        self.start, self.flat = start.ravel(), self.size.ravel()
-        #: Entries of all tables in order, for the way back.
+        self.start, self.flat = start.ravel().astype(np.uint64), self.size.ravel().astype(np.uint64)
+        #: What a frequency says in the mix.
+        self.common = STRETCH.take(np.minimum(self.size.ravel() >> (BITS - 12), 4095))
+
+    def index(self) -> None:
+        """Entries of all tables in order, for the way back: which entry each 256th place lies in."""
         self.entry = np.flatnonzero(self.flat)
-        self.key = (self.entry // max(1, len(self.ids)) << BITS) + self.start[self.entry]
+        self.key = np.append((self.entry // max(1, len(self.ids)) << BITS) + self.start[self.entry].astype(np.int64), np.iinfo(np.int64).max)
+        self.near = np.searchsorted(self.key, np.arange(len(self.codes) << (BITS - 8)) << 8, "right") - 1
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        """The entries that places (table, then 2 ** BITS) lie in."""
+        found = self.near.take(at >> 8)
+        more = np.flatnonzero(self.key.take(found + 1) <= at)
+        if len(more):
+            found[more] = np.searchsorted(self.key, at.take(more), "right") - 1
+        return self.entry.take(found)
 
 
 # --- what adapts in a block ------------------------------------------------------------------------
 class _Models:
-    """The state of ``n`` blocks, as flat arrays of whole numbers; a cell is an id's place (upper bits) and its confidence (4 bits)."""
+    """The state of ``n`` blocks, as flat arrays of whole numbers; a cell is an id's place (upper bits) and its confidence (4 bits).
+
+    All blocks are worked out side by side, those without a prediction too: that costs less than to pick the others.
+    """
 
     def __init__(self, n: int, head: Head):
         self.head, self.v = head, len(head.ids)
@@ -163,107 +192,134 @@ class _Models:
         self.base = np.arange(2 * n).reshape(2, n) * SLOTS
         # Chances by order and confidence, and whether the other order says the same.
         self.hit = np.tile((np.arange(64) % 16 * 200 + 300).astype(np.int32), n)
-        self.weight = [np.full(n, w, np.int32) for w in (20000, 30000, 16000)]
-        self.prev, self.prev2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.states = np.arange(n) * 64 + np.array([[0], [32]])
+        self.weight = np.repeat(np.array([[20000], [30000], [16000]], np.int32), n, 1)
+        self.prev, self.prev2 = np.zeros(n, np.uint16), np.zeros(n, np.uint16)  # the lower bits, which the slots are made of
         self.row = np.full(n, (len(head.codes) - 1) * self.v, np.int64)  # the table in use: order 0 at first
 
+    def look(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the first k blocks the predicted place, and the chance in 2 ** BITS that it's right: 0, if there is no prediction."""
+        slot = np.empty((2, k), np.uint16)
+        np.multiply(self.prev[:k], HASH1, out=slot[0])
+        np.multiply(self.prev2[:k], HASH2, out=slot[1])
+        slot[1] += slot[0]
+        slot >>= 4
+        slot &= SLOTS - 1
+        self.at = (self.base[:, :k] + slot).ravel()
+        self.cell = cell = self.cells.take(self.at).reshape(2, k)
+        self.sure = sure = cell & 15
+        ids = cell >> 4
+        by_two = sure[1] > 0
+        guess = np.where(by_two, ids[1], ids[0])
+        state = np.empty((2, k), np.int32)
+        np.multiply(sure[0], ids[0] == guess, out=state[0])
+        np.minimum(state[0], 1, out=state[1])
+        state[1] <<= 4
+        state[1] += sure[1]
+        state[0] += np.left_shift(by_two, 4, dtype=np.int32)
+        self.state = (self.states[:, :k] + state).ravel()
+        self.hits = self.hit.take(self.state)
+        self.inputs = np.empty((3, k), np.int32)
+        STRETCH.take(self.hits, out=self.inputs[:2].reshape(-1), mode="clip")
+        self.head.common.take(self.row[:k] + guess, out=self.inputs[2], mode="clip")
+        dot = (self.inputs * self.weight[:, :k]).sum(0, dtype=np.int32)
+        dot >>= 16
+        dot += 2047
+        self.p = SQUASH.take(dot, mode="clip")
+        self.said = by_two | (sure[0] > 1)
+        return guess, (self.p * self.said) << (BITS - 12)
+
+    def fit(self, x: np.ndarray, hit: np.ndarray) -> None:
+        """Where ids were and which predictions held."""
+        k = len(x)
+        was = np.left_shift(hit, 12, dtype=np.int32)
+        error = was - self.p
+        error *= 6
+        error *= self.said
+        weight = self.weight[:, :k]
+        self.inputs *= error
+        self.inputs >>= 10
+        weight += self.inputs
+        np.maximum(weight, -200_000, out=weight)
+        np.minimum(weight, 200_000, out=weight)
+        change = (was - self.hits.reshape(2, k)) >> 5
+        change *= self.said
+        self.hit[self.state] = self.hits + change.ravel()  # stays between 31 and 4065
+        cell, sure, new = self.cell, self.sure, x << 4
+        known = cell - sure
+        other = np.where(sure <= 1, new | 1, known | (sure >> 1))
+        # A cell without confidence says place 0: if that came, both give the same.
+        self.cells[self.at] = np.where(known == new, np.minimum(cell + 1, cell | 15), other).ravel()
+        self.prev2[:k] = self.prev[:k]
+        self.prev[:k] = x
+        self.row_of.take(x, out=self.row[:k], mode="clip")
+
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the first k blocks those with a prediction, the predicted places, and the chances in 2 ** BITS that they're right."""
-        at = np.empty((2, k), np.int64)
-        np.multiply(self.prev[:k], 40503, out=at[0])
-        np.multiply(self.prev2[:k], 60493, out=at[1])
-        at[1] += at[0]
-        at >>= 4
-        at &= SLOTS - 1
-        at += self.base[:, :k]
-        self.at, self.cell = at, self.cells.take(at)
-        self.sure = self.cell & 15
-        self.who = who = np.flatnonzero((self.sure[0] > 1) | (self.sure[1] > 0))
-        if not len(who):
-            return who, who, who
-        sure1, sure2 = self.sure.take(who, 1)
-        id1, id2 = self.cell.take(who, 1) >> 4
-        by_two = sure2 > 0
-        guess = np.where(by_two, id2, id1)
-        agree = np.where(id1 == guess, sure1, 0)
-        self.states = np.empty((2, len(who)), np.int64)
-        np.multiply(who, 64, out=self.states[0])
-        np.add(self.states[0], sure2 + (32 + ((agree > 0) << 4)), out=self.states[1])
-        self.states[0] += agree + (by_two << 4)
-        self.hits = self.hit.take(self.states)
-        common = np.minimum(self.head.flat.take(self.row.take(who) + guess) >> (BITS - 12), 4095)
-        self.inputs = [STRETCH.take(self.hits[0]), STRETCH.take(self.hits[1]), STRETCH.take(common)]
-        self.weights = [w.take(who) for w in self.weight]
-        dot = sum(i * w for i, w in zip(self.inputs, self.weights, strict=True)) >> 16
-        dot += 2047
-        np.maximum(dot, 0, out=dot)
-        np.minimum(dot, 4094, out=dot)
-        self.p = SQUASH.take(dot)
-        return who, guess, self.p.astype(np.int64) << (BITS - 12)
+        guess, chance = self.look(k)
+        who = np.flatnonzero(chance)
+        return who, guess[who], chance[who]
 
     def learn(self, x: np.ndarray, hit: np.ndarray) -> None:
         """Where ids were and, of those predicted, which predictions held."""
-        k, who = len(x), self.who
-        if len(who):
-            was = hit.astype(np.int32) << 12
-            error = (was - self.p) * 6
-            for weight, w, value in zip(self.weight, self.weights, self.inputs, strict=True):
-                w += (value * error) >> 10
-                np.maximum(w, -200_000, out=w)
-                np.minimum(w, 200_000, out=w)
-                weight[who] = w
-            self.hit[self.states] = self.hits + ((was - self.hits) >> 5)  # stays between 31 and 4065
-        cell, sure = self.cell, self.sure
-        other = np.where(sure <= 1, (x << 4) | 1, cell - sure + (sure >> 1))
-        same = (cell >> 4 == x) & (sure > 0)
-        self.cells[self.at] = np.where(same, cell + (sure < 15), other)
-        self.prev2[:k] = self.prev[:k]
-        self.prev[:k] = x
-        self.row[:k] = self.row_of.take(x)
+        held = np.zeros(len(x), bool)
+        held[np.flatnonzero(self.said)] = hit
+        self.fit(x, held)
 
 
 class _Writer:
-    """Range coders of 48 bits that give 16 bits at a time; a carry goes back into the words."""
+    """Range coders of 48 bits that give 16 bits at a time.
 
-    def __init__(self, n: int, words: int):
-        self.low, self.range = np.zeros(n, np.uint64), np.full(n, MASK, np.uint64)
-        self.out, self.used = np.zeros((n, words), np.uint16), np.zeros(n, np.int64)
+    Only the ranges go from step to step. What the steps add to a code, and the word from which they add it, is kept; sums by word are made for many steps at once, and
+    carries go through the words at the end.
+    """
+
+    STEPS = 256  # whose parts are kept
 
-    def _emit(self, at: np.ndarray, word: np.ndarray) -> None:
-        if self.used[at].max(initial=0) >= self.out.shape[1]:
-            self.out = np.concatenate([self.out, np.zeros_like(self.out)], 1)
-        self.out[at, self.used[at]] = word
-        self.used[at] += 1
+    def __init__(self, n: int, words: int):
+        self.range, self.used = np.full(n, MASK, np.uint64), np.zeros(n, np.int64)
+        self.low, self.shift, self.kept = np.zeros((self.STEPS, n), np.uint64), np.zeros((self.STEPS, n), np.uint8), 0
+        self.sums = np.zeros((n, words), np.int64)  # each under 2 ** 48, in units of the second word after
 
-    def code(self, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+    def code(self, at: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
         """Code the part of the range from ``start`` of ``size`` in 2 ** BITS, for the blocks ``at``."""
+        if self.kept == self.STEPS:
+            self._sum()
         step = self.range[at] >> STEP
-        low = self.low[at] + start.astype(np.uint64) * step
-        rng = size.astype(np.uint64) * step
-        carry = np.flatnonzero(low >> U48)
-        if len(carry):
-            low[carry] &= MASK
-            b = at[carry]
-            back = self.used[b] - 1
-            while len(b):
-                self.out[b, back] += 1
-                more = self.out[b, back] == 0
-                b, back = b[more], back[more] - 1
-        short = np.flatnonzero(rng < LEAST_RANGE)
-        while len(short):  # twice at most
-            s = low[short]
-            self._emit(at[short], (s >> U32).astype(np.uint16))
-            low[short] = (s << U16) & MASK
-            rng[short] <<= U16
-            short = short[rng[short] < LEAST_RANGE]
-        self.low[at], self.range[at] = low, rng
+        rng = size.astype(np.uint64, copy=False) * step
+        short = (rng < LEAST_RANGE).view(np.uint8) + (rng < LEAST).view(np.uint8)
+        self.range[at] = rng << (short << 4)
+        self.low[self.kept, at] = start.astype(np.uint64, copy=False) * step
+        self.shift[self.kept, at] = short
+        self.kept += 1
+
+    def _sum(self) -> None:
+        shift = self.shift[: self.kept]
+        ends = np.cumsum(shift, 0, dtype=np.int32)
+        width, n = int(ends[-1].max(initial=0)) + 1, len(self.used)
+        place = ends - shift
+        place += np.arange(n, dtype=np.int32) * width
+        # What is added from one word on stays below 2 ** 48, so the sums are exact.
+        sums = np.bincount(place.ravel(), self.low[: self.kept].ravel(), n * width).astype(np.int64).reshape(n, width)
+        while self.used.max(initial=0) + width > self.sums.shape[1]:
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)], 1)
+        self.sums[np.arange(n)[:, None], self.used[:, None] + np.arange(width)] += sums
+        self.used += ends[-1]
+        self.low[:], self.shift[:], self.kept = 0, 0, 0
 
     def finish(self) -> list[np.ndarray]:
-        at = np.arange(len(self.low))
-        for _ in range(3):
-            self._emit(at, (self.low >> U32).astype(np.uint16))
-            self.low = (self.low << U16) & MASK
-        return [self.out[i, : self.used[i]] for i in at]
+        if self.kept:
+            self._sum()
+        n, words = len(self.used), int(self.used.max(initial=0)) + 3
+        out, carry = np.zeros((words, n), np.uint16), np.zeros(n, np.int64)
+        sums = np.ascontiguousarray(self.sums[:, : words - 2].T)
+        for q in range(words - 1, -1, -1):
+            if q > 1:
+                carry += sums[q - 2]
+            out[q] = carry & 0xFFFF
+            carry >>= 16
+        out = np.ascontiguousarray(out.T)
+        return [out[i, : u + 3] for i, u in enumerate(self.used)]
 
 
 class _Reader:
@@ -283,17 +339,35 @@ class _Reader:
         step = self.range[at] >> STEP
         return np.minimum(self.ahead[at] // step, np.uint64(TOTAL - 1)).astype(np.int64), step
 
-    def take(self, at: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
-        ahead = self.ahead[at] - start.astype(np.uint64) * step
-        rng = size.astype(np.uint64) * step
+    def _fill(self, at: np.ndarray | None, ahead: np.ndarray, rng: np.ndarray) -> None:
         short = np.flatnonzero(rng < LEAST_RANGE)
-        while len(short):
-            b = at[short]
+        while len(short):  # twice at most
+            b = short if at is None else at[short]
+            where, r = self.at[b], rng[short] << U16
             # A damaged block may ask for more words than there are; its checksum tells.
-            ahead[short] = (ahead[short] << U16) | self.words[np.minimum(self.at[b], len(self.words) - 1)]
-            self.at[b] += 1
-            rng[short] <<= U16
-            short = short[rng[short] < LEAST_RANGE]
+            ahead[short] = (ahead[short] << U16) | self.words.take(where, mode="clip")
+            self.at[b] = where + 1
+            rng[short] = r
+            short = short[r < LEAST_RANGE]
+
+    def decide(self, k: int, chance: np.ndarray) -> np.ndarray:
+        """For each of the first k blocks, whether the code lies below the chance."""
+        ahead, rng = self.ahead[:k], self.range[:k]
+        step = rng >> STEP
+        bound = chance.astype(np.uint64) * step
+        hit = ahead < bound
+        step <<= STEP
+        step -= bound
+        rng[:] = np.where(hit, bound, step)
+        bound *= ~hit
+        ahead -= bound
+        self._fill(None, ahead, rng)
+        return hit
+
+    def take(self, at: np.ndarray, step: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        ahead = self.ahead[at] - start.astype(np.uint64, copy=False) * step
+        rng = size.astype(np.uint64, copy=False) * step
+        self._fill(at, ahead, rng)
         self.ahead[at], self.range[at] = ahead, rng
 
 
@@ -308,24 +382,18 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[tuple[int,
     padded = np.zeros(n * block, np.int32)
     padded[: len(x)] = x
     columns = np.ascontiguousarray(padded.reshape(n, block).T)
-    models, out = _Models(n, head), _Writer(n, block + 16)
-    every = np.arange(n)
+    models, out = _Models(n, head), _Writer(n, block // 2 + 16)
     for t in range(int(sizes.max())):
         k = n if t < sizes[-1] else n - 1  # only the last block is shorter
         x = columns[t, :k]
-        who, guess, chance = models.predict(k)
-        hit = x[who] == guess
-        if len(who):
-            out.code(who, np.where(hit, 0, chance), np.where(hit, chance, TOTAL - chance))
-            open_ = np.ones(k, bool)
-            open_[who[hit]] = False
-            at = np.flatnonzero(open_)
-        else:
-            at = every[:k]
+        guess, chance = models.look(k)
+        hit = (x == guess) & models.said
+        out.code(slice(0, k), np.where(hit, 0, chance), np.where(hit, chance, TOTAL - chance))
+        at = np.flatnonzero(~hit)
         if len(at):
-            place = models.row[at] + x[at]
+            place = models.row.take(at) + x.take(at)
             out.code(at, head.start.take(place), head.flat.take(place))
-        models.learn(x, hit)
+        models.fit(x, hit)
     return head.bytes(), [(int(s), tokens.crc32(ids[i * block : i * block + s]), c) for i, (s, c) in enumerate(zip(sizes, out.finish(), strict=True))]
 
 
@@ -340,28 +408,20 @@ def decode(head_bytes: bytes, blocks: list[tuple[int, int, np.ndarray]]) -> np.n
     models, source = _Models(len(blocks), head), _Reader([blocks[i][2] for i in order])
     down = sizes[order]
     result = np.zeros((int(down[0]), len(blocks)), np.int32)
-    every = np.arange(len(blocks))
+    head.index()
     for t in range(int(down[0])):
         k = int(np.searchsorted(-down, -t, "left"))
-        who, guess, chance = models.predict(k)
-        x = np.zeros(k, np.int32)
-        hit, at = np.zeros(0, bool), every[:k]
-        if len(who):
-            where, step = source.place(who)
-            hit = where < chance
-            source.take(who, step, np.where(hit, 0, chance), np.where(hit, chance, TOTAL - chance))
-            x[who] = guess
-            open_ = np.ones(k, bool)
-            open_[who[hit]] = False
-            at = np.flatnonzero(open_)
+        x, chance = models.look(k)
+        hit = source.decide(k, chance)
+        at = np.flatnonzero(~hit)
         if len(at):
             where, step = source.place(at)
-            found = np.searchsorted(head.key, (models.row[at] // v << BITS) + where, "right") - 1
-            place = head.entry.take(found)
+            row = models.row.take(at)
+            place = head.find((row // v << BITS) + where)
             source.take(at, step, head.start.take(place), head.flat.take(place))
             x[at] = place % v
         result[t, :k] = x
-        models.learn(x, hit)
+        models.fit(x, hit)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     for i, b in enumerate(order):
         out[b] = head.ids.take(result[: sizes[b], i])

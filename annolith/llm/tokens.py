@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept per worker; a full store is emptied.
+#: Words kept per worker; of a full store only the words at hand stay.
 KEPT_WORDS = 300_000
 #: Bytes of text that are worked on at once; a longer text is a batch of its own.
 BATCH_BYTES = 4_000_000
@@ -75,13 +75,21 @@ class Encoder:
         if odd:
             self._append(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids]), odd)
 
+    def _keep(self, words: list[str]) -> None:
+        """Drop all other words."""
+        starts = np.concatenate(self.starts)
+        numbers = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        lengths = starts[numbers + 1] - starts[numbers]
+        ids = _gather(self.flat, starts[numbers], lengths)
+        self._clear()
+        self._append(ids, lengths, words)
+
     def _numbers(self, words: list[str]) -> np.ndarray:
         at = self.at
         missing = [w for w in dict.fromkeys(words) if w not in at]
         if len(at) + len(missing) > KEPT_WORDS and at:
-            self._clear()
+            self._keep([w for w in dict.fromkeys(words) if w in at])
             at = self.at
-            missing = list(dict.fromkeys(words))
         for k in range(0, len(missing), 20_000):
             self._learn(missing[k : k + 20_000])
         return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
@@ -103,7 +111,7 @@ class Encoder:
         split = pc.extract_regex(pc.if_else(plain, low, pa.scalar(None, low.type)), pattern=_TAIL)
         core = pc.coalesce(pc.struct_field(split, 0), low)
         tail = pc.coalesce(pc.struct_field(split, 1), pa.scalar("", pa.large_string()))
-        # One list, so that the store is emptied before both or neither. Tails are few.
+        # One list, so that words are dropped before both or neither. Tails are few.
         tails = tail.dictionary_encode()
         numbers = self._numbers(core.to_pylist() + tails.dictionary.to_pylist())
         self.starts = [np.concatenate(self.starts)]

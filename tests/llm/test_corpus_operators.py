@@ -404,6 +404,31 @@ def test_fewer_bits_than_order_0(spark):
     assert (coder.unpack_segment(segment)[2] == ids).all()
 
 
+def test_classes_are_learned_from_all_pairs(monkeypatch):
+    """What follows an id at odd places alone tells its class, however long a segment is and however its pairs are counted."""
+    rng = np.random.default_rng(5)
+    x = np.empty(800_001, np.int32)
+    x[1::2] = rng.integers(50, 100, 400_000)
+    x[0] = 0
+    x[2::2] = rng.integers(0, 25, 400_000) + 25 * (x[1::2] % 2)
+    of = coder.classes(x, 100)
+    assert not set(of[50::2]) & set(of[51::2])
+    monkeypatch.setattr(coder, "PAIR_TABLE", 1)
+    assert (coder.classes(x, 100) == of).all()
+
+
+def test_full_store_keeps_the_words_at_hand(monkeypatch):
+    enc, learned = tokens.Encoder(tokens.default_path()), []
+    monkeypatch.setattr(tokens, "KEPT_WORDS", 5)
+    learn = enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda words: (learned.append(sorted(w for w in words if w)), learn(words)))
+    for text in ("house garden thrown", "garden qwertyx zyxwvut", "one two six ten red sky", "sky garden!"):
+        ids, bounds = enc.encode(pa.array([text, text]))
+        want = enc.tokenizer.encode(text, add_special_tokens=False).ids
+        assert ids.tolist() == want * 2 and bounds.tolist() == [0, len(want), 2 * len(want)]
+    assert learned[:2] == [["garden", "house", "thrown"], ["qwertyx", "zyxwvut"]] and "sky" not in learned[3]
+
+
 def plain_model(x, head):
     """What one block's model says before each id, by dictionaries and lists: a prediction with its chance, or none, and the table in use."""
     squash, stretch = coder.SQUASH.tolist(), coder.STRETCH.tolist()
