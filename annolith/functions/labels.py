@@ -11,6 +11,8 @@ pose      at least 8 tokens and whole triplets
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,19 +35,29 @@ def _tokens(line: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
 
 
-def _row(tokens: Column, values: Column, dialect: str, count: int) -> Column:
-    """What a line says; values: its tokens as numbers, the class first."""
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value): a lambda's variable is worked out once, however often it's named."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _shape(n: Column, dialect: str) -> Column:
+    """Whether a line may have n tokens."""
     if dialect not in DIALECTS:
         raise ValueError(f"unknown dialect {dialect!r}; known: {', '.join(DIALECTS)}")
-    n = F.size(tokens)
     triplets = (n - 5) % 3 == 0
-    shape = {
+    return {
         "strict": (n >= 5) & triplets,
         "fixed": (n == 5) | (n == 56),
         "lenient": F.lit(True),
         "padded": (n >= 5) & triplets,
         "pose": (n >= 8) & triplets,
     }[dialect]
+
+
+def _row(tokens: Column, values: Column, dialect: str, count: int) -> Column:
+    """What a line says; values: its tokens as numbers, the class first."""
+    n = F.size(tokens)
+    shape = _shape(n, dialect)
     numeric = ~F.exists(values, lambda v: v.isNull())
     k = F.greatest(F.lit(0), F.floor((n - 5) / 3).cast("int"))
     points = F.when(k > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), k - 1)), lambda i: kp.point(F.get(values, 5 + 3 * i), F.get(values, 6 + 3 * i), F.get(values, 7 + 3 * i))))
@@ -63,9 +75,8 @@ def _row(tokens: Column, values: Column, dialect: str, count: int) -> Column:
 
 def parse_line(line: Column, dialect: str = "strict", count: int = 17) -> Column:
     """struct<class_token, class_id, cx, cy, w, h, kpts, error>; null for a blank line."""
-    # A lambda's variable is worked out once: a line's tokens and values aren't made anew for each point.
-    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
-    return once(_tokens(line), lambda t: F.when(F.get(t, 0) != "", once(F.transform(t, number), lambda v: _row(t, v, dialect, count))))
+    # A line's tokens and values aren't made anew for each point.
+    return _once(_tokens(line), lambda t: F.when(F.get(t, 0) != "", _once(F.transform(t, number), lambda v: _row(t, v, dialect, count))))
 
 
 def parsed_lines(files: DataFrame, dialect: str = "strict", count: int = 17) -> DataFrame:
@@ -105,12 +116,20 @@ def pose_entries(files: DataFrame, class_id: int = 0) -> DataFrame:
     return rows.where((F.col("class_id") == class_id) & F.col("cx").isNotNull() & F.col("cy").isNotNull() & F.col("w").isNotNull() & F.col("h").isNotNull()).drop("error")
 
 
+def _pose_points(line: Column) -> Column:
+    """How many points a pose's line has, without making them: -1 for a line that isn't a pose, null for a blank one."""
+    # Only d and f, as type letters or in inf, make a token no number that can be cast to one.
+    odd = lambda t: F.when(line.rlike("[dDfF]"), F.exists(t, lambda x: number(x).isNull())).otherwise(F.exists(t, lambda x: x.try_cast("double").isNull()))
+    points = lambda t: F.when(_shape(F.size(t), "pose") & ~odd(t), F.floor((F.size(t) - 5) / 3).cast("int")).otherwise(-1)
+    return _once(_tokens(line), lambda t: F.when(F.get(t, 0) != "", points(t)))
+
+
 def pose_files(files: DataFrame, points: int | None = None) -> DataFrame:
     """Per label file: lines that can be read as poses, lines that can't, and poses with another number of points than ``points``."""
-    p = F.transform(F.split("raw", "\r?\n"), lambda line: parse_line(line, "pose"))
-    read = F.filter("_p", lambda r: r.isNotNull() & r["error"].isNull())
-    odd = F.size(F.filter(read, lambda r: F.size(r["kpts"]) != points)) if points is not None else F.lit(0)
-    return files.select("stem", p.alias("_p")).select("stem", F.size(read).alias("poses"), F.size(F.filter("_p", lambda r: r["error"].isNotNull())).alias("skipped"), odd.alias("mismatched"))
+    read, known = F.filter("_n", lambda n: n >= 0), F.filter("_n", lambda n: n.isNotNull())
+    odd = F.size(F.filter(read, lambda n: n != points)) if points is not None else F.lit(0)
+    counts = files.select("stem", F.explode(F.array(F.transform(F.split("raw", "\r?\n"), _pose_points))).alias("_n"))
+    return counts.select("stem", F.size(read).alias("poses"), (F.size(known) - F.size(read)).alias("skipped"), odd.alias("mismatched"))
 
 
 def file_states(images: DataFrame, files: DataFrame) -> DataFrame:

@@ -142,3 +142,19 @@ def test_lines_are_made_where_their_rows_lie(spark):
     lines = lb.to_lines(rows)
     assert "Generate" not in lines._jdf.queryExecution().optimizedPlan().toString()
     assert [tuple(r) for r in lines.collect()] == [("a", "1 0 0 0.123457\nx 0.5 0.25 1 0.1 0 2 0.5 0.3")]
+
+
+def test_pose_counts_are_those_of_parsed_lines(spark):
+    """Every kind of token and number of tokens, counted without making points, as the parser of whole lines counts them."""
+    tokens = ["1", "-0.5", "1e3", "1d", "2F", "inf", "-INF", "+Infinity", "NaN", "nan", "x", "1.2.3", ".", ".5", "5.", "0x1p3", "1_0", "١", "1e400", "-", "fd", "word"]
+    lines = [" ".join(["0.5"] * n) for n in (0, 1, 4, 5, 7, 8, 9, 11, 14, 56)] + ["", "   ", "\t\x0b ", " 0 1\t1 1  1 1 1 2\x0c", "0 1 1 1 1 1 1 2  "]
+    lines += [" ".join(["0", *["0.5"] * k, t, *["0.5"] * (6 - k)]) for t in tokens for k in (0, 6)]
+    files = [(f"f{i}", line) for i, line in enumerate(lines)] + [("all", "\r\n".join(lines)), ("all", "\n".join(lines)), (None, lines[5]), ("none", None), ("empty", "")]
+    df = spark.createDataFrame(files, "stem string, raw string")
+    read = df.select("stem", F.transform(F.split("raw", "\r?\n"), lambda x: lb.parse_line(x, "pose")).alias("p"))
+    fine = F.filter("p", lambda r: r["error"].isNull() & r["class_token"].isNotNull())
+    want = read.select("stem", F.size(fine), F.size(F.filter("p", lambda r: r["error"].isNotNull())), F.size(F.filter(fine, lambda r: F.size(r["kpts"]) != 2)))
+    key = lambda r: str(tuple(r))
+    got = lb.pose_files(df, 2)
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, want.collect()), key=key)
+    assert "kpts" not in got._jdf.queryExecution().optimizedPlan().toString()
