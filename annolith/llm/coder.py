@@ -32,6 +32,7 @@ Defined results
 
 from __future__ import annotations
 
+import itertools
 import math
 import struct
 import zlib
@@ -40,6 +41,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +53,8 @@ SEGMENT_BYTES = 32_000_000
 MAGIC = b"AMR4"
 SLOTS = 2048  # predictions per order
 CLASSES = 32
+AT_ONCE = 128  # steps of all blocks whose slots and parts are worked out at once
+TOGETHER = 12_000_000  # ids of segments that are read side by side
 ROUNDS = 8  # of learning classes
 #: Pairs of ids are counted in a table of at most this size; if there could be more, they are sorted.
 PAIR_TABLE = 1 << 23
@@ -77,14 +81,17 @@ def classes(x: np.ndarray, v: int) -> np.ndarray:
     k = int(min(CLASSES, max(1, n // 3000)))
     if k == 1:
         return np.zeros(v, np.uint8)
-    pairs = x[:-1].astype(np.int64) * v
-    pairs += x[1:]
-    if v * v <= PAIR_TABLE:  # faster than sorting
+    pairs = x[:-1].astype(np.uint32 if v * v <= 1 << 32 else np.int64)
+    pairs *= v
+    pairs += x[1:].astype(pairs.dtype)
+    if v * v <= min(n, PAIR_TABLE):  # faster than sorting
         count = np.bincount(pairs, minlength=v * v)
         pairs = np.flatnonzero(count)
         count = count.take(pairs)
     else:
-        pairs, count = np.unique(pairs, return_counts=True)
+        pairs.sort()
+        at = np.flatnonzero(np.diff(pairs, prepend=pairs[0] ^ 1))
+        pairs, count = pairs[at].astype(np.int64), np.diff(at, append=n)
     first, second = pairs // v, pairs % v
     begin = np.flatnonzero(np.diff(first, prepend=-1))
     count = count.astype(np.float64)
@@ -162,16 +169,35 @@ class Head:
         self.start, self.flat = start.ravel().astype(np.uint64), self.size.ravel().astype(np.uint64)
         #: What a frequency says in the mix.
         self.common = STRETCH.take(np.minimum(self.size.ravel() >> (BITS - 12), 4095))
-
-    def index(self) -> None:
-        """Entries of all tables in order, for the way back: which entry each 256th place lies in."""
+        v = len(self.ids)
+        #: Of each id the table of its class and where that begins; then of order 0. Ids' places begin at ``origin``.
+        self.table_of, self.row_of = self.of.astype(np.int64), self.of.astype(np.int64) * v
+        self.table_first, self.first, self.origin = np.array([len(self.codes) - 1]), np.array([(len(self.codes) - 1) * v]), np.zeros(1, np.int64)
+
+
+class _Joined:
+    """The tables of many heads, one after the other."""
+
+    def __init__(self, heads: list[Head]):
+        before = lambda sizes: np.cumsum([0, *sizes])[:-1]
+        tables, rows = before([len(h.codes) for h in heads]), before([len(h.flat) for h in heads])
+        self.ids = np.concatenate([h.ids for h in heads])
+        self.origin = before([len(h.ids) for h in heads])
+        self.widest = max(len(h.ids) for h in heads)
+        self.start, self.flat, self.common = (np.concatenate([getattr(h, name) for h in heads]) for name in ("start", "flat", "common"))
+        self.table_of = np.concatenate([h.table_of + t for h, t in zip(heads, tables, strict=True)])
+        self.row_of = np.concatenate([h.row_of + r for h, r in zip(heads, rows, strict=True)])
+        self.table_first = np.concatenate([h.table_first + t for h, t in zip(heads, tables, strict=True)])
+        self.first = np.concatenate([h.first + r for h, r in zip(heads, rows, strict=True)])
+        # Entries of all tables in order, for the way back: which entry each 64th place lies in.
         self.entry = np.flatnonzero(self.flat)
-        self.key = np.append((self.entry // max(1, len(self.ids)) << BITS) + self.start[self.entry].astype(np.int64), np.iinfo(np.int64).max)
-        self.near = np.searchsorted(self.key, np.arange(len(self.codes) << (BITS - 8)) << 8, "right") - 1
+        table = np.repeat(np.arange(sum(len(h.codes) for h in heads)), np.repeat([len(h.ids) for h in heads], [len(h.codes) for h in heads]))
+        self.key = np.append((table[self.entry] << BITS) + self.start[self.entry].astype(np.int64), np.iinfo(np.int64).max)
+        self.near = np.searchsorted(self.key, np.arange(sum(len(h.codes) for h in heads) << (BITS - 6)) << 6, "right").astype(np.int32) - 1
 
     def find(self, at: np.ndarray) -> np.ndarray:
         """The entries that places (table, then 2 ** BITS) lie in."""
-        found = self.near.take(at >> 8)
+        found = self.near.take(at >> 6)
         more = np.flatnonzero(self.key.take(found + 1) <= at)
         if len(more):
             found[more] = np.searchsorted(self.key, at.take(more), "right") - 1
@@ -185,28 +211,40 @@ class _Models:
     All blocks are worked out side by side, those without a prediction too: that costs less than to pick the others.
     """
 
-    def __init__(self, n: int, head: Head):
-        self.head, self.v = head, len(head.ids)
-        self.row_of = head.of.astype(np.int64) * self.v
-        self.cells = np.zeros(2 * n * SLOTS, np.int32)  # of order 1, then of order 2
-        self.base = np.arange(2 * n).reshape(2, n) * SLOTS
+    def __init__(self, n: int, head: Head | _Joined, part: np.ndarray | None = None):
+        self.head, self.row_of = head, head.row_of
+        part = np.zeros(n, np.int64) if part is None else part  # which of the heads a block has
+        self.origin = None if len(head.first) == 1 else head.origin[part]
+        # Of order 1, then of order 2. Small cells stay near.
+        self.cells = np.zeros(2 * n * SLOTS, np.uint16 if getattr(head, "widest", len(head.ids)) <= 1 << 12 else np.int32)
+        # A slot's cells of all blocks are neighbours, so those in frequent use take few pages.
+        self.n, self.base = n, np.arange(n) + np.array([[0], [SLOTS * n]])
         # Chances by order and confidence, and whether the other order says the same.
         self.hit = np.tile((np.arange(64) % 16 * 200 + 300).astype(np.int32), n)
         self.states = np.arange(n) * 64 + np.array([[0], [32]])
         self.weight = np.repeat(np.array([[20000], [30000], [16000]], np.int32), n, 1)
         self.prev, self.prev2 = np.zeros(n, np.uint16), np.zeros(n, np.uint16)  # the lower bits, which the slots are made of
-        self.row = np.full(n, (len(head.codes) - 1) * self.v, np.int64)  # the table in use: order 0 at first
-
-    def look(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each of the first k blocks the predicted place, and the chance in 2 ** BITS that it's right: 0, if there is no prediction."""
-        slot = np.empty((2, k), np.uint16)
-        np.multiply(self.prev[:k], HASH1, out=slot[0])
-        np.multiply(self.prev2[:k], HASH2, out=slot[1])
-        slot[1] += slot[0]
+        self.row = head.first[part]  # the table in use: order 0 at first
+
+    def slots(self, prev: np.ndarray, prev2: np.ndarray) -> np.ndarray:
+        """Where the cells lie, order 1 and 2 in the last but one dimension, after these ids' lower bits."""
+        slot = np.empty((*prev.shape[:-1], 2, prev.shape[-1]), np.uint16)
+        np.multiply(prev, HASH1, out=slot[..., 0, :])
+        np.multiply(prev2, HASH2, out=slot[..., 1, :])
+        slot[..., 1, :] += slot[..., 0, :]
         slot >>= 4
         slot &= SLOTS - 1
-        self.at = (self.base[:, :k] + slot).ravel()
-        self.cell = cell = self.cells.take(self.at).reshape(2, k)
+        at = np.multiply(slot, self.n, dtype=np.int64)
+        at += self.base[:, : prev.shape[-1]]
+        return at
+
+    def look(self, k: int, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the first k blocks the predicted place, and the chance in 2 ** BITS that it's right: 0, if there is no prediction.
+
+        ``at``: the cells' places, if they are known.
+        """
+        self.at = self.slots(self.prev[:k], self.prev2[:k]) if at is None else at
+        self.cell = cell = self.cells.take(self.at).astype(np.int32, copy=False)
         self.sure = sure = cell & 15
         ids = cell >> 4
         by_two = sure[1] > 0
@@ -249,10 +287,10 @@ class _Models:
         known = cell - sure
         other = np.where(sure <= 1, new | 1, known | (sure >> 1))
         # A cell without confidence says place 0: if that came, both give the same.
-        self.cells[self.at] = np.where(known == new, np.minimum(cell + 1, cell | 15), other).ravel()
+        self.cells[self.at] = np.where(known == new, np.minimum(cell + 1, cell | 15), other).astype(self.cells.dtype, copy=False)
         self.prev2[:k] = self.prev[:k]
         self.prev[:k] = x
-        self.row_of.take(x, out=self.row[:k], mode="clip")
+        self.row_of.take(x if self.origin is None else x + self.origin[:k], out=self.row[:k], mode="clip")
 
     def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the first k blocks those with a prediction, the predicted places, and the chances in 2 ** BITS that they're right."""
@@ -293,6 +331,45 @@ class _Writer:
         self.shift[self.kept, at] = short
         self.kept += 1
 
+    def code_steps(self, chance: np.ndarray, hit: np.ndarray, start: np.ndarray, size: np.ndarray) -> None:
+        """Code STEPS / 2 steps or fewer (rows) of the first blocks (columns): whether the prediction held, then, where not, the id's part.
+
+        The same code as ``code`` gives, with all that doesn't depend on ranges worked out for all steps at once.
+        """
+        if self.kept:
+            self._sum()
+        steps, k = chance.shape
+        miss, wide = ~hit, chance.astype(np.uint64)
+        parts = np.empty((steps, 2, k), np.uint64)
+        parts[:, 0], parts[:, 1] = np.where(hit, wide, np.uint64(TOTAL) - wide), size
+        step, shift, rng = np.empty((2 * steps, k), np.uint64), self.shift, self.range[:k]
+        new = np.empty(k, np.uint64)
+        for t in range(steps):
+            for second in (0, 1):
+                j = 2 * t + second
+                one = step[j]
+                np.right_shift(rng, STEP, out=one)
+                if second:
+                    np.multiply(one, parts[t, 1], out=new)
+                    np.copyto(rng, new, where=miss[t])
+                else:
+                    np.multiply(one, parts[t, 0], out=rng)
+                short = (rng < LEAST_RANGE).nonzero()[0]
+                if len(short):
+                    r = rng.take(short) << U16
+                    again = r < LEAST_RANGE
+                    if again.any():
+                        r <<= again * U16
+                        shift[j, short] = 1 + again.view(np.uint8)
+                    else:
+                        shift[j, short] = 1
+                    rng[short] = r
+        self.kept, step = 2 * steps, step.reshape(steps, 2, k)
+        low = self.low[: self.kept].reshape(steps, 2, -1)
+        np.multiply(step[:, 0], wide * miss, out=low[:, 0, :k])
+        np.multiply(step[:, 1], start * miss, out=low[:, 1, :k])
+        self._sum()
+
     def _sum(self) -> None:
         shift = self.shift[: self.kept]
         ends = np.cumsum(shift, 0, dtype=np.int32)
@@ -383,52 +460,69 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[bytes, list[tuple[int,
     padded[: len(x)] = x
     columns = np.ascontiguousarray(padded.reshape(n, block).T)
     models, out = _Models(n, head), _Writer(n, block // 2 + 16)
-    for t in range(int(sizes.max())):
-        k = n if t < sizes[-1] else n - 1  # only the last block is shorter
-        x = columns[t, :k]
-        guess, chance = models.look(k)
-        hit = (x == guess) & models.said
-        out.code(slice(0, k), np.where(hit, 0, chance), np.where(hit, chance, TOTAL - chance))
-        at = np.flatnonzero(~hit)
-        if len(at):
-            place = models.row.take(at) + x.take(at)
-            out.code(at, head.start.take(place), head.flat.take(place))
-        models.fit(x, hit)
+    # What comes before each id, and the tables in use.
+    before = np.zeros((len(columns) + 2, n), np.uint16)
+    before[2:] = columns
+    first, last = int(sizes[-1]), int(sizes.max())
+    # The last block may be shorter: then steps go on without it.
+    edges = [*range(0, first, AT_ONCE), *range(first, last, AT_ONCE), last]
+    for lo, hi in itertools.pairwise(edges):
+        k = n if lo < first else n - 1
+        x = columns[lo:hi, :k]
+        slots = models.slots(before[lo + 1 : hi + 1, :k], before[lo:hi, :k])
+        chance, hit, row = np.empty(x.shape, np.int32), np.empty(x.shape, bool), np.empty(x.shape, np.int64)
+        for t in range(hi - lo):
+            row[t] = models.row[:k]
+            guess, chance[t] = models.look(k, slots[t])
+            np.equal(x[t], guess, out=hit[t])
+            hit[t] &= models.said
+            models.fit(x[t], hit[t])
+        row += x
+        out.code_steps(chance, hit, head.start.take(row), head.flat.take(row))
     return head.bytes(), [(int(s), tokens.crc32(ids[i * block : i * block + s]), c) for i, (s, c) in enumerate(zip(sizes, out.finish(), strict=True))]
 
 
 def decode(head_bytes: bytes, blocks: list[tuple[int, int, np.ndarray]]) -> np.ndarray:
     """The ids of blocks with one head; raises ValueError if a checksum doesn't hold."""
+    return decode_all([(head_bytes, blocks)])[0]
+
+
+def decode_all(segments: list[tuple[bytes, list[tuple[int, int, np.ndarray]]]]) -> list[np.ndarray]:
+    """The ids of each segment (head, blocks), all worked out side by side; raises ValueError if a checksum doesn't hold."""
+    blocks = [b for _, given in segments for b in given]
     if not blocks:
-        return np.zeros(0, np.uint32)
-    head = Head.of_bytes(head_bytes)
-    v = len(head.ids)
+        return [np.zeros(0, np.uint32) for _ in segments]
+    filled = [(h, given) for h, given in segments if given]
+    head = _Joined([Head.of_bytes(h) for h, _ in filled])
+    part = np.repeat(np.arange(len(filled)), [len(given) for _, given in filled])
     sizes = np.array([b[0] for b in blocks])
     order = np.argsort(-sizes, kind="stable")
-    models, source = _Models(len(blocks), head), _Reader([blocks[i][2] for i in order])
+    models, source = _Models(len(blocks), head, part[order]), _Reader([blocks[i][2] for i in order])
     down = sizes[order]
     result = np.zeros((int(down[0]), len(blocks)), np.int32)
-    head.index()
-    for t in range(int(down[0])):
-        k = int(np.searchsorted(-down, -t, "left"))
+    origin, table = head.origin[part[order]], head.table_first[part[order]]
+    left = np.searchsorted(-down, -np.arange(int(down[0])), "left").tolist()  # blocks that have so many ids
+    for t, k in enumerate(left):
         x, chance = models.look(k)
         hit = source.decide(k, chance)
         at = np.flatnonzero(~hit)
         if len(at):
             where, step = source.place(at)
-            row = models.row.take(at)
-            place = head.find((row // v << BITS) + where)
+            place = head.find((table.take(at) << BITS) + where)
             source.take(at, step, head.start.take(place), head.flat.take(place))
-            x[at] = place % v
+            x[at] = place - models.row.take(at)
         result[t, :k] = x
         models.fit(x, hit)
+        head.table_of.take(x + origin[:k], out=table[:k], mode="clip")
+    result = np.ascontiguousarray(result.T)
     out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(blocks)
     for i, b in enumerate(order):
-        out[b] = head.ids.take(result[: sizes[b], i])
+        out[b] = head.ids.take(result[i, : sizes[b]] + origin[i])
     for got, (_, crc, _) in zip(out, blocks, strict=True):
         if tokens.crc32(got) != crc:
             raise ValueError("a block of ids doesn't match its checksum")
-    return np.concatenate(out)
+    ends = np.cumsum([0, *[len(given) for _, given in segments]])
+    return [np.concatenate(out[a:b]) if a < b else np.zeros(0, np.uint32) for a, b in itertools.pairwise(ends)]
 
 
 def pack_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray) -> bytes:
@@ -445,6 +539,16 @@ def pack_segment(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray
 
 def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
     """Document ids, their numbers of token ids, and all token ids."""
+    return unpack_segments([data])[0]
+
+
+def unpack_segments(data: list[bytes]) -> list[tuple[list[int | None], np.ndarray, np.ndarray]]:
+    """As ``unpack_segment``, for segments that are worked out side by side."""
+    parts = [_parts(d) for d in data]
+    return [(docs, lengths, ids) for (docs, lengths, _), ids in zip(parts, decode_all([p[2] for p in parts]), strict=True)]
+
+
+def _parts(data: bytes) -> tuple[list[int | None], np.ndarray, tuple[bytes, list[tuple[int, int, np.ndarray]]]]:
     if data[:4] != MAGIC:
         raise ValueError("not a segment of token ids")
     docs, count, length = struct.unpack_from("<III", data, 4)
@@ -461,7 +565,22 @@ def unpack_segment(data: bytes) -> tuple[list[int | None], np.ndarray, np.ndarra
     for n, words, crc in heads:
         blocks.append((n, crc, np.frombuffer(data, "<u2", words, at)))
         at += 2 * words
-    return [int(i) if k else None for i, k in zip(ids, known, strict=True)], lengths, decode(head, blocks)
+    return [int(i) if k else None for i, k in zip(ids, known, strict=True)], lengths, (head, blocks)
+
+
+def full_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches as they come, put together up to SEGMENT_BYTES of text: the more blocks advance together, the less a step costs each."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in tokens.small_batches(batches, "text", SEGMENT_BYTES):
+        more = pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if held and size + more > SEGMENT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += more
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 1) -> None:
@@ -470,7 +589,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
-        for batch in tokens.small_batches(batches, "text", SEGMENT_BYTES):
+        for batch in full_batches(batches):
             ids, bounds = tokens.with_end(*tokens.encoder(vocabulary).encode(batch.column("text")), end_id)
             data = pack_segment(batch.column("doc_id").to_pylist(), np.diff(bounds), ids)
             yield pa.RecordBatch.from_arrays(
@@ -480,7 +599,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str | None = None, end_id:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     order = [F.col("doc_id").asc_nulls_first()]
-    rows = rows.repartitionByRange(storage.partitions(docs.sparkSession), *order).sortWithinPartitions(*order, "text")
+    # Fewer ranges than partitions, as long as all cores have one: their segments are fuller.
+    n, cores = storage.partitions(docs.sparkSession), docs.sparkSession.sparkContext.defaultParallelism
+    rows = rows.repartitionByRange(max(min(n, cores), n // 2), *order).sortWithinPartitions(*order, "text")
     rows.mapInArrow(run, "part int, number int, n_ids long, segment binary").write.option("compression", "uncompressed").parquet(path)
 
 
@@ -489,11 +610,22 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, path, with_ids=True)
 
 
+def side_by_side(batch: pa.RecordBatch) -> Iterator[tuple[int, tuple[list[int | None], np.ndarray, np.ndarray]]]:
+    """The base and the parts of each segment. As many as hold TOGETHER ids are worked out side by side, or one."""
+    n = batch.column("n_ids").to_pylist()
+    lo = 0
+    while lo < len(n):
+        hi = lo + 1
+        while hi < len(n) and sum(n[lo : hi + 1]) <= TOGETHER:
+            hi += 1
+        yield from zip(batch.column("base")[lo:hi].to_pylist(), unpack_segments(batch.column("segment")[lo:hi].to_pylist()), strict=True)
+        lo = hi
+
+
 def _read(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, segment in zip(batch.column("base").to_pylist(), batch.column("segment"), strict=True):
-                docs, lengths, ids = unpack_segment(segment.as_py())
+            for base, (docs, lengths, ids) in side_by_side(batch):
                 ends = np.cumsum(lengths)
                 parts = [ids[e - n : e] for e, n in zip(ends, lengths, strict=True)]
                 value = pa.array(parts, pa.list_(pa.uint32())).cast(pa.list_(pa.int64())) if with_ids else pa.array([tokens.crc32(p) for p in parts], pa.int64())
@@ -502,8 +634,8 @@ def _read(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     files = spark.read.parquet(path)
     bases = prefix.running(files.select("part", "number", "n_ids").withColumn("_all", F.lit(0)), ["_all"], ["part"], ["number"], {"base": F.col("n_ids")}).select("part", "number", "base")
     kind, name = ("array<bigint>", "ids") if with_ids else ("long", "ids_crc32")
-    placed = files.select("part", "number", "segment").join(bases, ["part", "number"])
-    return placed.select("base", "segment").mapInArrow(run, f"doc_id long, start long, n_tokens long, value {kind}").withColumnRenamed("value", name)
+    placed = files.select("part", "number", "n_ids", "segment").join(bases, ["part", "number"])
+    return placed.select("base", "n_ids", "segment").mapInArrow(run, f"doc_id long, start long, n_tokens long, value {kind}").withColumnRenamed("value", name)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ tokenizer splits it, too.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -25,6 +26,9 @@ BATCH_BYTES = 4_000_000
 
 _TAIL = r"^(?P<core>\p{L}+)(?P<tail>[!-/:-@\[-`{-~]+)$"
 
+#: Letters up to U+00FF that no step before the tokenizer's merges changes.
+_SMALL = re.compile(r"[a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u00ff]+")
+
 
 def default_path() -> str:
     import public_tokenizers
@@ -42,57 +46,92 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        given = json.loads(self.tokenizer.to_str())
+        split = (given["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        suffix = given["model"].get("end_of_word_suffix")
+        #: Whether an id ends a word; none, if the tokenizer's ids don't tell.
+        self.ends = None
+        #: The tokenizer without the steps that leave small letters up to U+00FF as they are.
+        self.letters = self.tokenizer
+        if suffix and split[-1].get("type") == "ByteLevel":
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            plain = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, split[-1]]}
+            self.letters = Tokenizer.from_str(json.dumps(given | {"normalizer": None, "pre_tokenizer": plain, "added_tokens": []}))
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}
+        self.kept = pa.array([], pa.large_string())
+        #: Words learned since ``kept`` was put together.
+        self.new: list[pa.Array] = []
         #: Where the kept words' ids begin, in parts; the last of a part is where the next begins.
         self.starts: list[np.ndarray] = [np.zeros(1, np.int64)]
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
 
-    def _append(self, ids: np.ndarray, lengths: np.ndarray, words: list[str]) -> None:
+    def _append(self, ids: np.ndarray, lengths: np.ndarray, words: list[str] | pa.Array) -> None:
         need = self.used + len(ids)
         if need > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty(max(len(self.flat), len(ids)), np.uint32)])
         self.flat[self.used : need] = ids
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words)), strict=True))
+        self.new.append(pa.array(words, pa.large_string()))
         self.starts.append(self.used + np.cumsum(lengths))
         self.used = need
 
     def _learn(self, words: list[str]) -> None:
-        """Words of letters alone are encoded together, a text of some hundreds at a time: the tokenizer numbers its words."""
-        plain = [w for w in words if w.isalpha()]
-        texts = [plain[k : k + 500] for k in range(0, len(plain), 500)]
-        odd = [w for w in words if not w.isalpha()]
-        for part, got in zip(texts, self.tokenizer.encode_batch([" ".join(t) for t in texts], add_special_tokens=False), strict=True):
-            lengths = np.bincount(np.array(got.word_ids, np.int64))
-            if len(lengths) == len(part) and lengths.all():
-                self._append(np.array(got.ids, np.uint32), lengths, part)
-            else:
-                odd += part
+        """Words of letters alone are encoded together, a text of some hundreds at a time: the ids tell where its words end."""
+        small = [w for w in words if _SMALL.fullmatch(w)]
+        rest = [w for w in words if not _SMALL.fullmatch(w)] if len(small) < len(words) else []
+        other, odd = [w for w in rest if w.isalpha()], [w for w in rest if not w.isalpha()]
+        for tokenizer, plain in ((self.letters, small), (self.tokenizer, other)):
+            texts = [plain[k : k + 500] for k in range(0, len(plain), 500)]
+            joined = [" ".join(t) for t in texts]
+            encode = tokenizer.encode_batch if self.ends is None else tokenizer.encode_batch_fast
+            for part, got in zip(texts, encode(joined, add_special_tokens=False), strict=True):
+                ids = np.array(got.ids, np.uint32)
+                if self.ends is None:
+                    lengths = np.bincount(np.array(got.word_ids, np.int64))
+                else:
+                    lengths = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+                if len(lengths) == len(part) and lengths.all() and lengths.sum() == len(ids):
+                    self._append(ids, lengths, part)
+                else:
+                    odd += part
         ids = [got.ids for got in self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)]
         if odd:
             self._append(np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids]), odd)
 
-    def _keep(self, words: list[str]) -> None:
+    def _keep(self, numbers: np.ndarray) -> None:
         """Drop all other words."""
-        starts = np.concatenate(self.starts)
-        numbers = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        words, starts = self.kept.take(pa.array(numbers)), self.starts[0]
         lengths = starts[numbers + 1] - starts[numbers]
         ids = _gather(self.flat, starts[numbers], lengths)
         self._clear()
         self._append(ids, lengths, words)
-
-    def _numbers(self, words: list[str]) -> np.ndarray:
-        at = self.at
-        missing = [w for w in dict.fromkeys(words) if w not in at]
-        if len(at) + len(missing) > KEPT_WORDS and at:
-            self._keep([w for w in dict.fromkeys(words) if w in at])
-            at = self.at
+        self._put_together()
+
+    def _put_together(self) -> None:
+        self.kept, self.new, self.starts = pa.concat_arrays([self.kept, *self.new]), [], [np.concatenate(self.starts)]
+
+    def _numbers(self, words: pa.Array) -> np.ndarray:
+        """Places of different words in the store, which learns those that it doesn't have."""
+        found = pc.index_in(words, value_set=self.kept)
+        unknown = found.is_null()
+        missing = words.filter(unknown)
+        unknown, numbers = unknown.to_numpy(zero_copy_only=False), found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if not len(missing):
+            return numbers
+        if len(self.kept) + len(missing) > KEPT_WORDS and len(self.kept):
+            self._keep(numbers[~unknown])
+            numbers[~unknown] = np.arange(len(words) - len(missing))
         for k in range(0, len(missing), 20_000):
-            self._learn(missing[k : k + 20_000])
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
+            # Words hold no blank, so one text gives them all.
+            part = missing.slice(k, 20_000).cast(pa.string())
+            self._learn(pc.binary_join(pa.ListArray.from_arrays([0, len(part)], part), " ")[0].as_py().split(" "))
+        numbers[unknown] = len(self.kept) + pc.index_in(missing, value_set=pa.concat_arrays(self.new)).to_numpy()
+        self._put_together()
+        return numbers
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the bounds of each text's ids (one more than texts)."""
@@ -113,8 +152,8 @@ class Encoder:
         tail = pc.coalesce(pc.struct_field(split, 1), pa.scalar("", pa.large_string()))
         # One list, so that words are dropped before both or neither. Tails are few.
         tails = tail.dictionary_encode()
-        numbers = self._numbers(core.to_pylist() + tails.dictionary.to_pylist())
-        self.starts = [np.concatenate(self.starts)]
+        both = pa.concat_arrays([core, tails.dictionary]).dictionary_encode()
+        numbers = self._numbers(both.dictionary)[both.indices.to_numpy()]
         starts = self.starts[0]
         a, b = numbers[: len(unique)], numbers[len(unique) :][tails.indices.to_numpy()]
         na, nb = starts[a + 1] - starts[a], starts[b + 1] - starts[b]
@@ -130,8 +169,9 @@ class Encoder:
 def _gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The runs flat[starts[i] : starts[i] + lengths[i]], one after the other."""
     ends = np.cumsum(lengths)
-    total = int(ends[-1]) if len(ends) else 0
-    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+    at = np.repeat(starts - (ends - lengths), lengths)
+    at += np.arange(len(at))
+    return flat.take(at)
 
 
 _encoders: dict[str, Encoder] = {}

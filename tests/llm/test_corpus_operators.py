@@ -494,6 +494,56 @@ def test_carries_go_back():
         source.take(at, step, np.array([start]), np.array([size]))
 
 
+def test_steps_at_once_give_the_same_code():
+    """Many steps coded at once, the first blocks' alone at the end, are what one step after the other gives."""
+    rng = np.random.default_rng(2)
+    shape = (200, 7)
+    chance = rng.choice([0, 1 << 8, 4000 << 8, 4095 << 8], shape).astype(np.int32)
+    hit = (rng.random(shape) < 0.5) & (chance > 0)
+    size = rng.choice([1, 5, 1000, 1 << 18], shape).astype(np.uint64)
+    start = rng.integers(0, coder.TOTAL - (1 << 18), shape).astype(np.uint64)
+    plain, fast = coder._Writer(7, 16), coder._Writer(7, 16)
+    for t in range(200):
+        k = 7 if t < 120 else 5
+        c, h = chance[t, :k], hit[t, :k]
+        plain.code(slice(0, k), np.where(h, 0, c), np.where(h, c, coder.TOTAL - c))
+        at = np.flatnonzero(~h)
+        plain.code(at, start[t, at], size[t, at])
+    for lo, hi, k in ((0, 100, 7), (100, 120, 7), (120, 200, 5)):
+        fast.code_steps(*(a[lo:hi, :k] for a in (chance, hit, start, size)))
+    for a, b in zip(plain.finish(), fast.finish(), strict=True):
+        assert a.tolist() == b.tolist()
+
+
+def test_segments_side_by_side():
+    """Segments with heads of many and of few ids, and an empty one, are read together as each by itself."""
+    rng = np.random.default_rng(4)
+    given = [rng.zipf(1.3, 9000) % 6000, rng.choice([3, 5, 7], 5000), np.zeros(0), rng.integers(0, 2**32, 300)]
+    given = [g.astype(np.uint32) for g in given]
+    data = [coder.pack_segment([k], np.array([len(g)]), g) for k, g in enumerate(given)]
+    for k, ((docs, lengths, ids), g) in enumerate(zip(coder.unpack_segments(data), given, strict=True)):
+        assert docs == [k] and lengths.tolist() == [len(g)] and (ids == g).all()
+    with pytest.raises(ValueError):
+        coder.unpack_segments([data[0], data[1][:-5] + bytes([data[1][-5] ^ 0x80]) + data[1][-4:]])
+
+
+def test_segments_are_filled(monkeypatch):
+    """Batches of one task make one segment, as far as its bytes go; rows stay in order."""
+    batches = [pa.record_batch({"doc_id": [k], "text": pa.array([t], pa.string())}) for k, t in enumerate(["a" * 40, None, "b" * 50, "c" * 20, "d" * 200, ""])]
+    monkeypatch.setattr(coder, "SEGMENT_BYTES", 100)
+    assert [b.column("doc_id").to_pylist() for b in coder.full_batches(iter(batches))] == [[0, 1, 2], [3], [4], [5]]
+
+
+def test_words_are_learned_without_the_steps_that_leave_them(monkeypatch):
+    """Small letters go to the merges alone; all other words take every step. Ids are the tokenizer's own."""
+    enc, seen = tokens.Encoder(tokens.default_path()), []
+    plain = enc.letters
+    monkeypatch.setattr(enc, "letters", type("Seen", (), {"encode_batch_fast": lambda _, texts, **k: (seen.extend(texts), plain.encode_batch_fast(texts, **k))[1]})())
+    text = "garden straße ªº µm ñandú ÿes ñ̃x слово 東京 Ünder x÷y ×"
+    assert enc.encode(pa.array([text]))[0].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert set(" ".join(seen).split()) == {"garden", "straße", "ªº", "µm", "ñandú", "ÿes", "ünder"}
+
+
 def test_files_of_ids(spark, odd, none, tmp_path):
     enc = tokens.Encoder(tokens.default_path())
     coder.write_ids(odd, str(tmp_path / "ids"))
